@@ -1,0 +1,22 @@
+"""Partitioning helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Make sure CPU-heavy row work gets at least ``min_partitions`` tasks.
+
+    A single unsplittable input (one Parquet row group, one small file) scans as
+    one partition, and every expression above it then runs on one core.  When
+    the planned scan has fewer partitions than the session's default
+    parallelism, rows are spread round-robin (Spark sorts before a round-robin
+    repartition, so a retried task sees the same rows).  A large multi-file
+    input already has enough splits and passes through without a shuffle.
+    The check reads the plan only; it runs no job.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
