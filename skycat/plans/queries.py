@@ -24,6 +24,7 @@ from skycat.functions.catalog import (
 )
 from skycat.functions.coords import sky_to_cartesian_sql
 from skycat.functions.cosmology import comoving_distance_sql
+from skycat.functions.sqltext import dlit
 from skycat.operators import summary
 from skycat.operators.dims import tracer_name_sql
 from skycat.operators.ingest import process_catalog
@@ -113,3 +114,196 @@ def q_processed_catalog(spark, sf_dir):
 def q_catalog_total(spark, sf_dir):
     """A2: rows in the combined catalogue."""
     return summary.catalog_total(processed(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# Sample, shuffle, export
+# ---------------------------------------------------------------------------
+
+from skycat.functions.hashing import uniform_sql  # noqa: E402
+from skycat.operators import sampling  # noqa: E402
+from skycat.plans.derived import scale_factor  # noqa: E402
+from skycat.schema import SAMPLE_SEED, SCENE_MAX_POINTS, TARGET_PER_TRACER  # noqa: E402
+
+ORACLE_SF = 0.01  # the driver runs the SQL twins at sf0.01
+
+
+def scaled_targets(sf: float) -> dict[int, int]:
+    """The export's per-tracer targets scaled with the data (1000/1500/1500/1000 at sf0.01)."""
+    return {t: max(1, int(round(n * sf))) for t, n in TARGET_PER_TRACER.items()}
+
+
+def scaled_cap(sf: float) -> int:
+    return max(1, int(round(SCENE_MAX_POINTS * sf)))
+
+
+def sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.weighted_stratified_sample(
+        processed(spark, sf_dir), scaled_targets(scale_factor(sf_dir)), id_cols="id"
+    )
+
+
+def _targets_sql(sf: float) -> str:
+    rows = ", ".join(f"({t}, {n})" for t, n in scaled_targets(sf).items())
+    return f"targets AS (SELECT * FROM (VALUES {rows}) v(tracer, target))"
+
+
+WC_CTE = """wc AS (SELECT *, CASE WHEN weight < 0 THEN CAST(0 AS DOUBLE) ELSE CAST(weight AS DOUBLE) END AS wc
+       FROM processed)"""
+
+STATS_CTE = """stats AS (SELECT tracer, count(*) AS available,
+         sum(CASE WHEN isnan(wc) THEN 0 ELSE wc END) AS wsum,
+         count_if(isnan(weight)) AS n_nan
+       FROM wc GROUP BY tracer)"""
+
+PLAN_CTE = """plan AS (SELECT tracer, least(target, available) AS n, (n_nan = 0 AND wsum > 0) AS weighted
+       FROM stats JOIN targets USING (tracer) WHERE least(target, available) > 0)"""
+
+KEYED_CTE = f"""keyed AS (SELECT wc.*, plan.n,
+         CASE WHEN plan.weighted THEN -ln({uniform_sql(f'{SAMPLE_SEED}:key', 'id')}) / wc
+              ELSE {uniform_sql(f'{SAMPLE_SEED}:key', 'id')} END AS _key
+       FROM wc JOIN plan USING (tracer) WHERE NOT plan.weighted OR wc > 0)"""
+
+SAMPLE_CTE = """sample AS (SELECT ra, dec, z, x, y, z_cart, weight, tracer, catalog, id FROM (
+         SELECT *, row_number() OVER (PARTITION BY tracer ORDER BY _key, id) AS _rank FROM keyed)
+       WHERE _rank <= n)"""
+
+SAMPLE_CTES = (PROCESSED_CTE, WC_CTE, STATS_CTE, _targets_sql(ORACLE_SF), PLAN_CTE, KEYED_CTE, SAMPLE_CTE)
+
+
+@register("weighted_sample", with_ctes("SELECT * FROM sample", *SAMPLE_CTES))
+def q_weighted_sample(spark, sf_dir):
+    """Weighted stratified sample per tracer, targets scaled with sf."""
+    return sample(spark, sf_dir)
+
+
+@register(
+    "sample_summary",
+    with_ctes(
+        f"""SELECT s.tracer, {tracer_name_sql('s.tracer')} AS name, s.available, c.sampled
+FROM stats s JOIN (SELECT tracer, count(*) AS sampled FROM sample GROUP BY tracer) c USING (tracer)""",
+        *SAMPLE_CTES,
+    ),
+)
+def q_sample_summary(spark, sf_dir):
+    """A3: per tracer rows available and sampled."""
+    return summary.sample_summary(processed(spark, sf_dir), sample(spark, sf_dir))
+
+
+@register(
+    "sample_bounds",
+    with_ctes(
+        """SELECT CAST(min(x) AS DOUBLE) AS x_min, CAST(max(x) AS DOUBLE) AS x_max,
+       CAST(min(y) AS DOUBLE) AS y_min, CAST(max(y) AS DOUBLE) AS y_max,
+       CAST(min(z_cart) AS DOUBLE) AS z_cart_min, CAST(max(z_cart) AS DOUBLE) AS z_cart_max FROM sample""",
+        *SAMPLE_CTES,
+    ),
+)
+def q_sample_bounds(spark, sf_dir):
+    """A4: bounds of the exported sample."""
+    return summary.bounds(sample(spark, sf_dir))
+
+
+PERM_SQL = uniform_sql(f"{SAMPLE_SEED}:perm", "id")
+
+
+@register(
+    "shuffled_sample",
+    with_ctes(
+        f"SELECT *, row_number() OVER (ORDER BY {PERM_SQL}, id) - 1 AS position FROM sample",
+        *SAMPLE_CTES,
+    ),
+)
+def q_shuffled_sample(spark, sf_dir):
+    """The sample in a reproducible random order, with its position."""
+    return sampling.shuffle_with_position(sample(spark, sf_dir), id_cols="id")
+
+
+@register(
+    "capped_points",
+    with_ctes(
+        f"""SELECT x, y, z_cart, tracer, id FROM (
+  SELECT *, row_number() OVER (ORDER BY {uniform_sql(f'{SAMPLE_SEED}:key', 'id')}, id) AS _rank,
+         count(*) OVER () AS _n FROM processed)
+WHERE _n <= {scaled_cap(ORACLE_SF)} OR _rank <= {scaled_cap(ORACLE_SF)}""",
+        PROCESSED_CTE,
+    ),
+)
+def q_capped_points(spark, sf_dir):
+    """S5 + W2: projected scan, capped to the scene's point budget (scaled with sf)."""
+    pts = processed(spark, sf_dir).select("x", "y", "z_cart", "tracer", "id")
+    return sampling.cap_points(pts, scaled_cap(scale_factor(sf_dir)), id_cols="id")
+
+
+@register(
+    "random_points",
+    with_ctes(
+        "SELECT id, "
+        + ", ".join(
+            f"CAST(({uniform_sql(f'{SAMPLE_SEED}:{c}', 'id')} - 0.5) * {40000.0!r} AS FLOAT) AS {c}"
+            for c in ("x", "y", "z_cart")
+        )
+        + " FROM processed",
+        PROCESSED_CTE,
+    ),
+)
+def q_random_points(spark, sf_dir):
+    """A uniform random comparison catalogue, one point per galaxy."""
+    return sampling.random_points(processed(spark, sf_dir), id_cols="id")
+
+
+# ---------------------------------------------------------------------------
+# Dimension lookups, distinct, validation
+# ---------------------------------------------------------------------------
+
+
+@register("present_tracers", with_ctes("SELECT DISTINCT tracer FROM processed", PROCESSED_CTE))
+def q_present_tracers(spark, sf_dir):
+    """A5: sorted distinct tracer ids."""
+    return summary.present_tracers(processed(spark, sf_dir))
+
+
+_RGB_SQL = "CASE tracer " + " ".join(
+    f"WHEN {t} THEN [{', '.join(f'CAST({v!r} AS FLOAT)' for v in rgb)}]" for t, _n, _c, rgb, *_ in __import__("skycat.schema", fromlist=["TRACERS"]).TRACERS
+) + " ELSE [CAST(1.0 AS FLOAT), CAST(1.0 AS FLOAT), CAST(1.0 AS FLOAT)] END"
+
+
+@register(
+    "colored_points",
+    with_ctes(
+        f"""SELECT id, tracer, x, y, z_cart, {tracer_name_sql('tracer')} AS name,
+       ({_RGB_SQL})[1] AS r, ({_RGB_SQL})[2] AS g, ({_RGB_SQL})[3] AS b,
+       CAST(1.5 AS FLOAT) AS size, CAST(0.7 AS FLOAT) AS alpha FROM processed""",
+        PROCESSED_CTE,
+    ),
+)
+def q_colored_points(spark, sf_dir):
+    """J1 + P2 + P13: tracer name and colour by broadcast dimension lookup."""
+    from skycat.operators.dims import color_points, tracer_name
+
+    pts = processed(spark, sf_dir).select("id", "tracer", "x", "y", "z_cart")
+    out = color_points(pts).withColumn("name", tracer_name("tracer"))
+    return out.select(
+        "id", "tracer", "x", "y", "z_cart", "name",
+        F.col("rgb")[0].alias("r"), F.col("rgb")[1].alias("g"), F.col("rgb")[2].alias("b"),
+        "size", "alpha",
+    )
+
+
+@register(
+    "validate_catalog",
+    with_ctes(
+        f"""SELECT tracer, {tracer_name_sql('tracer')} AS name, count(*) AS n_rows,
+       count_if(CAST(z AS DOUBLE) < z_min OR CAST(z AS DOUBLE) > z_max) AS n_outside_range,
+       count_if(NOT (isfinite(ra) AND isfinite(dec) AND isfinite(z) AND isfinite(x) AND isfinite(y) AND isfinite(z_cart))) AS n_nonfinite,
+       count_if(NOT (weight > 0) OR isnan(weight)) AS n_nonpositive_weight
+FROM processed LEFT JOIN dim USING (tracer) GROUP BY tracer""",
+        PROCESSED_CTE,
+        "dim AS (SELECT * FROM (VALUES "
+        + ", ".join(f"({t}, {dlit(zr[0])}, {dlit(zr[1])})" for t, _n, _c, _rgb, zr, _tg in __import__("skycat.schema", fromlist=["TRACERS"]).TRACERS)
+        + ") v(tracer, z_min, z_max))",
+    ),
+)
+def q_validate_catalog(spark, sf_dir):
+    """V1: per tracer rows, rows outside the nominal range, non-finite values, non-positive weights."""
+    return summary.validate_catalog(processed(spark, sf_dir))
