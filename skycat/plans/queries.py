@@ -49,11 +49,21 @@ def register(name: str, sql: str | None = None):
 # ---------------------------------------------------------------------------
 
 
-def processed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E1 on the derived catalogue: D2 columns + catalog + id."""
+def process(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E1 on the derived catalogue: D2 columns + catalog + id (computed)."""
     return process_catalog(raw_catalog(spark, sf_dir), keep=("id",))
 
 
+def processed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The processed catalogue as later stages see it: written once by E1
+    (K2, Parquet/zstd) and scanned back (S4), as the original pipeline hands
+    over between its steps.  Downstream filters then reach the Parquet reader
+    instead of being inlined into the distance expression."""
+    from skycat.sources.tables import materialized
+
+    return materialized(spark, f"processed-v1-{sf_dir}", lambda: process(spark, sf_dir))
+
+
 def _processed_sql() -> str:
     x, y, zc = sky_to_cartesian_sql("RA", "DEC", "_dist")
     return f"""
@@ -107,7 +117,7 @@ def q_catalog_summary(spark, sf_dir):
 @register("processed_catalog", with_ctes("SELECT * FROM processed", PROCESSED_CTE))
 def q_processed_catalog(spark, sf_dir):
     """E1 rows: P1, P3, P4, P5, P6, P7 over every raw row."""
-    return processed(spark, sf_dir)
+    return process(spark, sf_dir)
 
 
 @register("catalog_total", with_ctes("SELECT count(*) AS n_galaxies FROM processed", PROCESSED_CTE))
@@ -307,3 +317,160 @@ FROM processed LEFT JOIN dim USING (tracer) GROUP BY tracer""",
 def q_validate_catalog(spark, sf_dir):
     """V1: per tracer rows, rows outside the nominal range, non-finite values, non-positive weights."""
     return summary.validate_catalog(processed(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# Packed points, metadata, viewer work
+# ---------------------------------------------------------------------------
+
+from skycat.functions.catalog import decode_z, decode_z_sql, encode_z, encode_z_sql  # noqa: E402
+from skycat.operators import view  # noqa: E402
+from skycat.sources import packed  # noqa: E402
+from skycat.sources.tables import scratch_path  # noqa: E402
+
+VIEW_HIDDEN = frozenset({3})  # the QSO toggle switched off
+VIEW_Z_CUTOFF = 1.2  # slider position
+
+
+@register(
+    "encoded_redshift",
+    with_ctes(
+        f"SELECT id, z, {encode_z_sql('z')} AS z_encoded, {decode_z_sql(encode_z_sql('z'))} AS z_decoded FROM processed",
+        PROCESSED_CTE,
+    ),
+)
+def q_encoded_redshift(spark, sf_dir):
+    """P9 + P10: u16 quantisation of z and its decoding."""
+    df = processed(spark, sf_dir)
+    return df.select("id", "z", encode_z("z").alias("z_encoded"), decode_z(encode_z("z")).alias("z_decoded"))
+
+
+def export_sample(spark: SparkSession, sf_dir: str) -> str:
+    """E2 write side: shuffled sample -> one packed file + metadata, in the
+    session's scratch folder.  Returns the folder."""
+    out = scratch_path(spark, f"export-{sf_dir}")
+    smp = sampling.shuffle_points(sample(spark, sf_dir), id_cols="id")
+    packed.write_packed(smp, f"{out}/galaxies.bin", single_file=True)
+    packed.write_metadata(packed.metadata_document(smp), f"{out}/metadata.json")
+    return out
+
+
+@register(
+    "exported_points",
+    with_ctes(
+        f"SELECT x, y, z_cart, tracer, {decode_z_sql(encode_z_sql('z'))} AS z FROM sample",
+        *SAMPLE_CTES,
+    ),
+)
+def q_exported_points(spark, sf_dir):
+    """K3 -> S6 (+P9, P10): the exported sample read back from the packed file."""
+    return packed.read_packed(spark, f"{export_sample(spark, sf_dir)}/galaxies.bin")
+
+
+@register(
+    "export_metadata",
+    with_ctes(
+        """SELECT 1 AS version, count(*) AS n_points,
+       CAST(min(x) AS DOUBLE) AS x_min, CAST(max(x) AS DOUBLE) AS x_max,
+       CAST(min(y) AS DOUBLE) AS y_min, CAST(max(y) AS DOUBLE) AS y_max,
+       CAST(min(z_cart) AS DOUBLE) AS z_min, CAST(max(z_cart) AS DOUBLE) AS z_max,
+       CAST(67.4 AS DOUBLE) AS H0, CAST(0.315 AS DOUBLE) AS Om0, 'FlatLambdaCDM' AS model, 4 AS n_tracers FROM sample""",
+        *SAMPLE_CTES,
+    ),
+)
+def q_export_metadata(spark, sf_dir):
+    """K4 -> S7: the metadata document written with the export, read back."""
+    meta = packed.read_metadata(spark, f"{export_sample(spark, sf_dir)}/metadata.json")
+    b = F.col("bounds")
+    return meta.select(
+        "version",
+        "n_points",
+        b.x[0].alias("x_min"), b.x[1].alias("x_max"),
+        b.y[0].alias("y_min"), b.y[1].alias("y_max"),
+        b.z[0].alias("z_min"), b.z[1].alias("z_max"),
+        F.col("cosmology.H0").alias("H0"), F.col("cosmology.Om0").alias("Om0"), F.col("cosmology.model").alias("model"),
+        F.size("tracers").alias("n_tracers"),
+    )
+
+
+def _hidden_sql(tracer: str, z: str) -> str:
+    hid = ", ".join(str(t) for t in sorted(VIEW_HIDDEN))
+    return f"({tracer} IN ({hid}) OR {z} > {dlit(VIEW_Z_CUTOFF)})"
+
+
+@register(
+    "styled_points",
+    with_ctes(
+        f"""SELECT id, tracer, z,
+       CAST(CASE WHEN {_hidden_sql('tracer', 'z')} THEN 0.0 ELSE 1.5 END AS FLOAT) AS size,
+       CAST(CASE WHEN {_hidden_sql('tracer', 'z')} THEN 0.0 ELSE 0.7 END AS FLOAT) AS alpha FROM processed""",
+        PROCESSED_CTE,
+    ),
+)
+def q_styled_points(spark, sf_dir):
+    """Per-point size and alpha under the viewer's filters (rows kept)."""
+    pts = processed(spark, sf_dir).select("id", "tracer", "z")
+    return view.style_points(pts, z_cutoff=VIEW_Z_CUTOFF, hidden=VIEW_HIDDEN)
+
+
+@register(
+    "visible_points",
+    with_ctes(f"SELECT id, tracer, z FROM processed WHERE NOT {_hidden_sql('tracer', 'z')}", PROCESSED_CTE),
+)
+def q_visible_points(spark, sf_dir):
+    """The visible points as a filter."""
+    pts = processed(spark, sf_dir).select("id", "tracer", "z")
+    return view.visible_points(pts, z_cutoff=VIEW_Z_CUTOFF, hidden=VIEW_HIDDEN)
+
+
+@register(
+    "scene_points",
+    with_ctes(
+        f"""SELECT id, tracer, CAST(x * {dlit(0.001)} AS FLOAT) AS x, CAST(y * {dlit(0.001)} AS FLOAT) AS y,
+       CAST(z_cart * {dlit(0.001)} AS FLOAT) AS z_cart FROM (
+  SELECT *, row_number() OVER (ORDER BY {uniform_sql(f'{SAMPLE_SEED}:key', 'id')}, id) AS _rank,
+         count(*) OVER () AS _n FROM processed)
+WHERE tracer IN (SELECT DISTINCT tracer FROM processed) AND (_n <= {scaled_cap(ORACLE_SF)} OR _rank <= {scaled_cap(ORACLE_SF)})""",
+        PROCESSED_CTE,
+    ),
+)
+def q_scene_points(spark, sf_dir):
+    """Projected scan (S5) -> cap (W2) -> per-tracer split (A5, W5) -> scale."""
+    from skycat.functions.coords import scale_coords
+
+    pts = processed(spark, sf_dir).select("id", "tracer", "x", "y", "z_cart")
+    capped = sampling.cap_points(pts, scaled_cap(scale_factor(sf_dir)), id_cols="id")
+    parts = sampling.split_by_tracer(capped)
+    from functools import reduce
+
+    return scale_coords(reduce(DataFrame.unionByName, parts.values()), 0.001)
+
+
+def _projected_sql() -> str:
+    return f"projected AS ({view.project_points_sql('processed')})"
+
+
+@register(
+    "projected_points",
+    with_ctes("SELECT id, px, py, depth, size_px FROM projected", PROCESSED_CTE, _projected_sql()),
+)
+def q_projected_points(spark, sf_dir):
+    """G1 + G2: default orbit camera, 1920x1080, every point in view."""
+    pts = processed(spark, sf_dir).select("id", "x", "y", "z_cart")
+    return view.project_points(pts).select("id", "px", "py", "depth", "size_px")
+
+
+@register(
+    "density_image",
+    with_ctes(
+        view.density_image_sql("splatted"),
+        PROCESSED_CTE,
+        f"""colored AS (SELECT x, y, z_cart, tracer, z, ({_RGB_SQL})[1] AS r, ({_RGB_SQL})[2] AS g,
+       ({_RGB_SQL})[3] AS b, CAST({dlit(0.7)} AS DOUBLE) AS alpha FROM processed WHERE NOT {_hidden_sql('tracer', 'z')})""",
+        f"proj AS ({view.project_points_sql('colored')})",
+        f"splatted AS ({view.splat_sql('proj')})",
+    ),
+)
+def q_density_image(spark, sf_dir):
+    """E3 whole: visible -> colour -> project -> splat -> additive image."""
+    return view.render(processed(spark, sf_dir), z_cutoff=VIEW_Z_CUTOFF, hidden=VIEW_HIDDEN)

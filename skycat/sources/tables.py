@@ -34,3 +34,9 @@ def materialized(spark: SparkSession, key: str, build: Callable[[], DataFrame])
     if not path_exists(spark, f"{path}/_SUCCESS"):
         build().write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
+
+
+def scratch_path(spark: SparkSession, key: str) -> str:
+    """A folder for files written by a job (exports), under the checkpoint folder."""
+    root = ensure_checkpoint_dir(spark)
+    return f"{root.rstrip('/')}/files/{hashlib.sha1(key.encode()).hexdigest()[:16]}"
