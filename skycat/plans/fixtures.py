@@ -48,4 +48,7 @@ def write_fits_catalogs(raw: DataFrame, root: str) -> DataFrame:
             counts.append(len(idx))
         yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(counts, pa.int64())], names=["path", "rows"])
 
+    from skycat.session import ship_package
+
+    ship_package(raw.sparkSession)
     return raw.select("file_name", "RA", "DEC", "Z", "WEIGHT").mapInArrow(write_part, "path string, rows bigint")

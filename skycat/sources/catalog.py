@@ -16,13 +16,21 @@ def discover_catalogs(spark: SparkSession, path: str, pattern: str = CATALOG_GLO
     A ``binaryFile`` listing with the content column pruned: nothing is read
     but the directory entries.  Raises when nothing matches.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", pattern)
-        .option("recursiveFileLookup", "true")
-        .load(path)
-        .select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), "length")
-        .orderBy("file_name", "path")
+    from pyspark.errors import AnalysisException
+
+    try:
+        listing = (
+            spark.read.format("binaryFile")
+            .option("pathGlobFilter", pattern)
+            .option("recursiveFileLookup", "true")
+            .load(path)
+        )
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            raise FileNotFoundError(f"no {pattern} files in {path}") from None
+        raise
+    files = listing.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), "length").orderBy(
+        "file_name", "path"
     )
     if files.isEmpty():
         raise FileNotFoundError(f"no {pattern} files in {path}")

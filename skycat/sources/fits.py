@@ -358,6 +358,9 @@ class FitsTableDataSource(DataSource):
 
 
 def register(spark) -> None:
+    from skycat.session import ship_package
+
+    ship_package(spark)
     spark.dataSource.register(FitsTableDataSource)
 
 

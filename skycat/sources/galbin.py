@@ -224,4 +224,7 @@ class GalbinDataSource(DataSource):
 
 
 def register(spark) -> None:
+    from skycat.session import ship_package
+
+    ship_package(spark)
     spark.dataSource.register(GalbinDataSource)

@@ -1,0 +1,157 @@
+"""Round trips and guards of the sources and sinks."""
+
+import json
+import os
+import struct
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from skycat.sources import catalog as cat
+from skycat.sources import fits, packed
+from skycat.operators.dims import manifest_df
+
+
+def _points(spark, n=1000):
+    rows = [(float(i), float(-i), float(i) / 3, i % 4, (i % 300) / 100.0) for i in range(n)]
+    return spark.createDataFrame(rows, "x float, y float, z_cart float, tracer short, z float")
+
+
+def test_packed_single_file_is_byte_exact(spark, tmp):
+    df = _points(spark, 10)
+    path = os.path.join(tmp, "g.bin")
+    packed.write_packed(df, path)
+    raw = open(path, "rb").read()
+    assert len(raw) == 16 + 16 * 10
+    assert struct.unpack("<IIII", raw[:16]) == (0x44455349, 1, 10, 0)
+    x, y, zc, t, res, q = struct.unpack("<fffBBH", raw[16 + 16 * 3 : 16 + 16 * 4])
+    assert (x, y, zc, t, res, q) == (3.0, -3.0, pytest.approx(1.0), 3, 0, 300)
+
+
+def test_packed_round_trip_single_and_parts(spark, tmp):
+    df = _points(spark)
+    one = os.path.join(tmp, "one.bin")
+    parts = os.path.join(tmp, "parts")
+    packed.write_packed(df, one)
+    packed.write_packed(df.repartition(4), parts, single_file=False)
+    assert len([f for f in os.listdir(parts) if f.endswith(".galbin")]) == 4
+    a = packed.read_packed(spark, one, records_per_partition=77)
+    b = packed.read_packed(spark, parts)
+    assert a.rdd.getNumPartitions() == 13
+    want = sorted((r.x, r.tracer) for r in df.collect())
+    assert sorted((r.x, r.tracer) for r in a.collect()) == want == sorted((r.x, r.tracer) for r in b.collect())
+    z = {r.x: r.z for r in a.collect()}
+    assert z[250.0] == pytest.approx(2.5, abs=1e-4)
+    # order is kept in the single file
+    assert [r.x for r in a.orderBy(F.monotonically_increasing_id()).collect()][:5] == [0.0, 1.0, 2.0, 3.0, 4.0]
+
+
+@pytest.mark.parametrize(
+    "header,body,msg",
+    [
+        ((0x12345678, 1, 0, 0), b"", "magic"),
+        ((0x44455349, 2, 0, 0), b"", "version"),
+        ((0x44455349, 1, 3, 0), b"\0" * 32, "truncated"),
+    ],
+)
+def test_packed_guards(spark, tmp, header, body, msg):
+    path = os.path.join(tmp, "bad.bin")
+    with open(path, "wb") as f:
+        f.write(struct.pack("<IIII", *header) + body)
+    with pytest.raises(Exception, match=msg):
+        packed.read_packed(spark, path).collect()
+
+
+def test_packed_empty(spark, tmp):
+    path = os.path.join(tmp, "empty.bin")
+    with open(path, "wb") as f:
+        f.write(struct.pack("<IIII", 0x44455349, 1, 0, 0))
+    assert packed.read_packed(spark, path).count() == 0
+
+
+def test_packed_range_checks(spark, tmp):
+    bad = spark.createDataFrame([(0.0, 0.0, 0.0, 300, 0.5)], "x float, y float, z_cart float, tracer short, z float")
+    with pytest.raises(Exception, match="tracer"):
+        packed.write_packed(bad, os.path.join(tmp, "t.bin"))
+
+
+def test_metadata_round_trip(spark, tmp):
+    df = _points(spark, 50)
+    doc = packed.metadata_document(df)
+    path = os.path.join(tmp, "metadata.json")
+    packed.write_metadata(doc, path)
+    text = open(path).read()
+    assert text.startswith("{\n  \"version\": 1,")
+    assert json.loads(text)["bounds"]["x"] == [0.0, 49.0]
+    m = packed.read_metadata(spark, path).first()
+    assert m.n_points == 50 and m.tracers["3"].name == "QSO" and m.tracers["0"].z_range == [0.01, 0.6]
+    assert m.cosmology.model == "FlatLambdaCDM" and m.bounds.z == [0.0, pytest.approx(49 / 3)]
+
+
+def _fits_cols(n, seed=0):
+    rng = np.random.default_rng(seed)
+    return {
+        "TARGETID": np.arange(n, dtype=np.int64),  # a column before RA
+        "RA": rng.uniform(0, 360, n),
+        "DEC": rng.uniform(-90, 90, n),
+        "Z": rng.uniform(0, 3, n),
+        "WEIGHT": rng.uniform(0, 2, n).astype(np.float32),
+    }
+
+
+def test_fits_one_and_many_partitions_agree(spark, tmp):
+    n = 500  # 36-byte rows: the table crosses several 2,880-byte blocks
+    cols = _fits_cols(n)
+    other = fits.bintable_bytes({"A": np.arange(5.0)}, extname="OTHER")
+    fits.write_fits_table(os.path.join(tmp, "LRG_N_clustering.dat.fits"), cols, before=[other])
+    one = cat.read_raw(spark, tmp)
+    many = cat.read_raw(spark, tmp, rows_per_partition=33)
+    assert one.rdd.getNumPartitions() == 1 and many.rdd.getNumPartitions() == 16
+    a = sorted(one.collect(), key=lambda r: r.row_index)
+    b = sorted(many.collect(), key=lambda r: r.row_index)
+    assert a == b and len(a) == n
+    assert [r.RA for r in a] == list(cols["RA"]) and [r.WEIGHT for r in a] == list(cols["WEIGHT"])
+    assert a[0].file_name == "LRG_N_clustering.dat.fits"
+
+
+def test_fits_scaled_and_unsigned_columns(tmp):
+    info_path = os.path.join(tmp, "t.fits")
+    fits.write_fits_table(info_path, {"V": np.array([1, 2, 3], dtype=np.int16)})
+    raw = bytearray(open(info_path, "rb").read())
+    # add TZERO1 = 32768 (unsigned 16-bit convention) by rewriting the EXTNAME card slot
+    text = raw.decode("latin1")
+    i = text.index("EXTNAME ", 2880)
+    card = "TZERO1  = " + f"{32768:>20}"
+    raw[i : i + 80] = card.ljust(80).encode()
+    j = text.index("END" + " " * 77, i)
+    raw[j : j + 80] = ("EXTNAME = 'LSS     '".ljust(80)).encode()
+    k = j + 80
+    raw[k : k + 80] = ("END".ljust(80)).encode()
+    open(info_path, "wb").write(bytes(raw))
+    info = fits.scan_table(info_path)
+    assert info.column("V").spark_type == "int"
+
+
+def test_fits_missing_extension(tmp):
+    path = os.path.join(tmp, "x.fits")
+    fits.write_fits_table(path, {"RA": np.arange(3.0)}, extname="OTHER")
+    with pytest.raises(ValueError, match="LSS"):
+        fits.scan_table(path)
+
+
+def test_discovery_and_manifest(spark, tmp):
+    for name in ["LRG_N_clustering.dat.fits", "QSO_S_clustering.dat.fits", "notes.txt"]:
+        open(os.path.join(tmp, name), "wb").write(b"x")
+    found = cat.discover_catalogs(spark, tmp)
+    assert [r.file_name for r in found.collect()] == ["LRG_N_clustering.dat.fits", "QSO_S_clustering.dat.fits"]
+    st = {r.file_name: r.present for r in cat.manifest_status(manifest_df(spark), found).collect()}
+    assert len(st) == 10 and st["LRG_N_clustering.dat.fits"] and not st["LRG_S_clustering.dat.fits"]
+    assert cat.missing_catalogs(manifest_df(spark), found).count() == 8
+    with pytest.raises(FileNotFoundError):
+        cat.discover_catalogs(spark, os.path.join(tmp, "nothing-here-*"))
+
+
+def test_read_catalog_requires_table(spark, tmp):
+    with pytest.raises(FileNotFoundError):
+        cat.read_catalog(spark, os.path.join(tmp, "absent"))
