@@ -11,15 +11,24 @@ order, retry or executor loss.
 Physical plan, for any size of catalogue and any skew between strata:
 
 1. statistics per stratum (partial aggregation; one row per stratum back to
-   the driver);
-2. an approximate key quantile per stratum (``percentile_approx``, again a
-   partial aggregation), chosen so that about 1.1 n rows fall below it;
-3. a narrow filter ``key <= cutoff`` keeps ~1.1 n rows per stratum, which
-   are persisted, counted, and ranked exactly with ``row_number``.
-
-No step sorts or shuffles the whole catalogue, and no task sees more than the
-~1.1 n survivors of a stratum (n is the requested sample size, not the data
-size).  Only the cutoff is approximate; the result is exact.
+   the driver): rows, positive weights, sum w and sum w^2 of the clipped
+   weights;
+2. a key cutoff per stratum, computed on the driver so that at least
+   T = n + 8 sqrt(n) + 20 rows are expected below it.  A row passes with
+   p = 1 - exp(-w c) (weighted) or p = c (uniform), and
+   sum(1 - exp(-w c)) >= c sum(w) - c^2 sum(w^2) / 2, so the smaller root of
+   that quadratic is a safe cutoff.  When the weights are too concentrated for
+   the bound, one extra pass evaluates the expectation on a doubling grid of
+   cutoffs.  The expected survivors are ~T, independent of the catalogue size;
+3. a narrow filter ``key <= cutoff`` keeps those rows, which are persisted,
+   counted (a stratum that fell short is redone without cutoff) and ranked
+   exactly: with ``row_number`` per stratum while n is at most
+   SINGLE_TASK_RANK_LIMIT, else by a range-partitioned global order whose
+   positions come from per-partition offsets.
+
+No step sorts or shuffles the whole catalogue, and no task ranks more than
+~2.2 M rows, whatever the sample size or the skew between strata.  Only the
+cutoff is probabilistic; the result is exact.
 """
 
 from __future__ import annotations
@@ -33,8 +42,12 @@ from pyspark.sql import functions as F
 from skycat.functions.hashing import identity, uniform
 from skycat.schema import SAMPLE_SEED
 
-ACCURACY = 10_000
-OVERSAMPLE = 1.1
+import math
+
+GRID_STEPS = 48  # doubling grid of cutoffs for concentrated weights
+# A stratum's survivors (~1.1 n rows) are ranked inside one task only while n
+# is at most this; beyond it the ranking is spread over range partitions.
+SINGLE_TASK_RANK_LIMIT = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -44,6 +57,14 @@ class StratumPlan:
     n: int
     weighted: bool
     cutoff: float | None = None
+    wsum: float = 0.0
+    wsum2: float = 0.0
+    n_pos: int = 0
+
+    @property
+    def want(self) -> float:
+        """Expected survivors to aim for: n plus eight standard deviations."""
+        return self.n + 8.0 * math.sqrt(self.n) + 20.0
 
 
 def _ident(id_cols) -> Column:
@@ -84,6 +105,7 @@ def plan_strata(df: DataFrame, targets: dict[int, int], stratum: str, weight: st
         .agg(
             F.count(F.lit(1)).alias("available"),
             F.sum(F.when(F.isnan(wc), F.lit(0.0)).otherwise(wc)).alias("wsum"),
+            F.sum(F.when(F.isnan(wc), F.lit(0.0)).otherwise(wc * wc)).alias("wsum2"),
             F.count_if(F.isnan(w)).alias("n_nan"),
             F.count_if(w == F.lit(float("inf"))).alias("n_inf"),
             F.count_if(wc > 0).alias("n_pos"),
@@ -105,10 +127,51 @@ def plan_strata(df: DataFrame, targets: dict[int, int], stratum: str, weight: st
             raise ValueError(
                 f"stratum {t}: only {r['n_pos']} positive weights for a sample of {n} without replacement"
             )
-        plans.append(StratumPlan(t, int(avail), n, weighted))
+        plans.append(
+            _with_cutoff(StratumPlan(t, int(avail), n, weighted, None, float(r["wsum"] or 0.0), float(r["wsum2"] or 0.0), int(r["n_pos"])))
+        )
     return plans
 
 
+def _with_cutoff(p: StratumPlan) -> StratumPlan:
+    """Analytic cutoff (None: keep every row of the stratum; nan: needs the grid)."""
+    from dataclasses import replace
+
+    rows = p.n_pos if p.weighted else p.available
+    if p.want >= rows:
+        return p
+    if not p.weighted:
+        return replace(p, cutoff=p.want / rows)
+    disc = p.wsum * p.wsum - 2.0 * p.wsum2 * p.want
+    if disc < 0:
+        return replace(p, cutoff=float("nan"))
+    return replace(p, cutoff=2.0 * p.want / (p.wsum + math.sqrt(disc)))
+
+
+def _grid_cutoffs(df: DataFrame, plans: list[StratumPlan], stratum: str, weight: str) -> list[StratumPlan]:
+    """For strata whose weights defeat the moment bound: evaluate
+    E(c) = sum(1 - exp(-w c)) on c = c0 * 2^j in one pass and take the first c
+    with E(c) >= want (E is concave, so E(2c) <= 2 E(c): at most ~2x survivors)."""
+    from dataclasses import replace
+
+    need = [p for p in plans if p.cutoff is not None and math.isnan(p.cutoff)]
+    if not need:
+        return plans
+    s = F.col(stratum)
+    base = {p.stratum: p.want / p.wsum for p in need}  # c0 <= the cutoff needed
+    wc = clipped_weight(weight)
+    c0 = _case(s, {t: F.lit(v) for t, v in base.items()})
+    aggs = [F.sum(F.lit(1.0) - F.exp(-(c0 * F.lit(float(2**j))) * wc)).alias(f"e{j}") for j in range(GRID_STEPS)]
+    rows = df.where(s.isin(list(base)) & (wc > 0)).groupBy(stratum).agg(*aggs).collect()
+    found = {}
+    for r in rows:
+        t = r[stratum]
+        want = next(p.want for p in need if p.stratum == t)
+        j = next((j for j in range(GRID_STEPS) if r[f"e{j}"] >= want), None)
+        found[t] = None if j is None else base[t] * 2**j
+    return [replace(p, cutoff=found.get(p.stratum)) if p in need else p for p in plans]
+
+
 def _keyed(df: DataFrame, plans: list[StratumPlan], stratum: str, weight: str | None, ident: Column, seed: int) -> DataFrame:
     u = uniform(f"{seed}:key", ident)
     weighted = [p.stratum for p in plans if p.weighted]
@@ -124,24 +187,6 @@ def _keyed(df: DataFrame, plans: list[StratumPlan], stratum: str, weight: str |
     return out.withColumns({"_key": key, "_ident": ident})
 
 
-def _cutoffs(keyed: DataFrame, plans: list[StratumPlan], stratum: str, accuracy: int) -> dict[int, float]:
-    """Step 2: per stratum a key below which ~OVERSAMPLE * n rows fall."""
-    need = [p for p in plans if p.n < p.available]
-    if not need:
-        return {}
-    fracs = {p.stratum: min(1.0, OVERSAMPLE * p.n / p.available + 3.0 / accuracy) for p in need}
-    order = [p.stratum for p in need]
-    pos = _case(F.col(stratum), {t: i + 1 for i, t in enumerate(order)})
-    q = (
-        keyed.where(F.col(stratum).isin(order))
-        .groupBy(stratum)
-        .agg(F.percentile_approx("_key", [fracs[t] for t in order], accuracy).alias("_q"), F.first(pos).alias("_pos"))
-        .select(stratum, F.element_at("_q", F.col("_pos")).alias("cutoff"))
-        .collect()
-    )
-    return {r[stratum]: r["cutoff"] for r in q if fracs[r[stratum]] < 1.0}
-
-
 def weighted_stratified_sample(
     df: DataFrame,
     targets: dict[int, int],
@@ -150,24 +195,36 @@ def weighted_stratified_sample(
     weight: str | None = "weight",
     stratum: str = "tracer",
     seed: int = SAMPLE_SEED,
-    accuracy: int = ACCURACY,
+    single_task_limit: int | None = None,
+    stats_out: list | None = None,
 ) -> DataFrame:
     """Per stratum min(target, available) rows, drawn without replacement
     with probability proportional to max(weight, 0).
 
+    Strata asking for at most ``single_task_limit`` rows (default
+    SINGLE_TASK_RANK_LIMIT) are ranked with one window per stratum; larger
+    requests with a distributed global ranking.  Both are exact.
+
     * strata with no rows, or absent from ``targets``, are left out;
     * a stratum whose weights sum to nothing (or hold a NaN) is sampled uniformly;
     * an infinite weight, or fewer positive weights than n, raises ValueError.
 
     The output has the input's columns; row identity (``id_cols``) must be
-    unique, since it decides the random key of each row.
+    unique, since it decides the random key of each row.  ``stats_out``, if
+    given, receives the per-stratum plans (rows available, n, mode).
     """
+    if single_task_limit is None:
+        single_task_limit = SINGLE_TASK_RANK_LIMIT
     ident = _ident(id_cols)
     plans = plan_strata(df, targets, stratum, weight)
+    if weight:
+        plans = _grid_cutoffs(df, plans, stratum, weight)
+    if stats_out is not None:
+        stats_out.extend(plans)
     if not plans:
         return df.where(F.lit(False))
     keyed = _keyed(df, plans, stratum, weight, ident, seed)
-    cut = _cutoffs(keyed, plans, stratum, accuracy)
+    cut = {p.stratum: p.cutoff for p in plans if p.cutoff is not None}
     s = F.col(stratum)
     survivors = keyed
     if cut:
@@ -177,9 +234,37 @@ def weighted_stratified_sample(
         short = [p.stratum for p in plans if p.stratum in cut and counts.get(p.stratum, 0) < p.n]
         if short:  # the sketch missed (not expected within its error bound): no cutoff there
             survivors = survivors.where(~s.isin(short)).unionByName(keyed.where(s.isin(short)))
+    small = [p for p in plans if p.n <= single_task_limit]
+    large = [p for p in plans if p.n > single_task_limit]
+    parts = []
+    if small:
+        parts.append(_top_n_window(survivors.where(s.isin([p.stratum for p in small])), small, stratum))
+    if large:
+        parts.append(_top_n_ranked(survivors.where(s.isin([p.stratum for p in large])), large, stratum))
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return out.drop("_key", "_ident")
+
+
+def _top_n_window(survivors: DataFrame, plans: list[StratumPlan], stratum: str) -> DataFrame:
+    """n smallest keys per stratum with ``row_number``: one shuffle; a stratum's
+    ~1.1 n survivors are ranked in one task (used while n is small)."""
+    s = F.col(stratum)
     limit = _case(s, {p.stratum: F.lit(p.n) for p in plans})
     rank = F.row_number().over(Window.partitionBy(stratum).orderBy("_key", "_ident"))
-    return survivors.withColumn("_rank", rank).where(F.col("_rank") <= limit).drop("_rank", "_key", "_ident")
+    return survivors.withColumn("_rank", rank).where(F.col("_rank") <= limit).drop("_rank")
+
+
+def _top_n_ranked(survivors: DataFrame, plans: list[StratumPlan], stratum: str) -> DataFrame:
+    """n smallest keys per stratum for any n: a range-partitioned global order
+    on (stratum, key, identity) numbered by per-partition offsets; a row's rank
+    in its stratum is its position minus the stratum's first position.  No
+    task holds more than one range partition."""
+    s = F.col(stratum)
+    ranked = with_position(survivors, [stratum, "_key", "_ident"], "_pos")
+    first = {r[stratum]: r["first"] for r in ranked.groupBy(stratum).agg(F.min("_pos").alias("first")).collect()}
+    rank = F.col("_pos") - _case(s, {t: F.lit(v) for t, v in first.items()})
+    limit = _case(s, {p.stratum: F.lit(p.n) for p in plans})
+    return ranked.where(rank < limit).drop("_pos")
 
 
 def cap_points(df: DataFrame, max_points: int, *, id_cols=("catalog", "row_index"), seed: int = SAMPLE_SEED) -> DataFrame:

@@ -1,5 +1,7 @@
 """W1-W5 properties and the numpy-compatible edge cases (FIXTURES §3)."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +133,48 @@ def test_split_by_tracer(spark):
     df = spark.createDataFrame([(t,) for t in [0, 0, 1, 3]], "tracer short")
     parts = sampling.split_by_tracer(df)
     assert sorted(parts) == [0, 1, 3] and parts[0].count() == 2
+
+
+def test_distributed_ranking_equals_window_ranking(spark):
+    rows = [(f"r{i}", i % 3, 0.25 + (i % 11)) for i in range(6000)]
+    df = _cat(spark, rows)
+    t = {0: 500, 1: 1999, 2: 40}
+    a = _ids(sampling.weighted_stratified_sample(df, t, id_cols="id"))
+    b = _ids(sampling.weighted_stratified_sample(df.repartition(9), t, id_cols="id", single_task_limit=0))
+    c = _ids(sampling.weighted_stratified_sample(df, t, id_cols="id", single_task_limit=100))  # mixed
+    assert a == b == c and len(a) == sum(t.values())
+
+
+def _oracle_ids(df, targets):
+    from pyspark.sql import Window
+
+    from skycat.functions.hashing import identity, uniform
+
+    key = -F.log(uniform("42:key", identity("id"))) / F.col("weight").cast("double")
+    lim = F.lit(None)
+    for t, n in targets.items():
+        lim = F.when(F.col("tracer") == t, n).otherwise(lim)
+    w = Window.partitionBy("tracer").orderBy(key, "id")
+    return _ids(df.where(F.col("weight") > 0).withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= lim))
+
+
+def test_concentrated_weights_use_grid_cutoff_and_stay_exact(spark):
+    rows = [(f"r{i}", 0, 1000.0 if i < 20 else 0.001) for i in range(3000)]
+    df = _cat(spark, rows)
+    plans = sampling.plan_strata(df, {0: 100}, "tracer", "weight")
+    assert math.isnan(plans[0].cutoff)
+    plans = sampling._grid_cutoffs(df, plans, "tracer", "weight")
+    assert plans[0].cutoff > 0
+    got = _ids(sampling.weighted_stratified_sample(df, {0: 100}, id_cols="id"))
+    assert got == _oracle_ids(df, {0: 100})
+    assert sum(1 for i in got if int(i[1:]) < 20) == 20  # the heavy rows are always drawn
+
+
+def test_survivors_do_not_grow_with_catalogue(spark):
+    small = sampling._with_cutoff(sampling.StratumPlan(0, 10_000, 1000, True, None, 10_000.0, 10_000.0, 10_000))
+    big = sampling._with_cutoff(sampling.StratumPlan(0, 10**11, 1000, True, None, 1e11, 1e11, 10**11))
+    # expected survivors sum(1 - exp(-w c)), here all w = 1: about n + 8 sqrt(n) + 20 for both
+    e_small = 10_000 * -math.expm1(-small.cutoff)
+    e_big = 1e11 * -math.expm1(-big.cutoff)
+    for e in (e_small, e_big):
+        assert small.want <= e < 1.05 * small.want
