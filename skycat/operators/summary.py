@@ -80,6 +80,14 @@ def sample_summary(available: DataFrame, sample: DataFrame) -> DataFrame:
     )
 
 
+def sample_summary_from_stats(spark, available: dict[int, int], sample: DataFrame) -> DataFrame:
+    """A3 when the per-tracer row counts are already known (W1 computes them):
+    only the sample is aggregated."""
+    a = spark.createDataFrame([(int(t), int(n)) for t, n in available.items()], "tracer short, available bigint")
+    s = tracer_counts(sample, "sampled")
+    return a.join(s, "tracer", "inner").select("tracer", tracer_name("tracer").alias("name"), "available", "sampled")
+
+
 def bounds(df: DataFrame) -> DataFrame:
     """A4: min and max of x, y, z_cart as doubles, one row."""
     aggs = []

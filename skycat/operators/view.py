@@ -238,6 +238,10 @@ def splat(df: DataFrame, viewport: Viewport = Viewport()) -> DataFrame:
     1 - smoothstep(0.3, 0.5, r), r the distance from the centre in units of s;
     pixels with r > 0.5 are discarded.  Footprints are clipped to the image,
     so no point produces more rows than the image has pixels.
+
+    One pass: every point gets its list of pixel columns and rows (one entry
+    each for a small point, the clipped footprint for a large one, empty when
+    nothing is inside the image) and is exploded once.
     """
     vp = viewport
     big = F.col("size_px") > F.lit(1.0)
@@ -246,21 +250,27 @@ def splat(df: DataFrame, viewport: Viewport = Viewport()) -> DataFrame:
     hi_x = F.least(F.floor(F.col("sx") + half - F.lit(0.5)), F.lit(vp.width - 1)).cast("int")
     lo_y = F.greatest(F.ceil(F.col("sy") - half - F.lit(0.5)), F.lit(0)).cast("int")
     hi_y = F.least(F.floor(F.col("sy") + half - F.lit(0.5)), F.lit(vp.height - 1)).cast("int")
-    small = df.where(~big & (F.col("px") >= 0) & (F.col("px") < vp.width) & (F.col("py") >= 0) & (F.col("py") < vp.height))
-    small = small.withColumn("coverage", F.lit(1.0))
-    large = (
-        df.where(big)
-        .withColumns({"_lx": lo_x, "_hx": hi_x, "_ly": lo_y, "_hy": hi_y})
-        .where((F.col("_lx") <= F.col("_hx")) & (F.col("_ly") <= F.col("_hy")))
-        .withColumn("px", F.explode(F.sequence("_lx", "_hx")))
-        .withColumn("py", F.explode(F.sequence("_ly", "_hy")))
-        .drop("_lx", "_hx", "_ly", "_hy")
+    none = F.array().cast("array<int>")
+
+    def cells(lo, hi, p, limit):
+        own = F.when((F.col(p) >= 0) & (F.col(p) < limit), F.array(F.col(p))).otherwise(none)
+        span = F.when(F.col(f"_l{p}") <= F.col(f"_h{p}"), F.sequence(F.col(f"_l{p}"), F.col(f"_h{p}"))).otherwise(none)
+        return F.when(big, span).otherwise(own)
+
+    out = (
+        df.withColumns({"_lpx": lo_x, "_hpx": hi_x, "_lpy": lo_y, "_hpy": hi_y})
+        .withColumns({"_xs": cells(lo_x, hi_x, "px", vp.width), "_ys": cells(lo_y, hi_y, "py", vp.height)})
+        .drop("_lpx", "_hpx", "_lpy", "_hpy")
+        .withColumn("px", F.explode("_xs"))
+        .withColumn("py", F.explode("_ys"))
+        .drop("_xs", "_ys")
     )
     dx = (F.col("px").cast("double") + F.lit(0.5) - F.col("sx")) / F.col("size_px")
     dy = (F.col("py").cast("double") + F.lit(0.5) - F.col("sy")) / F.col("size_px")
-    large = large.withColumn("_r", F.sqrt(dx * dx + dy * dy)).where(F.col("_r") <= F.lit(0.5))
-    large = large.withColumn("coverage", F.lit(1.0) - _smoothstep(SPLAT_EDGE_LO, SPLAT_EDGE_HI, F.col("_r"))).drop("_r")
-    return small.unionByName(large)
+    r = F.sqrt(dx * dx + dy * dy)
+    out = out.withColumn("_r", F.when(big, r)).where(~big | (F.col("_r") <= F.lit(0.5)))
+    cov = F.when(big, F.lit(1.0) - _smoothstep(SPLAT_EDGE_LO, SPLAT_EDGE_HI, F.col("_r"))).otherwise(F.lit(1.0))
+    return out.withColumn("coverage", cov).drop("_r")
 
 
 def splat_sql(src: str, viewport: Viewport = Viewport()) -> str:

@@ -41,14 +41,16 @@ def export_web(
     ensure_checkpoint_dir(spark)
     cols = ["x", "y", "z_cart", "z", "tracer", "weight"] + ([id_cols] if isinstance(id_cols, str) else list(id_cols))
     cat = catalog.select(*cols)
-    smp = sampling.weighted_stratified_sample(cat, targets or TARGET_PER_TRACER, id_cols=id_cols, seed=seed)
+    stats: list = []
+    smp = sampling.weighted_stratified_sample(cat, targets or TARGET_PER_TRACER, id_cols=id_cols, seed=seed, stats_out=stats)
     smp = smp.checkpoint(eager=True)
     shuffled = sampling.shuffle_points(smp, id_cols=id_cols, seed=seed)
     binary = f"{out_dir.rstrip('/')}/galaxies.bin" if single_file else f"{out_dir.rstrip('/')}/galaxies"
     packed.write_packed(shuffled, binary, single_file=single_file)
     doc = packed.metadata_document(smp)
     packed.write_metadata(doc, f"{out_dir.rstrip('/')}/metadata.json")
-    return ExportResult(binary, doc, summary.sample_summary(cat, smp))
+    avail = {p.stratum: p.available for p in stats}
+    return ExportResult(binary, doc, summary.sample_summary_from_stats(spark, avail, smp))
 
 
 def read_export(spark: SparkSession, out_dir: str):
