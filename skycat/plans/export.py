@@ -20,6 +20,10 @@ from skycat.schema import SAMPLE_SEED, TARGET_PER_TRACER
 from skycat.session import ensure_checkpoint_dir
 from skycat.sources import packed
 
+# One task writes the single-file export; above this many points the export
+# is written as a directory of part files instead (each task its own part).
+SINGLE_FILE_MAX_POINTS = 32 << 20  # 512 MiB of records
+
 
 @dataclass
 class ExportResult:
@@ -35,8 +39,11 @@ def export_web(
     targets: dict[int, int] | None = None,
     id_cols=("catalog", "row_index"),
     seed: int = SAMPLE_SEED,
-    single_file: bool = True,
+    single_file: bool | None = None,
 ) -> ExportResult:
+    """``single_file``: None decides by size (one file while the sample has at
+    most SINGLE_FILE_MAX_POINTS points); True insists on one file and raises
+    beyond the bound; False always writes parts."""
     spark = catalog.sparkSession
     ensure_checkpoint_dir(spark)
     cols = ["x", "y", "z_cart", "z", "tracer", "weight"] + ([id_cols] if isinstance(id_cols, str) else list(id_cols))
@@ -44,6 +51,11 @@ def export_web(
     stats: list = []
     smp = sampling.weighted_stratified_sample(cat, targets or TARGET_PER_TRACER, id_cols=id_cols, seed=seed, stats_out=stats)
     smp = smp.checkpoint(eager=True)
+    total = sum(p.n for p in stats)
+    if single_file is None:
+        single_file = total <= SINGLE_FILE_MAX_POINTS
+    elif single_file and total > SINGLE_FILE_MAX_POINTS:
+        raise ValueError(f"a {total}-point sample is too large for one file; use single_file=False")
     shuffled = sampling.shuffle_points(smp, id_cols=id_cols, seed=seed)
     binary = f"{out_dir.rstrip('/')}/galaxies.bin" if single_file else f"{out_dir.rstrip('/')}/galaxies"
     packed.write_packed(shuffled, binary, single_file=single_file)
@@ -55,6 +67,10 @@ def export_web(
 
 def read_export(spark: SparkSession, out_dir: str):
     """E3 input side: (points, metadata) of an export."""
-    pts = packed.read_packed(spark, f"{out_dir.rstrip('/')}/galaxies.bin")
+    from skycat.sources.tables import path_exists
+
+    base = out_dir.rstrip("/")
+    binary = f"{base}/galaxies.bin" if path_exists(spark, f"{base}/galaxies.bin") else f"{base}/galaxies"
+    pts = packed.read_packed(spark, binary)
     meta = packed.read_metadata(spark, f"{out_dir.rstrip('/')}/metadata.json")
     return pts, meta

@@ -349,6 +349,10 @@ def export_sample(spark: SparkSession, sf_dir: str) -> str:
     """E2 write side: shuffled sample -> one packed file + metadata, in the
     session's scratch folder.  Returns the folder."""
     out = scratch_path(spark, f"export-{sf_dir}")
+    from skycat.sources.tables import path_exists
+
+    if path_exists(spark, f"{out}/galaxies.bin") and path_exists(spark, f"{out}/metadata.json"):
+        return out  # deterministic output already written in this session
     smp = sampling.shuffle_points(sample(spark, sf_dir), id_cols="id")
     packed.write_packed(smp, f"{out}/galaxies.bin", single_file=True)
     packed.write_metadata(packed.metadata_document(smp), f"{out}/metadata.json")

@@ -95,3 +95,15 @@ def test_ingest_export_scene(spark, tmp):
     write_scene(sc, os.path.join(tmp, "scene"))
     dirs = sorted(d for d in os.listdir(os.path.join(tmp, "scene")) if d.startswith("tracer="))
     assert dirs == ["tracer=0", "tracer=1", "tracer=2", "tracer=3"]
+
+
+def test_export_as_parts(spark, tmp):
+    from skycat.plans.export import export_web, read_export
+    from skycat.plans.queries import processed
+
+    cat = processed(spark, SF_SMALL).withColumn("row_index", __import__("pyspark.sql.functions", fromlist=["x"]).monotonically_increasing_id())
+    cat = cat.checkpoint()
+    ex = export_web(cat, os.path.join(tmp, "web"), targets={0: 50, 1: 50}, id_cols="id", single_file=False)
+    assert ex.binary.endswith("/galaxies") and os.path.isdir(ex.binary)
+    pts, meta = read_export(spark, os.path.join(tmp, "web"))
+    assert pts.count() == 100 == meta.first().n_points
