@@ -478,3 +478,86 @@ def q_projected_points(spark, sf_dir):
 def q_density_image(spark, sf_dir):
     """E3 whole: visible -> colour -> project -> splat -> additive image."""
     return view.render(processed(spark, sf_dir), z_cutoff=VIEW_Z_CUTOFF, hidden=VIEW_HIDDEN)
+
+
+# ---------------------------------------------------------------------------
+# Manifest, union, split, counts
+# ---------------------------------------------------------------------------
+
+from skycat.schema import MANIFEST  # noqa: E402
+from skycat.functions.sqltext import slit  # noqa: E402
+
+_MANIFEST_SQL = "manifest AS (SELECT * FROM (VALUES " + ", ".join(f"({slit(m)})" for m in MANIFEST) + ") v(file_name))"
+
+
+@register(
+    "manifest_status",
+    with_ctes(
+        "SELECT file_name, file_name IN (SELECT DISTINCT file_name FROM raw) AS present FROM manifest",
+        RAW_CTE,
+        _MANIFEST_SQL,
+    ),
+)
+def q_manifest_status(spark, sf_dir):
+    """Each manifest entry, present or missing among the catalogue's files."""
+    from skycat.operators.dims import manifest_df
+    from skycat.sources.catalog import manifest_status
+
+    return manifest_status(manifest_df(spark), raw_catalog(spark, sf_dir).select("file_name"))
+
+
+@register("combined_catalogs", with_ctes("SELECT * FROM processed", PROCESSED_CTE))
+def q_combined_catalogs(spark, sf_dir):
+    """Per-catalogue tables (one per manifest entry) concatenated by name, no dedup."""
+    from skycat.functions.catalog import catalog_label
+    from skycat.operators.ingest import combine_catalogs
+
+    cat = processed(spark, sf_dir)
+    labels = [m.replace("_clustering.dat.fits", "") for m in MANIFEST]
+    return combine_catalogs(*[cat.where(F.col("catalog") == lab) for lab in labels])
+
+
+@register(
+    "tracer_subsets",
+    with_ctes(
+        "SELECT tracer, count(*) AS n_points, CAST(min(z) AS DOUBLE) AS z_min, CAST(max(z) AS DOUBLE) AS z_max "
+        "FROM processed GROUP BY tracer",
+        PROCESSED_CTE,
+    ),
+)
+def q_tracer_subsets(spark, sf_dir):
+    """One subset per present tracer (A5), each summarised."""
+    from functools import reduce
+
+    parts = sampling.split_by_tracer(processed(spark, sf_dir).select("tracer", "z"))
+    rows = [
+        sub.agg(
+            F.lit(t).cast("short").alias("tracer"),
+            F.count(F.lit(1)).alias("n_points"),
+            F.min("z").cast("double").alias("z_min"),
+            F.max("z").cast("double").alias("z_max"),
+        )
+        for t, sub in parts.items()
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@register("exported_point_count", with_ctes("SELECT count(*) AS n_galaxies FROM sample", *SAMPLE_CTES))
+def q_exported_point_count(spark, sf_dir):
+    """Points loaded from the packed file (equals the metadata's n_points)."""
+    return summary.catalog_total(packed.read_packed(spark, f"{export_sample(spark, sf_dir)}/galaxies.bin"))
+
+
+@register(
+    "processed_summary",
+    with_ctes(
+        f"""SELECT catalog, {tracer_name_sql('tracer')} AS tracer, count(*) AS n_galaxies,
+       {format_count_sql('count(*)')} AS galaxies, min(z) AS z_min, max(z) AS z_max,
+       {format_z_range_sql('min(z)', 'max(z)')} AS z_range
+FROM processed GROUP BY catalog, tracer""",
+        PROCESSED_CTE,
+    ),
+)
+def q_processed_summary(spark, sf_dir):
+    """A1 over the processed catalogue (as read back after E1's write)."""
+    return summary.catalog_summary_processed(processed(spark, sf_dir))

@@ -277,11 +277,11 @@ def _decode(rng: RowRange, buf: bytes, first_row: int, n: int) -> pa.RecordBatch
             arrays.append(pa.array(v.astype(np.float64) * (1.0 if scale is None else scale) + (zero or 0.0)))
         else:
             arrays.append(pa.array(v.astype(NUMPY_OF[kind])))
-    arrays.append(pa.array([rng.file_name] * n, pa.string()))
+    arrays.append(pa.repeat(pa.scalar(rng.file_name, pa.string()), n))
     arrays.append(pa.array(np.arange(first_row, first_row + n, dtype=np.int64)))
     names = rng.names + ["file_name", "row_index"]
     if rng.with_path:
-        arrays.append(pa.array([rng.path] * n, pa.string()))
+        arrays.append(pa.repeat(pa.scalar(rng.path, pa.string()), n))
         names.append("path")
     return pa.RecordBatch.from_arrays(arrays, names=names)
 

@@ -47,7 +47,7 @@ def duck():
     return con
 
 
-ORACLE_SF_TARGETED = {"weighted_sample", "sample_summary", "sample_bounds", "shuffled_sample", "capped_points", "scene_points", "exported_points", "export_metadata"}
+ORACLE_SF_TARGETED = {"exported_point_count", "weighted_sample", "sample_summary", "sample_bounds", "shuffled_sample", "capped_points", "scene_points", "exported_points", "export_metadata"}
 
 
 @pytest.mark.parametrize("name", sorted(__import__("__spark_entry__").oracle_sql()))
