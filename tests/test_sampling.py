@@ -178,3 +178,25 @@ def test_survivors_do_not_grow_with_catalogue(spark):
     e_big = 1e11 * -math.expm1(-big.cutoff)
     for e in (e_small, e_big):
         assert small.want <= e < 1.05 * small.want
+
+
+def test_inclusion_probabilities_match_successive_draws(spark):
+    """Keeping the 2 smallest -ln(u)/w of 4 items draws like numpy's choice
+    without replacement: P(i) = p_i + sum_j p_j p_i / (1 - p_j)."""
+    from pyspark.sql import Window
+
+    from skycat.functions.hashing import identity, uniform
+
+    w = [1.0, 2.0, 3.0, 4.0]
+    p = [x / sum(w) for x in w]
+    exact = [p[i] + sum(p[j] * p[i] / (1 - p[j]) for j in range(4) if j != i) for i in range(4)]
+    trials = 4000
+    df = spark.range(trials * 4).select(
+        (F.col("id") / 4).cast("long").alias("trial"), (F.col("id") % 4).cast("int").alias("item")
+    ).withColumn("w", F.element_at(F.array(*[F.lit(x) for x in w]), F.col("item") + 1))
+    key = -F.log(uniform("42:key", identity("trial", "item"))) / F.col("w")
+    top = df.withColumn("rk", F.row_number().over(Window.partitionBy("trial").orderBy(key))).where("rk <= 2")
+    freq = {r.item: r.n / trials for r in top.groupBy("item").agg(F.count("*").alias("n")).collect()}
+    for i in range(4):
+        sd = math.sqrt(exact[i] * (1 - exact[i]) / trials)
+        assert abs(freq[i] - exact[i]) < 4 * sd, (i, freq[i], exact[i])

@@ -155,3 +155,49 @@ def test_discovery_and_manifest(spark, tmp):
 def test_read_catalog_requires_table(spark, tmp):
     with pytest.raises(FileNotFoundError):
         cat.read_catalog(spark, os.path.join(tmp, "absent"))
+
+
+def _card(k, v):
+    return fits._card(k, v)
+
+
+def test_fits_all_scalar_formats(spark, tmp):
+    """L, B, I, J, K, E, D, fixed A, a bit column X and a skipped P column, TSCAL/TZERO."""
+    n = 3
+    dt = np.dtype([
+        ("L", "S1"), ("B", "u1"), ("I", ">i2"), ("J", ">i4"), ("K", ">i8"), ("E", ">f4"), ("D", ">f8"),
+        ("A", "S5"), ("X", "u1"), ("P", ">i4", (2,)), ("S", ">i2"),
+    ])
+    rows = np.zeros(n, dtype=dt)
+    rows["L"] = [b"T", b"F", b"T"]
+    rows["B"] = [0, 200, 255]
+    rows["I"] = [-5, 0, 7]
+    rows["J"] = [1, -2, 3]
+    rows["K"] = [10**12, -1, 0]
+    rows["E"] = [1.5, 2.5, -3.5]
+    rows["D"] = [0.1, 0.2, 0.3]
+    rows["A"] = [b"ab", b"cde  ", b"x"]
+    rows["S"] = [1, 2, 3]
+    forms = [("L", "1L"), ("B", "1B"), ("I", "1I"), ("J", "1J"), ("K", "1K"), ("E", "1E"), ("D", "1D"),
+             ("A", "5A"), ("X", "3X"), ("P", "1PE(4)"), ("S", "1I")]
+    cards = [_card("XTENSION", "BINTABLE"), _card("BITPIX", 8), _card("NAXIS", 2), _card("NAXIS1", dt.itemsize),
+             _card("NAXIS2", n), _card("PCOUNT", 0), _card("GCOUNT", 1), _card("TFIELDS", len(forms))]
+    for i, (name, form) in enumerate(forms, 1):
+        cards += [_card(f"TTYPE{i}", name), _card(f"TFORM{i}", form)]
+    cards += [_card("TSCAL11", 0.5), _card("TZERO11", 10.0), _card("EXTNAME", "LSS")]
+    body = rows.tobytes()
+    path = os.path.join(tmp, "QSO_N_clustering.dat.fits")
+    with open(path, "wb") as f:
+        f.write(fits.primary_hdu() + fits._header(cards) + body + b"\0" * ((-len(body)) % 2880))
+    fits.register(spark)
+    df = spark.read.format("fits_table").load(tmp)
+    types = dict(df.dtypes)
+    assert types["L"] == "boolean" and types["B"] == "smallint" and types["K"] == "bigint" and types["A"] == "string"
+    assert types["S"] == "double" and "X" not in types and "P" not in types
+    got = sorted(df.collect(), key=lambda r: r.row_index)
+    assert [r.L for r in got] == [True, False, True]
+    assert [r.B for r in got] == [0, 200, 255] and [r.K for r in got] == [10**12, -1, 0]
+    assert [r.A for r in got] == ["ab", "cde", "x"] and [r.S for r in got] == [10.5, 11.0, 11.5]
+    assert [r.E for r in got] == [1.5, 2.5, -3.5] and [r.D for r in got] == [0.1, 0.2, 0.3]
+    with pytest.raises(Exception, match="only scalar"):
+        spark.read.format("fits_table").option("columns", "P").load(tmp).collect()
