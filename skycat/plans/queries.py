@@ -444,6 +444,9 @@ def q_scene_points(spark, sf_dir):
 
     pts = processed(spark, sf_dir).select("id", "tracer", "x", "y", "z_cart")
     capped = sampling.cap_points(pts, scaled_cap(scale_factor(sf_dir)), id_cols="id")
+    # the capped set (at most the cap) is read once per tracer: checkpoint it
+    # instead of recomputing the selection for every subset
+    capped = capped.checkpoint(eager=True)
     parts = sampling.split_by_tracer(capped)
     from functools import reduce
 
