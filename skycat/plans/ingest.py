@@ -61,8 +61,8 @@ def summarize(written: DataFrame, files: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_galaxies"), F.min("z").alias("z_min"), F.max("z").alias("z_max")
     )
     names = files.select("file_name").distinct().withColumn("catalog", catalog_label("file_name"))
-    # one row per catalogue on both sides; the file list is small by nature
-    out = F.broadcast(names).join(agg, "catalog", "left").fillna(0, ["n_galaxies"])
+    # one row per catalogue on both sides; AQE picks a broadcast when they are small
+    out = names.join(agg, "catalog", "left").fillna(0, ["n_galaxies"])
     return out.select(
         "catalog",
         tracer_name(tracer_id("file_name")).alias("tracer"),

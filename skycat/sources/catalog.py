@@ -40,17 +40,18 @@ def discover_catalogs(spark: SparkSession, path: str, pattern: str = CATALOG_GLO
 def manifest_status(manifest: DataFrame, found: DataFrame) -> DataFrame:
     """Every manifest entry with ``present`` true/false.
 
-    The listing is small (one row per file) and the manifest fixed; present
-    entries are a left-semi join, missing ones a left-anti join.
+    Present entries are a left-semi join, missing ones a left-anti join.  The
+    found names come from the data (one row per file), so no broadcast is
+    forced: AQE broadcasts them at run time when they are measured small.
     """
     names = found.select("file_name").distinct()
-    present = manifest.join(F.broadcast(names), "file_name", "left_semi").withColumn("present", F.lit(True))
-    missing = manifest.join(F.broadcast(names), "file_name", "left_anti").withColumn("present", F.lit(False))
+    present = manifest.join(names, "file_name", "left_semi").withColumn("present", F.lit(True))
+    missing = manifest.join(names, "file_name", "left_anti").withColumn("present", F.lit(False))
     return present.unionByName(missing)
 
 
 def missing_catalogs(manifest: DataFrame, found: DataFrame) -> DataFrame:
-    return manifest.join(F.broadcast(found.select("file_name").distinct()), "file_name", "left_anti")
+    return manifest.join(found.select("file_name").distinct(), "file_name", "left_anti")
 
 
 def read_raw(
