@@ -512,11 +512,11 @@ def q_manifest_status(spark, sf_dir):
 @register("combined_catalogs", with_ctes("SELECT * FROM processed", PROCESSED_CTE))
 def q_combined_catalogs(spark, sf_dir):
     """Per-catalogue tables (one per manifest entry) concatenated by name, no dedup."""
-    from skycat.functions.catalog import catalog_label
     from skycat.operators.ingest import combine_catalogs
+    from skycat.schema import CATALOG_SUFFIX
 
     cat = processed(spark, sf_dir)
-    labels = [m.replace("_clustering.dat.fits", "") for m in MANIFEST]
+    labels = [m.replace(CATALOG_SUFFIX, "") for m in MANIFEST]
     return combine_catalogs(*[cat.where(F.col("catalog") == lab) for lab in labels])
 
 
