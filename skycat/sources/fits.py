@@ -5,6 +5,7 @@
         .option("columns", "RA,DEC,Z,WEIGHT")     # default: every scalar column
         .option("pattern", "*_clustering.dat.fits")  # when path is a directory
         .option("rowsPerPartition", 1_000_000)    # default: ~128 MiB of rows
+        .option("batchBytes", 32 << 20)           # bytes per read / Arrow batch
         .load(path)
 
 A BINTABLE extension stores rows of a fixed width (``NAXIS1`` bytes), so any
@@ -39,7 +40,8 @@ from skycat.schema import CATALOG_GLOB, FITS_EXTENSION
 BLOCK = 2880
 CARD = 80
 TARGET_PARTITION_BYTES = 128 << 20
-BATCH_ROWS = 1 << 20
+BATCH_BYTES = 32 << 20  # one read (and one Arrow batch) per 32 MiB of rows
+HEADER_THREADS = 32
 
 # type code -> (bytes per element, numpy big-endian dtype, Spark type)
 FORMATS = {
@@ -301,12 +303,18 @@ class FitsTableReader(DataSourceReader):
         self.pattern = options.get("pattern", CATALOG_GLOB)
         self.rows_per_part = options.get("rowsPerPartition")
         self.with_path = options.get("includePath", "false").lower() == "true"
+        self.batch_bytes = int(options.get("batchBytes", BATCH_BYTES))
         self.columns = columns
 
     def partitions(self):
+        from concurrent.futures import ThreadPoolExecutor
+
+        files = list_files(self.path, self.pattern)
+        # header reads are latency-bound on a network file system: overlap them
+        with ThreadPoolExecutor(max_workers=max(1, min(HEADER_THREADS, len(files)))) as pool:
+            infos = list(pool.map(lambda f: scan_table(f, self.extname), files))
         parts = []
-        for p in list_files(self.path, self.pattern):
-            info = scan_table(p, self.extname)
+        for p, info in zip(files, infos):
             cols = [info.column(c.name) for c in self.columns]
             for c, want in zip(cols, self.columns):
                 if c.spark_type != want.spark_type:
@@ -327,8 +335,9 @@ class FitsTableReader(DataSourceReader):
         with open(rng.path, "rb") as f:
             f.seek(rng.data_start + rng.start * rng.row_bytes)
             done = 0
+            per_batch = max(1, self.batch_bytes // rng.row_bytes)
             while done < rng.count:
-                n = min(BATCH_ROWS, rng.count - done)
+                n = min(per_batch, rng.count - done)
                 buf = f.read(n * rng.row_bytes)
                 if len(buf) != n * rng.row_bytes:
                     raise ValueError(f"{rng.path}: truncated table data at row {rng.start + done}")

@@ -201,3 +201,12 @@ def test_fits_all_scalar_formats(spark, tmp):
     assert [r.E for r in got] == [1.5, 2.5, -3.5] and [r.D for r in got] == [0.1, 0.2, 0.3]
     with pytest.raises(Exception, match="only scalar"):
         spark.read.format("fits_table").option("columns", "P").load(tmp).collect()
+
+
+def test_fits_small_batches(spark, tmp):
+    cols = _fits_cols(1000, seed=5)
+    fits.write_fits_table(os.path.join(tmp, "ELG_LOPnotqso_S_clustering.dat.fits"), cols)
+    fits.register(spark)
+    df = spark.read.format("fits_table").option("columns", "RA,Z").option("batchBytes", "1000").load(tmp)
+    got = sorted(df.collect(), key=lambda r: r.row_index)
+    assert [r.row_index for r in got] == list(range(1000)) and [r.Z for r in got] == list(cols["Z"])
