@@ -107,9 +107,14 @@ class GalbinReader(DataSourceReader):
         self.per_part = int(options.get("recordsPerPartition", DEFAULT_RECORDS_PER_PARTITION))
 
     def partitions(self):
+        from concurrent.futures import ThreadPoolExecutor
+
+        files = list_files(self.path)
+        # validate every part's header; overlap the reads (network file systems)
+        with ThreadPoolExecutor(max_workers=max(1, min(32, len(files)))) as pool:
+            counts = list(pool.map(read_header, files))
         parts = []
-        for f in list_files(self.path):
-            n = read_header(f)
+        for f, n in zip(files, counts):
             for start in range(0, n, self.per_part):
                 parts.append(RecordRange(f, start, min(self.per_part, n - start)))
         return parts or [RecordRange("", 0, 0)]
