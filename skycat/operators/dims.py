@@ -46,17 +46,35 @@ def with_tracer_dim(df: DataFrame, dim: DataFrame, cols=("name", "color", "rgb")
     return df.join(F.broadcast(dim.select("tracer", *cols)), "tracer", "left")
 
 
+def tracer_rgb(tracer) -> Column:
+    """Tracer -> RGB array<float>; unknown tracers are white."""
+    t = F.col(tracer) if isinstance(tracer, str) else tracer
+
+    def rgb(values):
+        return F.array(*[F.lit(float(v)).cast("float") for v in values])
+
+    expr = None
+    for tid, _name, _color, values, *_ in TRACERS:
+        expr = F.when(t == tid, rgb(values)) if expr is None else expr.when(t == tid, rgb(values))
+    return expr.otherwise(rgb(UNKNOWN_RGB))
+
+
 def color_points(df: DataFrame, dim: DataFrame | None = None) -> DataFrame:
-    """Tracer -> RGB (unknown -> white), default size 1.5 and alpha 0.7."""
+    """Tracer -> RGB (unknown -> white), default size 1.5 and alpha 0.7.
+
+    The fixed four-entry palette is an inline lookup (same codegen stage, no
+    broadcast job); pass ``dim`` to colour from another dimension table
+    instead (broadcast left join, J1).
+    """
     from skycat.schema import DEFAULT_OPACITY, DEFAULT_POINT_SIZE
 
     if dim is None:
-        dim = tracer_dim(df.sparkSession)
-    white = F.array(*[F.lit(v).cast("float") for v in UNKNOWN_RGB])
-    out = with_tracer_dim(df, dim, cols=("rgb",))
+        out = df.withColumn("rgb", tracer_rgb("tracer"))
+    else:
+        white = F.array(*[F.lit(v).cast("float") for v in UNKNOWN_RGB])
+        out = with_tracer_dim(df, dim, cols=("rgb",)).withColumn("rgb", F.coalesce(F.col("rgb"), white))
     return out.withColumns(
         {
-            "rgb": F.coalesce(F.col("rgb"), white),
             "size": F.lit(DEFAULT_POINT_SIZE).cast("float"),
             "alpha": F.lit(DEFAULT_OPACITY).cast("float"),
         }

@@ -289,10 +289,11 @@ _RGB_SQL = "CASE tracer " + " ".join(
 )
 def q_colored_points(spark, sf_dir):
     """J1 + P2 + P13: tracer name and colour by broadcast dimension lookup."""
-    from skycat.operators.dims import color_points, tracer_name
+    from skycat.operators.dims import color_points, tracer_dim, tracer_name
 
     pts = processed(spark, sf_dir).select("id", "tracer", "x", "y", "z_cart")
-    out = color_points(pts).withColumn("name", tracer_name("tracer"))
+    # colour through the dimension table (J1's broadcast left join, 4 rows)
+    out = color_points(pts, tracer_dim(spark)).withColumn("name", tracer_name("tracer"))
     return out.select(
         "id", "tracer", "x", "y", "z_cart", "name",
         F.col("rgb")[0].alias("r"), F.col("rgb")[1].alias("g"), F.col("rgb")[2].alias("b"),

@@ -127,3 +127,10 @@ def test_splat_footprint_of_a_near_point(spark):
     assert 20 <= len(sp) <= 36
     assert max(r.coverage for r in sp) == pytest.approx(1.0)
     assert all(0 < r.coverage <= 1 for r in sp)
+
+
+def test_color_points_via_dimension_join_matches_inline(spark):
+    df = spark.createDataFrame([(t,) for t in (0, 1, 2, 3, 9)], "tracer short")
+    inline = sorted((r.tracer, tuple(r.rgb)) for r in color_points(df).collect())
+    joined = sorted((r.tracer, tuple(r.rgb)) for r in color_points(df, tracer_dim(spark)).collect())
+    assert inline == joined and inline[-1] == (9, (1.0, 1.0, 1.0))

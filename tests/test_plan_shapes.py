@@ -45,7 +45,7 @@ def test_ingest_has_no_shuffle(spark, tmp):
 def test_density_image_is_partial_then_final_aggregate(spark, catalog_path):
     plan = _plan(view.render(spark.read.parquet(catalog_path)))
     assert plan.count("HashAggregate") == 2 and "Exchange hashpartitioning(px" in plan
-    assert "BroadcastExchange" in plan  # only the 4-row tracer dimension
+    assert "Join" not in plan and "BroadcastExchange" not in plan  # palette is an inline lookup
 
 
 def test_sampling_never_sorts_the_catalogue(spark, catalog_path):
