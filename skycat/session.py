@@ -35,12 +35,18 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint directory (``spark.checkpoint.dir``).
 
-    On a cluster this names a shared, reliable folder and is used as is.  Only
-    when it is unset (local tests) do we set one of our own.
+    On a cluster this names a shared, reliable folder and is used as is; a
+    cluster session without one is refused.  Only a local session (tests)
+    without one gets a folder of our own.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError(
+                "set spark.checkpoint.dir to a shared, reliable folder: checkpoints and "
+                "derived tables must survive the loss of any one machine"
+            )
         d = tempfile.mkdtemp(prefix="skycat-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
