@@ -6,6 +6,7 @@
         .option("pattern", "*_clustering.dat.fits")  # when path is a directory
         .option("rowsPerPartition", 1_000_000)    # default: ~128 MiB of rows
         .option("batchBytes", 32 << 20)           # bytes per read / Arrow batch
+        .option("paths", json.dumps([...]))       # or: an explicit list of files
         .load(path)
 
 A BINTABLE extension stores rows of a fixed width (``NAXIS1`` bytes), so any
@@ -231,6 +232,15 @@ def list_files(path: str, pattern: str = CATALOG_GLOB) -> list[str]:
     return sorted(glob.glob(path)) or [path]
 
 
+def _files_of(options) -> list[str]:
+    """``paths`` (a JSON list of files) when given, else ``path`` (file, glob or folder)."""
+    import json
+
+    if options.get("paths"):
+        return sorted(p[len("file:"):] if p.startswith("file:") else p for p in json.loads(options["paths"]))
+    return list_files(options.get("path"), options.get("pattern", CATALOG_GLOB))
+
+
 def _requested(info: TableInfo, columns: str | None) -> list[Column]:
     if columns:
         cols = [info.column(c.strip()) for c in columns.split(",") if c.strip()]
@@ -298,6 +308,7 @@ def _kind(c: Column) -> str:
 
 class FitsTableReader(DataSourceReader):
     def __init__(self, options, columns: list[Column]):
+        self.options = options
         self.path = options.get("path")
         self.extname = options.get("extname", FITS_EXTENSION)
         self.pattern = options.get("pattern", CATALOG_GLOB)
@@ -309,7 +320,7 @@ class FitsTableReader(DataSourceReader):
     def partitions(self):
         from concurrent.futures import ThreadPoolExecutor
 
-        files = list_files(self.path, self.pattern)
+        files = _files_of(self.options)
         # header reads are latency-bound on a network file system: overlap them
         with ThreadPoolExecutor(max_workers=max(1, min(HEADER_THREADS, len(files)))) as pool:
             infos = list(pool.map(lambda f: scan_table(f, self.extname), files))
@@ -351,7 +362,7 @@ class FitsTableDataSource(DataSource):
         return "fits_table"
 
     def _columns(self) -> list[Column]:
-        files = list_files(self.options.get("path"), self.options.get("pattern", CATALOG_GLOB))
+        files = _files_of(self.options)
         if not files or not os.path.exists(files[0]):
             raise FileNotFoundError(f"no FITS files at {self.options.get('path')}")
         info = scan_table(files[0], self.options.get("extname", FITS_EXTENSION))

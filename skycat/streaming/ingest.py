@@ -29,26 +29,22 @@ FILES_SCHEMA = "path string, modificationTime timestamp, length bigint, content
 
 def _process_batch(out_path: str, extname: str):
     def run(files: DataFrame, batch_id: int) -> None:
+        import json
+
         spark = files.sparkSession
-        # the new file names of this micro-batch (a short list, not data)
+        # the new file names of this micro-batch (at most maxFilesPerTrigger names)
         paths = [r.path for r in files.select("path").collect()]
         if not paths:
             return
         fits.register(spark)
-        frames = []
-        for p in paths:
-            local = p[len("file:"):] if p.startswith("file:") else p
-            raw = (
-                spark.read.format("fits_table")
-                .option("extname", extname)
-                .option("columns", "RA,DEC,Z,WEIGHT")
-                .option("includePath", "true")
-                .load(local)
-            )
-            frames.append(raw)
-        raw = frames[0]
-        for f in frames[1:]:
-            raw = raw.unionByName(f)
+        raw = (
+            spark.read.format("fits_table")
+            .option("extname", extname)
+            .option("columns", "RA,DEC,Z,WEIGHT")
+            .option("includePath", "true")
+            .option("paths", json.dumps(paths))
+            .load()
+        )
         raw = raw.select(
             F.col("RA").cast("double"), F.col("DEC").cast("double"), F.col("Z").cast("double"),
             F.col("WEIGHT").cast("float"), "file_name", "row_index", "path",
@@ -73,7 +69,7 @@ def ingest_stream(
     pattern: str = CATALOG_GLOB,
     extname: str = FITS_EXTENSION,
     available_now: bool = False,
-    max_files_per_trigger: int | None = None,
+    max_files_per_trigger: int = 1000,
 ) -> StreamingQuery:
     """Start the incremental ingest; ``available_now`` processes what is there and stops."""
     reader = (
