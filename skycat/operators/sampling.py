@@ -223,16 +223,22 @@ def weighted_stratified_sample(
         stats_out.extend(plans)
     if not plans:
         return df.where(F.lit(False))
+    s = F.col(stratum)
+    # a stratum asking for all its rows keeps them all: no keys, no ranking
+    whole = [p.stratum for p in plans if p.n >= p.available]
+    kept = df.where(s.isin(whole)) if whole else None
+    plans = [p for p in plans if p.n < p.available]
+    if not plans:
+        return kept
     keyed = _keyed(df, plans, stratum, weight, ident, seed)
     cut = {p.stratum: p.cutoff for p in plans if p.cutoff is not None}
-    s = F.col(stratum)
     survivors = keyed
     if cut:
         survivors = keyed.where(~s.isin(list(cut)) | (F.col("_key") <= _case(s, {t: F.lit(c) for t, c in cut.items()})))
         survivors = survivors.persist(StorageLevel.MEMORY_AND_DISK)
         counts = {r[stratum]: r["n"] for r in survivors.groupBy(stratum).agg(F.count(F.lit(1)).alias("n")).collect()}
         short = [p.stratum for p in plans if p.stratum in cut and counts.get(p.stratum, 0) < p.n]
-        if short:  # the sketch missed (not expected within its error bound): no cutoff there
+        if short:  # fell short of n (about 1e-15 likely): redo those strata without cutoff
             survivors = survivors.where(~s.isin(short)).unionByName(keyed.where(s.isin(short)))
     small = [p for p in plans if p.n <= single_task_limit]
     large = [p for p in plans if p.n > single_task_limit]
@@ -242,7 +248,8 @@ def weighted_stratified_sample(
     if large:
         parts.append(_top_n_ranked(survivors.where(s.isin([p.stratum for p in large])), large, stratum))
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return out.drop("_key", "_ident")
+    out = out.drop("_key", "_ident")
+    return out if kept is None else kept.unionByName(out)
 
 
 def _top_n_window(survivors: DataFrame, plans: list[StratumPlan], stratum: str) -> DataFrame:
