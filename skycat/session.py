@@ -8,7 +8,9 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
-def local_session(cpus: int | str = "*", shuffle_partitions: int | None = None, app: str = "skycat") -> SparkSession:
+def local_session(
+    cpus: int | str = "*", shuffle_partitions: int | None = None, app: str = "skycat", conf: dict | None = None
+) -> SparkSession:
     """A local session for tests and the bench.  On a cluster use the cluster's own."""
     n = str(cpus)
     parts = shuffle_partitions or (8 if n == "*" else max(1, int(n)))
@@ -26,6 +28,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int | None = None,
         .config("spark.driver.memory", os.environ.get("SKYCAT_DRIVER_MEMORY", "16g"))
         .config("spark.sql.optimizer.windowGroupLimitThreshold", "1000000000")
     )
+    for k, v in (conf or {}).items():
+        builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
