@@ -72,6 +72,7 @@ def read_raw(
         .option("pattern", pattern)
         .option("columns", "RA,DEC,Z,WEIGHT")
         .option("includePath", str(include_path).lower())
+        .option("minPartitions", str(spark.sparkContext.defaultParallelism))
     )
     if rows_per_partition:
         r = r.option("rowsPerPartition", str(rows_per_partition))

@@ -6,13 +6,16 @@
         .option("pattern", "*_clustering.dat.fits")  # when path is a directory
         .option("rowsPerPartition", 1_000_000)    # default: ~128 MiB of rows
         .option("batchBytes", 32 << 20)           # bytes per read / Arrow batch
+        .option("minPartitions", 8)               # split small inputs over at least this many tasks
         .option("paths", json.dumps([...]))       # or: an explicit list of files
         .load(path)
 
 A BINTABLE extension stores rows of a fixed width (``NAXIS1`` bytes), so any
 row range is one seek and one read.  The driver parses the headers (a few
-2,880-byte blocks per file) and plans one partition per row range; every task
-decodes its range with one big-endian numpy structured view and hands Arrow
+2,880-byte blocks per file) and plans the partitions the way Spark's file
+sources do: large files are split into row ranges of at most the split size,
+small files are packed together (each counting an open cost); every task
+decodes its ranges with big-endian numpy structured views and hands Arrow
 batches to Spark.  Besides the requested columns each row carries
 ``file_name`` (the file's base name) and ``row_index`` (its 0-based row in the
 file), which together identify it.
@@ -41,6 +44,7 @@ from skycat.schema import CATALOG_GLOB, FITS_EXTENSION
 BLOCK = 2880
 CARD = 80
 TARGET_PARTITION_BYTES = 128 << 20
+OPEN_COST_BYTES = 4 << 20  # a file costs as much as this many bytes to open (as in Spark's file sources)
 BATCH_BYTES = 32 << 20  # one read (and one Arrow batch) per 32 MiB of rows
 HEADER_THREADS = 32
 
@@ -253,7 +257,7 @@ def _requested(info: TableInfo, columns: str | None) -> list[Column]:
 
 
 @dataclass
-class RowRange(InputPartition):
+class RowRange:
     path: str
     file_name: str
     data_start: int
@@ -269,6 +273,13 @@ class RowRange(InputPartition):
     with_path: bool = False
 
 
+@dataclass
+class RangeGroup(InputPartition):
+    """One task's work: consecutive row ranges (of one or several small files)."""
+
+    ranges: list
+
+
 NUMPY_OF = {"short": np.int16, "int": np.int32, "bigint": np.int64, "float": np.float32, "double": np.float64}
 
 
@@ -315,6 +326,7 @@ class FitsTableReader(DataSourceReader):
         self.rows_per_part = options.get("rowsPerPartition")
         self.with_path = options.get("includePath", "false").lower() == "true"
         self.batch_bytes = int(options.get("batchBytes", BATCH_BYTES))
+        self.min_partitions = int(options.get("minPartitions", 1))
         self.columns = columns
 
     def partitions(self):
@@ -324,36 +336,54 @@ class FitsTableReader(DataSourceReader):
         # header reads are latency-bound on a network file system: overlap them
         with ThreadPoolExecutor(max_workers=max(1, min(HEADER_THREADS, len(files)))) as pool:
             infos = list(pool.map(lambda f: scan_table(f, self.extname), files))
-        parts = []
+        # split size as Spark's file sources choose it: at most 128 MiB, at least
+        # one open cost, and small enough to give every core a partition
+        total = sum(i.row_bytes * i.n_rows + OPEN_COST_BYTES for i in infos)
+        split = min(TARGET_PARTITION_BYTES, max(OPEN_COST_BYTES, total // max(1, self.min_partitions)))
+        ranges = []
         for p, info in zip(files, infos):
             cols = [info.column(c.name) for c in self.columns]
             for c, want in zip(cols, self.columns):
                 if c.spark_type != want.spark_type:
                     raise ValueError(f"{p}: column {c.name} is {c.spark_type}, the first file has {want.spark_type}")
-            per = int(self.rows_per_part) if self.rows_per_part else max(1, TARGET_PARTITION_BYTES // max(1, info.row_bytes))
+            per = int(self.rows_per_part) if self.rows_per_part else max(1, split // max(1, info.row_bytes))
             kinds = [_kind(c) for c in cols]
             for start in range(0, info.n_rows, per):
-                parts.append(
+                ranges.append(
                     RowRange(
                         p, os.path.basename(p), info.data_start, info.row_bytes, start, min(per, info.n_rows - start),
                         [c.name for c in cols], [c.offset for c in cols], [c.numpy_dtype() for c in cols],
                         [c.scale for c in cols], [c.zero for c in cols], kinds, self.with_path,
                     )
                 )
-        return parts
-
-    def read(self, rng: RowRange):
-        with open(rng.path, "rb") as f:
-            f.seek(rng.data_start + rng.start * rng.row_bytes)
-            done = 0
-            per_batch = max(1, self.batch_bytes // rng.row_bytes)
-            while done < rng.count:
-                n = min(per_batch, rng.count - done)
-                buf = f.read(n * rng.row_bytes)
-                if len(buf) != n * rng.row_bytes:
-                    raise ValueError(f"{rng.path}: truncated table data at row {rng.start + done}")
-                yield _decode(rng, buf, rng.start + done, n)
-                done += n
+        if self.rows_per_part:  # an explicit split: one partition per range
+            return [RangeGroup([r]) for r in ranges]
+        # pack small files (ranges) together up to the split size
+        groups, current, size = [], [], 0
+        for r in ranges:
+            cost = r.count * r.row_bytes + OPEN_COST_BYTES
+            if current and size + cost > split:
+                groups.append(RangeGroup(current))
+                current, size = [], 0
+            current.append(r)
+            size += cost
+        if current:
+            groups.append(RangeGroup(current))
+        return groups
+
+    def read(self, group: RangeGroup):
+        for rng in group.ranges:
+            with open(rng.path, "rb") as f:
+                f.seek(rng.data_start + rng.start * rng.row_bytes)
+                done = 0
+                per_batch = max(1, self.batch_bytes // rng.row_bytes)
+                while done < rng.count:
+                    n = min(per_batch, rng.count - done)
+                    buf = f.read(n * rng.row_bytes)
+                    if len(buf) != n * rng.row_bytes:
+                        raise ValueError(f"{rng.path}: truncated table data at row {rng.start + done}")
+                    yield _decode(rng, buf, rng.start + done, n)
+                    done += n
 
 
 class FitsTableDataSource(DataSource):

@@ -43,6 +43,7 @@ def _process_batch(out_path: str, extname: str):
             .option("columns", "RA,DEC,Z,WEIGHT")
             .option("includePath", "true")
             .option("paths", json.dumps(paths))
+            .option("minPartitions", str(spark.sparkContext.defaultParallelism))
             .load()
         )
         raw = raw.select(

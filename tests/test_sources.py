@@ -210,3 +210,12 @@ def test_fits_small_batches(spark, tmp):
     df = spark.read.format("fits_table").option("columns", "RA,Z").option("batchBytes", "1000").load(tmp)
     got = sorted(df.collect(), key=lambda r: r.row_index)
     assert [r.row_index for r in got] == list(range(1000)) and [r.Z for r in got] == list(cols["Z"])
+
+
+def test_fits_small_files_are_packed(spark, tmp):
+    for i in range(40):
+        fits.write_fits_table(os.path.join(tmp, f"part-{i:02d}", "LRG_S_clustering.dat.fits"), _fits_cols(50, seed=i))
+    df = cat.read_raw(spark, tmp, include_path=True)
+    n = df.rdd.getNumPartitions()
+    assert 1 < n <= spark.sparkContext.defaultParallelism + 1
+    assert df.count() == 2000 and df.select("path", "row_index").distinct().count() == 2000
