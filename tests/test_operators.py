@@ -134,3 +134,18 @@ def test_color_points_via_dimension_join_matches_inline(spark):
     inline = sorted((r.tracer, tuple(r.rgb)) for r in color_points(df).collect())
     joined = sorted((r.tracer, tuple(r.rgb)) for r in color_points(df, tracer_dim(spark)).collect())
     assert inline == joined and inline[-1] == (9, (1.0, 1.0, 1.0))
+
+
+def test_density_image_total_equals_visible_points(spark):
+    from skycat.plans.queries import processed
+
+    cat = processed(spark, "/root/testdata/sf0.001")
+    cam = view.orbit_camera(radius=20_000.0)  # far: every footprint is one pixel
+    vp = view.Viewport(width=640, height=360)
+    img = view.render(cat, cam, vp, z_cutoff=1.2, hidden={3})
+    vis = view.visible_points(cat, z_cutoff=1.2, hidden={3})
+    proj = view.project_points(vis, cam, vp).where("px >= 0 AND px < 640 AND py >= 0 AND py < 360")
+    assert proj.where("size_px > 1").count() == 0
+    total = img.agg(F.sum("n_points")).first()[0]
+    assert total == proj.count() > 0
+    assert img.where("r > 1 OR g > 1 OR b > 1").count() == 0  # clamped
