@@ -186,15 +186,16 @@ def project_points(
             "size_px": F.lit(float(point_size) * POINT_SIZE_SCALE) / F.col("depth"),
         }
     )
-    out = out.withColumns({"px": F.floor("sx").cast("int"), "py": F.floor("sy").cast("int")}).drop("_vx", "_vy")
-    # the footprint may still reach into the image from outside; keep a point if any of it can
+    # the footprint may still reach into the image from outside; keep a point if
+    # any of it can.  Filtering first bounds sx, sy before the integer casts.
     reach = F.col("size_px") / F.lit(2.0)
-    return out.where(
+    out = out.where(
         (F.col("sx") + reach >= F.lit(0.0))
         & (F.col("sx") - reach < F.lit(float(vp.width)))
         & (F.col("sy") + reach >= F.lit(0.0))
         & (F.col("sy") - reach < F.lit(float(vp.height)))
     )
+    return out.withColumns({"px": F.floor("sx").cast("int"), "py": F.floor("sy").cast("int")}).drop("_vx", "_vy")
 
 
 def project_points_sql(src: str, camera: Camera | None = None, viewport: Viewport = Viewport(), point_size: float = DEFAULT_POINT_SIZE) -> str:
