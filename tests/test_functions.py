@@ -100,3 +100,20 @@ def test_uniform_is_deterministic_and_in_range(spark):
     assert sorted(u1) == sorted(u2)
     assert abs(np.mean(u1) - 0.5) < 0.03
     assert not math.isclose(u1[0], u1[1])
+
+
+def test_properties_over_random_rows(spark):
+    """|(x, y, z_cart)| equals the distance; decode(encode(z)) is within one quantum."""
+    rng = np.random.default_rng(11)
+    n = 20000
+    rows = list(zip(rng.uniform(0, 360, n).tolist(), rng.uniform(-90, 90, n).tolist(), rng.uniform(0.0011, 4.99, n).tolist()))
+    df = spark.createDataFrame(rows, "ra double, dec double, z double").withColumn("d", comoving_distance("z"))
+    x, y, zc = sky_to_cartesian("ra", "dec", "d")
+    out = df.select(
+        (F.sqrt(x * x + y * y + zc * zc) / F.col("d") - 1).alias("rel"),
+        (decode_z(encode_z("z")) - F.col("z").cast("float")).alias("dz"),
+        encode_z("z").alias("q"),
+    ).toPandas()
+    assert out.rel.abs().max() < 1e-12
+    sat = out.q == 65535
+    assert (out.dz[~sat] <= 1e-6).all() and (out.dz[~sat] > -1.0001e-4).all()
