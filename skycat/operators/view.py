@@ -281,7 +281,7 @@ def splat_sql(src: str, viewport: Viewport = Viewport()) -> str:
     t = f"least(greatest((_r - {e0}) / {dlit(SPLAT_EDGE_HI - SPLAT_EDGE_LO)}, {dlit(0.0)}), {dlit(1.0)})"
     return f"""
 SELECT * EXCLUDE (_r), {dlit(1.0)} - ({t}) * ({t}) * ({dlit(3.0)} - {dlit(2.0)} * ({t})) AS coverage FROM (
-  SELECT * EXCLUDE (px, py, _lx, _hx, _ly, _hy), gx.px, gy.py,
+  SELECT * EXCLUDE (px, py, _lx, _hx, _ly, _hy), CAST(gx.px AS INTEGER) AS px, CAST(gy.py AS INTEGER) AS py,
          sqrt(((CAST(gx.px AS DOUBLE) + {dlit(0.5)} - sx) / size_px) * ((CAST(gx.px AS DOUBLE) + {dlit(0.5)} - sx) / size_px)
             + ((CAST(gy.py AS DOUBLE) + {dlit(0.5)} - sy) / size_px) * ((CAST(gy.py AS DOUBLE) + {dlit(0.5)} - sy) / size_px)) AS _r
   FROM (SELECT *,

@@ -305,9 +305,9 @@ def q_colored_points(spark, sf_dir):
     "validate_catalog",
     with_ctes(
         f"""SELECT tracer, {tracer_name_sql('tracer')} AS name, count(*) AS n_rows,
-       count_if(CAST(z AS DOUBLE) < z_min OR CAST(z AS DOUBLE) > z_max) AS n_outside_range,
-       count_if(NOT (isfinite(ra) AND isfinite(dec) AND isfinite(z) AND isfinite(x) AND isfinite(y) AND isfinite(z_cart))) AS n_nonfinite,
-       count_if(NOT (weight > 0) OR isnan(weight)) AS n_nonpositive_weight
+       CAST(count_if(CAST(z AS DOUBLE) < z_min OR CAST(z AS DOUBLE) > z_max) AS BIGINT) AS n_outside_range,
+       CAST(count_if(NOT (isfinite(ra) AND isfinite(dec) AND isfinite(z) AND isfinite(x) AND isfinite(y) AND isfinite(z_cart))) AS BIGINT) AS n_nonfinite,
+       CAST(count_if(NOT (weight > 0) OR isnan(weight)) AS BIGINT) AS n_nonpositive_weight
 FROM processed LEFT JOIN dim USING (tracer) GROUP BY tracer""",
         PROCESSED_CTE,
         "dim AS (SELECT * FROM (VALUES "

@@ -65,6 +65,7 @@ def test_query_matches_duckdb(spark, duck, name):
         sql = sql.replace(f"<= {Q.scaled_cap(Q.ORACLE_SF)}", f"<= {Q.scaled_cap(0.001)}")
     want = duck.sql(sql).to_arrow_table()
     got = e.queries()[name](spark, SF_SMALL).toArrow()
+    assert {f.name: str(f.type) for f in got.schema} == {f.name: str(f.type) for f in want.schema}
     assert _rows(got) == _rows(want)
 
 
