@@ -171,16 +171,22 @@ class GalbinWriter(DataSourceArrowWriter):
         os.makedirs(self._dir() or ".", exist_ok=True)
         tmp = os.path.join(self._dir() or ".", f".part-{pid:05d}-{uuid.uuid4().hex}.galbin.tmp")
         n = 0
-        with open(tmp, "wb") as f:
-            f.write(struct.pack("<IIII", PACKED_MAGIC, PACKED_VERSION, 0, 0))
-            for batch in iterator:
-                rec = encode_batch(batch)
-                f.write(rec.tobytes())
-                n += len(rec)
-            if n > 0xFFFFFFFF:
-                raise ValueError(f"a part holds {n} points; the u32 header allows at most 2^32 - 1")
-            f.seek(0)
-            f.write(struct.pack("<IIII", PACKED_MAGIC, PACKED_VERSION, n, 0))
+        try:
+            with open(tmp, "wb") as f:
+                f.write(struct.pack("<IIII", PACKED_MAGIC, PACKED_VERSION, 0, 0))
+                for batch in iterator:
+                    rec = encode_batch(batch)
+                    f.write(rec.tobytes())
+                    n += len(rec)
+                if n > 0xFFFFFFFF:
+                    raise ValueError(f"a part holds {n} points; the u32 header allows at most 2^32 - 1")
+                f.seek(0)
+                f.write(struct.pack("<IIII", PACKED_MAGIC, PACKED_VERSION, n, 0))
+        except BaseException:
+            # a failed attempt sends no commit message: remove its file here
+            if os.path.exists(tmp):
+                os.remove(tmp)
+            raise
         return PartWritten(tmp, pid, n)
 
     def commit(self, messages):

@@ -74,6 +74,8 @@ def test_packed_range_checks(spark, tmp):
     bad = spark.createDataFrame([(0.0, 0.0, 0.0, 300, 0.5)], "x float, y float, z_cart float, tracer short, z float")
     with pytest.raises(Exception, match="tracer"):
         packed.write_packed(bad, os.path.join(tmp, "t.bin"))
+    assert not [f for f in os.listdir(tmp) if f.endswith(".tmp")]  # failed attempts leave nothing
+    assert not os.path.exists(os.path.join(tmp, "t.bin"))
 
 
 def test_metadata_round_trip(spark, tmp):
