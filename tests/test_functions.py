@@ -54,9 +54,10 @@ def test_quality_cut_edges(spark):
         (10.0, 10.0, 0.001), (10.0, 10.0, 0.0010001), (10.0, 10.0, 4.999), (10.0, 10.0, 5.0),
         (10.0, 10.0, nan), (10.0, 10.0, inf), (10.0, 10.0, -inf), (nan, 10.0, 1.0), (10.0, -inf, 1.0),
     ]
-    df = spark.createDataFrame(rows, "RA double, DEC double, Z double")
+    rows = [r + (1.0,) for r in rows] + [(10.0, 10.0, 2.0, nan)]  # the weight is not checked
+    df = spark.createDataFrame(rows, "RA double, DEC double, Z double, WEIGHT float")
     kept = sorted(r.Z for r in df.where(quality_mask()).collect())
-    assert kept == [0.0010001, 4.999]
+    assert kept == [0.0010001, 2.0, 4.999]
 
 
 def test_sky_to_cartesian(spark):
