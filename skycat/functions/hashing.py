@@ -6,6 +6,7 @@ file is split differently or a task is retried on another executor.  A hash of
 any partitioning, after any retry, and DuckDB computes the same value.
 
 u = (int(first 13 hex digits of md5(text)) + 0.5) / 2^52, in (0, 1).
+Optionally the top 52 bits of xxhash64 instead (faster, Spark only).
 """
 
 from __future__ import annotations
@@ -39,9 +40,23 @@ def salted_text(prefix: str, ident: Column) -> Column:
     return F.concat(F.lit(prefix + ":"), ident)
 
 
-def uniform(prefix: str, ident: Column) -> Column:
-    """u(prefix) for the identity column (prefix is e.g. 'ra' or '42:key')."""
-    return (hash52(salted_text(prefix, ident)).cast("double") + F.lit(0.5)) / F.lit(TWO52)
+HASH_METHODS = ("md5", "xxhash64")
+
+
+def uniform(prefix: str, ident: Column, method: str = "md5") -> Column:
+    """u(prefix) for the identity column (prefix is e.g. 'ra' or '42:key').
+
+    ``md5`` has a SQL twin (DuckDB computes the same number); ``xxhash64`` is
+    about 4x cheaper per row in Spark (no twin): the top 52 bits of
+    xxhash64(prefix, identity).
+    """
+    if method == "md5":
+        h = hash52(salted_text(prefix, ident))
+    elif method == "xxhash64":
+        h = F.shiftrightunsigned(F.xxhash64(F.lit(prefix + ":"), ident), 12)
+    else:
+        raise ValueError(f"hash method {method!r}; use one of {HASH_METHODS}")
+    return (h.cast("double") + F.lit(0.5)) / F.lit(TWO52)
 
 
 def uniform_sql(prefix: str, ident_sql: str) -> str:

@@ -172,8 +172,10 @@ def _grid_cutoffs(df: DataFrame, plans: list[StratumPlan], stratum: str, weight:
     return [replace(p, cutoff=found.get(p.stratum)) if p in need else p for p in plans]
 
 
-def _keyed(df: DataFrame, plans: list[StratumPlan], stratum: str, weight: str | None, ident: Column, seed: int) -> DataFrame:
-    u = uniform(f"{seed}:key", ident)
+def _keyed(
+    df: DataFrame, plans: list[StratumPlan], stratum: str, weight: str | None, ident: Column, seed: int, method: str = "md5"
+) -> DataFrame:
+    u = uniform(f"{seed}:key", ident, method)
     weighted = [p.stratum for p in plans if p.weighted]
     s = F.col(stratum)
     out = df.where(s.isin([p.stratum for p in plans]))
@@ -197,6 +199,7 @@ def weighted_stratified_sample(
     seed: int = SAMPLE_SEED,
     single_task_limit: int | None = None,
     stats_out: list | None = None,
+    hash_method: str = "md5",
 ) -> DataFrame:
     """Per stratum min(target, available) rows, drawn without replacement
     with probability proportional to max(weight, 0).
@@ -212,6 +215,7 @@ def weighted_stratified_sample(
     The output has the input's columns; row identity (``id_cols``) must be
     unique, since it decides the random key of each row.  ``stats_out``, if
     given, receives the per-stratum plans (rows available, n, mode).
+    ``hash_method`` "xxhash64" makes the keys cheaper (no SQL twin).
     """
     if single_task_limit is None:
         single_task_limit = SINGLE_TASK_RANK_LIMIT
@@ -230,7 +234,7 @@ def weighted_stratified_sample(
     plans = [p for p in plans if p.n < p.available]
     if not plans:
         return kept
-    keyed = _keyed(df, plans, stratum, weight, ident, seed)
+    keyed = _keyed(df, plans, stratum, weight, ident, seed, hash_method)
     cut = {p.stratum: p.cutoff for p in plans if p.cutoff is not None}
     survivors = keyed
     if cut:
@@ -274,23 +278,29 @@ def _top_n_ranked(survivors: DataFrame, plans: list[StratumPlan], stratum: str)
     return ranked.where(rank < limit).drop("_pos")
 
 
-def cap_points(df: DataFrame, max_points: int, *, id_cols=("catalog", "row_index"), seed: int = SAMPLE_SEED) -> DataFrame:
+def cap_points(
+    df: DataFrame, max_points: int, *, id_cols=("catalog", "row_index"), seed: int = SAMPLE_SEED, hash_method: str = "md5"
+) -> DataFrame:
     """Exactly ``max_points`` uniform rows without replacement if there are
     more, else the input unchanged."""
     one = df.withColumn("_stratum", F.lit(0))
-    out = weighted_stratified_sample(one, {0: max_points}, id_cols=id_cols, weight=None, stratum="_stratum", seed=seed)
+    out = weighted_stratified_sample(
+        one, {0: max_points}, id_cols=id_cols, weight=None, stratum="_stratum", seed=seed, hash_method=hash_method
+    )
     return out.drop("_stratum")
 
 
-def permutation_key(id_cols=("catalog", "row_index"), seed: int = SAMPLE_SEED) -> Column:
-    return uniform(f"{seed}:perm", _ident(id_cols))
+def permutation_key(id_cols=("catalog", "row_index"), seed: int = SAMPLE_SEED, hash_method: str = "md5") -> Column:
+    return uniform(f"{seed}:perm", _ident(id_cols), hash_method)
 
 
-def shuffle_points(df: DataFrame, *, id_cols=("catalog", "row_index"), seed: int = SAMPLE_SEED) -> DataFrame:
+def shuffle_points(
+    df: DataFrame, *, id_cols=("catalog", "row_index"), seed: int = SAMPLE_SEED, hash_method: str = "md5"
+) -> DataFrame:
     """A reproducible random permutation (a range-partitioned total order on
     a hash key, ties broken by identity).  Sort the sample, not the catalogue."""
     return (
-        df.withColumns({"_perm": permutation_key(id_cols, seed), "_ident": _ident(id_cols)})
+        df.withColumns({"_perm": permutation_key(id_cols, seed, hash_method), "_ident": _ident(id_cols)})
         .orderBy("_perm", "_ident")
         .drop("_perm", "_ident")
     )

@@ -40,6 +40,7 @@ def export_web(
     id_cols=("catalog", "row_index"),
     seed: int = SAMPLE_SEED,
     single_file: bool | None = None,
+    hash_method: str = "md5",
 ) -> ExportResult:
     """``single_file``: None decides by size (one file while the sample has at
     most SINGLE_FILE_MAX_POINTS points); True insists on one file and raises
@@ -49,14 +50,16 @@ def export_web(
     cols = ["x", "y", "z_cart", "z", "tracer", "weight"] + ([id_cols] if isinstance(id_cols, str) else list(id_cols))
     cat = catalog.select(*cols)
     stats: list = []
-    smp = sampling.weighted_stratified_sample(cat, targets or TARGET_PER_TRACER, id_cols=id_cols, seed=seed, stats_out=stats)
+    smp = sampling.weighted_stratified_sample(
+        cat, targets or TARGET_PER_TRACER, id_cols=id_cols, seed=seed, stats_out=stats, hash_method=hash_method
+    )
     smp = smp.checkpoint(eager=True)
     total = sum(p.n for p in stats)
     if single_file is None:
         single_file = total <= SINGLE_FILE_MAX_POINTS
     elif single_file and total > SINGLE_FILE_MAX_POINTS:
         raise ValueError(f"a {total}-point sample is too large for one file; use single_file=False")
-    shuffled = sampling.shuffle_points(smp, id_cols=id_cols, seed=seed)
+    shuffled = sampling.shuffle_points(smp, id_cols=id_cols, seed=seed, hash_method=hash_method)
     binary = f"{out_dir.rstrip('/')}/galaxies.bin" if single_file else f"{out_dir.rstrip('/')}/galaxies"
     packed.write_packed(shuffled, binary, single_file=single_file)
     doc = packed.metadata_document(smp)

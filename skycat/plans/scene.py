@@ -22,10 +22,11 @@ def scene_points(
     scale: float = SCENE_SCALE,
     id_cols=("catalog", "row_index"),
     seed: int = SAMPLE_SEED,
+    hash_method: str = "md5",
 ) -> DataFrame:
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     pts = read_catalog(spark, catalog_path, ["x", "y", "z_cart", "tracer", *ids])
-    capped = sampling.cap_points(pts, max_points, id_cols=id_cols, seed=seed)
+    capped = sampling.cap_points(pts, max_points, id_cols=id_cols, seed=seed, hash_method=hash_method)
     return scale_coords(capped, scale)
 
 

@@ -180,7 +180,8 @@ def test_survivors_do_not_grow_with_catalogue(spark):
         assert small.want <= e < 1.05 * small.want
 
 
-def test_inclusion_probabilities_match_successive_draws(spark):
+@pytest.mark.parametrize("method", ["md5", "xxhash64"])
+def test_inclusion_probabilities_match_successive_draws(spark, method):
     """Keeping the 2 smallest -ln(u)/w of 4 items draws like numpy's choice
     without replacement: P(i) = p_i + sum_j p_j p_i / (1 - p_j)."""
     from pyspark.sql import Window
@@ -194,9 +195,20 @@ def test_inclusion_probabilities_match_successive_draws(spark):
     df = spark.range(trials * 4).select(
         (F.col("id") / 4).cast("long").alias("trial"), (F.col("id") % 4).cast("int").alias("item")
     ).withColumn("w", F.element_at(F.array(*[F.lit(x) for x in w]), F.col("item") + 1))
-    key = -F.log(uniform("42:key", identity("trial", "item"))) / F.col("w")
+    key = -F.log(uniform("42:key", identity("trial", "item"), method)) / F.col("w")
     top = df.withColumn("rk", F.row_number().over(Window.partitionBy("trial").orderBy(key))).where("rk <= 2")
     freq = {r.item: r.n / trials for r in top.groupBy("item").agg(F.count("*").alias("n")).collect()}
     for i in range(4):
         sd = math.sqrt(exact[i] * (1 - exact[i]) / trials)
         assert abs(freq[i] - exact[i]) < 4 * sd, (i, freq[i], exact[i])
+
+
+def test_xxhash64_keys(spark):
+    rows = [(f"r{i}", i % 2, 0.5 + (i % 7)) for i in range(4000)]
+    a = sampling.weighted_stratified_sample(_cat(spark, rows), {0: 300, 1: 120}, id_cols="id", hash_method="xxhash64")
+    b = sampling.weighted_stratified_sample(_cat(spark, rows[::-1]).repartition(7), {0: 300, 1: 120}, id_cols="id", hash_method="xxhash64")
+    ids = _ids(a)
+    assert ids == _ids(b) and len(ids) == 420 and len(set(ids)) == 420
+    assert ids != _ids(sampling.weighted_stratified_sample(_cat(spark, rows), {0: 300, 1: 120}, id_cols="id"))
+    with pytest.raises(ValueError):
+        sampling.shuffle_points(_cat(spark, rows), id_cols="id", hash_method="sha0")
