@@ -337,11 +337,21 @@ def shuffle_with_position(df: DataFrame, *, id_cols=("catalog", "row_index"), se
     return with_position(keyed, ["_perm", "_ident"]).drop("_perm", "_ident")
 
 
-def random_points(df: DataFrame, *, spread: float = 40_000.0, id_cols=("catalog", "row_index"), seed: int = SAMPLE_SEED) -> DataFrame:
+def random_points(
+    df: DataFrame,
+    *,
+    spread: float = 40_000.0,
+    id_cols=("catalog", "row_index"),
+    seed: int = SAMPLE_SEED,
+    hash_method: str = "md5",
+) -> DataFrame:
     """One uniform point in a cube of side ``spread`` centred on 0 per input
     row (a random comparison catalogue of the same size), reproducible by seed."""
     ident = _ident(id_cols)
-    cols = {c: ((uniform(f"{seed}:{c}", ident) - F.lit(0.5)) * F.lit(float(spread))).cast("float") for c in ("x", "y", "z_cart")}
+    cols = {
+        c: ((uniform(f"{seed}:{c}", ident, hash_method) - F.lit(0.5)) * F.lit(float(spread))).cast("float")
+        for c in ("x", "y", "z_cart")
+    }
     return df.select(*[F.col(c) for c in ([id_cols] if isinstance(id_cols, str) else id_cols)], *[v.alias(k) for k, v in cols.items()])
 
 
