@@ -108,3 +108,24 @@ def test_export_as_parts(spark, tmp):
     assert ex.binary.endswith("/galaxies") and os.path.isdir(ex.binary)
     pts, meta = read_export(spark, os.path.join(tmp, "web"))
     assert pts.count() == 100 == meta.first().n_points
+
+
+def test_export_file_is_in_permutation_order(spark, tmp):
+    from pyspark.sql import functions as F
+
+    from skycat.operators import sampling
+    from skycat.sources import packed
+
+    pts = spark.range(5000).select(
+        F.col("id").cast("string").alias("id"),
+        (F.col("id") * 1.0).cast("float").alias("x"),
+        F.lit(0.0).cast("float").alias("y"),
+        F.lit(0.0).cast("float").alias("z_cart"),
+        (F.col("id") % 4).cast("short").alias("tracer"),
+        F.lit(0.5).cast("float").alias("z"),
+    ).repartition(6)
+    path = os.path.join(tmp, "g.bin")
+    packed.write_packed(sampling.shuffle_points(pts, id_cols="id"), path)
+    in_file = [r.x for r in packed.read_packed(spark, path, records_per_partition=10**6).collect()]
+    by_position = [r.x for r in sampling.shuffle_with_position(pts, id_cols="id").orderBy("position").collect()]
+    assert in_file == by_position and in_file != sorted(in_file)
