@@ -42,7 +42,9 @@ def ingest(
     rows_per_partition: int | None = None,
     id_from_path: bool = False,
 ) -> IngestResult:
-    files = cat.discover_catalogs(spark, raw_path, pattern)
+    # the listing holds one row per file: collect it once and reuse it
+    listed = cat.discover_catalogs(spark, raw_path, pattern)
+    files = spark.createDataFrame(listed.collect(), listed.schema)
     manifest = cat.manifest_status(manifest_df(spark), files)
     raw = cat.read_raw(
         spark, raw_path, extname=extname, pattern=pattern, rows_per_partition=rows_per_partition, include_path=id_from_path
@@ -50,8 +52,10 @@ def ingest(
     keep = ("row_index", "path") if id_from_path else ("row_index",)
     cat.write_per_catalog(process_catalog(raw, keep=keep), out_path)
     written = spark.read.parquet(out_path)
-    summary = summarize(written, files)
-    total = written.count()
+    # one row per input file; the total is their sum (no second pass)
+    rows = summarize(written, files).collect()
+    summary = spark.createDataFrame(rows, summarize(written, files).schema) if rows else summarize(written, files)
+    total = sum(r["n_galaxies"] for r in rows)
     return IngestResult(out_path, files, manifest, summary, total)
 
 
