@@ -512,13 +512,17 @@ def q_manifest_status(spark, sf_dir):
 
 @register("combined_catalogs", with_ctes("SELECT * FROM processed", PROCESSED_CTE))
 def q_combined_catalogs(spark, sf_dir):
-    """Per-catalogue tables (one per manifest entry) concatenated by name, no dedup."""
+    """K1 -> U1: per-catalogue tables (one per manifest entry) concatenated by name, no dedup."""
     from skycat.operators.ingest import combine_catalogs
     from skycat.schema import CATALOG_SUFFIX
 
-    cat = processed(spark, sf_dir)
+    from skycat.sources.tables import materialized
+
+    # K1 layout: one directory per catalogue; each subset scan prunes to its own
+    per_catalog = materialized(spark, f"per-catalog-v1-{sf_dir}", lambda: process(spark, sf_dir), ("catalog",))
     labels = [m.replace(CATALOG_SUFFIX, "") for m in MANIFEST]
-    return combine_catalogs(*[cat.where(F.col("catalog") == lab) for lab in labels])
+    parts = [per_catalog.where(F.col("catalog") == lab) for lab in labels]
+    return combine_catalogs(*parts).select(*processed(spark, sf_dir).columns)
 
 
 @register(

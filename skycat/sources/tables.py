@@ -21,7 +21,9 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
-def materialized(spark: SparkSession, key: str, build: Callable[[], DataFrame]) -> DataFrame:
+def materialized(
+    spark: SparkSession, key: str, build: Callable[[], DataFrame], partition_by: tuple[str, ...] = ()
+) -> DataFrame:
     """Write ``build()`` as Parquet under the checkpoint folder once; read it back.
 
     The folder comes from ``spark.checkpoint.dir`` (a shared, reliable location
@@ -32,7 +34,10 @@ def materialized(spark: SparkSession, key: str, build: Callable[[], DataFrame])
     root = ensure_checkpoint_dir(spark)
     path = f"{root.rstrip('/')}/tables/{hashlib.sha1(key.encode()).hexdigest()[:16]}"
     if not path_exists(spark, f"{path}/_SUCCESS"):
-        build().write.mode("overwrite").option("compression", "zstd").parquet(path)
+        w = build().write.mode("overwrite").option("compression", "zstd")
+        if partition_by:
+            w = w.partitionBy(*partition_by)
+        w.parquet(path)
     return spark.read.parquet(path)
 
 
