@@ -40,11 +40,18 @@ def ingest(
     pattern: str = CATALOG_GLOB,
     extname: str = FITS_EXTENSION,
     rows_per_partition: int | None = None,
-    id_from_path: bool = False,
+    id_from_path: bool | None = None,
 ) -> IngestResult:
+    """``id_from_path``: keep each row's file path next to its row index (the
+    row identity); None keeps it only when one catalogue name occurs in
+    several files, where (catalog, row_index) would not be unique."""
     # the listing holds one row per file: collect it once and reuse it
     listed = cat.discover_catalogs(spark, raw_path, pattern)
-    files = spark.createDataFrame(listed.collect(), listed.schema)
+    listing = listed.collect()
+    files = spark.createDataFrame(listing, listed.schema)
+    if id_from_path is None:
+        names = [r.file_name for r in listing]
+        id_from_path = len(set(names)) < len(names)
     manifest = cat.manifest_status(manifest_df(spark), files)
     raw = cat.read_raw(
         spark, raw_path, extname=extname, pattern=pattern, rows_per_partition=rows_per_partition, include_path=id_from_path
