@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 
 from skycat.functions.catalog import (
     catalog_label_sql,
+    decode_z,
+    decode_z_sql,
+    encode_z,
+    encode_z_sql,
     format_count_sql,
     format_z_range_sql,
     output_name_sql,
@@ -24,11 +28,15 @@ from skycat.functions.catalog import (
 )
 from skycat.functions.coords import sky_to_cartesian_sql
 from skycat.functions.cosmology import comoving_distance_sql
-from skycat.functions.sqltext import dlit
-from skycat.operators import summary
+from skycat.functions.hashing import uniform_sql
+from skycat.functions.sqltext import dlit, slit
+from skycat.operators import sampling, summary, view
 from skycat.operators.dims import tracer_name_sql
 from skycat.operators.ingest import process_catalog
-from skycat.plans.derived import raw_catalog, raw_catalog_sql
+from skycat.plans.derived import raw_catalog, raw_catalog_sql, scale_factor
+from skycat.schema import MANIFEST, SAMPLE_SEED, SCENE_MAX_POINTS, TARGET_PER_TRACER, TRACERS
+from skycat.sources import packed
+from skycat.sources.tables import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -130,10 +138,6 @@ def q_catalog_total(spark, sf_dir):
 # Sample, shuffle, export
 # ---------------------------------------------------------------------------
 
-from skycat.functions.hashing import uniform_sql  # noqa: E402
-from skycat.operators import sampling  # noqa: E402
-from skycat.plans.derived import scale_factor  # noqa: E402
-from skycat.schema import SAMPLE_SEED, SCENE_MAX_POINTS, TARGET_PER_TRACER  # noqa: E402
 
 ORACLE_SF = 0.01  # the driver runs the SQL twins at sf0.01
 
@@ -274,7 +278,7 @@ def q_present_tracers(spark, sf_dir):
 
 
 _RGB_SQL = "CASE tracer " + " ".join(
-    f"WHEN {t} THEN [{', '.join(f'CAST({v!r} AS FLOAT)' for v in rgb)}]" for t, _n, _c, rgb, *_ in __import__("skycat.schema", fromlist=["TRACERS"]).TRACERS
+    f"WHEN {t} THEN [{', '.join(f'CAST({v!r} AS FLOAT)' for v in rgb)}]" for t, _n, _c, rgb, *_ in TRACERS
 ) + " ELSE [CAST(1.0 AS FLOAT), CAST(1.0 AS FLOAT), CAST(1.0 AS FLOAT)] END"
 
 
@@ -311,7 +315,7 @@ def q_colored_points(spark, sf_dir):
 FROM processed LEFT JOIN dim USING (tracer) GROUP BY tracer""",
         PROCESSED_CTE,
         "dim AS (SELECT * FROM (VALUES "
-        + ", ".join(f"({t}, {dlit(zr[0])}, {dlit(zr[1])})" for t, _n, _c, _rgb, zr, _tg in __import__("skycat.schema", fromlist=["TRACERS"]).TRACERS)
+        + ", ".join(f"({t}, {dlit(zr[0])}, {dlit(zr[1])})" for t, _n, _c, _rgb, zr, _tg in TRACERS)
         + ") v(tracer, z_min, z_max))",
     ),
 )
@@ -324,10 +328,6 @@ def q_validate_catalog(spark, sf_dir):
 # Packed points, metadata, viewer work
 # ---------------------------------------------------------------------------
 
-from skycat.functions.catalog import decode_z, decode_z_sql, encode_z, encode_z_sql  # noqa: E402
-from skycat.operators import view  # noqa: E402
-from skycat.sources import packed  # noqa: E402
-from skycat.sources.tables import scratch_path  # noqa: E402
 
 VIEW_HIDDEN = frozenset({3})  # the QSO toggle switched off
 VIEW_Z_CUTOFF = 1.2  # slider position
@@ -488,8 +488,6 @@ def q_density_image(spark, sf_dir):
 # Manifest, union, split, counts
 # ---------------------------------------------------------------------------
 
-from skycat.schema import MANIFEST  # noqa: E402
-from skycat.functions.sqltext import slit  # noqa: E402
 
 _MANIFEST_SQL = "manifest AS (SELECT * FROM (VALUES " + ", ".join(f"({slit(m)})" for m in MANIFEST) + ") v(file_name))"
 
