@@ -41,9 +41,20 @@ def tracer_name_sql(t: str) -> str:
     return f"CASE {arms} ELSE CAST({t} AS VARCHAR) END"
 
 
+# A tracer id is a u8: a tracer dimension has at most this many rows.
+MAX_DIM_ROWS = 256
+
+
+def bounded_broadcast(dim: DataFrame, limit: int = MAX_DIM_ROWS) -> DataFrame:
+    """``broadcast(dim)`` when it has at most ``limit`` rows (checked), else
+    ``dim`` unchanged (Spark then picks the join; AQE can still broadcast)."""
+    return F.broadcast(dim) if dim.limit(limit + 1).count() <= limit else dim
+
+
 def with_tracer_dim(df: DataFrame, dim: DataFrame, cols=("name", "color", "rgb")) -> DataFrame:
-    """Left join to the (broadcast) tracer dimension; unmatched rows keep nulls."""
-    return df.join(F.broadcast(dim.select("tracer", *cols)), "tracer", "left")
+    """Left join to the tracer dimension (broadcast after a size check);
+    unmatched rows keep nulls."""
+    return df.join(bounded_broadcast(dim.select("tracer", *cols)), "tracer", "left")
 
 
 def tracer_rgb(tracer) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skycat.functions.catalog import catalog_label, format_count, format_z_range, output_name, tracer_id
-from skycat.operators.dims import tracer_dim, tracer_name
+from skycat.operators.dims import bounded_broadcast, tracer_dim, tracer_name
 
 
 def catalog_summary(df: DataFrame, *, file_col: str = "file_name", z: str = "Z", keep: Column | None = None) -> DataFrame:
@@ -110,7 +110,7 @@ def validate_catalog(df: DataFrame, dim: DataFrame | None = None) -> DataFrame:
     """
     if dim is None:
         dim = tracer_dim(df.sparkSession)
-    j = df.join(F.broadcast(dim.select("tracer", "z_min", "z_max")), "tracer", "left")
+    j = df.join(bounded_broadcast(dim.select("tracer", "z_min", "z_max")), "tracer", "left")
     z = F.col("z").cast("double")
     nonfinite = None
     for c in ("ra", "dec", "z", "x", "y", "z_cart"):

@@ -149,3 +149,14 @@ def test_density_image_total_equals_visible_points(spark):
     total = img.agg(F.sum("n_points")).first()[0]
     assert total == proj.count() > 0
     assert img.where("r > 1 OR g > 1 OR b > 1").count() == 0  # clamped
+
+
+def test_dimension_broadcast_is_size_checked(spark):
+    from skycat.operators.dims import bounded_broadcast
+
+    small = spark.range(10)
+    big = spark.range(1000)
+    def hinted(df):
+        return "broadcast" in df._jdf.queryExecution().logical().toString().lower()
+
+    assert hinted(bounded_broadcast(small)) and not hinted(bounded_broadcast(big))
