@@ -129,3 +129,24 @@ def test_export_file_is_in_permutation_order(spark, tmp):
     in_file = [r.x for r in packed.read_packed(spark, path, records_per_partition=10**6).collect()]
     by_position = [r.x for r in sampling.shuffle_with_position(pts, id_cols="id").orderBy("position").collect()]
     assert in_file == by_position and in_file != sorted(in_file)
+
+
+def test_ingest_reports_a_fully_cut_file(spark, tmp):
+    import numpy as np
+
+    from skycat.plans.ingest import ingest
+    from skycat.sources import fits
+
+    raw = os.path.join(tmp, "raw")
+    rng = np.random.default_rng(3)
+    ok = {"RA": rng.uniform(0, 360, 50), "DEC": rng.uniform(-90, 90, 50), "Z": rng.uniform(0.1, 1.0, 50), "WEIGHT": np.ones(50, np.float32)}
+    cut = dict(ok, Z=np.full(50, 6.0))  # every row fails z < 5
+    fits.write_fits_table(os.path.join(raw, "LRG_N_clustering.dat.fits"), ok)
+    fits.write_fits_table(os.path.join(raw, "QSO_S_clustering.dat.fits"), cut)
+    res = ingest(spark, raw, os.path.join(tmp, "out"))
+    s = {r.catalog: r for r in res.summary.collect()}
+    assert s["LRG_N"].n_galaxies == 50 and s["QSO_S"].n_galaxies == 0 and s["QSO_S"].z_min is None
+    assert s["QSO_S"].tracer == "QSO" and s["QSO_S"].output == "QSO_S_clustering.dat.parquet"
+    assert res.total == 50
+    missing = {r.file_name for r in res.manifest.collect() if not r.present}
+    assert len(missing) == 8 and "LRG_N_clustering.dat.fits" not in missing
