@@ -532,10 +532,19 @@ def q_combined_catalogs(spark, sf_dir):
     ),
 )
 def q_tracer_subsets(spark, sf_dir):
-    """One subset per present tracer (A5), each summarised."""
+    """One subset per present tracer (A5), each summarised.
+
+    Reads W5's sink layout (one directory per tracer), so every subset scan
+    prunes to its own directory instead of rescanning the catalogue.
+    """
     from functools import reduce
 
-    parts = sampling.split_by_tracer(processed(spark, sf_dir).select("tracer", "z"))
+    from skycat.sources.tables import materialized
+
+    by_tracer = materialized(
+        spark, f"per-tracer-v1-{sf_dir}", lambda: processed(spark, sf_dir).select("tracer", "z"), ("tracer",)
+    )
+    parts = sampling.split_by_tracer(by_tracer)
     rows = [
         sub.agg(
             F.lit(t).cast("short").alias("tracer"),
