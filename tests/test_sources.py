@@ -221,3 +221,49 @@ def test_fits_small_files_are_packed(spark, tmp):
     n = df.rdd.getNumPartitions()
     assert 1 < n <= spark.sparkContext.defaultParallelism + 1
     assert df.count() == 2000 and df.select("path", "row_index").distinct().count() == 2000
+
+
+def test_fits_header_quirks(spark, tmp):
+    """Lowercase names, D exponents, comments, quotes, COMMENT/HISTORY cards and a
+    header longer than one 2,880-byte block."""
+    n = 7
+    rows = np.zeros(n, dtype=[("ra", ">f8"), ("dec", ">f8"), ("z", ">f4"), ("w", ">f4")])
+    rows["ra"] = np.arange(n) * 10.0
+    rows["dec"] = np.arange(n) - 3.0
+    rows["z"] = np.linspace(0.1, 0.7, n)
+    rows["w"] = 2.0
+
+    def card(text):
+        return text.ljust(80)[:80].encode("ascii")
+
+    cards = [
+        card("XTENSION= 'BINTABLE'           / binary table extension"),
+        card("BITPIX  =                    8 / array data type"),
+        card("NAXIS   =                    2"),
+        card(f"NAXIS1  =                   {rows.dtype.itemsize} / row width"),
+        card(f"NAXIS2  =                    {n}"),
+        card("PCOUNT  =                    0"),
+        card("GCOUNT  =                    1"),
+        card("TFIELDS =                    4"),
+        card("TTYPE1  = 'ra      '"), card("TFORM1  = 'D       '"),
+        card("TTYPE2  = 'dec'"), card("TFORM2  = '1D'"),
+        card("TTYPE3  = 'z'"), card("TFORM3  = 'E'"),
+        card("TTYPE4  = 'WEIGHT'"), card("TFORM4  = 'E'"), card("TSCAL4  =                0.5D0 / halves"),
+        card("OBSERVER= 'O''Brien'           / embedded quote"),
+    ]
+    cards += [card(f"COMMENT padding card number {i}") for i in range(30)]
+    cards += [card("HISTORY written by hand"), card("EXTNAME = 'lss'")]
+    header = b"".join(cards) + card("END")
+    header += b" " * ((-len(header)) % 2880)
+    assert len(header) == 2 * 2880
+    body = rows.tobytes()
+    path = os.path.join(tmp, "BGS_BRIGHT_N_clustering.dat.fits")
+    with open(path, "wb") as f:
+        f.write(fits.primary_hdu() + header + body + b"\0" * ((-len(body)) % 2880))
+    info = fits.scan_table(path)
+    assert info.n_rows == n and info.column("RA").code == "D" and info.column("WEIGHT").scale == 0.5
+    df = cat.read_raw(spark, tmp)
+    got = sorted(df.collect(), key=lambda r: r.row_index)
+    assert [r.RA for r in got] == list(rows["ra"]) and [r.DEC for r in got] == list(rows["dec"])
+    assert [r.WEIGHT for r in got] == [1.0] * n  # 2.0 * TSCAL 0.5
+    assert [r.Z for r in got] == [float(v) for v in rows["z"]]
