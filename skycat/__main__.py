@@ -74,19 +74,17 @@ def main(argv: list[str] | None = None) -> int:
         print(f"combined catalogue: {res.total:,} galaxies -> {res.output}")
     elif args.cmd == "export":
         from skycat.plans.export import export_web
-        from skycat.sources.catalog import read_catalog
+        from skycat.sources.catalog import identity_columns, read_catalog
 
-        cat = read_catalog(spark, args.processed)
-        ids = ("path", "row_index") if "path" in cat.columns else ("catalog", "row_index")
-        res = export_web(cat, args.web, id_cols=ids)
+        cat = read_catalog(spark, args.processed, with_identity=True)
+        res = export_web(cat, args.web, id_cols=identity_columns(cat))
         res.sample_summary.orderBy("tracer").show()
         print(f"wrote {res.metadata['n_points']:,} points -> {res.binary}")
     elif args.cmd == "scene":
         from skycat.plans.scene import scene_points, write_scene
-        from skycat.sources.catalog import read_catalog
+        from skycat.sources.catalog import identity_columns, read_catalog
 
-        cols = read_catalog(spark, args.processed).columns
-        ids = ("path", "row_index") if "path" in cols else ("catalog", "row_index")
+        ids = identity_columns(read_catalog(spark, args.processed, with_identity=True))
         pts = scene_points(spark, args.processed, max_points=args.max_points, scale=args.scale, id_cols=ids)
         write_scene(pts, args.out)
         print(f"scene points -> {args.out}")

@@ -25,7 +25,8 @@ def scene_points(
     hash_method: str = "md5",
 ) -> DataFrame:
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
-    pts = read_catalog(spark, catalog_path, ["x", "y", "z_cart", "tracer", *ids])
+    # projected scan (S5): Catalyst prunes the read to these columns
+    pts = read_catalog(spark, catalog_path, with_identity=True).select("x", "y", "z_cart", "tracer", *ids)
     capped = sampling.cap_points(pts, max_points, id_cols=id_cols, seed=seed, hash_method=hash_method)
     return scale_coords(capped, scale)
 

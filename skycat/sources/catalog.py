@@ -88,17 +88,32 @@ def read_raw(
     return df.select(*cols, *(["path"] if include_path else []))
 
 
-def read_catalog(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+def read_catalog(
+    spark: SparkSession, path: str, columns: list[str] | None = None, *, with_identity: bool = False
+) -> DataFrame:
     """The processed catalogue; ``columns`` prunes the scan.
 
-    Raises when the table is absent, as the original does.
+    ``with_identity`` adds ``path`` and ``row_index`` from the Parquet scan's
+    hidden metadata (file path, row position in the file) when the table has
+    no ``row_index`` of its own, e.g. a catalogue written by another tool:
+    a stable identity for the hash-keyed sampling.  Raises when the table is
+    absent, as the original does.
     """
     from skycat.sources.tables import path_exists
 
     if not path_exists(spark, path):
         raise FileNotFoundError(f"combined catalogue not found: {path}")
     df = spark.read.parquet(path)
-    return df.select(*columns) if columns else df
+    keep = list(columns) if columns else list(df.columns)
+    if with_identity and "row_index" not in df.columns:
+        df = df.select(*keep, F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row_index"))
+        return df
+    return df.select(*keep) if columns else df
+
+
+def identity_columns(df: DataFrame) -> tuple[str, str]:
+    """The row identity a catalogue carries: (path, row_index) or (catalog, row_index)."""
+    return ("path", "row_index") if "path" in df.columns else ("catalog", "row_index")
 
 
 def write_per_catalog(df: DataFrame, path: str, mode: str = "overwrite") -> None:

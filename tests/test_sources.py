@@ -267,3 +267,32 @@ def test_fits_header_quirks(spark, tmp):
     assert [r.RA for r in got] == list(rows["ra"]) and [r.DEC for r in got] == list(rows["dec"])
     assert [r.WEIGHT for r in got] == [1.0] * n  # 2.0 * TSCAL 0.5
     assert [r.Z for r in got] == [float(v) for v in rows["z"]]
+
+
+def test_foreign_catalogue_gets_a_stable_identity(spark, tmp):
+    """A catalogue in the original's layout (uint8 tracer, no provenance
+    columns) reads with tracer as short and samples reproducibly."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from skycat.operators import sampling
+
+    rng = np.random.default_rng(9)
+    n = 3000
+    t = pa.table({
+        "ra": rng.uniform(0, 360, n).astype(np.float32), "dec": rng.uniform(-90, 90, n).astype(np.float32),
+        "z": rng.uniform(0.01, 2, n).astype(np.float32), "x": rng.normal(size=n).astype(np.float32),
+        "y": rng.normal(size=n).astype(np.float32), "z_cart": rng.normal(size=n).astype(np.float32),
+        "weight": rng.uniform(0.5, 1.5, n).astype(np.float32), "tracer": pa.array(rng.integers(0, 4, n).astype(np.uint8)),
+    })
+    path = os.path.join(tmp, "all_galaxies.parquet")
+    pq.write_table(t, path, compression="zstd", row_group_size=500)
+    df = cat.read_catalog(spark, path, with_identity=True)
+    assert dict(df.dtypes)["tracer"] == "smallint" and cat.identity_columns(df) == ("path", "row_index")
+    a = sampling.weighted_stratified_sample(df, {0: 50, 1: 50}, id_cols=cat.identity_columns(df))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")  # split the file differently
+    try:
+        b = sampling.weighted_stratified_sample(cat.read_catalog(spark, path, with_identity=True), {0: 50, 1: 50}, id_cols=("path", "row_index"))
+        assert sorted(r.row_index for r in a.collect()) == sorted(r.row_index for r in b.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
