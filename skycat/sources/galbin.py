@@ -198,6 +198,15 @@ class GalbinWriter(DataSourceArrowWriter):
             if stale not in keep:
                 os.remove(stale)
         if self.single:
+            if not msgs:  # an empty input ran no task: the file is a header saying 0 points
+                if os.path.exists(self.path) and not self.overwrite:
+                    raise FileExistsError(self.path)
+                os.makedirs(self._dir() or ".", exist_ok=True)
+                tmp = f"{self.path}.{uuid.uuid4().hex}.tmp"
+                with open(tmp, "wb") as f:
+                    f.write(struct.pack("<IIII", PACKED_MAGIC, PACKED_VERSION, 0, 0))
+                os.replace(tmp, self.path)
+                return
             if len(msgs) != 1:
                 for m in msgs:
                     os.remove(m.tmp)

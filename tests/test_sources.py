@@ -296,3 +296,11 @@ def test_foreign_catalogue_gets_a_stable_identity(spark, tmp):
         assert sorted(r.row_index for r in a.collect()) == sorted(r.row_index for r in b.collect())
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_packed_write_of_empty_frame(spark, tmp):
+    empty = _points(spark, 10).where("x < 0")
+    path = os.path.join(tmp, "empty.bin")
+    packed.write_packed(empty, path)
+    assert open(path, "rb").read() == struct.pack("<IIII", 0x44455349, 1, 0, 0)
+    assert packed.read_packed(spark, path).count() == 0
