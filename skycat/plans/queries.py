@@ -153,7 +153,7 @@ def scaled_cap(sf: float) -> int:
 
 def sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.weighted_stratified_sample(
-        processed(spark, sf_dir), scaled_targets(scale_factor(sf_dir)), id_cols="id"
+        processed(spark, sf_dir), scaled_targets(scale_factor(sf_dir, spark)), id_cols="id"
     )
 
 
@@ -246,7 +246,7 @@ WHERE _n <= {scaled_cap(ORACLE_SF)} OR _rank <= {scaled_cap(ORACLE_SF)}""",
 def q_capped_points(spark, sf_dir):
     """S5 + W2: projected scan, capped to the scene's point budget (scaled with sf)."""
     pts = processed(spark, sf_dir).select("x", "y", "z_cart", "tracer", "id")
-    return sampling.cap_points(pts, scaled_cap(scale_factor(sf_dir)), id_cols="id")
+    return sampling.cap_points(pts, scaled_cap(scale_factor(sf_dir, spark)), id_cols="id")
 
 
 @register(
@@ -444,7 +444,7 @@ def q_scene_points(spark, sf_dir):
     from skycat.functions.coords import scale_coords
 
     pts = processed(spark, sf_dir).select("id", "tracer", "x", "y", "z_cart")
-    capped = sampling.cap_points(pts, scaled_cap(scale_factor(sf_dir)), id_cols="id")
+    capped = sampling.cap_points(pts, scaled_cap(scale_factor(sf_dir, spark)), id_cols="id")
     # the capped set (at most the cap) is read once per tracer: checkpoint it
     # instead of recomputing the selection for every subset
     capped = capped.checkpoint(eager=True)

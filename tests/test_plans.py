@@ -150,3 +150,16 @@ def test_ingest_reports_a_fully_cut_file(spark, tmp):
     assert res.total == 50
     missing = {r.file_name for r in res.manifest.collect() if not r.present}
     assert len(missing) == 8 and "LRG_N_clustering.dat.fits" not in missing
+
+
+def test_scale_factor_from_name_or_data(spark):
+    from skycat.plans.derived import scale_factor
+
+    assert scale_factor("/root/testdata/sf0.01") == 0.01
+    assert scale_factor("/root/testdata/sf0.001/", spark) == 0.001
+    # a directory named without "sf": the scale comes from the lineitem count
+    os.makedirs("/tmp/skycat-scale-test", exist_ok=True)
+    link = "/tmp/skycat-scale-test/data"
+    if not os.path.exists(link):
+        os.symlink(SF_SMALL, link)
+    assert scale_factor(link, spark) == 0.001
