@@ -37,6 +37,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from skycat.schema import CATALOG_GLOB, FITS_EXTENSION
@@ -292,7 +293,8 @@ def _decode(rng: RowRange, buf: bytes, first_row: int, n: int) -> pa.RecordBatch
         if kind == "boolean":
             arrays.append(pa.array(v == ord("T")))
         elif kind == "string":
-            arrays.append(pa.array([s.rstrip(b"\x00 ").decode("ascii", errors="replace") for s in v], pa.string()))
+            # fixed-width ASCII, padded with blanks or NULs: trimmed in Arrow, not per row
+            arrays.append(pc.utf8_rtrim(pc.cast(pa.array(v), pa.string()), characters=" \x00"))
         elif kind.startswith("unsigned_"):
             target = NUMPY_OF[kind[len("unsigned_"):]]
             arrays.append(pa.array((v.astype(np.int64) + int(zero)).astype(target)))
