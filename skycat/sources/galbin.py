@@ -17,13 +17,14 @@ them.  A one-partition frame with option ``singleFile`` gives one file at
 exactly ``path``, byte-compatible with the original export.  A part holds at
 most 2^32 - 1 points (the header count is u32).
 
-Paths are POSIX paths that every executor sees (local disk in tests, a shared
-mount on a cluster).
+Paths are local paths or URIs of the cluster's shared storage (``hdfs://``,
+``s3://``, ``gs://``), accessed through ``pyarrow.fs``.  On local disk a part
+is streamed and its header patched in place; on object stores a task's part
+(bounded by its partition) is assembled first and written in one go.
 """
 
 from __future__ import annotations
 
-import glob
 import os
 import struct
 import uuid
@@ -31,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
@@ -39,6 +41,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
+from skycat.sources import fsio
 from skycat.schema import PACKED_HEADER_BYTES, PACKED_MAGIC, PACKED_RECORD_BYTES, PACKED_VERSION
 
 RECORD = np.dtype(
@@ -51,21 +54,22 @@ DEFAULT_RECORDS_PER_PARTITION = 4 << 20  # 64 MiB of records
 BATCH_RECORDS = 1 << 20
 
 
-def _local(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
+def _local(path: str) -> str | None:
+    """The local path of ``path``, or None when it lives on another file system."""
+    fs, p = fsio.resolve(path)
+    return p if isinstance(fs, pafs.LocalFileSystem) else None
 
 
 def list_files(path: str) -> list[str]:
-    path = _local(path)
-    if os.path.isdir(path):
-        return sorted(glob.glob(os.path.join(path, PART_GLOB)))
+    if fsio.is_dir(path):
+        return fsio.find(path, PART_GLOB, recursive=False)
     return [path]
 
 
 def read_header(path: str) -> int:
     """Validate one file's header and size; return its record count."""
-    size = os.path.getsize(path)
-    with open(path, "rb") as f:
+    size = fsio.size(path)
+    with fsio.open_input(path) as f:
         head = f.read(PACKED_HEADER_BYTES)
     if len(head) < PACKED_HEADER_BYTES:
         raise ValueError(f"{path}: truncated header ({len(head)} bytes)")
@@ -122,7 +126,7 @@ class GalbinReader(DataSourceReader):
     def read(self, partition: RecordRange):
         if partition.count == 0:
             return
-        with open(partition.path, "rb") as f:
+        with fsio.open_input(partition.path) as f:
             f.seek(PACKED_HEADER_BYTES + partition.start * PACKED_RECORD_BYTES)
             left = partition.count
             while left > 0:
@@ -157,19 +161,25 @@ def encode_batch(batch: pa.RecordBatch) -> np.ndarray:
 
 class GalbinWriter(DataSourceArrowWriter):
     def __init__(self, options, overwrite: bool):
-        self.path = _local(options.get("path"))
+        path = options.get("path")
+        self.path = _local(path) or path
         self.single = options.get("singleFile", "false").lower() == "true"
+        # assemble each part before writing (object stores, FUSE mounts that cannot
+        # seek back); the default decides by file system
+        self.assemble = options.get("assembleParts", "auto").lower()
         self.overwrite = overwrite
 
     def _dir(self) -> str:
-        return os.path.dirname(self.path) if self.single else self.path
+        return fsio.dirname(self.path) if self.single else self.path
 
     def write(self, iterator):
         from pyspark import TaskContext
 
         pid = TaskContext.get().partitionId()
+        tmp = fsio.join(self._dir() or ".", f".part-{pid:05d}-{uuid.uuid4().hex}.galbin.tmp")
+        if self.assemble == "true" or (self.assemble == "auto" and _local(tmp) is None):
+            return self._write_remote(tmp, pid, iterator)
         os.makedirs(self._dir() or ".", exist_ok=True)
-        tmp = os.path.join(self._dir() or ".", f".part-{pid:05d}-{uuid.uuid4().hex}.galbin.tmp")
         n = 0
         try:
             with open(tmp, "wb") as f:
@@ -189,43 +199,56 @@ class GalbinWriter(DataSourceArrowWriter):
             raise
         return PartWritten(tmp, pid, n)
 
+    def _write_remote(self, tmp: str, pid: int, iterator) -> PartWritten:
+        """Object stores cannot seek back to patch the count: this task's part
+        (bounded by its partition) is assembled first, then written in one go."""
+        bodies = [encode_batch(b).tobytes() for b in iterator]
+        n = sum(len(b) for b in bodies) // PACKED_RECORD_BYTES
+        if n > 0xFFFFFFFF:
+            raise ValueError(f"a part holds {n} points; the u32 header allows at most 2^32 - 1")
+        try:
+            fsio.write_bytes(tmp, [struct.pack("<IIII", PACKED_MAGIC, PACKED_VERSION, n, 0), *bodies])
+        except BaseException:
+            fsio.delete(tmp)
+            raise
+        return PartWritten(tmp, pid, n)
+
     def commit(self, messages):
         msgs = [m for m in messages if m is not None]
         # attempts that died after writing (lost executor, speculation) leave
         # temporaries that no commit message names: remove them
         keep = {m.tmp for m in msgs}
-        for stale in glob.glob(os.path.join(self._dir() or ".", ".part-*.galbin.tmp")):
-            if stale not in keep:
-                os.remove(stale)
+        if fsio.exists(self._dir() or "."):
+            for stale in fsio.find(self._dir() or ".", ".part-*.galbin.tmp", recursive=False):
+                if stale not in keep:
+                    fsio.delete(stale)
         if self.single:
             if not msgs:  # an empty input ran no task: the file is a header saying 0 points
-                if os.path.exists(self.path) and not self.overwrite:
+                if fsio.exists(self.path) and not self.overwrite:
                     raise FileExistsError(self.path)
-                os.makedirs(self._dir() or ".", exist_ok=True)
                 tmp = f"{self.path}.{uuid.uuid4().hex}.tmp"
-                with open(tmp, "wb") as f:
-                    f.write(struct.pack("<IIII", PACKED_MAGIC, PACKED_VERSION, 0, 0))
-                os.replace(tmp, self.path)
+                fsio.write_bytes(tmp, [struct.pack("<IIII", PACKED_MAGIC, PACKED_VERSION, 0, 0)])
+                fsio.move(tmp, self.path)
                 return
             if len(msgs) != 1:
                 for m in msgs:
-                    os.remove(m.tmp)
+                    fsio.delete(m.tmp)
                 raise ValueError(f"singleFile needs exactly one partition, got {len(msgs)}; coalesce(1) first")
-            if os.path.exists(self.path) and not self.overwrite:
-                os.remove(msgs[0].tmp)
+            if fsio.exists(self.path) and not self.overwrite:
+                fsio.delete(msgs[0].tmp)
                 raise FileExistsError(self.path)
-            os.replace(msgs[0].tmp, self.path)
+            fsio.move(msgs[0].tmp, self.path)
             return
-        if self.overwrite:
-            for old in glob.glob(os.path.join(self.path, PART_GLOB)):
-                os.remove(old)
+        if self.overwrite and fsio.exists(self.path):
+            for old in fsio.find(self.path, PART_GLOB, recursive=False):
+                fsio.delete(old)
         for m in sorted(msgs, key=lambda m: m.partition):
-            os.replace(m.tmp, os.path.join(self.path, f"part-{m.partition:05d}.galbin"))
+            fsio.move(m.tmp, fsio.join(self.path, f"part-{m.partition:05d}.galbin"))
 
     def abort(self, messages):
         for m in messages:
-            if m is not None and os.path.exists(m.tmp):
-                os.remove(m.tmp)
+            if m is not None:
+                fsio.delete(m.tmp)
 
 
 class GalbinDataSource(DataSource):

@@ -32,7 +32,7 @@ def pack_points(df: DataFrame) -> DataFrame:
     )
 
 
-def write_packed(df: DataFrame, path: str, *, single_file: bool = True) -> None:
+def write_packed(df: DataFrame, path: str, *, single_file: bool = True, assemble_parts: bool | None = None) -> None:
     """K3: write points (x, y, z_cart, tracer, z) as packed records.
 
     ``single_file`` coalesces to one task and writes exactly ``path`` (the web
@@ -48,6 +48,7 @@ def write_packed(df: DataFrame, path: str, *, single_file: bool = True) -> None:
         .mode("overwrite")
         .option("path", path)
         .option("singleFile", str(single_file).lower())
+        .option("assembleParts", "auto" if assemble_parts is None else str(assemble_parts).lower())
         .save()
     )
 

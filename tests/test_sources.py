@@ -304,3 +304,18 @@ def test_packed_write_of_empty_frame(spark, tmp):
     packed.write_packed(empty, path)
     assert open(path, "rb").read() == struct.pack("<IIII", 0x44455349, 1, 0, 0)
     assert packed.read_packed(spark, path).count() == 0
+
+
+def test_packed_assembled_parts_and_uri_paths(spark, tmp):
+    """The object-store write path (parts assembled, then written once) and
+    file:// URIs give the same files as the streaming local path."""
+    df = _points(spark, 300)
+    a = os.path.join(tmp, "a.bin")
+    b = "file://" + os.path.join(tmp, "b.bin")
+    packed.write_packed(df, a)
+    packed.write_packed(df, b, assemble_parts=True)
+    assert open(a, "rb").read() == open(os.path.join(tmp, "b.bin"), "rb").read()
+    parts = "file://" + os.path.join(tmp, "parts")
+    packed.write_packed(df.repartition(3), parts, single_file=False, assemble_parts=True)
+    assert packed.read_packed(spark, parts).count() == 300
+    assert not [f for f in os.listdir(os.path.join(tmp, "parts")) if f.endswith(".tmp")]
