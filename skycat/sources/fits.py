@@ -23,13 +23,13 @@ file), which together identify it.
 Supported column formats: L, B, I, J, K, E, D (repeat 1) and fixed-width A;
 ``TSCALn``/``TZEROn`` are applied (the unsigned conventions B/-128, I/32768,
 J/2^31 widen the type instead).  Variable-length columns (P, Q) can be skipped
-but not read; tile-compressed tables are refused.  Paths are POSIX paths that
-every executor can open (shared mount on a cluster).
+but not read; tile-compressed tables are refused.  Paths are local paths or
+URIs of shared storage (``hdfs://``, ``s3://``, ``gs://``), read through
+``pyarrow.fs``.
 """
 
 from __future__ import annotations
 
-import fnmatch
 import glob
 import os
 import re
@@ -41,6 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from skycat.schema import CATALOG_GLOB, FITS_EXTENSION
+from skycat.sources import fsio
 
 BLOCK = 2880
 CARD = 80
@@ -207,7 +208,7 @@ def _columns(h: dict) -> list[Column]:
 
 def scan_table(path: str, extname: str = FITS_EXTENSION) -> TableInfo:
     """Walk the HDUs of ``path`` and describe the BINTABLE named ``extname``."""
-    with open(path, "rb") as f:
+    with fsio.open_input(path) as f:
         first = True
         while True:
             h = read_header(f)
@@ -228,13 +229,12 @@ def scan_table(path: str, extname: str = FITS_EXTENSION) -> TableInfo:
 
 
 def list_files(path: str, pattern: str = CATALOG_GLOB) -> list[str]:
-    path = path[len("file:"):] if path.startswith("file:") else path
-    if os.path.isdir(path):
-        out = []
-        for root, _dirs, files in os.walk(path):
-            out += [os.path.join(root, n) for n in files if fnmatch.fnmatch(n, pattern)]
-        return sorted(out)
-    return sorted(glob.glob(path)) or [path]
+    """A directory (searched recursively for ``pattern``), a local glob, or one file."""
+    if fsio.is_dir(path):
+        return fsio.find(path, pattern)
+    if "://" not in path and any(ch in path for ch in "*?["):
+        return sorted(glob.glob(path[len("file:"):] if path.startswith("file:") else path)) or [path]
+    return [path]
 
 
 def _files_of(options) -> list[str]:
@@ -375,7 +375,7 @@ class FitsTableReader(DataSourceReader):
 
     def read(self, group: RangeGroup):
         for rng in group.ranges:
-            with open(rng.path, "rb") as f:
+            with fsio.open_input(rng.path) as f:
                 f.seek(rng.data_start + rng.start * rng.row_bytes)
                 done = 0
                 per_batch = max(1, self.batch_bytes // rng.row_bytes)

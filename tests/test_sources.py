@@ -319,3 +319,11 @@ def test_packed_assembled_parts_and_uri_paths(spark, tmp):
     packed.write_packed(df.repartition(3), parts, single_file=False, assemble_parts=True)
     assert packed.read_packed(spark, parts).count() == 300
     assert not [f for f in os.listdir(os.path.join(tmp, "parts")) if f.endswith(".tmp")]
+
+
+def test_fits_through_uri(spark, tmp):
+    cols = _fits_cols(100, seed=21)
+    fits.write_fits_table(os.path.join(tmp, "sub", "QSO_N_clustering.dat.fits"), cols)
+    df = cat.read_raw(spark, "file://" + tmp)
+    got = sorted(df.collect(), key=lambda r: r.row_index)
+    assert [r.RA for r in got] == list(cols["RA"]) and got[0].file_name == "QSO_N_clustering.dat.fits"
