@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,13 +89,15 @@ def metadata_document(sample: DataFrame, *, h0: float = H0, om0: float = OM0, da
 
 
 def write_metadata(doc: dict, path: str) -> None:
-    """K4 sink: indented JSON text (the document is one small row)."""
-    path = path[len("file:"):] if path.startswith("file:") else path
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    tmp = path + ".tmp"
-    with open(tmp, "w") as f:
-        f.write(json.dumps(doc, indent=2))
-    os.replace(tmp, path)
+    """K4 sink: indented JSON text (the document is one small row); written to a
+    temporary name and moved into place, on any file system pyarrow reaches."""
+    import uuid
+
+    from skycat.sources import fsio
+
+    tmp = f"{path}.{uuid.uuid4().hex}.tmp"
+    fsio.write_bytes(tmp, [json.dumps(doc, indent=2).encode("utf-8")])
+    fsio.move(tmp, path)
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
