@@ -118,3 +118,36 @@ def test_properties_over_random_rows(spark):
     assert out.rel.abs().max() < 1e-12
     sat = out.q == 65535
     assert (out.dz[~sat] <= 1e-6).all() and (out.dz[~sat] > -1.0001e-4).all()
+
+
+def test_checkpoint_dir_policy():
+    """A cluster session without spark.checkpoint.dir is refused; a configured
+    folder is used as is; only a local session gets a folder of its own."""
+    from skycat.session import ensure_checkpoint_dir
+
+    class Conf:
+        def __init__(self, d):
+            self.d = d
+
+        def get(self, key, default=None):
+            return self.d if key == "spark.checkpoint.dir" else default
+
+    class Ctx:
+        def __init__(self, master, d=None):
+            self.master, self.d = master, d
+
+        def getCheckpointDir(self):
+            return self.d
+
+        def setCheckpointDir(self, d):
+            self.d = d
+
+    class Session:
+        def __init__(self, master, conf_dir=None, ctx_dir=None):
+            self.sparkContext, self.conf = Ctx(master, ctx_dir), Conf(conf_dir)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Session("yarn"))
+    assert ensure_checkpoint_dir(Session("yarn", ctx_dir="hdfs://nn/ckpt/app")) == "hdfs://nn/ckpt/app"
+    assert ensure_checkpoint_dir(Session("k8s://x", conf_dir="s3a://b/ckpt")) == "s3a://b/ckpt"
+    assert ensure_checkpoint_dir(Session("local[2]")).startswith(__import__("tempfile").gettempdir())
