@@ -40,6 +40,10 @@ def test_ingest_has_no_shuffle(spark, tmp):
     fits.write_fits_table(os.path.join(tmp, "LRG_N_clustering.dat.fits"), {c: np.ones(10) for c in ("RA", "DEC", "Z")} | {"WEIGHT": np.ones(10, np.float32)})
     plan = _plan(process_catalog(cat.read_raw(spark, tmp)))
     assert "Exchange" not in plan and "BatchEvalPython" not in plan
+    # the distance / Cartesian projection and the cut run inside whole-stage codegen
+    codegen_lines = [line for line in plan.splitlines() if "*(" in line]
+    assert any("Project" in line and "SQRT" in line for line in codegen_lines)
+    assert any("Filter" in line for line in codegen_lines)
 
 
 def test_density_image_is_partial_then_final_aggregate(spark, catalog_path):
