@@ -108,9 +108,11 @@ def validate_catalog(df: DataFrame, dim: DataFrame | None = None) -> DataFrame:
     The range comes from the 4-row tracer dimension, broadcast to the tasks.
     Unknown tracers are reported with a null range (nothing counted outside).
     """
-    if dim is None:
-        dim = tracer_dim(df.sparkSession)
-    j = df.join(bounded_broadcast(dim.select("tracer", "z_min", "z_max")), "tracer", "left")
+    if dim is None:  # the built-in dimension: four rows, no need to count them
+        side = F.broadcast(tracer_dim(df.sparkSession).select("tracer", "z_min", "z_max"))
+    else:
+        side = bounded_broadcast(dim.select("tracer", "z_min", "z_max"))
+    j = df.join(side, "tracer", "left")
     z = F.col("z").cast("double")
     nonfinite = None
     for c in ("ra", "dec", "z", "x", "y", "z_cart"):
