@@ -42,3 +42,15 @@ def test_incremental_ingest(spark, tmp):
     batch = process_catalog(cat.read_raw(spark, raw, include_path=True), keep=("row_index", "path"))
     cols = ["catalog", "row_index", "x", "y", "z_cart", "tracer"]
     assert sorted(batch.select(*cols).collect()) == sorted(both.select(*cols).collect())
+
+
+def test_files_per_trigger_bound(spark, tmp):
+    raw, out, ck = (os.path.join(tmp, d) for d in ("raw", "out", "ck"))
+    os.makedirs(raw)
+    for i, name in enumerate(["LRG_N", "LRG_S", "QSO_N"]):
+        _write(raw, f"{name}_clustering.dat.fits", 40, 10 + i)
+    q = ingest_stream(spark, raw, out, ck, available_now=True, max_files_per_trigger=1)
+    q.awaitTermination(300)
+    batches = sorted(d for d in os.listdir(out) if d.startswith("batch="))
+    assert len(batches) == 3  # one file per micro-batch
+    assert spark.read.parquet(out).select("catalog").distinct().count() == 3
