@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, sharding
+from . import mixing, neardup, quality, sharding
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _NORMAL = r"regexp_replace(trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), ' '), '[0-9]', '0', 'g')"
@@ -40,6 +40,22 @@ OP7_SQL = (
     "WITH " + OP7_PARTS.format(docs="documents") + "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, removed_words FROM verdict7"
 )
 
+#: Shingle sets, links and components of operator 3 over a table ``{docs}``.
+OP3_PARTS = rf"""
+w3 AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM {{docs}}),
+s3 AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < {neardup.SHINGLE} THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - {neardup.SHINGLE} + 2), lambda i: array_to_string(w[i:i + {neardup.SHINGLE} - 1], ' '))) END AS s FROM w3),
+n3 AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s3),
+x3 AS (SELECT doc_id, unnest(s) AS sh FROM s3),
+i3 AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM x3 a JOIN x3 b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l3 AS (SELECT a, b FROM i3 JOIN n3 p ON p.doc_id = a JOIN n3 q ON q.doc_id = b WHERE 100 * i >= {neardup.PERCENT} * (p.n + q.n - i)),
+b3 AS (SELECT a, b FROM l3 UNION ALL SELECT b, a FROM l3),
+r3(doc_id, other) AS (SELECT doc_id, doc_id FROM n3 UNION SELECT r3.doc_id, b3.b FROM r3 JOIN b3 ON b3.a = r3.other),
+c3 AS (SELECT r3.doc_id, any_value(n3.n) AS n_shingles, min(other) AS component_id FROM r3 JOIN n3 USING (doc_id) GROUP BY r3.doc_id)
+"""
+
+OP3_SQL = "WITH RECURSIVE " + OP3_PARTS.format(docs="documents") + "SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM c3"
+
 _UNIT = "CAST(('0x' || substr(md5({0}), 1, 13))::BIGINT AS DOUBLE) / 4503599627370496.0"
 
 OP8_SQL = rf"""
@@ -81,12 +97,14 @@ FROM d JOIN p ON d.doc_id IS NOT DISTINCT FROM p.doc_id
 """
 
 QUERIES = {
+    "op3_coordinate_join": neardup.op3_coordinate_join,
     "op7_line_frequency": quality.op7_line_frequency,
     "op8_systematic_mix": mixing.op8_systematic_mix,
     "op10_rendezvous": sharding.op10_rendezvous,
 }
 
 SQL = {
+    "op3_coordinate_join": OP3_SQL,
     "op7_line_frequency": OP7_SQL,
     "op8_systematic_mix": OP8_SQL,
     "op10_rendezvous": OP10_SQL,
