@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, neardup, quality, sharding
+from . import bpe, mixing, neardup, quality, secrets, sharding, tokenfile
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _NORMAL = r"regexp_replace(trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), ' '), '[0-9]', '0', 'g')"
@@ -97,6 +97,8 @@ FROM d JOIN p ON d.doc_id IS NOT DISTINCT FROM p.doc_id
 """
 
 QUERIES = {
+    "op5_wavelet_files": tokenfile.op5_wavelet_files,
+    "op6_zstd_novelty": secrets.op6_zstd_novelty,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op3_coordinate_join": neardup.op3_coordinate_join,
     "op7_line_frequency": quality.op7_line_frequency,
