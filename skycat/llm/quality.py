@@ -70,7 +70,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
     d = d.withColumn("n_words", F.size("w").cast("long"))
     d = with_repeated_words(d, "w")
     d = d.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD)))
-    return d.select(
+    counts = F.struct(
         "doc_id",
         "host",
         document_key().alias("key"),
@@ -79,7 +79,9 @@ def base_counts(docs: DataFrame) -> DataFrame:
         F.length(F.regexp_replace("text", "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
-    ).withColumn(
+    )
+    # filters on the counts stay above this: pushed below, they would put the sort into each lambda call
+    return d.select(F.inline(F.array(counts))).withColumn(
         "base_failed",
         (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
     )
