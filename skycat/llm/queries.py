@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, hashing_ann, mixing, neardup, quality, secrets, sharding, suffixtree, tokenfile
+from . import bpe, hashing_ann, html_text, mixing, neardup, quality, secrets, sharding, suffixtree, tokenfile
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _NORMAL = r"regexp_replace(trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), ' '), '[0-9]', '0', 'g')"
@@ -97,6 +97,7 @@ FROM d JOIN p ON d.doc_id IS NOT DISTINCT FROM p.doc_id
 """
 
 QUERIES = {
+    "op9_boosted_dom": html_text.op9_boosted_dom,
     "op1_multi_index_hashing": hashing_ann.op1_multi_index_hashing,
     "op2_suffix_tree": suffixtree.op2_suffix_tree,
     "op5_wavelet_files": tokenfile.op5_wavelet_files,
