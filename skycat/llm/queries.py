@@ -96,7 +96,17 @@ SELECT d.doc_id, d.size, d.text_crc32, 'key' AS law, CAST(p.shard AS INTEGER) AS
 FROM d JOIN p ON d.doc_id IS NOT DISTINCT FROM p.doc_id
 """
 
+
+
+def pipeline(spark, sf_dir):
+    """All stages of corpus_pipeline.py over documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op9_boosted_dom": html_text.op9_boosted_dom,
     "op1_multi_index_hashing": hashing_ann.op1_multi_index_hashing,
     "op2_suffix_tree": suffixtree.op2_suffix_tree,
