@@ -13,14 +13,17 @@ of copies cost one signature.
    coordinates meet in both prefixes.  Values of one class only take places in the
    prefix and are skipped, as are values of passages that many documents share unless
    a document consists mostly of them.
-3. Links without all pairs: in each posting list the class whose coordinates are
-   commonest (a group's centre) is the hub, and every other class is tested against
-   it.  After these links are merged into components, only pairs whose classes still
-   lie in different components meet, by (value, component) keys, so members of one
-   component never meet each other again.  Every candidate pair is so either tested,
-   or already connected: components are those of all links.
-4. A candidate is first counted (at least T equal coordinates, sizes within 85 %) and
-   then confirmed on the full shingle sets: 100 * intersection >= 85 * union.
+3. Groups: in each posting list the class whose coordinates are commonest (the centre
+   of its copies) is the hub, and all lists of one hub form one group.  Two classes that
+   share a posting are in one group.  Groups above ``BLOCK_SHINGLES`` are cut into
+   blocks, and each two blocks meet in a task of their own, so a group of any size is
+   compared whole in bounded memory.
+4. In a group the hub is counted against all members first.  Members linked with it are
+   one component and are not compared with each other; every other member is counted
+   against all: at least T equal coordinates, then 100 * intersection >= 85 * union on
+   the full shingle sets, counted through an inverted list of the group's shingles.
+   Only links that join two parts are emitted (at most one per member), so a group of
+   thousands of near copies gives no pair table, and no link between parts is lost.
 
 Components come from alternating large-star and small-star steps over tables in the
 shared folder; nothing about documents goes to the driver but row counts.
@@ -37,8 +40,9 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skycat.session import ship_package
@@ -52,6 +56,9 @@ T = 29
 SHINGLE = 5
 PERCENT = 85
 
+#: Shingles of a block of a large group (two blocks are held at once).
+BLOCK_SHINGLES = 1_500_000
+
 _STEPS = splitmix(SHINGLE, 21) | np.uint64(1)
 _MULTIPLY = splitmix(K, 22) | np.uint64(1)
 _ADD = splitmix(K, 23)
@@ -106,10 +113,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, sets in _sets(batch.column(1)):
-            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([_print(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(values))], ["print", "shingles"]
+                [pa.array([_print(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["print", "shingles"]
             )
 
 
@@ -136,30 +141,77 @@ def prefix_postings(classes: DataFrame) -> DataFrame:
     return p.where(F.col("nth") <= F.col("n") - (T - 1)).select("print", "token", "weight")
 
 
-def _equal_coordinates(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-
-
-def counted(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) with enough equal coordinates and sizes near enough."""
-    c = classes.select("print", "sig", "n_shingles")
-    side = lambda x: c.select(F.col("print").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n_shingles").alias(f"n_{x}"))
-    j = pairs.join(side("a"), "a").join(side("b"), "b")
-    near = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
-    return j.where(near & (_equal_coordinates(F.col("sig_a"), F.col("sig_b")) >= T)).select("a", "b")
+def group_links(sets: list[np.ndarray], sig: np.ndarray, hub: int) -> list[tuple[int, int]]:
+    """Links that join the parts of one group, as pairs of positions; ``hub`` is tried first."""
+    sizes = np.array([len(x) for x in sets])
+    n = len(sets)
+    every = np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    values = every[order]
+    member = np.repeat(np.arange(n), sizes)[order]
+    root = np.arange(n)
+    links: list[tuple[int, int]] = []
+
+    def compare(i: int) -> None:
+        open_ = (root != root[i]) & ((sig == sig[i]).sum(1) >= T)
+        open_ &= 100 * np.minimum(sizes, sizes[i]) >= PERCENT * np.maximum(sizes, sizes[i])
+        if not open_.any():
+            return
+        # merge the inverted lists of this member's shingles
+        first, last = np.searchsorted(values, sets[i], "left"), np.searchsorted(values, sets[i], "right")
+        count = last - first
+        at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        both = np.bincount(member[at], minlength=n)
+        for j in np.flatnonzero(open_ & (100 * both >= PERCENT * (sizes + sizes[i] - both))).tolist():
+            if root[j] != root[i]:
+                links.append((i, j))
+                root[root == root[j]] = root[i]
+
+    compare(hub)
+    for i in np.flatnonzero(root != root[hub]).tolist():
+        compare(i)
+    return links
+
+
+def _compared(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.drop_duplicates("print")
+    prints, hub = rows["print"].tolist(), bytes(rows["hub"].iloc[0])
+    names = [bytes(x) for x in prints]
+    sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
+    sig = np.array(rows["sig"].tolist(), np.int32).reshape(len(rows), K)
+    links = group_links(sets, sig, names.index(hub) if hub in names else 0)
+    return pd.DataFrame({"a": [names[i] for i, _ in links], "b": [names[j] for _, j in links]}, dtype=object)
+
+
+def grouped(posts: DataFrame) -> DataFrame:
+    """(hub, print): the members of each hub's posting lists, the hub among them."""
+    hubs = posts.groupBy("token").agg(F.max(F.struct("weight", "print")).alias("hub"), F.count("*").alias("n")).where("n > 1")
+    return posts.join(hubs, "token").select(F.col("hub.print").alias("hub"), "print").distinct()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs whose full shingle sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("print")).union(pairs.select(F.col("b").alias("print"))).distinct()
-    some_doc = ids.join(classes.select("print", "some_id"), "print").select("some_id").distinct()
+def links_of(groups: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Confirmed links (a, b) that connect all linked classes of each group."""
+    members = groups.select("print").distinct().join(classes, "print")
+    some_doc = members.select("some_id").distinct()
     texts = docs.select("doc_id", "text").join(some_doc, F.col("doc_id").eqNullSafe(F.col("some_id")), "left_semi")
-    sets = texts.mapInArrow(_full_sets, "print binary, shingles array<bigint>")
-    sets = sets.dropDuplicates(["print"])
-    side = lambda x: sets.select(F.col("print").alias(x), F.col("shingles").alias(f"set_{x}"))
-    j = pairs.join(side("a"), "a").join(side("b"), "b")
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    return j.where(100 * both >= PERCENT * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
+    sets = texts.mapInArrow(_full_sets, "print binary, shingles binary").groupBy("print").agg(F.first("shingles").alias("shingles"))
+    sized = groups.join(classes.select("print", "n_shingles"), "print")
+    volume = sized.groupBy("hub").agg((F.floor(F.sum("n_shingles") / BLOCK_SHINGLES) + 1).cast("int").alias("blocks"))
+    placed = groups.join(volume, "hub").withColumn("own", F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int"))
+    # a member of block i goes to every pair of blocks with i in it; the hub to all pairs
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda j: F.struct(F.least(F.col("own"), j).alias("i"), F.greatest(F.col("own"), j).alias("j")),
+    )
+    all_pairs = F.flatten(
+        F.transform(
+            F.sequence(F.lit(0), F.col("blocks") - 1),
+            lambda i: F.transform(F.sequence(i, F.col("blocks") - 1), lambda j: F.struct(i.alias("i"), j.alias("j"))),
+        )
+    )
+    dealt = placed.select("hub", "print", F.explode(F.when(F.col("print") == F.col("hub"), all_pairs).otherwise(pairs)).alias("at"))
+    rows = dealt.join(sets, "print").join(classes.select("print", "sig"), "print")
+    return rows.select("hub", "at", "print", "shingles", "sig").groupBy("hub", "at").applyInPandas(_compared, "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -192,35 +244,9 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         "classes",
     )
     posts = written(prefix_postings(classes), "postings")
-    hubs = posts.groupBy("token").agg(F.max(F.struct("weight", "print")).alias("hub"), F.count("*").alias("n")).where("n > 1")
-    stars = (
-        posts.join(hubs, "token")
-        .where(F.col("print") != F.col("hub.print"))
-        .select(F.least("print", "hub.print").alias("a"), F.greatest("print", "hub.print").alias("b"))
-        .distinct()
-    )
-    stars = written(counted(stars, classes), "candidates")
-    links = written(confirmed(stars, docs, classes), "confirmed")
-    first = written(components(links), "components")
-    # classes of different components that share a token: the only pairs still open
-    placed = posts.join(first, F.col("print") == F.col("node"), "left").select("print", "token", F.coalesce("root", "print").alias("comp"))
-    placed = written(placed, "placed")
-    groups = placed.groupBy("token", "comp").agg(F.count("*").alias("n"))
-    mixed = groups.join(groups.groupBy("token").agg(F.count("*").alias("comps")).where("comps > 1").select("token"), "token")
-    meet = mixed.select("token", F.col("comp").alias("comp_a")).join(mixed.select("token", F.col("comp").alias("comp_b")), "token").where("comp_a < comp_b")
-    rest = (
-        meet.join(placed.select("token", F.col("comp").alias("comp_a"), F.col("print").alias("x")), ["token", "comp_a"])
-        .join(placed.select("token", F.col("comp").alias("comp_b"), F.col("print").alias("y")), ["token", "comp_b"])
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
-    rest = written(counted(rest, classes), "open")
-    if rest.isEmpty():
-        return sigs, first.select(F.col("node").alias("print"), "root")
-    more = confirmed(rest, docs, classes)
-    every = components(links.union(more))
-    return sigs, every.select(F.col("node").alias("print"), "root")
+    groups = written(grouped(posts), "groups")
+    links = written(links_of(groups, docs, classes), "confirmed")
+    return sigs, components(links).select(F.col("node").alias("print"), "root")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
