@@ -36,7 +36,7 @@ from skycat.session import ship_package
 from skycat.sources import fsio
 
 from .common import shared_folder, table
-from .pieces import Memo, pieces
+from .pieces import MEMO_CHARS, MEMO_PIECES, Memo, pieces
 
 MAGIC = b"SKWM"
 VERSION = 1
@@ -189,32 +189,44 @@ _coders: dict[str, tuple] = {}
 
 
 class _Coder:
-    """Ids of texts by the tokenizers library, new pieces of a batch encoded in one call."""
+    """Ids of texts by the tokenizers library; pieces not seen before are encoded together."""
+
+    JOINED = 2000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.memo = Memo(lambda p: self._pack(self.tokenizer.encode(p, add_special_tokens=False).ids))
-
-    @staticmethod
-    def _pack(ids) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+        vocabulary = self.tokenizer.get_vocab()
+        self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each id: a character of its name is a byte
+        for name, i in vocabulary.items():
+            self.lengths[i] = len(name)
+        self.memo = Memo(lambda p: self._ids(p).tobytes())
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, new: list[str]) -> None:
+        """Encode pieces in runs; as no match reaches over a piece, the ids part where the bytes of a piece end."""
+        runs = [new[i : i + self.JOINED] for i in range(0, len(new), self.JOINED)]
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = np.cumsum([len(p.encode()) for p in run])
+            cut = (np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1).tolist()
+            packed = ids.tobytes()
+            self.memo.update(zip(run, (packed[4 * a : 4 * b] for a, b in zip([0, *cut], cut, strict=False)), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [pieces(t) for t in texts]
         memo = self.memo
-        if len(memo) > 500_000:
+        if len(memo) > MEMO_PIECES:
             memo.clear()
-        new = list({p for c in cut for p in c if p not in memo})
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                memo[p] = self._pack(e.ids)
+        new = {p for c in cut for p in c if p not in memo}
+        self._learn([p for p in new if p[:1] == " " and not p[-1].isspace()])
         out = [b"".join(map(memo.__getitem__, c)) for c in cut]
         for p in new:
-            if len(p) > 48:
+            if len(p) > MEMO_CHARS:
                 memo.pop(p, None)
         return out
 
