@@ -41,9 +41,9 @@ _ASSIGN_HINTS = ("passw", "secret", "token", "api")
 #: Sensitive names; how far before a candidate; its least length; cost in per cent of its length; text around it.
 CONTEXT = re.compile(r"key|secret|token|passw|pwd|auth|cred|bearer|private|signature", re.IGNORECASE | re.ASCII)
 _CONTEXT_HINTS = ("key", "secret", "token", "passw", "pwd", "auth", "cred", "bearer", "private", "signature")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 REACH = 40
 LEAST = 16
+CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST},}}={{0,2}}")
 NOVEL = 60
 AROUND = 256
 
