@@ -108,7 +108,9 @@ def novel_spans(text: str, low: str, taken: list[tuple[int, int, str]]) -> list[
                 t += 1
             if any(s < b and e > a for s, e, _ in taken[t : t + 3]) or not any("0" <= x <= "9" for x in c[0]):
                 continue
-            if 100 * cost(text[max(0, a - AROUND) : a], c[0], text[b : b + AROUND]) >= NOVEL * (b - a):
+            # its own copies nearby do not make it ordinary
+            before, after = text[max(0, a - AROUND) : a].replace(c[0], ""), text[b : b + AROUND].replace(c[0], "")
+            if 100 * cost(before, c[0], after) >= NOVEL * (b - a):
                 out.append((a, b, "novel"))
     return out
 
