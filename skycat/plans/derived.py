@@ -17,7 +17,6 @@ nominal range.
 
 from __future__ import annotations
 
-import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,24 +43,6 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-LINEITEM_ROWS_PER_SF = 6_000_000  # TPC-H: lineitem holds about 6 M rows per unit of scale
-
-
-def scale_factor(sf_dir: str, spark: SparkSession | None = None, default: float = 1.0) -> float:
-    """'.../sf0.01' -> 0.01 (used to scale sampling targets with the data).
-
-    Without an ``sf`` in the name, and given a session, the scale comes from the
-    data: lineitem rows / 6 M (a count Spark answers from Parquet metadata).
-    """
-    m = re.search(r"sf([0-9]*\.?[0-9]+)", sf_dir)
-    if m:
-        return float(m.group(1))
-    if spark is not None:
-        n = spark.read.parquet(table_path(sf_dir, "lineitem")).count()
-        return round(n / LINEITEM_ROWS_PER_SF, 6)
-    return default
-
-
 def raw_catalog(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
     """The raw catalogue of ``sf_dir``, written once per session as Parquet.
 

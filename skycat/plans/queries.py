@@ -33,7 +33,7 @@ from skycat.functions.sqltext import dlit, slit
 from skycat.operators import sampling, summary, view
 from skycat.operators.dims import tracer_name_sql
 from skycat.operators.ingest import process_catalog
-from skycat.plans.derived import raw_catalog, raw_catalog_sql, scale_factor
+from skycat.plans.derived import raw_catalog, raw_catalog_sql
 from skycat.schema import MANIFEST, SAMPLE_SEED, SCENE_MAX_POINTS, TARGET_PER_TRACER, TRACERS
 from skycat.sources import packed
 from skycat.sources.tables import scratch_path
@@ -139,26 +139,19 @@ def q_catalog_total(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 
-ORACLE_SF = 0.01  # the driver runs the SQL twins at sf0.01
-
-
-def scaled_targets(sf: float) -> dict[int, int]:
-    """The export's per-tracer targets scaled with the data (1000/1500/1500/1000 at sf0.01)."""
-    return {t: max(1, int(round(n * sf))) for t, n in TARGET_PER_TRACER.items()}
-
-
-def scaled_cap(sf: float) -> int:
-    return max(1, int(round(SCENE_MAX_POINTS * sf)))
+#: What the sampling queries draw at every scale: points per tracer, and the cap of the scene.
+QUERY_TARGETS = {t: n // 200 for t, n in TARGET_PER_TRACER.items()}
+QUERY_CAP = SCENE_MAX_POINTS // 400
 
 
 def sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.weighted_stratified_sample(
-        processed(spark, sf_dir), scaled_targets(scale_factor(sf_dir, spark)), id_cols="id"
+        processed(spark, sf_dir), QUERY_TARGETS, id_cols="id"
     )
 
 
-def _targets_sql(sf: float) -> str:
-    rows = ", ".join(f"({t}, {n})" for t, n in scaled_targets(sf).items())
+def _targets_sql() -> str:
+    rows = ", ".join(f"({t}, {n})" for t, n in QUERY_TARGETS.items())
     return f"targets AS (SELECT * FROM (VALUES {rows}) v(tracer, target))"
 
 
@@ -182,12 +175,12 @@ SAMPLE_CTE = """sample AS (SELECT ra, dec, z, x, y, z_cart, weight, tracer, cata
          SELECT *, row_number() OVER (PARTITION BY tracer ORDER BY _key, id) AS _rank FROM keyed)
        WHERE _rank <= n)"""
 
-SAMPLE_CTES = (PROCESSED_CTE, WC_CTE, STATS_CTE, _targets_sql(ORACLE_SF), PLAN_CTE, KEYED_CTE, SAMPLE_CTE)
+SAMPLE_CTES = (PROCESSED_CTE, WC_CTE, STATS_CTE, _targets_sql(), PLAN_CTE, KEYED_CTE, SAMPLE_CTE)
 
 
 @register("weighted_sample", with_ctes("SELECT * FROM sample", *SAMPLE_CTES))
 def q_weighted_sample(spark, sf_dir):
-    """Weighted stratified sample per tracer, targets scaled with sf."""
+    """Weighted stratified sample per tracer, the same targets at every scale."""
     return sample(spark, sf_dir)
 
 
@@ -239,14 +232,14 @@ def q_shuffled_sample(spark, sf_dir):
         f"""SELECT x, y, z_cart, tracer, id FROM (
   SELECT *, row_number() OVER (ORDER BY {uniform_sql(f'{SAMPLE_SEED}:key', 'id')}, id) AS _rank,
          count(*) OVER () AS _n FROM processed)
-WHERE _n <= {scaled_cap(ORACLE_SF)} OR _rank <= {scaled_cap(ORACLE_SF)}""",
+WHERE _n <= {QUERY_CAP} OR _rank <= {QUERY_CAP}""",
         PROCESSED_CTE,
     ),
 )
 def q_capped_points(spark, sf_dir):
-    """S5 + W2: projected scan, capped to the scene's point budget (scaled with sf)."""
+    """S5 + W2: projected scan, capped to a fixed point budget."""
     pts = processed(spark, sf_dir).select("x", "y", "z_cart", "tracer", "id")
-    return sampling.cap_points(pts, scaled_cap(scale_factor(sf_dir, spark)), id_cols="id")
+    return sampling.cap_points(pts, QUERY_CAP, id_cols="id")
 
 
 @register(
@@ -435,7 +428,7 @@ def q_visible_points(spark, sf_dir):
        CAST(z_cart * {dlit(0.001)} AS FLOAT) AS z_cart FROM (
   SELECT *, row_number() OVER (ORDER BY {uniform_sql(f'{SAMPLE_SEED}:key', 'id')}, id) AS _rank,
          count(*) OVER () AS _n FROM processed)
-WHERE tracer IN (SELECT DISTINCT tracer FROM processed) AND (_n <= {scaled_cap(ORACLE_SF)} OR _rank <= {scaled_cap(ORACLE_SF)})""",
+WHERE tracer IN (SELECT DISTINCT tracer FROM processed) AND (_n <= {QUERY_CAP} OR _rank <= {QUERY_CAP})""",
         PROCESSED_CTE,
     ),
 )
@@ -444,7 +437,7 @@ def q_scene_points(spark, sf_dir):
     from skycat.functions.coords import scale_coords
 
     pts = processed(spark, sf_dir).select("id", "tracer", "x", "y", "z_cart")
-    capped = sampling.cap_points(pts, scaled_cap(scale_factor(sf_dir, spark)), id_cols="id")
+    capped = sampling.cap_points(pts, QUERY_CAP, id_cols="id")
     # the capped set (at most the cap) is read once per tracer: checkpoint it
     # instead of recomputing the selection for every subset
     capped = capped.checkpoint(eager=True)

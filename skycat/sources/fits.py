@@ -395,7 +395,7 @@ class FitsTableDataSource(DataSource):
 
     def _columns(self) -> list[Column]:
         files = _files_of(self.options)
-        if not files or not os.path.exists(files[0]):
+        if not files or not fsio.exists(files[0]):
             raise FileNotFoundError(f"no FITS files at {self.options.get('path')}")
         info = scan_table(files[0], self.options.get("extname", FITS_EXTENSION))
         return _requested(info, self.options.get("columns"))

@@ -16,19 +16,32 @@ import pyarrow.fs as pafs
 def resolve(path: str) -> tuple[pafs.FileSystem, str]:
     if path.startswith("file:") and not path.startswith("file://"):
         path = "file://" + path[len("file:"):]  # Spark's file:/x form
+    if path.startswith(("s3a://", "s3n://")):
+        path = "s3://" + path.split("://", 1)[1]  # Spark's names of the same store
     if "://" in path:
         return pafs.FileSystem.from_uri(path)
     return pafs.LocalFileSystem(), path
 
 
 def _uri(fs: pafs.FileSystem, p: str, like: str) -> str:
-    """Give back a path in the caller's spelling (keep the scheme of ``like``)."""
+    """Give back a path in the caller's spelling (keep the scheme and host of ``like``)."""
     if "://" in like and not like.startswith("file:"):
-        scheme = like.split("://", 1)[0]
-        return f"{scheme}://{p}" if not p.startswith(f"{scheme}://") else p
+        scheme, rest = like.split("://", 1)
+        host = rest.split("/", 1)[0]
+        if p.startswith(f"{scheme}://"):
+            return p
+        if p.startswith("/"):  # hdfs: the path without its name node
+            return f"{scheme}://{host}{p}"
+        if "@" in host:  # abfss: container/path without the account
+            return f"{scheme}://{host}/{p.split('/', 1)[1]}"
+        return f"{scheme}://{p}"
     return p
 
 
+def name(path: str) -> str:
+    return posixpath.basename(path)
+
+
 def open_input(path: str):
     fs, p = resolve(path)
     return fs.open_input_file(p)

@@ -26,6 +26,7 @@ is streamed and its header patched in place; on object stores a task's part
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 from dataclasses import dataclass
@@ -168,6 +169,7 @@ class GalbinWriter(DataSourceArrowWriter):
         # seek back); the default decides by file system
         self.assemble = options.get("assembleParts", "auto").lower()
         self.overwrite = overwrite
+        self.job = uuid.uuid4().hex[:12]  # in all names of this write, so that others' files stay untouched
 
     def _dir(self) -> str:
         return fsio.dirname(self.path) if self.single else self.path
@@ -176,7 +178,7 @@ class GalbinWriter(DataSourceArrowWriter):
         from pyspark import TaskContext
 
         pid = TaskContext.get().partitionId()
-        tmp = fsio.join(self._dir() or ".", f".part-{pid:05d}-{uuid.uuid4().hex}.galbin.tmp")
+        tmp = fsio.join(self._dir() or ".", f".part-{self.job}-{pid:05d}-{uuid.uuid4().hex}.galbin.tmp")
         if self.assemble == "true" or (self.assemble == "auto" and _local(tmp) is None):
             return self._write_remote(tmp, pid, iterator)
         os.makedirs(self._dir() or ".", exist_ok=True)
@@ -219,7 +221,7 @@ class GalbinWriter(DataSourceArrowWriter):
         # temporaries that no commit message names: remove them
         keep = {m.tmp for m in msgs}
         if fsio.exists(self._dir() or "."):
-            for stale in fsio.find(self._dir() or ".", ".part-*.galbin.tmp", recursive=False):
+            for stale in fsio.find(self._dir() or ".", f".part-{self.job}-*.galbin.tmp", recursive=False):
                 if stale not in keep:
                     fsio.delete(stale)
         if self.single:
@@ -239,11 +241,14 @@ class GalbinWriter(DataSourceArrowWriter):
                 raise FileExistsError(self.path)
             fsio.move(msgs[0].tmp, self.path)
             return
-        if self.overwrite and fsio.exists(self.path):
-            for old in fsio.find(self.path, PART_GLOB, recursive=False):
-                fsio.delete(old)
-        for m in sorted(msgs, key=lambda m: m.partition):
-            fsio.move(m.tmp, fsio.join(self.path, f"part-{m.partition:05d}.galbin"))
+        old = fsio.find(self.path, PART_GLOB, recursive=False) if fsio.exists(self.path) else []
+        # appended parts are numbered after those there, in ten digits, so that text order is row order
+        first = 0 if self.overwrite else 1 + max((int(re.search(r"part-(\d+)", fsio.name(p))[1]) for p in old), default=-1)
+        for m in msgs:
+            fsio.move(m.tmp, fsio.join(self.path, f"part-{first + m.partition:010d}-{self.job}.galbin"))
+        if self.overwrite:  # old parts go last: a crash before leaves them whole
+            for p in old:
+                fsio.delete(p)
 
     def abort(self, messages):
         for m in messages:

@@ -47,22 +47,12 @@ def duck():
     return con
 
 
-ORACLE_SF_TARGETED = {"exported_point_count", "weighted_sample", "sample_summary", "sample_bounds", "shuffled_sample", "capped_points", "scene_points", "exported_points", "export_metadata"}
-
-
-@pytest.mark.parametrize("name", sorted(__import__("__spark_entry__").oracle_sql()))
+@pytest.mark.parametrize("name", sorted(__import__("skycat.plans.queries", fromlist=["SQL"]).SQL))
 def test_query_matches_duckdb(spark, duck, name):
-    """Every registered query equals its SQL twin (sf0.001; targets scaled to sf0.01 in
-    the SQL are rescaled here through the same helper)."""
+    """Every registered query equals its SQL twin."""
     import __spark_entry__ as e
-    from skycat.plans import queries as Q
 
     sql = e.oracle_sql()[name]
-    if name in ORACLE_SF_TARGETED:
-        # the SQL twins carry sf0.01 targets; rebuild them for sf0.001
-        for t, n in Q.scaled_targets(Q.ORACLE_SF).items():
-            sql = sql.replace(f"({t}, {n})", f"({t}, {Q.scaled_targets(0.001)[t]})")
-        sql = sql.replace(f"<= {Q.scaled_cap(Q.ORACLE_SF)}", f"<= {Q.scaled_cap(0.001)}")
     want = duck.sql(sql).to_arrow_table()
     got = e.queries()[name](spark, SF_SMALL).toArrow()
     assert {f.name: str(f.type) for f in got.schema} == {f.name: str(f.type) for f in want.schema}
@@ -150,16 +140,3 @@ def test_ingest_reports_a_fully_cut_file(spark, tmp):
     assert res.total == 50
     missing = {r.file_name for r in res.manifest.collect() if not r.present}
     assert len(missing) == 8 and "LRG_N_clustering.dat.fits" not in missing
-
-
-def test_scale_factor_from_name_or_data(spark):
-    from skycat.plans.derived import scale_factor
-
-    assert scale_factor("/root/testdata/sf0.01") == 0.01
-    assert scale_factor("/root/testdata/sf0.001/", spark) == 0.001
-    # a directory named without "sf": the scale comes from the lineitem count
-    os.makedirs("/tmp/skycat-scale-test", exist_ok=True)
-    link = "/tmp/skycat-scale-test/data"
-    if not os.path.exists(link):
-        os.symlink(SF_SMALL, link)
-    assert scale_factor(link, spark) == 0.001

@@ -351,3 +351,35 @@ def test_write_per_catalog_and_combined(spark, tmp):
     a = cat.read_catalog(spark, k1).select("id", "x").collect()
     b = cat.read_catalog(spark, k2).select("id", "x").collect()
     assert sorted(a) == sorted(b) and len(a) == 5766
+
+
+def test_packed_append_keeps_all_rows_and_other_jobs_files(spark, tmp):
+    from skycat.sources import galbin
+
+    galbin.register(spark)
+    path = os.path.join(tmp, "packed")
+    rows = lambda a, b: spark.createDataFrame([(float(i), 0.0, 0.0, 1, 2) for i in range(a, b)], galbin.SCHEMA)
+    rows(0, 10).repartition(2).write.format("galbin").mode("append").save(path)
+    open(os.path.join(path, ".part-otherjob-00000-x.galbin.tmp"), "w").close()
+    rows(10, 20).repartition(3).write.format("galbin").mode("append").save(path)
+    assert spark.read.format("galbin").load(path).count() == 20
+    assert os.path.exists(os.path.join(path, ".part-otherjob-00000-x.galbin.tmp"))
+    rows(0, 4).write.format("galbin").mode("overwrite").save(path)
+    assert spark.read.format("galbin").load(path).count() == 4
+
+
+def test_uris_keep_their_host():
+    from skycat.sources import fsio
+
+    assert fsio._uri(None, "/a/b", "hdfs://nn:8020/a") == "hdfs://nn:8020/a/b"
+    assert fsio._uri(None, "bucket/a/b", "s3a://bucket/a") == "s3a://bucket/a/b"
+    assert fsio._uri(None, "box/a/b", "abfss://box@account.example/a") == "abfss://box@account.example/a/b"
+
+
+def test_one_fits_file_by_uri(spark, tmp):
+    from skycat.sources import fits
+
+    path = os.path.join(tmp, "LRG_N_clustering.dat.fits")
+    fits.write_fits_table(path, {"RA": np.arange(5.0), "DEC": np.arange(5.0), "Z": np.ones(5), "WEIGHT": np.ones(5, np.float32)})
+    fits.register(spark)
+    assert spark.read.format("fits_table").load(f"file://{path}").count() == 5
