@@ -7,16 +7,28 @@ Pieces repeat, so an encoder keeps what it found for the last ones.
 
 from __future__ import annotations
 
+import re
+
 #: Longest piece that is remembered, and how many pieces a worker remembers (about 120 MB).
 MEMO_CHARS = 48
 MEMO_PIECES = 600_000
 
 
+_RARE = re.compile("[" + "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n") + "]")
+
+
+def plain(text: str) -> bool:
+    """Whether every space of the text stands alone between two non-spaces."""
+    if text[:1] == " " or text[-1:] == " " or "  " in text or " \n" in text or "\n " in text:
+        return False
+    return _RARE.search(text) is None
+
+
 def pieces(text: str) -> list[str]:
     """The text's pieces in order; all but the first begin with their space."""
     parts = text.split(" ")
-    if not _open(parts):
-        return [parts[0], *[" " + p for p in parts[1:]]] if len(parts) > 1 else parts
+    if plain(text):
+        return [parts[0], *[" " + p for p in parts[1:]]]
     # runs of white space: a cut needs a non-space on both sides
     out, run = [], [parts[0]]
     for p in parts[1:]:
@@ -30,10 +42,6 @@ def pieces(text: str) -> list[str]:
     return out
 
 
-def _open(parts: list[str]) -> bool:
-    return "" in parts or any(p[0].isspace() or p[-1].isspace() for p in parts)
-
-
 class Memo(dict):
     """piece -> encoded bytes; forgets all when full, so its memory is bounded."""
 

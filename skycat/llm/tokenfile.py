@@ -36,13 +36,14 @@ from skycat.session import ship_package
 from skycat.sources import fsio
 
 from .common import shared_folder, table
-from .pieces import MEMO_CHARS, MEMO_PIECES, Memo, pieces
+from .pieces import MEMO_CHARS, MEMO_PIECES, pieces, plain
 
 MAGIC = b"SKWM"
 VERSION = 1
 HEADER = struct.Struct("<4sIQQII")
 SHARD_IDS = 4_000_000
 END_ID = 2
+RUN_BYTES = 4_000_000  # texts that are encoded together
 _BLOCK = 512  # bits a rank entry covers
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
@@ -89,10 +90,11 @@ def build(ids: np.ndarray, bits: int) -> list[tuple[np.ndarray, int]]:
     """(packed bits, zeros) of each plane, top bit first."""
     out = []
     for level in range(bits - 1, -1, -1):
-        one = (ids >> np.array(level, ids.dtype) & np.array(1, ids.dtype)).astype(bool)
+        one = (ids & ids.dtype.type(1 << level)) != 0
         zeros = ids[~one]
         out.append((np.packbits(one), len(zeros)))
-        ids = np.concatenate([zeros, ids[one]])
+        if level:
+            ids = np.concatenate([zeros, ids[one]])
     return out
 
 
@@ -175,23 +177,30 @@ class TokenFile:
 
     def ids(self) -> np.ndarray:
         """All ids in text order, from the lowest plane up; keeps one plane at a time."""
-        out = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if self.bits <= 16 else np.uint32
+        out = np.zeros(self.n, kind)
         for k in range(self.bits - 1, -1, -1):
             one = np.unpackbits(np.frombuffer(self._unpack(self._raw[k]), np.uint8), count=self.n).view(bool)
-            up = np.empty(self.n, np.uint32)
+            up = np.empty(self.n, kind)
             up[~one] = out[: self.zeros[k]]
-            up[one] = out[self.zeros[k] :] | np.uint32(1 << (self.bits - 1 - k))
+            up[one] = out[self.zeros[k] :] | kind(1 << (self.bits - 1 - k))
             out = up
         return out
 
 
-_coders: dict[str, tuple] = {}
+_coders: dict[str, _Coder] = {}
 
 
 class _Coder:
-    """Ids of texts by the tokenizers library; pieces not seen before are encoded together."""
+    """Ids of texts by the tokenizers library, which sees each distinct word of a run of texts once.
 
-    JOINED = 2000
+    Texts are cut at their single spaces and the words numbered (Arrow's dictionary
+    encoding); words not remembered are encoded together, and the ids of all texts are
+    gathered from the table of distinct words.
+    """
+
+    JOINED = 50
+    GATHER = 1 << 20
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -202,34 +211,80 @@ class _Coder:
         self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each id: a character of its name is a byte
         for name, i in vocabulary.items():
             self.lengths[i] = len(name)
-        self.memo = Memo(lambda p: self._ids(p).tobytes())
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def _learn(self, new: list[str]) -> None:
-        """Encode pieces in runs; as no match reaches over a piece, the ids part where the bytes of a piece end."""
-        runs = [new[i : i + self.JOINED] for i in range(0, len(new), self.JOINED)]
-        for run, e in zip(runs, self.tokenizer.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False), strict=True):
+        # word -> ids with the space before it, for the words met last: two halves, the older one given up when full
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of words in runs; as no match reaches over a single space, the ids part where a word's bytes end."""
+        joinable = [w for w in new if w and not w[-1].isspace()]
+        runs = [joinable[i : i + self.JOINED] for i in range(0, len(joinable), self.JOINED)]
+        found: dict[str, bytes] = {}
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast([" " + " ".join(r) for r in runs], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
-            ends = np.cumsum([len(p.encode()) for p in run])
-            cut = (np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1).tolist()
+            ends = np.cumsum([len(w.encode()) + 1 for w in run])
+            cut = (4 * np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 4).tolist()
             packed = ids.tobytes()
-            self.memo.update(zip(run, (packed[4 * a : 4 * b] for a, b in zip([0, *cut], cut, strict=False)), strict=True))
+            found.update(zip(run, (packed[a:b] for a, b in zip([0, *cut], cut, strict=False)), strict=True))
+        rest = [w for w in new if w not in found]
+        found.update(zip(rest, self._each([" " + w for w in rest]), strict=True))
+        return found
+
+    def _table(self, distinct: list[str]) -> list[bytes]:
+        """The ids of each word, its space before it."""
+        table = list(map(self.recent.get, distinct))
+        unknown = [i for i, ids in enumerate(table) if ids is None]
+        if unknown:
+            again = {distinct[i]: self.older[distinct[i]] for i in unknown if distinct[i] in self.older}
+            found = again | self._learn([distinct[i] for i in unknown if distinct[i] not in again])
+            for i in unknown:
+                table[i] = found[distinct[i]]
+            for w, ids in found.items():
+                if len(w) < MEMO_CHARS:
+                    if len(self.recent) >= MEMO_PIECES // 2:
+                        self.recent, self.older = {}, self.recent
+                    self.recent[w] = ids
+        return table
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [pieces(t) for t in texts]
-        memo = self.memo
-        if len(memo) > MEMO_PIECES:
-            memo.clear()
-        new = {p for c in cut for p in c if p not in memo}
-        self._learn([p for p in new if p[:1] == " " and not p[-1].isspace()])
-        out = [b"".join(map(memo.__getitem__, c)) for c in cut]
-        for p in new:
-            if len(p) > MEMO_CHARS:
-                memo.pop(p, None)
+        out: list[bytes] = [b""] * len(texts)
+        even = [i for i, t in enumerate(texts) if plain(t)]
+        self._even(texts, even, out)
+        for i in set(range(len(texts))).difference(even):
+            head, *tail = pieces(texts[i])
+            out[i] = b"".join([*self._each([head]), *self._table([w[1:] for w in tail])])
         return out
 
+    def _even(self, texts: list[str], even: list[int], out: list[bytes]) -> None:
+        import pyarrow.compute as pc
+
+        if not even:
+            return
+        cut = pc.split_pattern(pa.array([texts[i] for i in even], pa.large_string()), " ")
+        words = cut.flatten().dictionary_encode()
+        number = words.indices.to_numpy().copy()
+        at = cut.offsets.to_numpy()
+        heads = [texts[i].split(" ", 1)[0] for i in even]
+        number[at[:-1]] = len(words.dictionary) + np.arange(len(heads))
+        table = self._table(words.dictionary.to_pylist()) + self._each(heads)
+        packed = np.frombuffer(b"".join(table), "<u4")
+        length = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        begin = np.cumsum(length) - length
+        ids, ends = [], [np.zeros(1, np.int64)]
+        for a in range(0, len(number), self.GATHER):
+            n = number[a : a + self.GATHER]
+            size = length[n]
+            end = np.cumsum(size)
+            ids.append(packed[np.arange(end[-1]) + np.repeat(begin[n] - (end - size), size)])
+            ends.append(ends[-1][-1] + end)
+        every, bounds = memoryview(np.concatenate(ids)).cast("B"), 4 * np.concatenate(ends)[at]
+        for i, a, b in zip(even, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            out[i] = bytes(every[a:b])
+
 
 def _coder(path: str) -> _Coder:
     if path not in _coders:
@@ -237,6 +292,19 @@ def _coder(path: str) -> _Coder:
     return _coders[path]
 
 
+def runs_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of about RUN_BYTES of text (column 1); a longer text is a run of its own."""
+    import pyarrow.compute as pc
+
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < batch.num_rows:
+        before = size[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(size, before + RUN_BYTES, "right")))
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Write the shard files in ascending doc_id order; one row per file (name, documents, ids)."""
     ship_package(docs.sparkSession)
@@ -268,8 +336,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = END
             return row
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                rows = batch.slice(i, 256)
+            for rows in runs_of(batch):
                 for d, e in zip(rows.column(0).to_pylist(), coder.encode([t or "" for t in rows.column(1).to_pylist()]), strict=True):
                     doc_ids.append(d)
                     parts.append(e + end)
