@@ -18,17 +18,17 @@ Physical plan, for any size of catalogue and any skew between strata:
    p = 1 - exp(-w c) (weighted) or p = c (uniform), and
    sum(1 - exp(-w c)) >= c sum(w) - c^2 sum(w^2) / 2, so the smaller root of
    that quadratic is a safe cutoff.  When the weights are too concentrated for
-   the bound, one extra pass evaluates the expectation on a doubling grid of
-   cutoffs.  The expected survivors are ~T, independent of the catalogue size;
-3. a narrow filter ``key <= cutoff`` keeps those rows, which are persisted,
-   counted (a stratum that fell short is redone without cutoff) and ranked
-   exactly: with ``row_number`` per stratum while n is at most
-   SINGLE_TASK_RANK_LIMIT, else by a range-partitioned global order whose
-   positions come from per-partition offsets.
-
-No step sorts or shuffles the whole catalogue, and no task ranks more than
-~2.2 M rows, whatever the sample size or the skew between strata.  Only the
-cutoff is probabilistic; the result is exact.
+   the bound, two extra passes evaluate the expectation on a grid of cutoffs
+   over all doubles, first coarse, then by doublings, so a cutoff is always
+   found.  The expected survivors are ~T, independent of the catalogue size;
+3. a narrow filter ``key <= cutoff`` keeps those rows, which are counted (a
+   stratum that fell short is redone with a larger cutoff) and ranked exactly
+   by a range-partitioned global order whose positions come from per-partition
+   offsets.
+
+No step sorts or shuffles the whole catalogue, and no task ranks more than a
+range partition of the survivors, whatever the sample size, the weights or the
+skew between strata.  Only the cutoff is probabilistic; the result is exact.
 """
 
 from __future__ import annotations
@@ -44,10 +44,10 @@ from skycat.schema import SAMPLE_SEED
 
 import math
 
-GRID_STEPS = 48  # doubling grid of cutoffs for concentrated weights
-# A stratum's survivors (~1.1 n rows) are ranked inside one task only while n
-# is at most this; beyond it the ranking is spread over range partitions.
-SINGLE_TASK_RANK_LIMIT = 2_000_000
+# Cutoffs are searched on c0 * 2^(GRID_JUMP * j), then on the doublings between
+# two of these: 50 * 44 binary orders span all positive doubles.
+GRID_STEPS = 50
+GRID_JUMP = 44
 
 
 @dataclass(frozen=True)
@@ -134,7 +134,7 @@ def plan_strata(df: DataFrame, targets: dict[int, int], stratum: str, weight: st
 
 
 def _with_cutoff(p: StratumPlan) -> StratumPlan:
-    """Analytic cutoff (None: keep every row of the stratum; nan: needs the grid)."""
+    """Analytic cutoff (None: the stratum has at most ``want`` rows, all are kept; nan: needs the grid)."""
     from dataclasses import replace
 
     rows = p.n_pos if p.weighted else p.available
@@ -148,28 +148,40 @@ def _with_cutoff(p: StratumPlan) -> StratumPlan:
     return replace(p, cutoff=2.0 * p.want / (p.wsum + math.sqrt(disc)))
 
 
+def _scaled(c: float, exponent: int) -> float:
+    """c * 2^exponent; beyond the largest double: infinity."""
+    try:
+        return math.ldexp(c, exponent)
+    except OverflowError:
+        return math.inf
+
+
+def _first_reaching(df: DataFrame, grids: dict[int, list[float]], want: dict[int, float], stratum: str, weight: str) -> dict[int, int]:
+    """Per stratum the first of its cutoffs c with E(c) = sum(1 - exp(-w c)) >= want, as an index (one pass)."""
+    s, wc = F.col(stratum), clipped_weight(weight)
+    steps = range(max(len(g) for g in grids.values()))
+    aggs = [F.sum(-F.expm1(-_case(s, {t: F.lit(g[j]) for t, g in grids.items()}) * wc)).alias(f"e{j}") for j in steps]
+    rows = df.where(s.isin(list(grids)) & (wc > 0)).groupBy(stratum).agg(*aggs).collect()
+    return {r[stratum]: next((j for j in steps if r[f"e{j}"] >= want[r[stratum]]), len(steps) - 1) for r in rows}
+
+
 def _grid_cutoffs(df: DataFrame, plans: list[StratumPlan], stratum: str, weight: str) -> list[StratumPlan]:
-    """For strata whose weights defeat the moment bound: evaluate
-    E(c) = sum(1 - exp(-w c)) on c = c0 * 2^j in one pass and take the first c
-    with E(c) >= want (E is concave, so E(2c) <= 2 E(c): at most ~2x survivors)."""
+    """For strata whose weights defeat the moment bound: the smallest cutoff of the
+    grid with E(c) >= want, in two passes.  The coarse grid ends at infinity, where
+    every positive weight passes, so there is one (E is concave, so E(2c) <= 2 E(c):
+    at most ~2x survivors)."""
     from dataclasses import replace
 
-    need = [p for p in plans if p.cutoff is not None and math.isnan(p.cutoff)]
+    need = {p.stratum: p for p in plans if p.cutoff is not None and math.isnan(p.cutoff)}
     if not need:
         return plans
-    s = F.col(stratum)
-    base = {p.stratum: p.want / p.wsum for p in need}  # c0 <= the cutoff needed
-    wc = clipped_weight(weight)
-    c0 = _case(s, {t: F.lit(v) for t, v in base.items()})
-    aggs = [F.sum(F.lit(1.0) - F.exp(-(c0 * F.lit(float(2**j))) * wc)).alias(f"e{j}") for j in range(GRID_STEPS)]
-    rows = df.where(s.isin(list(base)) & (wc > 0)).groupBy(stratum).agg(*aggs).collect()
-    found = {}
-    for r in rows:
-        t = r[stratum]
-        want = next(p.want for p in need if p.stratum == t)
-        j = next((j for j in range(GRID_STEPS) if r[f"e{j}"] >= want), None)
-        found[t] = None if j is None else base[t] * 2**j
-    return [replace(p, cutoff=found.get(p.stratum)) if p in need else p for p in plans]
+    want = {t: p.want for t, p in need.items()}
+    # E(want / wsum) <= want, so the cutoff is not below it
+    coarse = {t: [_scaled(p.want / p.wsum, GRID_JUMP * j) for j in range(GRID_STEPS)] for t, p in need.items()}
+    at = _first_reaching(df, coarse, want, stratum, weight)
+    fine = {t: [_scaled(coarse[t][max(0, at[t] - 1)], j) for j in range(GRID_JUMP + 1)] for t in need}
+    at = _first_reaching(df, fine, want, stratum, weight)
+    return [replace(p, cutoff=fine[p.stratum][at[p.stratum]]) if p.stratum in need else p for p in plans]
 
 
 def _keyed(
@@ -197,17 +209,12 @@ def weighted_stratified_sample(
     weight: str | None = "weight",
     stratum: str = "tracer",
     seed: int = SAMPLE_SEED,
-    single_task_limit: int | None = None,
     stats_out: list | None = None,
     hash_method: str = "md5",
 ) -> DataFrame:
     """Per stratum min(target, available) rows, drawn without replacement
     with probability proportional to max(weight, 0).
 
-    Strata asking for at most ``single_task_limit`` rows (default
-    SINGLE_TASK_RANK_LIMIT) are ranked with one window per stratum; larger
-    requests with a distributed global ranking.  Both are exact.
-
     * strata with no rows, or absent from ``targets``, are left out;
     * a stratum whose weights sum to nothing (or hold a NaN) is sampled uniformly;
     * an infinite weight, or fewer positive weights than n, raises ValueError.
@@ -217,8 +224,6 @@ def weighted_stratified_sample(
     given, receives the per-stratum plans (rows available, n, mode).
     ``hash_method`` "xxhash64" makes the keys cheaper (no SQL twin).
     """
-    if single_task_limit is None:
-        single_task_limit = SINGLE_TASK_RANK_LIMIT
     ident = _ident(id_cols)
     plans = plan_strata(df, targets, stratum, weight)
     if weight:
@@ -236,35 +241,20 @@ def weighted_stratified_sample(
         return kept
     keyed = _keyed(df, plans, stratum, weight, ident, seed, hash_method)
     cut = {p.stratum: p.cutoff for p in plans if p.cutoff is not None}
-    survivors = keyed
-    if cut:
-        survivors = keyed.where(~s.isin(list(cut)) | (F.col("_key") <= _case(s, {t: F.lit(c) for t, c in cut.items()})))
-        survivors = survivors.persist(StorageLevel.MEMORY_AND_DISK)
-        counts = {r[stratum]: r["n"] for r in survivors.groupBy(stratum).agg(F.count(F.lit(1)).alias("n")).collect()}
+    while True:
+        low = ~s.isin(list(cut)) | (F.col("_key") <= _case(s, {t: F.lit(c) for t, c in cut.items()})) if cut else F.lit(True)
+        survivors = keyed.where(low).persist(StorageLevel.MEMORY_AND_DISK)
+        counts = {r[stratum]: r["n"] for r in survivors.groupBy(stratum).agg(F.count(F.lit(1)).alias("n")).collect()} if cut else {}
         short = [p.stratum for p in plans if p.stratum in cut and counts.get(p.stratum, 0) < p.n]
-        if short:  # fell short of n (about 1e-15 likely): redo those strata without cutoff
-            survivors = survivors.where(~s.isin(short)).unionByName(keyed.where(s.isin(short)))
-    small = [p for p in plans if p.n <= single_task_limit]
-    large = [p for p in plans if p.n > single_task_limit]
-    parts = []
-    if small:
-        parts.append(_top_n_window(survivors.where(s.isin([p.stratum for p in small])), small, stratum))
-    if large:
-        parts.append(_top_n_ranked(survivors.where(s.isin([p.stratum for p in large])), large, stratum))
-    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    out = out.drop("_key", "_ident")
+        if not short:
+            break
+        survivors.unpersist()  # fell short of n (about 1e-15 likely): more rows of those strata
+        cut.update({t: _scaled(cut[t], 1) for t in short})
+    out = _top_n_ranked(survivors, plans, stratum).drop("_key", "_ident")
+    survivors.unpersist()  # the ranked rows are checkpointed
     return out if kept is None else kept.unionByName(out)
 
 
-def _top_n_window(survivors: DataFrame, plans: list[StratumPlan], stratum: str) -> DataFrame:
-    """n smallest keys per stratum with ``row_number``: one shuffle; a stratum's
-    ~1.1 n survivors are ranked in one task (used while n is small)."""
-    s = F.col(stratum)
-    limit = _case(s, {p.stratum: F.lit(p.n) for p in plans})
-    rank = F.row_number().over(Window.partitionBy(stratum).orderBy("_key", "_ident"))
-    return survivors.withColumn("_rank", rank).where(F.col("_rank") <= limit).drop("_rank")
-
-
 def _top_n_ranked(survivors: DataFrame, plans: list[StratumPlan], stratum: str) -> DataFrame:
     """n smallest keys per stratum for any n: a range-partitioned global order
     on (stratum, key, identity) numbered by per-partition offsets; a row's rank
@@ -313,7 +303,7 @@ def with_position(df: DataFrame, order: list[str], name: str = "position") -> Da
     from ``monotonically_increasing_id`` (partition << 33 | local index).  The
     sorted table is checkpointed (reliably, in the checkpoint folder) so that
     both passes see identical partitions; the per-partition counts (one row per
-    partition) are turned into offsets and broadcast back.
+    partition) are turned into offsets and joined back.
     """
     spark = df.sparkSession
     from skycat.session import ensure_checkpoint_dir
@@ -326,7 +316,7 @@ def with_position(df: DataFrame, order: list[str], name: str = "position") -> Da
         "_pid",
         (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))).alias("_off"),
     ).fillna(0, ["_off"])
-    out = sorted_df.join(F.broadcast(offsets), part == F.col("_pid"), "left")
+    out = sorted_df.join(offsets, part == F.col("_pid"), "left")
     local = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
     return out.withColumn(name, F.col("_off") + local).drop("_mid", "_pid", "_off")
 

@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 
 from skycat.functions.hashing import hash52, hash52_sql, salted_text, uniform, uniform_sql
 from skycat.functions.sqltext import dlit, slit
-from skycat.operators.partitioning import spread
 from skycat.schema import DEFAULT_TRACER, MANIFEST, TRACER_PREFIXES
 
 # Per-tracer redshift generator (offset, span): reaches a little past each
@@ -76,7 +75,7 @@ def derive_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linenumber").cast("string"),
         F.round(F.col("l_extendedprice") * F.lit(100)).cast("bigint").cast("string"),
     )
-    df = spread(li).select("l_quantity", ident.alias("id"))
+    df = li.select("l_quantity", ident.alias("id"))
     df = df.withColumns(
         {
             "_idx": (hash52(salted_text("cat", F.col("id"))) % len(MANIFEST) + 1).cast("int"),

@@ -20,10 +20,6 @@ from skycat.schema import SAMPLE_SEED, TARGET_PER_TRACER
 from skycat.session import ensure_checkpoint_dir
 from skycat.sources import packed
 
-# One task writes the single-file export; above this many points the export
-# is written as a directory of part files instead (each task its own part).
-SINGLE_FILE_MAX_POINTS = 32 << 20  # 512 MiB of records
-
 
 @dataclass
 class ExportResult:
@@ -39,12 +35,11 @@ def export_web(
     targets: dict[int, int] | None = None,
     id_cols=("catalog", "row_index"),
     seed: int = SAMPLE_SEED,
-    single_file: bool | None = None,
+    single_file: bool = True,
     hash_method: str = "md5",
 ) -> ExportResult:
-    """``single_file``: None decides by size (one file while the sample has at
-    most SINGLE_FILE_MAX_POINTS points); True insists on one file and raises
-    beyond the bound; False always writes parts."""
+    """``single_file``: True writes ``galaxies.bin``, as the viewer reads it; False a
+    folder ``galaxies`` of parts, one a task, for targets beyond what one file should hold."""
     spark = catalog.sparkSession
     ensure_checkpoint_dir(spark)
     cols = ["x", "y", "z_cart", "z", "tracer", "weight"] + ([id_cols] if isinstance(id_cols, str) else list(id_cols))
@@ -54,11 +49,6 @@ def export_web(
         cat, targets or TARGET_PER_TRACER, id_cols=id_cols, seed=seed, stats_out=stats, hash_method=hash_method
     )
     smp = smp.checkpoint(eager=True)
-    total = sum(p.n for p in stats)
-    if single_file is None:
-        single_file = total <= SINGLE_FILE_MAX_POINTS
-    elif single_file and total > SINGLE_FILE_MAX_POINTS:
-        raise ValueError(f"a {total}-point sample is too large for one file; use single_file=False")
     shuffled = sampling.shuffle_points(smp, id_cols=id_cols, seed=seed, hash_method=hash_method)
     binary = f"{out_dir.rstrip('/')}/galaxies.bin" if single_file else f"{out_dir.rstrip('/')}/galaxies"
     packed.write_packed(shuffled, binary, single_file=single_file)

@@ -433,18 +433,11 @@ WHERE tracer IN (SELECT DISTINCT tracer FROM processed) AND (_n <= {QUERY_CAP} O
     ),
 )
 def q_scene_points(spark, sf_dir):
-    """Projected scan (S5) -> cap (W2) -> per-tracer split (A5, W5) -> scale."""
+    """Projected scan (S5) -> cap (W2) -> scale (P8), in one pass; W5's sink splits by directory."""
     from skycat.functions.coords import scale_coords
 
     pts = processed(spark, sf_dir).select("id", "tracer", "x", "y", "z_cart")
-    capped = sampling.cap_points(pts, QUERY_CAP, id_cols="id")
-    # the capped set (at most the cap) is read once per tracer: checkpoint it
-    # instead of recomputing the selection for every subset
-    capped = capped.checkpoint(eager=True)
-    parts = sampling.split_by_tracer(capped)
-    from functools import reduce
-
-    return scale_coords(reduce(DataFrame.unionByName, parts.values()), 0.001)
+    return scale_coords(sampling.cap_points(pts, QUERY_CAP, id_cols="id"), 0.001)
 
 
 def _projected_sql() -> str:
@@ -503,17 +496,11 @@ def q_manifest_status(spark, sf_dir):
 
 @register("combined_catalogs", with_ctes("SELECT * FROM processed", PROCESSED_CTE))
 def q_combined_catalogs(spark, sf_dir):
-    """K1 -> U1: per-catalogue tables (one per manifest entry) concatenated by name, no dedup."""
-    from skycat.operators.ingest import combine_catalogs
-    from skycat.schema import CATALOG_SUFFIX
-
+    """K1 -> U1: every per-catalogue table of the tree, whatever its name, as one scan; no dedup."""
     from skycat.sources.tables import materialized
 
-    # K1 layout: one directory per catalogue; each subset scan prunes to its own
     per_catalog = materialized(spark, f"per-catalog-v1-{sf_dir}", lambda: process(spark, sf_dir), ("catalog",))
-    labels = [m.replace(CATALOG_SUFFIX, "") for m in MANIFEST]
-    parts = [per_catalog.where(F.col("catalog") == lab) for lab in labels]
-    return combine_catalogs(*parts).select(*processed(spark, sf_dir).columns)
+    return per_catalog.select(*processed(spark, sf_dir).columns)
 
 
 @register(

@@ -56,10 +56,9 @@ def test_sampling_never_sorts_the_catalogue(spark, catalog_path):
     cat = spark.read.parquet(catalog_path)
     out = sampling.weighted_stratified_sample(cat, {0: 10, 1: 10, 2: 10, 3: 10}, id_cols=("catalog", "z", "x"))
     plan = _plan(out)
-    # the window's input is the persisted survivor set, never the scan itself
-    assert "InMemoryTableScan" in plan
-    window_input = plan.split("Window")[1]
-    assert "FileScan parquet" not in window_input.split("InMemoryTableScan")[0]
+    # ranked rows come from the checkpointed order of the survivors: no scan, and no window over a stratum
+    assert "Scan ExistingRDD" in plan and "FileScan parquet" not in plan
+    assert not [line for line in plan.splitlines() if "Window" in line and "tracer" in line]
 
 
 def test_summary_aggregates_are_partial(spark, catalog_path):

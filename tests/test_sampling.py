@@ -135,14 +135,34 @@ def test_split_by_tracer(spark):
     assert sorted(parts) == [0, 1, 3] and parts[0].count() == 2
 
 
-def test_distributed_ranking_equals_window_ranking(spark):
+def test_ranking_is_the_same_on_any_partitioning(spark):
     rows = [(f"r{i}", i % 3, 0.25 + (i % 11)) for i in range(6000)]
     df = _cat(spark, rows)
     t = {0: 500, 1: 1999, 2: 40}
     a = _ids(sampling.weighted_stratified_sample(df, t, id_cols="id"))
-    b = _ids(sampling.weighted_stratified_sample(df.repartition(9), t, id_cols="id", single_task_limit=0))
-    c = _ids(sampling.weighted_stratified_sample(df, t, id_cols="id", single_task_limit=100))  # mixed
-    assert a == b == c and len(a) == sum(t.values())
+    b = _ids(sampling.weighted_stratified_sample(df.repartition(9), t, id_cols="id"))
+    assert a == b == _oracle_ids(df, t) and len(a) == sum(t.values())
+
+
+@pytest.mark.parametrize("heavy", [3e38, 1e300])
+def test_one_huge_weight_still_gets_a_cutoff(spark, heavy):
+    rows = [(f"r{i}", i % 2, heavy if i < 2 else 1.0 + i % 7) for i in range(4000)]
+    df = _cat(spark, rows).withColumn("weight", F.lit(None).cast("double"))
+    df = df.withColumn("weight", F.when(F.col("id").isin("r0", "r1"), F.lit(heavy)).otherwise(F.substring("id", 2, 9).cast("double") % 7 + 1.0))
+    plans = sampling._grid_cutoffs(df, sampling.plan_strata(df, {0: 50, 1: 50}, "tracer", "weight"), "tracer", "weight")
+    for p in plans:
+        assert 0 < p.cutoff < math.inf
+        others = df.where((F.col("tracer") == p.stratum) & (F.col("weight") < heavy)).agg(F.sum(-F.expm1(-F.col("weight") * p.cutoff))).first()[0]
+        assert p.want <= others + 1.001 and others <= 2.01 * p.want
+    got = _ids(sampling.weighted_stratified_sample(df, {0: 50, 1: 50}, id_cols="id"))
+    assert got == _oracle_ids(df, {0: 50, 1: 50}) and {"r0", "r1"} <= set(got)
+
+
+def test_nothing_stays_cached(spark):
+    df = _cat(spark, [(f"r{i}", 0, 1.0) for i in range(2000)])
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    sampling.weighted_stratified_sample(df, {0: 20}, id_cols="id").count()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
 
 
 def _oracle_ids(df, targets):
