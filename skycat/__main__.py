@@ -45,6 +45,7 @@ def main(argv: list[str] | None = None) -> int:
     p = sub.add_parser("process", help="FITS catalogues -> processed Parquet")
     p.add_argument("raw")
     p.add_argument("processed")
+    p.add_argument("--require-manifest", action="store_true", help="exit with 1 if a catalogue of the manifest is missing")
     e = sub.add_parser("export", help="processed catalogue -> packed sample + metadata")
     e.add_argument("processed")
     e.add_argument("web")
@@ -63,6 +64,7 @@ def main(argv: list[str] | None = None) -> int:
     args = ap.parse_args(argv)
 
     spark = _session()
+    failed = False
     if args.cmd == "process":
         from skycat.plans.ingest import ingest
 
@@ -71,6 +73,7 @@ def main(argv: list[str] | None = None) -> int:
         missing = [row.file_name for row in res.manifest.collect() if not row.present]
         if missing:
             print(f"missing from the manifest: {len(missing)}: {', '.join(sorted(missing))}")
+            failed = args.require_manifest
         print(f"combined catalogue: {res.total:,} galaxies -> {res.output}")
     elif args.cmd == "export":
         from skycat.plans.export import export_web
@@ -101,7 +104,7 @@ def main(argv: list[str] | None = None) -> int:
 
         validate_catalog(read_catalog(spark, args.processed)).orderBy("tracer").show()
     spark.stop()
-    return 0
+    return int(failed)
 
 
 if __name__ == "__main__":

@@ -10,11 +10,11 @@ reader then sees many files per catalogue, and rows are identified by
 
 from __future__ import annotations
 
-import os
-
 import numpy as np
 from pyspark.sql import DataFrame
 
+from skycat.sources import fsio
+
 
 def write_fits_catalogs(raw: DataFrame, root: str) -> DataFrame:
     """``raw``: file_name, RA, DEC, Z (double), WEIGHT (float).  Returns one row
@@ -42,7 +42,7 @@ def write_fits_catalogs(raw: DataFrame, root: str) -> DataFrame:
                 "Z": t.column("Z").to_numpy()[idx].astype(np.float64),
                 "WEIGHT": t.column("WEIGHT").to_numpy()[idx].astype(np.float32),
             }
-            path = os.path.join(root, f"part-{pid:05d}", name)
+            path = fsio.join(fsio.join(root, f"part-{pid:05d}"), name)
             write_fits_table(path, cols)
             paths.append(path)
             counts.append(len(idx))

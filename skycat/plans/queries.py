@@ -128,6 +128,36 @@ def q_processed_catalog(spark, sf_dir):
     return process(spark, sf_dir)
 
 
+def ingest_fits(spark: SparkSession, sf_dir: str):
+    """The raw catalogue as FITS files in the shared folder, then the whole of E1 on them."""
+    import uuid
+
+    from skycat.plans.fixtures import write_fits_catalogs
+    from skycat.plans.ingest import ingest
+
+    root = scratch_path(spark, f"fits-{uuid.uuid4().hex}")
+    write_fits_catalogs(raw_catalog(spark, sf_dir), f"{root}/raw").write.parquet(f"{root}/files")
+    return ingest(spark, f"{root}/raw", f"{root}/processed")
+
+
+@register(
+    "fits_catalog",
+    with_ctes("SELECT ra, dec, z, x, y, z_cart, weight, tracer, catalog FROM processed", PROCESSED_CTE),
+)
+def q_fits_catalog(spark, sf_dir):
+    """E1 from FITS bytes: S1 -> S3 -> P1-P7 -> K1 -> S4."""
+    from skycat.sources.catalog import read_catalog
+
+    columns = ["ra", "dec", "z", "x", "y", "z_cart", "weight", "tracer", "catalog"]
+    return read_catalog(spark, ingest_fits(spark, sf_dir).output, columns)
+
+
+@register("fits_summary", SQL["catalog_summary"])
+def q_fits_summary(spark, sf_dir):
+    """A1 as E1 returns it: the summary of the catalogue written from FITS files."""
+    return ingest_fits(spark, sf_dir).summary
+
+
 @register("catalog_total", with_ctes("SELECT count(*) AS n_galaxies FROM processed", PROCESSED_CTE))
 def q_catalog_total(spark, sf_dir):
     """A2: rows in the combined catalogue."""
@@ -470,6 +500,26 @@ def q_density_image(spark, sf_dir):
     return view.render(processed(spark, sf_dir), z_cutoff=VIEW_Z_CUTOFF, hidden=VIEW_HIDDEN)
 
 
+@register(
+    "rendered_export",
+    with_ctes(
+        view.density_image_sql("splatted"),
+        *SAMPLE_CTES,
+        f"exported AS (SELECT x, y, z_cart, tracer, {decode_z_sql(encode_z_sql('z'))} AS z FROM sample)",
+        f"""colored AS (SELECT x, y, z_cart, tracer, z, ({_RGB_SQL})[1] AS r, ({_RGB_SQL})[2] AS g,
+       ({_RGB_SQL})[3] AS b, CAST({dlit(0.7)} AS DOUBLE) AS alpha FROM exported WHERE NOT {_hidden_sql('tracer', 'z')})""",
+        f"proj AS ({view.project_points_sql('colored')})",
+        f"splatted AS ({view.splat_sql('proj')})",
+    ),
+)
+def q_rendered_export(spark, sf_dir):
+    """E3 from an export, as the viewer starts: S6 + S7 -> P13 -> P12 -> G1-G4."""
+    from skycat.plans.export import read_export
+
+    points, _ = read_export(spark, export_sample(spark, sf_dir))
+    return view.render(points, z_cutoff=VIEW_Z_CUTOFF, hidden=VIEW_HIDDEN)
+
+
 # ---------------------------------------------------------------------------
 # Manifest, union, split, counts
 # ---------------------------------------------------------------------------

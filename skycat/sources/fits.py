@@ -474,11 +474,6 @@ def write_fits_table(path: str, columns: dict[str, np.ndarray], extname: str = F
     """Write a FITS file: primary HDU, any extra HDUs, then the table."""
     import uuid
 
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     tmp = f"{path}.{uuid.uuid4().hex}.tmp"  # a retried or speculative task writes its own file
-    with open(tmp, "wb") as f:
-        f.write(primary_hdu())
-        for hdu in before:
-            f.write(hdu)
-        f.write(bintable_bytes(columns, extname))
-    os.replace(tmp, path)
+    fsio.write_bytes(tmp, [primary_hdu(), *before, bintable_bytes(columns, extname)])
+    fsio.move(tmp, path)

@@ -61,6 +61,20 @@ def test_sampling_never_sorts_the_catalogue(spark, catalog_path):
     assert not [line for line in plan.splitlines() if "Window" in line and "tracer" in line]
 
 
+def test_union_of_all_catalogues_is_one_scan(spark):
+    from skycat.plans.queries import QUERIES
+
+    plan = _plan(QUERIES["combined_catalogs"](spark, "/root/testdata/sf0.001"))
+    assert plan.count("FileScan parquet") == 1 and "Union" not in plan and "PartitionFilters: []" in plan
+
+
+def test_scene_is_one_pass_over_the_capped_points(spark):
+    from skycat.plans.queries import QUERIES
+
+    plan = _plan(QUERIES["scene_points"](spark, "/root/testdata/sf0.001"))
+    assert "Union" not in plan and plan.count("Scan ExistingRDD") + plan.count("FileScan parquet") <= 2
+
+
 def test_summary_aggregates_are_partial(spark, catalog_path):
     plan = _plan(summary.validate_catalog(spark.read.parquet(catalog_path)))
     assert "partial_count" in plan and "BroadcastExchange" in plan
