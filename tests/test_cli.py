@@ -18,7 +18,7 @@ def test_process_then_export(spark, tmp):
     from skycat.plans.fixtures import write_fits_catalogs
 
     raw = os.path.join(tmp, "raw")
-    write_fits_catalogs(raw_catalog(spark, SF_SMALL), raw).collect()
+    write_fits_catalogs(raw_catalog(spark, SF_SMALL).repartition(4), raw).collect()
     out = _run("process", raw, os.path.join(tmp, "processed"), tmp=tmp)
     assert out.returncode == 0, out.stderr[-2000:]
     assert "5,766 galaxies" in out.stdout and "LRG_N" in out.stdout
