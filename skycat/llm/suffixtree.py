@@ -3,24 +3,25 @@
 Symbols are lower-cased (A-Z) words and one end per text.  The root gives
 P0(x) = (c(x) + 0.5) / (N + 0.5 * (V + 1)).  A state is a context of up to three words.
 
-Learning reads all training texts:
+Learning reads all training texts, and nothing in it depends on the size of the corpus:
 1. Counts of all words (Spark: pre-aggregated per task, summed by word).
-2. Counts of what follows each common word, then each common pair and triple.  A
-   context is looked at if it makes up ``CONTEXT_SHARE`` of all tokens, so there are at
-   most 1 / CONTEXT_SHARE of them; a next word has an entry if the sequence makes up
-   ``ENTRY_SHARE`` of all tokens (at most 1 / ENTRY_SHARE entries for each length) and
-   the context changes its probability.  These are shares, so the bound on what the
-   driver builds and sends to the tasks holds for any corpus.
-3. Divergence test, from short to long: a context stays if its smoothed distribution
-   describes what follows it better than its suffix's state does, by ``LEAST_GAIN``
-   nats over the corpus (count * Kullback-Leibler divergence).
+2. Counts of all sequences of two, three and four words, one length after the other.  A
+   sequence seen ``LEAST_ENTRY`` times has parts seen as often, so tasks skip sequences
+   with a part that a bit table of the shorter ones rules out.  The bit table has a bound;
+   a full one rules out less and costs time, never a count.
+3. Divergence test, from short to long, by joins and groups in Spark: a context seen
+   ``LEAST_COUNT`` times stays if its smoothed distribution describes what follows it
+   better than its suffix's state does, by ``LEAST_GAIN`` nats over the corpus (count *
+   Kullback-Leibler divergence).  States and entries stay tables.
 Smoothing: P(x | s) = (c(sx) - DISCOUNT) / c(s) for entries, and the mass left over in
 proportion to the suffix's distribution for all other words, so each state is a
 distribution over all words.
 
 Scoring: each token's state is the longest suffix of the words before it that stayed.
-Counts of words above ``TABLE_SHARE`` of all tokens are looked up in the task; the rest
-go through one join by word and are summed by row.
+Its log probability is that of the root plus a value of each context that stayed and of
+each entry, so a row's score is a sum over looked-up keys.  Words above ``TABLE_SHARE``
+of all tokens and the ``HOT_ROWS`` most frequent states and entries of each length are
+looked up in the task; all others go through one join by key and are summed by row.
 
 Defined cases: null, empty or blank text (the end alone), null doc_id (trains, as
 crc32 of an empty text is 0), repeated rows (each counts, each has its row), no
@@ -29,6 +30,7 @@ training rows (N = V = 0), empty tables, extra columns (ignored).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,11 +42,14 @@ from pyspark.sql import functions as F
 from skycat.session import ship_package
 
 from .common import table, written
-from .textnum import mix, word_hashes
+from .textnum import mix, splitmix, word_hashes
 
 TABLE_SHARE = 5e-7
-CONTEXT_SHARE = 3e-5
-ENTRY_SHARE = 1e-6
+#: Rows of each length's states and entries that are sent to the tasks; the others are joined.
+HOT_ROWS = 1_000_000
+#: Most 64-bit words of a bit table.
+MAYBE_WORDS = 1 << 21
+LENGTHS = 3
 LEAST_COUNT = 8
 LEAST_ENTRY = 4
 DISCOUNT = 0.75
@@ -53,6 +58,9 @@ LEAST_GAIN = 12.0
 ENTRY_GAIN = 3.0
 
 END = np.uint64(0x9D5C3F1B7A2E4861)
+_OLDER, _NEWER = splitmix(2, 31) | np.uint64(1)
+#: Keys of states differ by this from those of the entries that end in the same words.
+_STATE = 0x5B1E6C93A7D40F25
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -66,23 +74,26 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Order:
-    """States of one context length: sorted context keys, weights left to the suffix, sorted entries."""
+    """The hot states and entries of one context length, by sorted keys of their words."""
 
     contexts: np.ndarray
-    log_rest: np.ndarray  # log10 of the factor of the suffix's probability; 0 for states that went
-    entries: np.ndarray  # context number * symbols + symbol
+    log_rest: np.ndarray  # log10 of the factor of the suffix's probability; 0 for words that are no state
+    entries: np.ndarray
     log_p: np.ndarray
+    added: np.ndarray  # log10 P less that of the suffix's state and less the context's log_rest
 
 
 @dataclass
 class Tree:
     words: np.ndarray  # sorted hashes of words above TABLE_SHARE
     log_p0: np.ndarray
-    symbol: np.ndarray  # number of a common word; -1: not common
+    symbol: np.ndarray  # number of a listed word
     n_symbols: int
     total: int
     distinct: int
     orders: list[Order]
+    maybe: np.ndarray  # bit table of all states and entries
+    cold: bool  # some states or entries are not in orders
 
 
 def _tokens(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,16 +105,39 @@ def _tokens(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out, starts
 
 
-def _behind(symbols: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
-    """The symbol k places before each in its row; -1 where the row has none."""
-    row_start = np.repeat(starts, np.diff(np.append(starts, len(symbols))))
-    out = np.full(len(symbols), -1, np.int64)
-    pos = np.arange(len(symbols))
-    ok = pos - k >= row_start
-    out[ok] = symbols[pos[ok] - k]
+def _sequence(older: np.ndarray, newer: np.ndarray) -> np.ndarray:
+    """Key of n words from the keys of the first and of the last n - 1."""
+    with np.errstate(over="ignore"):
+        return mix(older * _OLDER + newer * _NEWER)
+
+
+def _grams(tokens: np.ndarray, starts: np.ndarray, n: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Keys of the 1 to n words that end at each token, and each token's place in its row."""
+    place = np.arange(len(tokens)) - np.repeat(starts, np.diff(np.append(starts, len(tokens))))
+    out = [tokens]
+    for _ in range(1, n):
+        g = out[-1]
+        out.append(np.append(np.zeros(min(1, len(g)), np.uint64), _sequence(g[:-1], g[1:])))
+    return out, place
+
+
+def _maybe_table(df: DataFrame) -> np.ndarray:
+    """A bit table of ``key``, two bits in one word for each; made in Spark, at most ``MAYBE_WORDS`` long."""
+    n = 1 << max(10, min(MAYBE_WORDS.bit_length() - 1, (df.count() // 3).bit_length()))
+    bit = "shiftleft(1L, cast(shiftright(key, {}) & 63 as int))"
+    t = df.groupBy(F.expr(f"pmod(key, {n}L)").alias("at")).agg(F.expr(f"bit_or({bit.format(32)} | {bit.format(40)})").alias("bits")).toArrow()
+    out = np.zeros(n, np.uint64)
+    out[t.column("at").to_numpy()] = t.column("bits").to_numpy().view(np.uint64)
     return out
 
 
+def _maybe(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """False where a key is certainly not in the table."""
+    one, at = np.uint64(1), np.uint64(63)
+    bits = (one << ((keys >> np.uint64(32)) & at)) | (one << ((keys >> np.uint64(40)) & at))
+    return table[keys & np.uint64(len(table) - 1)] & bits == bits
+
+
 class _Counter:
     """Sums of counts by 64-bit key with bounded memory; ``take`` empties it."""
 
@@ -160,136 +194,177 @@ def _counts(docs: DataFrame, keys_of) -> DataFrame:
     return docs.where(~F.col("held_out")).select("text").mapInArrow(run, "kind int, key long, c long").groupBy("kind", "key").agg(F.sum("c").alias("c"))
 
 
-def _collected(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, counts) of a table whose rows are bounded by a share of all tokens, sorted by key."""
-    t = df.select("key", "c").toArrow()
-    k, c = t.column("key").to_numpy(), t.column("c").to_numpy()
+class _Sequences:
+    """Counts of sequences (older part, newer part) with bounded memory; ``take`` empties it."""
+
+    LIMIT = 1_500_000
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.held = 0
+
+    def add(self, older: np.ndarray, newer: np.ndarray, c: np.ndarray | None = None) -> None:
+        _, first, where = np.unique(_sequence(older, newer), return_index=True, return_inverse=True)
+        self.parts.append((older[first], newer[first], np.bincount(where, c, len(first)).astype(np.int64)))
+        self.held += len(first)
+        if self.held > self.LIMIT:
+            self.merge()
+
+    def merge(self) -> None:
+        if len(self.parts) > 1:
+            every = [np.concatenate(x) for x in zip(*self.parts, strict=True)]
+            self.parts, self.held = [], 0
+            self.add(*every)
+
+    def take(self) -> Iterator[pa.RecordBatch]:
+        self.merge()
+        for older, newer, c in self.parts:
+            for i in range(0, len(c), 200_000):
+                j = i + 200_000
+                yield pa.RecordBatch.from_arrays([pa.array(older[i:j].view(np.int64)), pa.array(newer[i:j].view(np.int64)), pa.array(c[i:j])], ["ctx", "suf", "c"])
+        self.__init__()
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        older, newer = (b.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_sequence(older, newer).view(np.int64))], ["ctx", "suf", "c", "key"])
+
+
+def _sequence_counts(docs: DataFrame, n: int, shorter: np.ndarray) -> DataFrame:
+    """(ctx, suf, c, key) of the sequences of n words seen ``LEAST_ENTRY`` times; ctx and suf are without the last and the first word."""
+    shared = docs.sparkSession.sparkContext.broadcast(shorter)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, maybe = _Sequences(), shared.value
+        for batch in batches:
+            for _, h, o in word_hashes(batch.column(0)):
+                grams, place = _grams(*_tokens(h, o), n - 1)
+                ok = _maybe(maybe, grams[-1]) & (place >= n - 2)
+                i = np.flatnonzero(ok[1:] & ok[:-1] & (place[1:] >= n - 1)) + 1
+                sums.add(grams[-1][i - 1], grams[-1][i])
+                if sums.held > sums.LIMIT:
+                    yield from sums.take()
+        yield from sums.take()
+
+    counts = docs.where(~F.col("held_out")).select("text").mapInArrow(run, "ctx long, suf long, c long").groupBy("ctx", "suf").agg(F.sum("c").alias("c"))
+    return counts.where(F.col("c") >= LEAST_ENTRY).mapInArrow(_keyed, "ctx long, suf long, c long, key long")
+
+
+def _sorted(df: DataFrame, key: str, *values: str) -> tuple[np.ndarray, ...]:
+    """Columns of a table of bounded size, by ascending unsigned key."""
+    t = df.select(key, *values).toArrow()
+    k = t.column(key).to_numpy().view(np.uint64)
     order = np.argsort(k)
-    return k[order], c[order]
-
-
-def _grow(contexts: np.ndarray, context_counts: np.ndarray, entries: np.ndarray, counts: np.ndarray, below: np.ndarray, n_symbols: int) -> Order:
-    """States of one length.  ``below``: log10 probability of each entry by its suffix's state."""
-    owner = entries // n_symbols
-    c_s = context_counts[owner].astype(float)
-    p_below = 10.0**below
-    p = (counts - DISCOUNT) / c_s
-    keep = (p > p_below) & (counts * np.log(np.maximum(p, 1e-300) / p_below) >= ENTRY_GAIN)
-    entries, counts, owner, c_s, p_below, p = (x[keep] for x in (entries, counts, owner, c_s, p_below, p))
-    n = len(contexts)
-    mass, mass_below = np.bincount(owner, p, n), np.bincount(owner, p_below, n)
-    rest = np.maximum(1 - mass, 1e-9) / np.maximum(1 - mass_below, 1e-9)
-    gain = np.bincount(owner, counts * np.log(p / p_below), n) + (context_counts - np.bincount(owner, counts, n)) * np.log(rest)
-    stays = gain >= LEAST_GAIN
-    mine = stays[owner]
-    return Order(contexts, np.where(stays, np.log10(rest), 0.0), entries[mine], np.log10(p[mine]))
+    return (k[order], *(t.column(v).to_numpy()[order] for v in values))
 
 
-def _state(tree: Tree, symbols: list[np.ndarray], log_p: np.ndarray) -> np.ndarray:
-    """log10 P of symbols[0] after symbols[1], symbols[2], ... (nearest first), from log10 P0."""
-    n = tree.n_symbols
-    x = symbols[0]
-    for length, order in enumerate(tree.orders, 1):
-        if len(symbols) <= length:
+def _hot(df: DataFrame) -> DataFrame:
+    """``df`` with ``hot``: whether a row is among the ``HOT_ROWS`` with the highest c (whole steps of log2 c)."""
+    step = F.floor(F.log2("c") * 8)
+    least, held = math.inf, 0
+    for r in sorted(df.groupBy(step.alias("step")).count().collect(), reverse=True):
+        held += r["count"]
+        if held > HOT_ROWS:
             break
-        number = _contexts(tree, symbols[1 : length + 1])
-        inside = number >= 0
-        entry = _find(order.entries, np.where(inside & (x >= 0), number * n + x, -1))
-        log_p = np.where(entry >= 0, order.log_p[entry] if len(order.log_p) else 0.0, log_p + np.where(inside, order.log_rest[number] if len(order.log_rest) else 0.0, 0.0))
-    return log_p
+        least = r["step"]
+    return df.withColumn("hot", step >= F.lit(float(least)))
+
+
+def _tested(grams: DataFrame, shorter: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """States (ctx, c, log_rest) of one length, and its sequences (key, c, log_p, added), ``added`` for entries only.
+
+    ``shorter``: key, c and log_p of the sequences one word shorter, by the states one word shorter.
+    """
+    contexts = shorter.where(F.col("c") >= LEAST_COUNT).select(F.col("key").alias("ctx"), F.col("c").alias("c_s"))
+    below = shorter.select(F.col("key").alias("suf"), F.col("log_p").alias("log_below"))
+    p, p_below = (F.col("c") - DISCOUNT) / F.col("c_s"), F.pow(F.lit(10.0), "log_below")
+    e = grams.join(contexts, "ctx").join(below, "suf").select("key", "ctx", "c", "c_s", "log_below", p.alias("p"), p_below.alias("p_below"))
+    gain = F.col("c") * F.log(F.col("p") / F.col("p_below"))
+    e = e.withColumn("gain", F.when((F.col("p") > F.col("p_below")) & (gain >= ENTRY_GAIN), gain))
+    left = lambda x: F.greatest(1 - F.sum(x), F.lit(1e-9))
+    sums = e.where("gain IS NOT NULL").groupBy("ctx").agg(
+        F.max("c_s").alias("c"), (left("p") / left("p_below")).alias("rest"), F.sum("gain").alias("gain"), F.sum("c").alias("c_entries")
+    )
+    stays = F.col("gain") + (F.col("c") - F.col("c_entries")) * F.log("rest") >= LEAST_GAIN
+    states = written(sums.where(stays).select("ctx", "c", F.log10("rest").alias("log_rest")), "states")
+    j = e.join(states.select("ctx", "log_rest"), "ctx", "left")
+    other = F.col("log_below") + F.coalesce("log_rest", F.lit(0.0))
+    entry = F.col("gain").isNotNull() & F.col("log_rest").isNotNull()
+    log_p = F.when(entry, F.log10("p")).otherwise(other)
+    return states, j.select("key", "c", log_p.alias("log_p"), F.when(entry, F.log10("p") - other).alias("added"))
+
+
+def _added(tree: Tree, words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """What the hot states and entries add to log10 P0 of each token; (positions, keys) to be looked up in the table."""
+    out, open_ = np.zeros(len(words)), []
+    grams, place = _grams(words, starts, len(tree.orders) + 1)
+    for length, order in enumerate(tree.orders, 1):
+        inside = np.flatnonzero(place >= length)
+        for keys, salt, known, values in (
+            (grams[length - 1][inside - 1], np.uint64(_STATE), order.contexts, order.log_rest),
+            (grams[length][inside], np.uint64(0), order.entries, order.added),
+        ):
+            some = _maybe(tree.maybe, keys ^ salt)
+            keys, at = keys[some], inside[some]
+            found = _find(known, keys)
+            here = found >= 0
+            out[at[here]] += values[found[here]]
+            if tree.cold:
+                open_.append((at[~here], keys[~here] ^ salt))
+    return out, open_
 
 
-def _contexts(tree: Tree, nearest_first: list[np.ndarray]) -> np.ndarray:
-    """Number of the context of these words among those of its length; -1 if it is none."""
-    s = nearest_first[::-1]
-    number = _find(tree.orders[0].contexts, s[0]) if len(s) == 1 else None
-    if number is None:
-        older = _contexts(tree, s[:-1][::-1])
-        key = np.where((older >= 0) & (s[-1] >= 0), older * tree.n_symbols + s[-1], -1)
-        number = _find(tree.orders[len(s) - 1].contexts, key)
-    return number
+def _state(tree: Tree, symbols: list[np.ndarray], log_p: np.ndarray) -> np.ndarray:
+    """log10 P of symbols[0] after symbols[1], symbols[2], ... (nearest first), from log10 P0, by the hot part."""
+    n, m = len(symbols[0]), len(symbols)
+    words = np.array(symbols[::-1]).T.reshape(-1)
+    rows = np.where(words >= 0, tree.words[words], np.uint64(0))
+    return log_p + _added(tree, rows, np.arange(0, n * m, m))[0][m - 1 :: m]
 
 
 def learned(docs: DataFrame) -> tuple[Tree, DataFrame]:
-    """The tree, and the counts of all training words (key, c).  ``docs``: held_out, text."""
+    """The tree's part for the tasks, and the table of all else: (key, c) of all training words,
+    (key, value) of the states and entries that are not in the tree.  ``docs``: held_out, text."""
 
     def words_of(h, o):
         yield 0, _tokens(h, o)[0]
 
     unigrams = written(_counts(docs, words_of).select("key", "c"), "words")
+    looked_up = unigrams.select("key", "c", F.lit(None).cast("double").alias("value"))
     total, distinct = (int(x or 0) for x in unigrams.agg(F.sum("c"), F.count("*")).first())
-    keys, counts = _collected(unigrams.where(F.col("c") >= max(1.0, TABLE_SHARE * total)))
-    words = keys.view(np.uint64)
-    order = np.argsort(words)
-    words, counts = words[order], counts[order]
-    common = counts >= max(LEAST_COUNT, CONTEXT_SHARE * total)
-    symbol = np.where(common, np.cumsum(common) - 1, -1)
-    n_symbols = int(common.sum())
-    log_p0 = np.log10((counts + 0.5) / (total + 0.5 * (distinct + 1)))
-    tree = Tree(words, log_p0, symbol, n_symbols, total, distinct, [])
-    if n_symbols == 0:
-        return tree, unigrams
-    least_context, least_entry = max(LEAST_COUNT, CONTEXT_SHARE * total), max(LEAST_ENTRY, ENTRY_SHARE * total)
-    spark = docs.sparkSession
-    symbol_log_p0 = log_p0[common]
-    common_words = spark.sparkContext.broadcast(words[common])
-
-    # one word of context
-    def pairs_of(h, o):
-        t, starts = _tokens(h, o)
-        s = _find(common_words.value, t)
-        b = _behind(s, starts, 1)
-        yield 1, (b * n_symbols + s)[(b >= 0) & (s >= 0)]
-
-    pairs = written(_counts(docs, pairs_of), "pairs")
-    entries, entry_counts = _collected(pairs.where(F.col("c") >= least_entry))
-    tree.orders.append(_grow(np.arange(n_symbols), counts[common], entries, entry_counts, symbol_log_p0[entries % n_symbols], n_symbols))
-
-    # two and three words of context: those whose pairs of neighbours are common
-    end = int(_find(words[common], np.array([END]))[0])
-    two, two_counts = _collected(pairs.where((F.col("c") >= least_context) & (F.col("key") % n_symbols != end)))
-    pair_keys = spark.sparkContext.broadcast(two)
-
-    def longer_of(h, o):
-        t, starts = _tokens(h, o)
-        s = _find(common_words.value, t)
-        b1, b2, b3 = (_behind(s, starts, k) for k in (1, 2, 3))
-        near = _find(pair_keys.value, np.where((b2 >= 0) & (b1 >= 0), b2 * n_symbols + b1, -1))
-        far = _find(pair_keys.value, np.where((b3 >= 0) & (b2 >= 0), b3 * n_symbols + b2, -1))
-        ok = (near >= 0) & (s >= 0)
-        yield 2, (near * n_symbols + s)[ok]
-        ok &= far >= 0
-        yield 3, ((far * n_symbols + b1) * n_symbols + s)[ok]
-
-    longer = written(_counts(docs, longer_of), "longer")
-    entries, entry_counts = _collected(longer.where((F.col("kind") == 2) & (F.col("c") >= least_entry)))
-    below = _state(tree, [entries % n_symbols, two[entries // n_symbols] % n_symbols], symbol_log_p0[entries % n_symbols])
-    tree.orders.append(_grow(two, two_counts, entries, entry_counts, below, n_symbols))
-    three, three_counts = _collected(longer.where((F.col("kind") == 2) & (F.col("c") >= least_context) & (F.col("key") % n_symbols != end)))
-    entries, entry_counts = _collected(longer.where((F.col("kind") == 3) & (F.col("c") >= least_entry)))
-    number = _find(three, entries // n_symbols)
-    entries, entry_counts, number = entries[number >= 0], entry_counts[number >= 0], number[number >= 0]
-    x = entries % n_symbols
-    context = three[number]
-    below = _state(tree, [x, context % n_symbols, two[context // n_symbols] % n_symbols], symbol_log_p0[x])
-    numbered = number * n_symbols + x
-    order = np.argsort(numbered)
-    tree.orders.append(_grow(three, three_counts, numbered[order], entry_counts[order], below[order], n_symbols))
-    return tree, unigrams
-
-
-def _log_p(tree: Tree, tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(in the table, log10 P0, log10 of the state's probability) of each token; unlisted words leave out log10 P0."""
-    at = _find(tree.words, tokens)
-    listed = at >= 0
-    log_p0 = np.where(listed, tree.log_p0[at] if len(tree.log_p0) else 0.0, 0.0)
-    if not tree.orders:
-        return listed, log_p0, log_p0
-    s = np.where(listed, tree.symbol[at], -1)
-    return listed, log_p0, _state(tree, [s, *(_behind(s, starts, k) for k in range(1, len(tree.orders) + 1))], log_p0)
-
-
-def scored(docs: DataFrame, tree: Tree, unigrams: DataFrame) -> DataFrame:
+    listed = max(1.0, TABLE_SHARE * total)
+    log_p0 = F.log10((F.col("c") + 0.5) / F.lit(total + 0.5 * (distinct + 1)))
+    words, log_p = _sorted(unigrams.where(F.col("c") >= listed).withColumn("log_p", log_p0), "key", "log_p")
+    tree = Tree(words, log_p, np.arange(len(words)), len(words), total, distinct, [], np.zeros(1, np.uint64), False)
+    if total == 0:
+        return tree, looked_up
+
+    shorter = unigrams.where(F.col("c") >= LEAST_ENTRY).withColumn("log_p", log_p0)
+    every = None
+    for length in range(1, LENGTHS + 1):
+        grams = written(_sequence_counts(docs, length + 1, _maybe_table(shorter.select("key"))), "sequences")
+        states, sequences = _tested(grams, shorter)
+        # the longest are of use as entries only
+        shorter = written(sequences if length < LENGTHS else sequences.where("added IS NOT NULL"), "tested")
+        entries = _hot(shorter.where("added IS NOT NULL"))
+        states = states.withColumn("hot", F.col("c") >= listed) if length == 1 else _hot(states)
+        contexts, log_rest = _sorted(states.where("hot"), "ctx", "log_rest")
+        if length == 1:  # one for each listed word
+            at = _find(contexts, words)
+            contexts, log_rest = words, np.where(at >= 0, log_rest[at] if len(log_rest) else 0.0, 0.0)
+        tree.orders.append(Order(contexts, log_rest, *_sorted(entries.where("hot"), "key", "log_p", "added")))
+        values = entries.select("key", F.col("added").alias("value"), "hot").union(
+            states.select(F.col("ctx").bitwiseXOR(F.lit(_STATE)), "log_rest", "hot")
+        )
+        every = values if every is None else every.union(values)
+    tree.maybe = _maybe_table(every)
+    cold = every.where("NOT hot")
+    tree.cold = bool(cold.take(1))
+    return tree, looked_up.union(cold.select("key", F.lit(None).cast("long"), "value")) if tree.cold else looked_up
+
+
+def scored(docs: DataFrame, tree: Tree, looked_up: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(tree)
 
@@ -299,7 +374,11 @@ def scored(docs: DataFrame, tree: Tree, unigrams: DataFrame) -> DataFrame:
             for first, h, o in word_hashes(batch.column(3)):
                 rows = batch.slice(first, len(o) - 1)
                 tokens, starts = _tokens(h, o)
-                listed, base, score = _log_p(tree, tokens, starts)
+                at = _find(tree.words, tokens)
+                listed = at >= 0
+                base = np.where(listed, tree.log_p0[at] if len(tree.log_p0) else 0.0, 0.0)
+                added, open_ = _added(tree, tokens, starts)
+                score = base + added
                 n = len(starts)
                 row = np.repeat(np.arange(n), np.diff(np.append(starts, len(tokens))))
                 rid = rows.column(0).to_numpy()
@@ -307,34 +386,37 @@ def scored(docs: DataFrame, tree: Tree, unigrams: DataFrame) -> DataFrame:
                 count = lambda v: pa.array(np.bincount(row, v, n).astype(np.int64))  # noqa: B023, E731
                 # the row's own sums; its key only spreads these rows over the tasks
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array(mix(rid.astype(np.uint64)).view(np.int64)), pa.array(np.zeros(n, np.int64)), rows.column(1), rows.column(2),
+                    [rows.column(0), pa.array(mix(rid.astype(np.uint64)).view(np.int64)), pa.array(np.zeros(n, np.int64)), pa.array(np.zeros(n, bool)), rows.column(1), rows.column(2),
                      count(None), count(listed), total(base), total(score)],
-                    ["rid", "word", "tf", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"],
+                    ["rid", "word", "tf", "rare", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"],
                 )
                 rare = np.flatnonzero(~listed)
-                if len(rare):
-                    order = rare[np.lexsort((tokens[rare], row[rare]))]
-                    w, r = tokens[order], row[order]
+                open_.append((rare, tokens[rare]))
+                for k, (places, w) in enumerate(open_):
+                    if not len(w):
+                        continue
+                    order = np.lexsort((w, row[places]))
+                    w, r = w[order], row[places[order]]
                     new = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (r[1:] != r[:-1])))
                     tf = np.diff(np.append(new, len(w)))
                     m = len(new)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(rid[r[new]]), pa.array(w[new].view(np.int64)), pa.array(tf), pa.nulls(m, rows.column(1).type), pa.nulls(m, pa.bool_()),
+                        [pa.array(rid[r[new]]), pa.array(w[new].view(np.int64)), pa.array(tf), pa.array(np.full(m, k == len(open_) - 1)), pa.nulls(m, rows.column(1).type), pa.nulls(m, pa.bool_()),
                          pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())],
-                        ["rid", "word", "tf", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"],
+                        ["rid", "word", "tf", "rare", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"],
                     )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     parts = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", "text").mapInArrow(
-        run, f"rid long, word long, tf long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double"
+        run, f"rid long, word long, tf long, rare boolean, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double"
     )
-    j = parts.join(unigrams, F.col("word") == F.col("key"), "left")
-    rare = F.col("tf") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(tree.total + 0.5 * (tree.distinct + 1)))
+    j = parts.join(looked_up, F.col("word") == F.col("key"), "left")
+    rare = F.when(F.col("rare"), F.col("tf") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(tree.total + 0.5 * (tree.distinct + 1))))
     j = j.select(
         "rid", "doc_id", "held_out", "n_tokens",
-        F.coalesce("n_known", F.when(F.col("c").isNotNull(), F.col("tf"))).alias("n_known"),
+        F.coalesce("n_known", F.when(F.col("rare") & F.col("c").isNotNull(), F.col("tf"))).alias("n_known"),
         F.coalesce("base", rare).alias("base"),
-        F.coalesce("score", rare).alias("score"),
+        F.coalesce("score", rare, F.col("tf") * F.col("value")).alias("score"),
     )
     return j.groupBy("rid").agg(
         F.max("doc_id").alias("doc_id"),
@@ -355,5 +437,4 @@ def with_fold(docs: DataFrame) -> DataFrame:
 def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     docs = with_fold(table(spark, sf_dir, "documents"))
-    tree, unigrams = learned(docs)
-    return scored(docs, tree, unigrams)
+    return scored(docs, *learned(docs))

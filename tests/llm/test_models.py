@@ -1,6 +1,7 @@
 """Operators 1, 2 and 9 against brute force, held-out texts and known pages; the pipeline's stages."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -107,6 +108,77 @@ def test_states_are_distributions(spark):
         assert abs(p.sum() + rest - 1) < 1e-6
 
 
+def brute_scores(train, texts):
+    """Scores by a tree of plain dictionaries over every context of up to three words."""
+    S = suffixtree
+    counts = [Counter() for _ in range(S.LENGTHS + 1)]
+    for text in train:
+        t = tokens(text)
+        for n, c in enumerate(counts, 1):
+            c.update(tuple(t[i : i + n]) for i in range(len(t) - n + 1))
+    total, distinct = sum(counts[0].values()), len(counts[0])
+    p0 = lambda x: (counts[0][(x,)] + 0.5) / (total + 0.5 * (distinct + 1))
+    states = {}
+
+    def p(s, x):
+        if not s:
+            return p0(x)
+        below = p(s[1:], x)
+        if s not in states:
+            return below
+        rest, entries = states[s]
+        return entries.get(x, rest * below)
+
+    for n in range(1, S.LENGTHS + 1):
+        after = {}
+        for g, c in counts[n].items():
+            if c >= S.LEAST_ENTRY:
+                after.setdefault(g[:-1], []).append((g[-1], c))
+        for s, nexts in after.items():
+            c_s = counts[n - 1][s]
+            if c_s < S.LEAST_COUNT:
+                continue
+            found = [(x, c, (c - S.DISCOUNT) / c_s, p(s[1:], x)) for x, c in nexts]
+            found = [(x, c, q, b) for x, c, q, b in found if q > b and c * math.log(q / b) >= S.ENTRY_GAIN]
+            rest = max(1 - sum(f[2] for f in found), 1e-9) / max(1 - sum(f[3] for f in found), 1e-9)
+            gain = sum(c * math.log(q / b) for _, c, q, b in found) + (c_s - sum(f[1] for f in found)) * math.log(rest)
+            if found and gain >= S.LEAST_GAIN:
+                states[s] = rest, {x: q for x, _, q, _ in found}
+    out = []
+    for text in texts:
+        t = tokens(text)
+        out.append(sum(math.log10(p(tuple(t[max(0, i - S.LENGTHS) : i]), t[i])) for i in range(len(t))))
+    return out, [sum(len(s) == n for s in states) for n in range(1, S.LENGTHS + 1)]
+
+
+@pytest.mark.parametrize("hot_rows", [suffixtree.HOT_ROWS, 20, 0])
+def test_scores_equal_a_plain_tree(spark, monkeypatch, hot_rows):
+    """Sequences that are rare among all tokens have states and entries, whether they are sent or joined."""
+    monkeypatch.setattr(suffixtree, "HOT_ROWS", hot_rows)
+    if not hot_rows:
+        monkeypatch.setattr(suffixtree, "TABLE_SHARE", 1e-2)
+    rng = random.Random(4)
+    # 20 phrases, each seen about 12 times among 600,000 training words: 2e-5 of all tokens
+    phrases = [" ".join(f"p{k}q{j}" for j in range(6)) for k in range(20)]
+    texts = []
+    for i in range(300):
+        # skewed words, the rarest seen a few times only
+        filler = [f"w{min(int(rng.paretovariate(0.6)), 20000)}" for _ in range(2500)]
+        texts.append(" ".join([*filler[:600], phrases[i % 20], *filler[600:]]))
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, None), (1000, ""), (1001, phrases[0]), (1001, phrases[0])]
+    d = suffixtree.with_fold(spark.createDataFrame(rows, "doc_id long, text string"))
+    every = d.collect()
+    want, states = brute_scores([r.text for r in every if not r.held_out], [r.text for r in every])
+    assert min(states) >= 20
+    tree, looked_up = suffixtree.learned(d)
+    assert tree.cold == (hot_rows <= 20)
+    got = suffixtree.scored(d, tree, looked_up).collect()
+    key = lambda r, s: (str(r.doc_id), r.held_out, round(s, 5))
+    got, want = sorted(key(r, r.score) for r in got), sorted(key(r, s) for r, s in zip(every, want))
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert all(abs(g[2] - w[2]) < 1e-4 for g, w in zip(got, want))
+
+
 PAGE = (
     "<html><head><title>t</title><style>p{}</style></head><body><nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav>"
     "<div class='cookie-notice'><p>We use cookies.</p></div><article><h1>Head &amp; line</h1><p>First  paragraph\n with <b>bold</b> text that is long enough to read.</p>"
