@@ -18,8 +18,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: one document of each near-duplicate group stays."""
-    return neardup.deduplicated(docs)
+    """Operator 3 at a similarity of 0.8: one document of each near-duplicate group stays."""
+    return neardup.deduplicated(docs, neardup.STAGE_PERCENT)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,8 +6,9 @@ empty set that links with nothing).  Documents with equal sets form a class, so
 of copies cost one signature.
 
 1. Every class has ``K`` MinHash coordinates and is posted under each (coordinate,
-   value).  Classes that share at least ``T`` of K coordinates are candidates.  For a
-   pair at the threshold 0.85 the chance of fewer than T equal coordinates is about 1e-5.
+   value).  Classes that share at least T of K coordinates are candidates.  T goes with
+   the similarity asked for (``least_equal``), so that a pair at exactly that similarity
+   has fewer than T equal coordinates with a chance of at most 1e-5: 29 at 0.85, 25 at 0.80.
 2. Prefix: a class's postings are ordered by the global frequency of their value,
    rarest first, and only the first K - T + 1 stay.  Two classes with T equal
    coordinates meet in both prefixes.  Values of one class only take places in the
@@ -20,7 +21,7 @@ of copies cost one signature.
    compared whole in bounded memory.
 4. In a group the hub is counted against all members first.  Members linked with it are
    one component and are not compared with each other; every other member is counted
-   against all: at least T equal coordinates, then 100 * intersection >= 85 * union on
+   against all: at least T equal coordinates, then 100 * intersection >= percent * union on
    the full shingle sets, counted through an inverted list of the group's shingles.
    Only links that join two parts are emitted (at most one per member), so a group of
    thousands of near copies gives no pair table, and no link between parts is lost.
@@ -32,11 +33,14 @@ Defined cases: null or blank text (n_shingles 0, its own component), null doc_id
 (takes part; ids are compared without nulls, kept if the whole group has none),
 repeated rows (a result row each), empty tables, extra columns (ignored by the query,
 kept by ``deduplicated``).
+
+The query works at ``PERCENT``; the pipeline's stage asks for ``STAGE_PERCENT``.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,11 +54,13 @@ from skycat.session import ship_package
 from .common import table, written
 from .textnum import mix, splitmix, word_hashes
 
-#: Coordinates of a signature, equal ones a candidate needs, words of a shingle, similarity in per cent.
+#: Coordinates of a signature, words of a shingle, similarity in per cent of the query and of the pipeline's stage.
 K = 48
-T = 29
 SHINGLE = 5
 PERCENT = 85
+STAGE_PERCENT = 80
+#: Chance at most that a pair at exactly the similarity asked for is no candidate.
+MISSED = 1e-5
 
 #: Shingles of a block of a large group (two blocks are held at once).
 BLOCK_SHINGLES = 1_500_000
@@ -64,6 +70,14 @@ _MULTIPLY = splitmix(K, 22) | np.uint64(1)
 _ADD = splitmix(K, 23)
 
 
+def least_equal(percent: int) -> int:
+    """Equal coordinates that a candidate needs: the most that miss a pair at this similarity with a chance of ``MISSED``."""
+    p, missed, t = percent / 100, 0.0, 0
+    while t < K and (missed := missed + math.comb(K, t) * p**t * (1 - p) ** (K - t)) <= MISSED:
+        t += 1
+    return max(t, 1)
+
+
 def _shingles(w: np.ndarray) -> np.ndarray:
     """The sorted distinct shingle hashes of one document's word hashes."""
     with np.errstate(over="ignore"):
@@ -125,7 +139,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_signatures, f"doc_id {kind}, n_shingles long, print binary, sig array<int>")
 
 
-def prefix_postings(classes: DataFrame) -> DataFrame:
+def prefix_postings(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(print, token, weight): the rare part of each class's postings that other classes share.
 
     ``weight`` is the sum of the frequencies of all the class's shared values.
@@ -138,13 +152,13 @@ def prefix_postings(classes: DataFrame) -> DataFrame:
     mine = Window.partitionBy("print")
     rare_first = mine.orderBy("df", "token")
     p = p.withColumn("nth", F.row_number().over(rare_first)).withColumn("n", F.count("*").over(mine)).withColumn("weight", F.sum("df").over(mine))
-    return p.where(F.col("nth") <= F.col("n") - (T - 1)).select("print", "token", "weight")
+    return p.where(F.col("nth") <= F.col("n") - (least_equal(percent) - 1)).select("print", "token", "weight")
 
 
-def group_links(sets: list[np.ndarray], sig: np.ndarray, hub: int) -> list[tuple[int, int]]:
+def group_links(sets: list[np.ndarray], sig: np.ndarray, hub: int, percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links that join the parts of one group, as pairs of positions; ``hub`` is tried first."""
     sizes = np.array([len(x) for x in sets])
-    n = len(sets)
+    n, least = len(sets), least_equal(percent)
     every = np.concatenate(sets)
     order = np.argsort(every, kind="stable")
     values = every[order]
@@ -153,8 +167,8 @@ def group_links(sets: list[np.ndarray], sig: np.ndarray, hub: int) -> list[tuple
     links: list[tuple[int, int]] = []
 
     def compare(i: int) -> None:
-        open_ = (root != root[i]) & ((sig == sig[i]).sum(1) >= T)
-        open_ &= 100 * np.minimum(sizes, sizes[i]) >= PERCENT * np.maximum(sizes, sizes[i])
+        open_ = (root != root[i]) & ((sig == sig[i]).sum(1) >= least)
+        open_ &= 100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])
         if not open_.any():
             return
         # merge the inverted lists of this member's shingles
@@ -162,7 +176,7 @@ def group_links(sets: list[np.ndarray], sig: np.ndarray, hub: int) -> list[tuple
         count = last - first
         at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
         both = np.bincount(member[at], minlength=n)
-        for j in np.flatnonzero(open_ & (100 * both >= PERCENT * (sizes + sizes[i] - both))).tolist():
+        for j in np.flatnonzero(open_ & (100 * both >= percent * (sizes + sizes[i] - both))).tolist():
             if root[j] != root[i]:
                 links.append((i, j))
                 root[root == root[j]] = root[i]
@@ -173,13 +187,13 @@ def group_links(sets: list[np.ndarray], sig: np.ndarray, hub: int) -> list[tuple
     return links
 
 
-def _compared(rows: pd.DataFrame) -> pd.DataFrame:
+def _compared(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     rows = rows.drop_duplicates("print")
     prints, hub = rows["print"].tolist(), bytes(rows["hub"].iloc[0])
     names = [bytes(x) for x in prints]
     sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
     sig = np.array(rows["sig"].tolist(), np.int32).reshape(len(rows), K)
-    links = group_links(sets, sig, names.index(hub) if hub in names else 0)
+    links = group_links(sets, sig, names.index(hub) if hub in names else 0, percent)
     return pd.DataFrame({"a": [names[i] for i, _ in links], "b": [names[j] for _, j in links]}, dtype=object)
 
 
@@ -189,7 +203,7 @@ def grouped(posts: DataFrame) -> DataFrame:
     return posts.join(hubs, "token").select(F.col("hub.print").alias("hub"), "print").distinct()
 
 
-def links_of(groups: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+def links_of(groups: DataFrame, docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Confirmed links (a, b) that connect all linked classes of each group."""
     members = groups.select("print").distinct().join(classes, "print")
     some_doc = members.select("some_id").distinct()
@@ -211,7 +225,7 @@ def links_of(groups: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
     )
     dealt = placed.select("hub", "print", F.explode(F.when(F.col("print") == F.col("hub"), all_pairs).otherwise(pairs)).alias("at"))
     rows = dealt.join(sets, "print").join(classes.select("print", "sig"), "print")
-    return rows.select("hub", "at", "print", "shingles", "sig").groupBy("hub", "at").applyInPandas(_compared, "a binary, b binary")
+    return rows.select("hub", "at", "print", "shingles", "sig").groupBy("hub", "at").applyInPandas(lambda rows: _compared(rows, percent), "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -236,22 +250,22 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
-def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def linked(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(signature rows of all documents, (print, root) of the classes that link with others)."""
     sigs = written(signatures(docs), "signatures")
     classes = written(
         sigs.where("n_shingles > 0").groupBy("print").agg(F.min("doc_id").alias("some_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")),
         "classes",
     )
-    posts = written(prefix_postings(classes), "postings")
+    posts = written(prefix_postings(classes, percent), "postings")
     groups = written(grouped(posts), "groups")
-    links = written(links_of(groups, docs, classes), "confirmed")
+    links = written(links_of(groups, docs, classes, percent), "confirmed")
     return sigs, components(links).select(F.col("node").alias("print"), "root")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
-    sigs, roots = linked(docs)
+    sigs, roots = linked(docs, percent)
     roots = written(roots, "roots").select(F.col("print").alias("r_print"), "root")
     # one row per class first, so that a class with a third of all rows is one row where groups meet
     classes = sigs.where("n_shingles > 0").groupBy("print").agg(F.min("doc_id").alias("low"))
@@ -264,9 +278,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.union(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, percent: int = STAGE_PERCENT) -> DataFrame:
     """One row of each near-duplicate group, with all its columns; rows without words all stay."""
-    found = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("k_id")).distinct()
+    found = near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias("k_id")).distinct()
     j = docs.select(F.struct(*docs.columns).alias("row"), "doc_id").join(found, F.col("doc_id").eqNullSafe(F.col("k_id")), "left_semi")
     # repeated rows share a doc_id: the first stays
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("row.text")))
@@ -274,4 +288,4 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 
 def op3_coordinate_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), PERCENT)

@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 
+import corpus_pipeline
 from skycat.llm import bpe, neardup, secrets, tokenfile
 from skycat.llm.common import shared_folder
 from skycat.llm.pieces import pieces
@@ -21,7 +22,7 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def brute_groups(rows):
+def brute_groups(rows, percent=85):
     """[(doc_id, set size, smallest doc_id reachable)] by comparing all pairs."""
     sets = [shingles(r.text) for r in rows]
     root = list(range(len(rows)))
@@ -34,7 +35,7 @@ def brute_groups(rows):
     for i in range(len(rows)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if sets[i] and sets[j] and 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+            if sets[i] and sets[j] and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                 root[find(i)] = find(j)
     low = {}
     for i, r in enumerate(rows):
@@ -77,6 +78,25 @@ def test_near_duplicates_against_all_pairs(spark, edges, nothing):
     assert neardup.near_duplicates(nothing).count() == 0
 
 
+def test_stage_takes_pairs_from_80_per_cent(spark):
+    """Near copies with a similarity of 0.80 to 0.85 are one group for the stage, several for the query."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = near_rows()
+    for k in range(30):
+        base = [word() for _ in range(104)]  # 100 shingles; n new words at the end: (100 - n) / (100 + n)
+        n = (9, 10, 11, 12)[k % 4]
+        rows += [(1000 + 2 * k, " ".join(base)), (1001 + 2 * k, " ".join(base[:-n] + [word() for _ in range(n)]))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    every = d.collect()
+    at80, at85 = (brute_groups(every, p) for p in (80, 85))
+    assert len({c for _, _, c in at85}) - len({c for _, _, c in at80}) >= 20
+    got = neardup.near_duplicates(d, 80).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == at80
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, d, "").collect()) == sorted(i for i, _, c in at80 if i == c)
+    assert [neardup.least_equal(p) for p in (80, 85)] == [25, 29]
+
+
 def test_one_of_each_group_stays(edges):
     out = neardup.deduplicated(edges)
     assert out.columns == edges.columns
