@@ -3,9 +3,15 @@
 Base spans: assignments to password-like names, access keys and long hex runs, each
 kind leftmost and non-overlapping, too short matches dropped.
 
-Novelty: in a sensitive context (a name such as key, secret, token, password, auth or
-credential up to ``REACH`` characters before, on the same line) every unbroken string
-of ``LEAST`` characters or more with a digit is a candidate.  Its cost is the number of
+Novelty: in a sensitive context every unbroken string of ``LEAST`` characters or more is
+a candidate.  A context is a name such as key, secret, token, password, auth or credential
+up to ``REACH`` characters before on the same line, or one that ends the line (a PEM
+header, or a name with : or = and nothing behind) before the value's line; it goes on over following
+lines that hold nothing but one string, as the body of a PEM block does.  A name and its
+value may be one token (key-..., /auth/...): the candidate then begins behind the name and
+the separators after it, and ends with the token or before its next name.  Whether it has
+digits does not matter; a compound whose words neither the dictionary nor the text around
+knows can cost as much as a key and is reported.  Its cost is the number of
 bytes it adds to the zstandard frame of the text around it, by a compressor primed with
 a dictionary of identifiers and common words: size(before + candidate + after) -
 size(before + after).  Ordinary identifiers and prose are cheap there, random strings
@@ -43,7 +49,17 @@ CONTEXT = re.compile(r"key|secret|token|passw|pwd|auth|cred|bearer|private|signa
 _CONTEXT_HINTS = ("key", "secret", "token", "passw", "pwd", "auth", "cred", "bearer", "private", "signature")
 REACH = 40
 LEAST = 16
-CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST},}}={{0,2}}")
+_STRING = rf"[A-Za-z0-9+/_-]{{{LEAST},}}={{0,2}}"
+CANDIDATE = re.compile(_STRING)
+START = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]")
+#: Between a sensitive name and the rest of its token; the rest.
+GLUE = re.compile(r"[+/_-]+")
+REST = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+#: From a name to the end of its line if no value stands there, and a line that is one value.
+HEADER = re.compile(
+    r"""["']?[^\S\n]*[:=][^\S\n]*(?:[|>][+-]?)?["']?[^\S\n]*\n|[\x20A-Z0-9]*-----[^\S\n]*\n(?:[A-Za-z0-9-]+:\x20[^\n]*\n)*(?:[^\S\n]*\n)?"""
+)
+VALUE_LINE = re.compile(rf"""[^\S\n]*(?:-\x20+)?["']?([A-Za-z0-9+/_-]+={{0,2}})["']?[,;]?[^\S\n]*(?:\n|\Z)""")
 NOVEL = 60
 AROUND = 256
 
@@ -90,28 +106,47 @@ def cost(before: str, candidate: str, after: str) -> int:
     return _size(a + c + z) - _size(a + z)
 
 
+def _candidates(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of the candidates of all sensitive contexts, as they come; one may come again, or start inside another."""
+    done = token_end = 0  # value lines are read once, however many names stand before them
+    names = list(CONTEXT.finditer(text))
+    for m, after in zip(names, [*names[1:], None]):
+        if glue := GLUE.match(text, m.end()):
+            # up to the next name in the token, and for the first name the whole rest
+            ends = []
+            if m.end() >= token_end:
+                token_end = REST.match(text, m.end()).end()
+                ends.append(token_end)
+            ends.append(min(after.start(), token_end) if after else token_end)
+            yield from ((glue.end(), b) for b in ends if b - glue.end() >= LEAST)
+        stop = text.find("\n", m.end(), m.end() + REACH)
+        stop = m.end() + REACH if stop < 0 else stop
+        for first in START.finditer(text, m.end(), stop):
+            if c := CANDIDATE.match(text, first.start()):
+                yield c.span()
+        header = HEADER.match(text, m.end())
+        at = header.end() if header else -1
+        while at >= done and (line := VALUE_LINE.match(text, at)):
+            if line.end(1) - line.start(1) >= LEAST:
+                yield line.span(1)
+            done = at = line.end()
+
+
 def novel_spans(text: str, low: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     if not any(h in low for h in _CONTEXT_HINTS):
         return []
-    out, done, t = [], -1, 0
-    for m in CONTEXT.finditer(text):
-        stop = text.find("\n", m.end(), m.end() + REACH)
-        stop = m.end() + REACH if stop < 0 else stop
-        for c in CANDIDATE.finditer(text, m.end()):
-            a, b = c.span()
-            if a >= stop:
-                break
-            if a <= done:
-                continue
-            done = a
-            while t < len(taken) and taken[t][1] <= a:
-                t += 1
-            if any(s < b and e > a for s, e, _ in taken[t : t + 3]) or not any("0" <= x <= "9" for x in c[0]):
-                continue
-            # its own copies nearby do not make it ordinary
-            before, after = text[max(0, a - AROUND) : a].replace(c[0], ""), text[b : b + AROUND].replace(c[0], "")
-            if 100 * cost(before, c[0], after) >= NOVEL * (b - a):
-                out.append((a, b, "novel"))
+    out, t, end = [], 0, -1
+    for a, b in sorted(set(_candidates(text)), key=lambda s: (s[0], -s[1])):
+        while t < len(taken) and taken[t][1] <= a:
+            t += 1
+        # what is reported is not reported in parts again
+        if b <= end or any(s < b and e > a for s, e, _ in taken[t : t + 3]):
+            continue
+        # its own copies nearby do not make it ordinary
+        before, after = text[max(0, a - AROUND) : a].replace(text[a:b], ""), text[b : b + AROUND].replace(text[a:b], "")
+        if 100 * cost(before, text[a:b], after) >= NOVEL * (b - a):
+            out.append((a, b, "novel"))
+            end = b
     return out
 
 

@@ -220,6 +220,29 @@ def test_novelty_reports_random_strings_only():
     assert found("key 1111111111111111111111111111111111") == []
 
 
+def test_novelty_decides_on_every_string_of_a_context():
+    """Letters only, values on the lines after the name, and values in one token with it."""
+    rng = random.Random(12)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    both = upper + upper.lower()
+    found = lambda t: [t[a:b] for a, b, k in secrets.find(t)[1] if k == "novel"]
+    key = draw(both, 32)
+    assert found(f"the signing key is {key} in this file") == [key]
+    body = [draw(both + "0123456789+/", 64) for _ in range(6)] + [draw(both + "0123456789+/", 30) + "=="]
+    block = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(body) + "\n-----END RSA PRIVATE KEY-----\nplain words follow here\n"
+    assert found(block) == body
+    value = draw(both + "0123456789", 40)
+    assert found(f"private_key:\n  {value}\nname: x") == [value]
+    assert found(f"private_key: |\n  {value}\n  {value[::-1]}\nname: x") == [value, value[::-1]]
+    assert found(f"nothing here:\n  {value}\nname: x") == []
+    for glue in ("key-", "/auth/", "token_", "secret+"):
+        assert found(f"see {glue}{value} there") == [value]
+    assert found("the key and then access_token_refresh_token_private in prose") == []
+    assert found(f"-----BEGIN RSA PRIVATE KEY-----\r\nProc-Type: 4,ENCRYPTED\r\n\r\n{body[0]}\r\n") == body[:1]
+    assert found("key_" * 20000) == []  # one pass however many names a token has
+
+
 def test_secret_rows(edges, nothing):
     got = secrets.scanned(edges).collect()
     assert len(got) == edges.count()
