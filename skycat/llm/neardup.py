@@ -278,13 +278,31 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return out.union(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _with_print(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first, sets in _sets(batch.column(1)):
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), pa.array([_print(s) if len(s) else None for s in sets], pa.binary())], ["row", "print"])
+
+
 def deduplicated(docs: DataFrame, percent: int = STAGE_PERCENT) -> DataFrame:
-    """One row of each near-duplicate group, with all its columns; rows without words all stay."""
-    found = near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias("k_id")).distinct()
-    j = docs.select(F.struct(*docs.columns).alias("row"), "doc_id").join(found, F.col("doc_id").eqNullSafe(F.col("k_id")), "left_semi")
-    # repeated rows share a doc_id: the first stays
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("row.text")))
-    return j.withColumn("nth", nth).where("nth = 1 OR doc_id IS NULL").select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    """One row of each near-duplicate group, with all its columns; rows without words all stay.
+
+    The row with the smallest doc_id (nulls last), then print, then hash of the text.
+    """
+    sigs, roots = linked(docs, percent)
+    roots = written(roots, "roots").select(F.col("print").alias("r_print"), "root")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("low")
+    classes = sigs.where("n_shingles > 0").groupBy("print").agg(first)
+    placed = classes.join(roots, F.col("print") == F.col("r_print"), "left").select("print", "low", F.coalesce("root", "print").alias("root"))
+    won = placed.groupBy("root").agg(F.min(F.struct("low", "print")).alias("won"))
+    won = won.select(F.col("won.print").alias("w_print"), F.col("won.low.doc_id").alias("w_id"))
+    kind = docs.select(F.struct(*docs.columns).alias("row")).schema["row"].dataType.simpleString()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text").mapInArrow(_with_print, f"row {kind}, print binary")
+    mine = (F.col("print") == F.col("w_print")) & F.col("row.doc_id").eqNullSafe(F.col("w_id"))
+    # a class's rows of one id: the first by text
+    one = rows.where("print IS NOT NULL").join(won, mine, "left_semi").groupBy("print").agg(F.min_by("row", F.xxhash64("row.text")).alias("row"))
+    out = one.select("row").union(rows.where("print IS NULL").select("row"))
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op3_coordinate_join(spark: SparkSession, sf_dir: str) -> DataFrame:

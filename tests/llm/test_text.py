@@ -104,6 +104,16 @@ def test_one_of_each_group_stays(edges):
     assert ids.count(6) == 1 and 7 not in ids and 8 not in ids and {1, 2, 3, 4, 5, 9, 10} <= set(ids)
 
 
+def test_one_row_of_each_group_whatever_its_id(spark):
+    """Different texts of one id both stay; of copies without an id one stays, also beside an empty text without one."""
+    rng = random.Random(2)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(30))
+    a, b, c, e = (text() for _ in range(4))
+    rows = [(1, a), (1, b), (None, c), (None, c), (None, c), (None, ""), (None, a), (2, e), (2, e), (3, e)]
+    out = neardup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.text) for r in out), key=str) == sorted([(1, a), (1, b), (None, c), (None, ""), (2, e)], key=str)
+
+
 @pytest.fixture(scope="module")
 def reference():
     import tiktoken
