@@ -159,8 +159,12 @@ def coder(path: str, pattern: str) -> tuple[ByteBPE, Memo]:
     return _coders[path, pattern]
 
 
-def encoded(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids, if asked for) of every row."""
+def encoded(docs: DataFrame, path: str, pattern: str, with_ids: bool = False, keep_memo: bool = True) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids, if asked for) of every row.
+
+    Without ``keep_memo`` a worker gives up its memo at the end of each task, so that the
+    steps of a pipeline that come after have the memory.
+    """
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,6 +187,8 @@ def encoded(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) ->
                 columns.append(pa.array([r[3].astype(np.int32) for r in rows], pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
+        if not keep_memo:
+            _coders.clear()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids

@@ -46,12 +46,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skycat.session import ship_package
 
-from .common import table, written
+from .common import WORD, table, written
 from .textnum import mix, splitmix, word_hashes
 
 #: Coordinates of a signature, words of a shingle, similarity in per cent of the query and of the pipeline's stage.
@@ -116,11 +116,12 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(first, len(sets)),
+                    batch.column(2).slice(first, len(sets)),
                     pa.array(sizes),
                     pa.array([_print(s) for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(np.arange(0, (len(sets) + 1) * K, K, dtype=np.int32), pa.array(sig.view(np.int32).ravel())),
                 ],
-                ["doc_id", "n_shingles", "print", "sig"],
+                ["doc_id", "text_hash", "n_shingles", "print", "sig"],
             )
 
 
@@ -133,10 +134,15 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit print of the shingle set, and K MinHash coordinates."""
+    """doc_id, a hash of the text, n_shingles, a 128-bit print of the shingle set, and K MinHash coordinates."""
     ship_package(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_signatures, f"doc_id {kind}, n_shingles long, print binary, sig array<int>")
+    rows = docs.select("doc_id", "text", _text_hash().alias("text_hash"))
+    return rows.mapInArrow(_signatures, f"doc_id {kind}, text_hash long, n_shingles long, print binary, sig array<int>")
+
+
+def _text_hash() -> Column:
+    return F.xxhash64("text")
 
 
 def prefix_postings(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -206,8 +212,9 @@ def grouped(posts: DataFrame) -> DataFrame:
 def links_of(groups: DataFrame, docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Confirmed links (a, b) that connect all linked classes of each group."""
     members = groups.select("print").distinct().join(classes, "print")
-    some_doc = members.select("some_id").distinct()
-    texts = docs.select("doc_id", "text").join(some_doc, F.col("doc_id").eqNullSafe(F.col("some_id")), "left_semi")
+    some_doc = members.select("some.*").distinct().select(F.col("doc_id").alias("some_id"), F.col("text_hash").alias("some_hash"))
+    mine = F.col("doc_id").eqNullSafe(F.col("some_id")) & (_text_hash() == F.col("some_hash"))
+    texts = docs.select("doc_id", "text").join(some_doc, mine, "left_semi")
     sets = texts.mapInArrow(_full_sets, "print binary, shingles binary").groupBy("print").agg(F.first("shingles").alias("shingles"))
     sized = groups.join(classes.select("print", "n_shingles"), "print")
     volume = sized.groupBy("hub").agg((F.floor(F.sum("n_shingles") / BLOCK_SHINGLES) + 1).cast("int").alias("blocks"))
@@ -254,7 +261,7 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFram
     """(signature rows of all documents, (print, root) of the classes that link with others)."""
     sigs = written(signatures(docs), "signatures")
     classes = written(
-        sigs.where("n_shingles > 0").groupBy("print").agg(F.min("doc_id").alias("some_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")),
+        sigs.where("n_shingles > 0").groupBy("print").agg(F.min(F.struct("doc_id", "text_hash")).alias("some"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")),
         "classes",
     )
     posts = written(prefix_postings(classes, percent), "postings")
@@ -278,31 +285,35 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return out.union(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _with_print(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for first, sets in _sets(batch.column(1)):
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), pa.array([_print(s) if len(s) else None for s in sets], pa.binary())], ["row", "print"])
-
-
 def deduplicated(docs: DataFrame, percent: int = STAGE_PERCENT) -> DataFrame:
     """One row of each near-duplicate group, with all its columns; rows without words all stay.
 
-    The row with the smallest doc_id (nulls last), then print, then hash of the text.
+    The row with the smallest doc_id (nulls last), then print, then hash of the text; of rows
+    with one doc_id and text the one whose columns come first.  An empty table stays empty.
+
+    The winner is found on narrow rows; whole rows are read once, by a semi join on (doc_id,
+    hash of the text), and only rows that share both with another are grouped.
     """
     sigs, roots = linked(docs, percent)
     roots = written(roots, "roots").select(F.col("print").alias("r_print"), "root")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("low")
-    classes = sigs.where("n_shingles > 0").groupBy("print").agg(first)
+    full = sigs.where("n_shingles > 0")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    classes = full.groupBy("print").agg(F.min(key).alias("low"))
     placed = classes.join(roots, F.col("print") == F.col("r_print"), "left").select("print", "low", F.coalesce("root", "print").alias("root"))
-    won = placed.groupBy("root").agg(F.min(F.struct("low", "print")).alias("won"))
-    won = won.select(F.col("won.print").alias("w_print"), F.col("won.low.doc_id").alias("w_id"))
-    kind = docs.select(F.struct(*docs.columns).alias("row")).schema["row"].dataType.simpleString()
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text").mapInArrow(_with_print, f"row {kind}, print binary")
-    mine = (F.col("print") == F.col("w_print")) & F.col("row.doc_id").eqNullSafe(F.col("w_id"))
-    # a class's rows of one id: the first by text
-    one = rows.where("print IS NOT NULL").join(won, mine, "left_semi").groupBy("print").agg(F.min_by("row", F.xxhash64("row.text")).alias("row"))
-    out = one.select("row").union(rows.where("print IS NULL").select("row"))
-    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    best = F.min(F.struct("low.none", "low.doc_id", "print", "low.text_hash")).alias("won")
+    won = placed.groupBy("root").agg(best).select(F.col("won.doc_id").alias("w_id"), F.col("won.text_hash").alias("w_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_hash") == F.col("w_hash"))
+    times = full.join(won, same).groupBy("w_id", "w_hash").agg(F.count("*").alias("times"))
+    won = written(times, "won")
+
+    kept = docs.columns
+    mine = F.col("doc_id").eqNullSafe(F.col("w_id")) & (_text_hash() == F.col("w_hash"))
+    inked = docs.where(F.col("text").rlike(WORD))
+    single = inked.join(won.where("times = 1"), mine, "left_semi")
+    rows = inked.join(won.where("times > 1"), mine, "left_semi").select(F.struct(*kept).alias("row"))
+    one = rows.groupBy(F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("hash")).agg(F.min_by("row", F.to_json("row")).alias("row"))
+    blank = docs.where(F.col("text").isNull() | ~F.col("text").rlike(WORD))
+    return single.union(one.select(*[F.col("row")[c].alias(c) for c in kept])).union(blank)
 
 
 def op3_coordinate_join(spark: SparkSession, sf_dir: str) -> DataFrame:
