@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, hashing_ann, html_text, mixing, neardup, quality, repair, secrets, sharding, suffixtree, tokenfile
+from . import bpe, hashing_ann, html_text, mixing, neardup, packing, quality, repair, secrets, sharding, suffixtree, tokenfile
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _NORMAL = r"regexp_replace(trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), ' '), '[0-9]', '0', 'g')"
@@ -118,6 +118,7 @@ QUERIES = {
     "op8_systematic_mix": mixing.op8_systematic_mix,
     "op10_rendezvous": sharding.op10_rendezvous,
     "op11_lr_repair": repair.op11_lr_repair,
+    "op12_bin_completion": packing.op12_bin_completion,
 }
 
 SQL = {
