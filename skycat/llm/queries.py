@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, hashing_ann, html_text, mixing, neardup, packing, quality, repair, secrets, sharding, suffixtree, tokenfile
+from . import bpe, hashing_ann, html_text, mixing, neardup, packing, quality, ranking, repair, secrets, sharding, suffixtree, tokenfile
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _NORMAL = r"regexp_replace(trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), ' '), '[0-9]', '0', 'g')"
@@ -96,6 +96,22 @@ SELECT d.doc_id, d.size, d.text_crc32, 'key' AS law, CAST(p.shard AS INTEGER) AS
 FROM d JOIN p ON d.doc_id IS NOT DISTINCT FROM p.doc_id
 """
 
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP13_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS t FROM documents),
+b AS (SELECT row_number() OVER () AS i, item_id, {_TERMS} AS t FROM benchmark),
+s AS (SELECT count(*) FILTER (len(t) > 0) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS n_terms FROM d),
+q AS (SELECT DISTINCT i, item_id, unnest(t) AS term FROM b),
+p AS (SELECT r, doc_id, CAST(len AS BIGINT) AS n, term, count(*) AS tf
+      FROM (SELECT r, doc_id, len(t) AS len, unnest(t) AS term FROM d) JOIN (SELECT DISTINCT term FROM q) USING (term) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2.0 * n_docs + 2) / (2.0 * df + 1))) AS BIGINT) AS w
+      FROM (SELECT term, count(*) AS df FROM p GROUP BY term), s),
+f AS (SELECT i, item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+      FROM q JOIN w USING (term) JOIN p USING (term), s GROUP BY i, item_id, r, doc_id),
+k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM f WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= {ranking.BEST}
+"""
 
 
 def pipeline(spark, sf_dir):
@@ -119,6 +135,7 @@ QUERIES = {
     "op10_rendezvous": sharding.op10_rendezvous,
     "op11_lr_repair": repair.op11_lr_repair,
     "op12_bin_completion": packing.op12_bin_completion,
+    "op13_term_pipeline": ranking.op13_term_pipeline,
 }
 
 SQL = {
@@ -126,4 +143,5 @@ SQL = {
     "op7_line_frequency": OP7_SQL,
     "op8_systematic_mix": OP8_SQL,
     "op10_rendezvous": OP10_SQL,
+    "op13_term_pipeline": OP13_SQL,
 }

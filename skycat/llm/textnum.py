@@ -35,6 +35,8 @@ for _c in range(65, 91):  # A-Z as a-z
     _LETTERS[_c] = _LETTERS[_c + 32]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: What parts the terms of a search: all of ASCII but digits and letters.
+NO_TERM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _BASE = int(splitmix(1, 12)[0]) | 1
 _powers: dict[int, np.ndarray] = {}
 
@@ -64,22 +66,25 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return b[o[0] : o[-1]], o - o[0]
 
 
-def word_hashes(column: pa.Array, window: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Yields (first row, word hashes, offsets of the rows' words) for runs of rows of about ``window`` bytes."""
+def word_hashes(column: pa.Array, window: int = 1 << 20, space: np.ndarray = _SPACE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Yields (first row, word hashes, offsets of the rows' words) for runs of rows of about ``window`` bytes.
+
+    ``space`` says of each byte whether it parts words.
+    """
     data, offsets = utf8(column)
     n = len(offsets) - 1
     i = 0
     while i < n:
         j = int(np.searchsorted(offsets, offsets[i] + window, "right")) - 1
         j = min(n, max(j, i + 1))
-        yield i, *_hash_rows(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        yield i, *_hash_rows(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], space)
         i = j
 
 
-def _hash_rows(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hash_rows(b: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     if len(b) == 0:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    ink = ~_SPACE[b]
+    ink = ~space[b]
     before = np.empty_like(ink)
     before[0], before[1:] = False, ink[:-1]
     firsts = offsets[:-1]
