@@ -32,7 +32,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +72,26 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
+class _Directory:
+    """Look-up in sorted keys that are hashes, so evenly spread: by the first bits, then a step or two."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.append(keys, ~np.uint64(0))
+        self.last = len(keys)
+        bits = max(1, len(keys).bit_length() - 1)
+        self.shift = np.uint64(64 - bits)
+        self.starts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """Positions of ``wanted``; -1 where absent."""
+        at = self.starts[wanted >> self.shift].astype(np.int64)
+        behind = np.flatnonzero(self.keys[at] < wanted)
+        while len(behind):
+            at[behind] += 1
+            behind = behind[self.keys[at[behind]] < wanted[behind]]
+        return np.where((self.keys[at] == wanted) & (at < self.last), at, -1)
+
+
 @dataclass
 class Order:
     """The hot states and entries of one context length, by sorted keys of their words."""
@@ -87,13 +107,18 @@ class Order:
 class Tree:
     words: np.ndarray  # sorted hashes of words above TABLE_SHARE
     log_p0: np.ndarray
-    symbol: np.ndarray  # number of a listed word
-    n_symbols: int
     total: int
     distinct: int
     orders: list[Order]
     maybe: np.ndarray  # bit table of all states and entries
     cold: bool  # some states or entries are not in orders
+    directories: dict[int, _Directory] = field(default_factory=dict)  # of the key arrays, made by a worker when first asked for
+
+    def find(self, keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Positions in one of the tree's key arrays; -1 where absent."""
+        if id(keys) not in self.directories:
+            self.directories[id(keys)] = _Directory(keys)
+        return self.directories[id(keys)].find(wanted)
 
 
 def _tokens(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -307,7 +332,7 @@ def _added(tree: Tree, words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarra
         ):
             some = _maybe(tree.maybe, keys ^ salt)
             keys, at = keys[some], inside[some]
-            found = _find(known, keys)
+            found = tree.find(known, keys)
             here = found >= 0
             out[at[here]] += values[found[here]]
             if tree.cold:
@@ -336,7 +361,7 @@ def learned(docs: DataFrame) -> tuple[Tree, DataFrame]:
     listed = max(1.0, TABLE_SHARE * total)
     log_p0 = F.log10((F.col("c") + 0.5) / F.lit(total + 0.5 * (distinct + 1)))
     words, log_p = _sorted(unigrams.where(F.col("c") >= listed).withColumn("log_p", log_p0), "key", "log_p")
-    tree = Tree(words, log_p, np.arange(len(words)), len(words), total, distinct, [], np.zeros(1, np.uint64), False)
+    tree = Tree(words, log_p, total, distinct, [], np.zeros(1, np.uint64), False)
     if total == 0:
         return tree, looked_up
 
@@ -374,7 +399,7 @@ def scored(docs: DataFrame, tree: Tree, looked_up: DataFrame) -> DataFrame:
             for first, h, o in word_hashes(batch.column(3)):
                 rows = batch.slice(first, len(o) - 1)
                 tokens, starts = _tokens(h, o)
-                at = _find(tree.words, tokens)
+                at = tree.find(tree.words, tokens)
                 listed = at >= 0
                 base = np.where(listed, tree.log_p0[at] if len(tree.log_p0) else 0.0, 0.0)
                 added, open_ = _added(tree, tokens, starts)

@@ -89,23 +89,30 @@ def test_suffix_tree_scores(spark, edges, nothing):
     assert suffixtree.scored(empty, *suffixtree.learned(empty)).count() == 0
 
 
+def test_directory():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 1000, 50000):
+        keys = np.unique(rng.integers(0, 1 << 64, n, np.uint64, endpoint=False))
+        wanted = np.concatenate([keys, rng.integers(0, 1 << 64, 1000, np.uint64), np.array([0, (1 << 64) - 1], np.uint64)])
+        assert (suffixtree._Directory(keys).find(wanted) == suffixtree._find(keys, wanted)).all()
+
+
 def test_states_are_distributions(spark):
+    """After every context of one to three words, known words and all others together have probability 1."""
     rows = [(i, "a b c a b d " * 20 + f"x{i} c b a " * (i % 5)) for i in range(40)]
     d = suffixtree.with_fold(spark.createDataFrame(rows, "doc_id long, text string"))
-    tree, words = suffixtree.learned(d)
-    assert tree.orders and len(tree.orders[0].entries)
-    p0 = 10**tree.log_p0
-    # the words not in training share what is left of the root
-    other = 1 - p0.sum()
-    for order, make in zip(tree.orders, range(3)):
-        for number in np.unique(order.entries // tree.n_symbols):
-            mine = order.entries // tree.n_symbols == number
-            assert (10 ** order.log_p[mine]).sum() <= 1 + 1e-9
-    for s in range(tree.n_symbols):
-        x = np.where(tree.symbol >= 0, tree.symbol, -1)
-        p = 10 ** suffixtree._state(tree, [x, np.full(len(x), s)], tree.log_p0.copy())
-        rest = other * 10 ** tree.orders[0].log_rest[s]
-        assert abs(p.sum() + rest - 1) < 1e-6
+    tree, _ = suffixtree.learned(d)
+    assert len(tree.orders) == 3 and all(len(o.entries) for o in tree.orders[:2]) and not tree.cold
+    n = len(tree.words)
+    x = np.arange(-1, n)  # the first stands for the words not in training, which share what is left of the root
+    root = np.append(np.log10(1 - (10**tree.log_p0).sum()), tree.log_p0)
+    contexts = [(s,) for s in range(n)] + [(s, t) for s in range(n) for t in range(n)] + [(s, t, u) for s in range(0, n, 3) for t in range(n) for u in range(0, n, 5)]
+    changed = 0
+    for context in contexts:
+        log_p = suffixtree._state(tree, [x, *(np.full(n + 1, s) for s in context)], root.copy())
+        assert abs((10**log_p).sum() - 1) < 1e-6
+        changed += not np.allclose(log_p, root)
+    assert changed > n
 
 
 def brute_scores(train, texts):
