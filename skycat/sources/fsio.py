@@ -81,12 +81,16 @@ def write_bytes(path: str, chunks) -> None:
 
 
 def move(src: str, dst: str) -> None:
+    """Rename, replacing a file at ``dst``: in one step where the file system can."""
     fs, s = resolve(src)
     _, d = resolve(dst)
-    info = fs.get_file_info(d)
-    if info.type == pafs.FileType.File:
-        fs.delete_file(d)
-    fs.move(s, d)
+    try:
+        fs.move(s, d)
+    except OSError:
+        if fs.get_file_info(d).type != pafs.FileType.File or fs.get_file_info(s).type != pafs.FileType.File:
+            raise
+        fs.delete_file(d)  # this file system does not rename over a file
+        fs.move(s, d)
 
 
 def delete(path: str) -> None:
@@ -95,6 +99,27 @@ def delete(path: str) -> None:
         fs.delete_file(p)
 
 
+def delete_folder(path: str) -> None:
+    fs, p = resolve(path)
+    if fs.get_file_info(p).type == pafs.FileType.Directory:
+        fs.delete_dir(p)
+
+
+def local(path: str) -> str | None:
+    """The path on a mounted file system, or None when it lives on another."""
+    fs, p = resolve(path)
+    return p if isinstance(fs, pafs.LocalFileSystem) else None
+
+
+def qualified(spark, path: str) -> str:
+    """A path without a scheme means the cluster's default file system, as for Spark's own sources."""
+    if "://" in path or path.startswith("file:"):
+        return path
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    full = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return path if full.startswith("file:") else full
+
+
 def join(path: str, name: str) -> str:
     return path.rstrip("/") + "/" + name
 

@@ -4,36 +4,43 @@ Layout, little-endian: a 16-byte header ``<IIII`` (magic, version, n, flags)
 followed by n 16-byte records ``<fffBBH`` (x, y, z_cart, tracer, reserved,
 z_encoded).
 
-Read (S6): ``path`` is one file or a directory of part files.  The driver reads
-each header, checks magic, version and that the body holds n records, and
-splits every file into record ranges (``recordsPerPartition``); each task seeks
-to ``16 + 16 * start`` and decodes its range with one numpy structured view.
-Columns: ``x, y, z_cart`` float, ``tracer`` short, ``z_encoded`` int.  The
-redshift is decoded in Spark (``decode_z``).
-
-Write (K3): every task writes one complete file (own header) to a temporary
-name; the driver's ``commit`` renames them into place, ``abort`` removes
-them.  A one-partition frame with option ``singleFile`` gives one file at
-exactly ``path``, byte-compatible with the original export.  A part holds at
-most 2^32 - 1 points (the header count is u32).
+A table is one such file, or a folder of them.  A folder written here is
+versioned: its data files never change or move, and a manifest
+``_manifest-<version>-<job>.json`` lists the files of one version in row order
+with their counts.  A write adds its files and then, as its last act, one
+manifest, by a rename to a name that was not there before; readers follow the
+latest manifest.  So a reader sees one whole version whenever it looks, also
+after a write that died.  The version before the latest is kept, for readers
+that have planned on it; what only older ones list is deleted.  A folder
+without a manifest (files of other tools) is read by ``part-*.galbin``.
+
+Read (S6): the driver reads one manifest, or the header of each file where
+there is none, and splits every file into record ranges
+(``recordsPerPartition``); each task seeks to ``16 + 16 * start`` and decodes
+its range with one numpy structured view.  Columns: ``x, y, z_cart`` float,
+``tracer`` short, ``z_encoded`` int.  The redshift is decoded in Spark
+(``decode_z``).
+
+Write (K3): a task gathers up to ``FILE_RECORDS`` records and writes them as a
+complete file, so it holds 64 MiB at most, on any file system.  ``commit``
+writes the manifest, ``abort`` removes the files.  ``compose`` makes one file
+of ordered parts: their counts give each part its place behind one header, and
+a Spark job copies all parts at once.
 
 Paths are local paths or URIs of the cluster's shared storage (``hdfs://``,
-``s3://``, ``gs://``), accessed through ``pyarrow.fs``.  On local disk a part
-is streamed and its header patched in place; on object stores a task's part
-(bounded by its partition) is assembled first and written in one go.
+``s3://``, ``gs://``), accessed through ``pyarrow.fs``.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import struct
 import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
@@ -53,18 +60,47 @@ SCHEMA = "x float, y float, z_cart float, tracer short, z_encoded int"
 PART_GLOB = "part-*.galbin"
 DEFAULT_RECORDS_PER_PARTITION = 4 << 20  # 64 MiB of records
 BATCH_RECORDS = 1 << 20
+#: Records of a data file, which a task holds until it is full.
+FILE_RECORDS = 4 << 20
+MANIFEST_GLOB = "_manifest-*.json"
+MAX_POINTS = 0xFFFFFFFF  # the header count is u32
 
 
-def _local(path: str) -> str | None:
-    """The local path of ``path``, or None when it lives on another file system."""
-    fs, p = fsio.resolve(path)
-    return p if isinstance(fs, pafs.LocalFileSystem) else None
+def header(n: int) -> bytes:
+    return struct.pack("<IIII", PACKED_MAGIC, PACKED_VERSION, n, 0)
 
 
-def list_files(path: str) -> list[str]:
+@dataclass
+class Manifest:
+    """One version of a folder: its files, by name, in row order, with their counts."""
+
+    version: int
+    files: list
+    path: str = ""
+
+
+def manifests(path: str) -> list[Manifest]:
+    """The versions that a folder still has, oldest first."""
+    found = []
+    for p in fsio.find(path, MANIFEST_GLOB, recursive=False) if fsio.exists(path) else []:
+        with fsio.open_input(p) as f:
+            doc = json.loads(f.read())
+        found.append(Manifest(doc["version"], [(name, n) for name, n in doc["files"]], p))
+    return sorted(found, key=lambda m: (m.version, m.path))
+
+
+def list_files(path: str) -> list[tuple[str, int]]:
+    """(file, records) of a table, in row order."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    files = [path]
     if fsio.is_dir(path):
-        return fsio.find(path, PART_GLOB, recursive=False)
-    return [path]
+        if found := manifests(path):
+            return [(fsio.join(path, name), n) for name, n in found[-1].files]
+        files = fsio.find(path, PART_GLOB, recursive=False)
+    # validate every header; overlap the reads (network file systems)
+    with ThreadPoolExecutor(max_workers=max(1, min(32, len(files)))) as pool:
+        return list(zip(files, pool.map(read_header, files)))
 
 
 def read_header(path: str) -> int:
@@ -112,14 +148,8 @@ class GalbinReader(DataSourceReader):
         self.per_part = int(options.get("recordsPerPartition", DEFAULT_RECORDS_PER_PARTITION))
 
     def partitions(self):
-        from concurrent.futures import ThreadPoolExecutor
-
-        files = list_files(self.path)
-        # validate every part's header; overlap the reads (network file systems)
-        with ThreadPoolExecutor(max_workers=max(1, min(32, len(files)))) as pool:
-            counts = list(pool.map(read_header, files))
         parts = []
-        for f, n in zip(files, counts):
+        for f, n in list_files(self.path):
             for start in range(0, n, self.per_part):
                 parts.append(RecordRange(f, start, min(self.per_part, n - start)))
         return parts or [RecordRange("", 0, 0)]
@@ -140,10 +170,9 @@ class GalbinReader(DataSourceReader):
 
 
 @dataclass
-class PartWritten(WriterCommitMessage):
-    tmp: str
+class FilesWritten(WriterCommitMessage):
     partition: int
-    n: int
+    files: list  # (name, records)
 
 
 def encode_batch(batch: pa.RecordBatch) -> np.ndarray:
@@ -162,98 +191,146 @@ def encode_batch(batch: pa.RecordBatch) -> np.ndarray:
 
 class GalbinWriter(DataSourceArrowWriter):
     def __init__(self, options, overwrite: bool):
-        path = options.get("path")
-        self.path = _local(path) or path
-        self.single = options.get("singleFile", "false").lower() == "true"
-        # assemble each part before writing (object stores, FUSE mounts that cannot
-        # seek back); the default decides by file system
-        self.assemble = options.get("assembleParts", "auto").lower()
+        self.path = options.get("path")
         self.overwrite = overwrite
         self.job = uuid.uuid4().hex[:12]  # in all names of this write, so that others' files stay untouched
 
-    def _dir(self) -> str:
-        return fsio.dirname(self.path) if self.single else self.path
-
     def write(self, iterator):
         from pyspark import TaskContext
 
-        pid = TaskContext.get().partitionId()
-        tmp = fsio.join(self._dir() or ".", f".part-{self.job}-{pid:05d}-{uuid.uuid4().hex}.galbin.tmp")
-        if self.assemble == "true" or (self.assemble == "auto" and _local(tmp) is None):
-            return self._write_remote(tmp, pid, iterator)
-        os.makedirs(self._dir() or ".", exist_ok=True)
-        n = 0
-        try:
-            with open(tmp, "wb") as f:
-                f.write(struct.pack("<IIII", PACKED_MAGIC, PACKED_VERSION, 0, 0))
-                for batch in iterator:
-                    rec = encode_batch(batch)
-                    f.write(rec.tobytes())
-                    n += len(rec)
-                if n > 0xFFFFFFFF:
-                    raise ValueError(f"a part holds {n} points; the u32 header allows at most 2^32 - 1")
-                f.seek(0)
-                f.write(struct.pack("<IIII", PACKED_MAGIC, PACKED_VERSION, n, 0))
-        except BaseException:
-            # a failed attempt sends no commit message: remove its file here
-            if os.path.exists(tmp):
-                os.remove(tmp)
-            raise
-        return PartWritten(tmp, pid, n)
-
-    def _write_remote(self, tmp: str, pid: int, iterator) -> PartWritten:
-        """Object stores cannot seek back to patch the count: this task's part
-        (bounded by its partition) is assembled first, then written in one go."""
-        bodies = [encode_batch(b).tobytes() for b in iterator]
-        n = sum(len(b) for b in bodies) // PACKED_RECORD_BYTES
-        if n > 0xFFFFFFFF:
-            raise ValueError(f"a part holds {n} points; the u32 header allows at most 2^32 - 1")
+        pid, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex[:12]
+        files: list[tuple[str, int]] = []
+        held: list[np.ndarray] = []
+
+        def flush() -> None:
+            name = f"data-{self.job}-{pid:08d}-{attempt}-{len(files):05d}.galbin"
+            n = sum(map(len, held))
+            files.append((name, n))
+            fsio.write_bytes(fsio.join(self.path, name), [header(n), *(r.tobytes() for r in held)])
+            held.clear()
+
         try:
-            fsio.write_bytes(tmp, [struct.pack("<IIII", PACKED_MAGIC, PACKED_VERSION, n, 0), *bodies])
+            room = FILE_RECORDS
+            for batch in iterator:
+                records = encode_batch(batch)
+                while len(records):
+                    held.append(records[:room])
+                    room -= len(held[-1])
+                    records = records[len(held[-1]) :]
+                    if not room:
+                        flush()
+                        room = FILE_RECORDS
+            if held:
+                flush()
         except BaseException:
-            fsio.delete(tmp)
+            # a failed attempt sends no commit message: remove its files here
+            for name, _ in files:
+                fsio.delete(fsio.join(self.path, name))
             raise
-        return PartWritten(tmp, pid, n)
+        return FilesWritten(pid, files)
 
     def commit(self, messages):
-        msgs = [m for m in messages if m is not None]
-        # attempts that died after writing (lost executor, speculation) leave
-        # temporaries that no commit message names: remove them
-        keep = {m.tmp for m in msgs}
-        if fsio.exists(self._dir() or "."):
-            for stale in fsio.find(self._dir() or ".", f".part-{self.job}-*.galbin.tmp", recursive=False):
-                if stale not in keep:
-                    fsio.delete(stale)
-        if self.single:
-            if not msgs:  # an empty input ran no task: the file is a header saying 0 points
-                if fsio.exists(self.path) and not self.overwrite:
-                    raise FileExistsError(self.path)
-                tmp = f"{self.path}.{uuid.uuid4().hex}.tmp"
-                fsio.write_bytes(tmp, [struct.pack("<IIII", PACKED_MAGIC, PACKED_VERSION, 0, 0)])
-                fsio.move(tmp, self.path)
-                return
-            if len(msgs) != 1:
-                for m in msgs:
-                    fsio.delete(m.tmp)
-                raise ValueError(f"singleFile needs exactly one partition, got {len(msgs)}; coalesce(1) first")
-            if fsio.exists(self.path) and not self.overwrite:
-                fsio.delete(msgs[0].tmp)
-                raise FileExistsError(self.path)
-            fsio.move(msgs[0].tmp, self.path)
-            return
-        old = fsio.find(self.path, PART_GLOB, recursive=False) if fsio.exists(self.path) else []
-        # appended parts are numbered after those there, in ten digits, so that text order is row order
-        first = 0 if self.overwrite else 1 + max((int(re.search(r"part-(\d+)", fsio.name(p))[1]) for p in old), default=-1)
-        for m in msgs:
-            fsio.move(m.tmp, fsio.join(self.path, f"part-{first + m.partition:010d}-{self.job}.galbin"))
-        if self.overwrite:  # old parts go last: a crash before leaves them whole
-            for p in old:
-                fsio.delete(p)
+        msgs = sorted((m for m in messages if m is not None), key=lambda m: m.partition)
+        new = [f for m in msgs for f in m.files]
+        there = manifests(self.path)
+        if self.overwrite:
+            files = new
+        elif there:
+            files = there[-1].files + new
+        else:  # files of other tools come first
+            files = [(fsio.name(p), n) for p, n in (list_files(self.path) if fsio.exists(self.path) else [])] + new
+        version = there[-1].version + 1 if there else 1
+        doc = {"version": version, "n_points": sum(n for _, n in files), "files": files}
+        name = f"_manifest-{version:010d}-{self.job}.json"
+        fsio.write_bytes(fsio.join(self.path, "." + name), [json.dumps(doc).encode()])
+        fsio.move(fsio.join(self.path, "." + name), fsio.join(self.path, name))  # from here on the new version is the table
+        self._tidy({n for n, _ in files}, there)
+
+    def _tidy(self, now: set, there: list[Manifest]) -> None:
+        """Delete what neither this version nor the one before lists; files of attempts that died (lost
+        executor, speculation) are those of this write that no commit message names."""
+        keep = now | {n for n, _ in there[-1].files} if there else now
+        gone = {n for m in there[:-1] for n, _ in m.files} - keep
+        if there:
+            gone |= {fsio.name(p) for p in fsio.find(self.path, PART_GLOB, recursive=False)} - keep
+        gone |= {fsio.name(p) for p in fsio.find(self.path, f"data-{self.job}-*.galbin", recursive=False)} - keep
+        for m in there[:-1]:
+            fsio.delete(m.path)
+        for n in gone:
+            fsio.delete(fsio.join(self.path, n))
 
     def abort(self, messages):
         for m in messages:
-            if m is not None:
-                fsio.delete(m.tmp)
+            for name, _ in m.files if m is not None else []:
+                fsio.delete(fsio.join(self.path, name))
+
+
+def _copied(target: str):
+    """Copies ranges of parts to their places in ``target``; yields the records of each."""
+
+    def run(batches):
+        for batch in batches:
+            done = []
+            for path, start, n, place in zip(*(c.to_pylist() for c in batch.columns)):
+                with fsio.open_input(path) as src, open(target, "r+b") as dst:
+                    src.seek(PACKED_HEADER_BYTES + start * PACKED_RECORD_BYTES)
+                    dst.seek(PACKED_HEADER_BYTES + place * PACKED_RECORD_BYTES)
+                    for first in range(0, n, BATCH_RECORDS):
+                        want = min(BATCH_RECORDS, n - first) * PACKED_RECORD_BYTES
+                        buf = src.read(want)
+                        if len(buf) != want:
+                            raise ValueError(f"{path}: short read at record {start + first}")
+                        dst.write(buf)
+                    dst.flush()
+                    os.fsync(dst.fileno())
+                done.append(n)
+            yield pa.RecordBatch.from_arrays([pa.array(done, pa.int64())], ["n"])
+
+    return run
+
+
+def compose(spark, parts: list[tuple[str, int]], path: str) -> int:
+    """One file ``path`` of the records of ordered parts (file, records); the number of records.
+
+    Part k begins behind the records of the parts before it, so on a mounted file system all
+    are copied at once by a Spark job, each to its place; a retried task writes the same bytes
+    to the same place.  Stores without writes at an offset get one stream of all parts, in
+    pieces.  The file appears by a rename when it is whole.
+    """
+    total = sum(n for _, n in parts)
+    if total > MAX_POINTS:
+        raise ValueError(f"{total} points; one file holds at most 2^32 - 1, write a folder of parts")
+    tmp = f"{path}.{uuid.uuid4().hex}.tmp"
+    here = fsio.local(tmp)
+    try:
+        if here is None:
+            fsio.write_bytes(tmp, _stream(parts, total))
+        else:
+            fsio.write_bytes(tmp, [header(total)])
+            os.truncate(here, PACKED_HEADER_BYTES + total * PACKED_RECORD_BYTES)
+            rows, place = [], 0
+            for part, n in parts:
+                rows += [(part, a, min(FILE_RECORDS, n - a), place + a) for a in range(0, n, FILE_RECORDS)]
+                place += n
+            if rows:
+                jobs = spark.createDataFrame(rows, "part string, start long, n long, place long")
+                copied = jobs.mapInArrow(_copied(here), "n long").groupBy().sum("n").first()[0]
+                if copied != total:
+                    raise OSError(f"{path}: {copied} of {total} records were copied")
+        fsio.move(tmp, path)
+    except BaseException:
+        fsio.delete(tmp)
+        raise
+    return total
+
+
+def _stream(parts, total: int):
+    yield header(total)
+    for part, n in parts:
+        with fsio.open_input(part) as f:
+            f.seek(PACKED_HEADER_BYTES)
+            for first in range(0, n, BATCH_RECORDS):
+                yield f.read(min(BATCH_RECORDS, n - first) * PACKED_RECORD_BYTES)
 
 
 class GalbinDataSource(DataSource):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from skycat.schema import (
     OM0,
     TRACERS,
 )
-from skycat.sources import galbin
+from skycat.sources import fsio, galbin
 
 
 def pack_points(df: DataFrame) -> DataFrame:
@@ -31,25 +32,28 @@ def pack_points(df: DataFrame) -> DataFrame:
     )
 
 
-def write_packed(df: DataFrame, path: str, *, single_file: bool = True, assemble_parts: bool | None = None) -> None:
-    """K3: write points (x, y, z_cart, tracer, z) as packed records.
+def write_packed(df: DataFrame, path: str, *, single_file: bool = True, mode: str = "overwrite") -> None:
+    """K3: write points (x, y, z_cart, tracer, z) as packed records, in row order.
 
-    ``single_file`` coalesces to one task and writes exactly ``path`` (the web
-    export, a bounded sample); otherwise ``path`` is a directory of part files,
-    one per partition, each with its own header.  Row order is kept.
+    Every task writes its own parts.  With ``single_file`` (the viewer's layout) they go to a
+    folder beside ``path`` and are composed into exactly ``path``, which a reader sees as it was
+    until the new file is whole; otherwise ``path`` is a versioned folder of parts (``galbin``),
+    to which ``mode`` "append" adds.
     """
-    galbin.register(df.sparkSession)
-    packed = pack_points(df)
+    spark = df.sparkSession
+    galbin.register(spark)
+    path = fsio.qualified(spark, path)
+    folder = path
     if single_file:
-        packed = packed.coalesce(1)
-    (
-        packed.write.format("galbin")
-        .mode("overwrite")
-        .option("path", path)
-        .option("singleFile", str(single_file).lower())
-        .option("assembleParts", "auto" if assemble_parts is None else str(assemble_parts).lower())
-        .save()
-    )
+        folder = fsio.join(fsio.dirname(path), f".{fsio.name(path)}-{uuid.uuid4().hex}")
+        mode = "overwrite"
+    try:
+        pack_points(df).write.format("galbin").mode(mode).option("path", folder).save()
+        if single_file:
+            galbin.compose(spark, galbin.list_files(folder), path)
+    finally:
+        if single_file:
+            fsio.delete_folder(folder)
 
 
 def read_packed(spark: SparkSession, path: str, records_per_partition: int | None = None) -> DataFrame:
@@ -58,7 +62,7 @@ def read_packed(spark: SparkSession, path: str, records_per_partition: int | Non
     r = spark.read.format("galbin")
     if records_per_partition:
         r = r.option("recordsPerPartition", str(records_per_partition))
-    df = r.load(path)
+    df = r.load(fsio.qualified(spark, path))
     return df.select("x", "y", "z_cart", "tracer", decode_z("z_encoded").alias("z"))
 
 
@@ -91,10 +95,6 @@ def metadata_document(sample: DataFrame, *, h0: float = H0, om0: float = OM0, da
 def write_metadata(doc: dict, path: str) -> None:
     """K4 sink: indented JSON text (the document is one small row); written to a
     temporary name and moved into place, on any file system pyarrow reaches."""
-    import uuid
-
-    from skycat.sources import fsio
-
     tmp = f"{path}.{uuid.uuid4().hex}.tmp"
     fsio.write_bytes(tmp, [json.dumps(doc, indent=2).encode("utf-8")])
     fsio.move(tmp, path)

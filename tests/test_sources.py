@@ -306,17 +306,16 @@ def test_packed_write_of_empty_frame(spark, tmp):
     assert packed.read_packed(spark, path).count() == 0
 
 
-def test_packed_assembled_parts_and_uri_paths(spark, tmp):
-    """The object-store write path (parts assembled, then written once) and
-    file:// URIs give the same files as the streaming local path."""
+def test_packed_uri_paths(spark, tmp):
+    """file:// URIs give the same files as local paths."""
     df = _points(spark, 300)
     a = os.path.join(tmp, "a.bin")
     b = "file://" + os.path.join(tmp, "b.bin")
     packed.write_packed(df, a)
-    packed.write_packed(df, b, assemble_parts=True)
+    packed.write_packed(df, b)
     assert open(a, "rb").read() == open(os.path.join(tmp, "b.bin"), "rb").read()
     parts = "file://" + os.path.join(tmp, "parts")
-    packed.write_packed(df.repartition(3), parts, single_file=False, assemble_parts=True)
+    packed.write_packed(df.repartition(3), parts, single_file=False)
     assert packed.read_packed(spark, parts).count() == 300
     assert not [f for f in os.listdir(os.path.join(tmp, "parts")) if f.endswith(".tmp")]
 
@@ -368,6 +367,74 @@ def test_packed_append_keeps_all_rows_and_other_jobs_files(spark, tmp):
     assert spark.read.format("galbin").load(path).count() == 4
 
 
+def test_packed_single_file_is_composed_in_parallel(spark, tmp, monkeypatch):
+    """The parts of many tasks and the store's one stream give the bytes that one task would write."""
+    from skycat.sources import fsio, galbin
+
+    df = _points(spark, 5000).repartitionByRange(7, "x").sortWithinPartitions("x")
+    one, many, streamed = (os.path.join(tmp, f"{n}.bin") for n in ("one", "many", "streamed"))
+    packed.write_packed(df.coalesce(1), one)
+    monkeypatch.setattr(galbin, "FILE_RECORDS", 300)
+    packed.write_packed(df, many)
+    monkeypatch.setattr(fsio, "local", lambda p: None)
+    packed.write_packed(df, streamed)
+    want = open(one, "rb").read()
+    assert len(want) == 16 + 16 * 5000 and want == open(many, "rb").read() == open(streamed, "rb").read()
+    assert sorted(os.listdir(tmp)) == ["many.bin", "one.bin", "streamed.bin"]  # no parts or temporaries stay
+
+
+def test_packed_folder_keeps_one_whole_version(spark, tmp, monkeypatch):
+    """Readers see the old version until the new one's manifest is there, also after a write that died."""
+    from skycat.sources import fsio, galbin
+
+    path = os.path.join(tmp, "packed")
+    xs = lambda df: sorted(r.x for r in df.collect())
+    read = lambda: xs(packed.read_packed(spark, path))
+    first, second = _points(spark, 40).repartition(4), _points(spark, 90).repartition(3)
+    packed.write_packed(first, path, single_file=False)
+    reader = galbin.GalbinReader({"path": path})
+    planned, planned_parts = reader.partitions(), galbin.list_files(path)
+
+    class Died(Exception):
+        pass
+
+    def dies(src, dst):
+        raise Died
+
+    # the new files are there, the manifest is not: as after a crash in commit
+    writer = galbin.GalbinWriter({"path": path}, True)
+    with monkeypatch.context() as m:
+        m.setattr(fsio, "move", dies)
+        galbin_rows = galbin.encode_batch(__import__("pyarrow").RecordBatch.from_pydict({"x": [1.0], "y": [1.0], "z_cart": [1.0], "tracer": [1], "z_encoded": [1]}))
+        name = f"data-{writer.job}-00000000-a-00000.galbin"
+        fsio.write_bytes(fsio.join(path, name), [galbin.header(1), galbin_rows.tobytes()])
+        with pytest.raises(Died):
+            writer.commit([galbin.FilesWritten(0, [(name, 1)])])
+    assert read() == [float(i) for i in range(40)]
+    packed.write_packed(second, path, single_file=False)
+    assert read() == [float(i) for i in range(90)]
+    # a reader that planned before the overwrite still finds its files
+    late = sorted(x for p in planned for b in reader.read(p) for x in b.column("x").to_pylist())
+    assert late == [float(i) for i in range(40)]
+    packed.write_packed(first, path, single_file=False, mode="append")
+    assert sorted(read()) == sorted([float(i) for i in range(90)] + [float(i) for i in range(40)])
+    assert not any(os.path.exists(p) for p, _ in planned_parts)  # two versions later they are gone
+    assert len(galbin.manifests(path)) == 2
+
+
+def test_packed_folder_of_other_tools(spark, tmp):
+    """part-*.galbin files without a manifest are read in name order, and appended to."""
+    from skycat.sources import galbin
+
+    for k in range(2):
+        packed.write_packed(_points(spark, 5 + k), os.path.join(tmp, f"part-{k}.galbin"))
+    assert packed.read_packed(spark, tmp).count() == 11
+    packed.write_packed(_points(spark, 3), tmp, single_file=False, mode="append")
+    assert [n for _, n in galbin.list_files(tmp)][:2] == [5, 6] and packed.read_packed(spark, tmp).count() == 14
+    packed.write_packed(_points(spark, 2), tmp, single_file=False)
+    assert packed.read_packed(spark, tmp).count() == 2
+
+
 def test_uris_keep_their_host():
     from skycat.sources import fsio
 
