@@ -46,6 +46,8 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("raw")
     p.add_argument("processed")
     p.add_argument("--require-manifest", action="store_true", help="exit with 1 if a catalogue of the manifest is missing")
+    p.add_argument("--combined", metavar="PATH", help="also write all rows as one table, ordered by position")
+    p.add_argument("--all", action="store_true", help="read all files, also those of earlier runs")
     e = sub.add_parser("export", help="processed catalogue -> packed sample + metadata")
     e.add_argument("processed")
     e.add_argument("web")
@@ -66,14 +68,19 @@ def main(argv: list[str] | None = None) -> int:
     spark = _session()
     failed = False
     if args.cmd == "process":
-        from skycat.plans.ingest import ingest
+        from skycat.plans.ingest import by_catalog, ingest
 
-        res = ingest(spark, args.raw, args.processed)
-        res.summary.show(truncate=False)
+        res = ingest(spark, args.raw, args.processed, incremental=not args.all)
+        by_catalog(res.summary).show(100, truncate=False)
         missing = [row.file_name for row in res.manifest.collect() if not row.present]
         if missing:
             print(f"missing from the manifest: {len(missing)}: {', '.join(sorted(missing))}")
             failed = args.require_manifest
+        print(f"files read: {len(res.read)}; skipped: {res.files.count() - len(res.read)}")
+        if args.combined:
+            from skycat.sources.catalog import read_catalog, write_combined
+
+            write_combined(read_catalog(spark, res.output), args.combined)
         print(f"combined catalogue: {res.total:,} galaxies -> {res.output}")
     elif args.cmd == "export":
         from skycat.plans.export import export_web

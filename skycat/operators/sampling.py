@@ -17,10 +17,11 @@ Physical plan, for any size of catalogue and any skew between strata:
    T = n + 8 sqrt(n) + 20 rows are expected below it.  A row passes with
    p = 1 - exp(-w c) (weighted) or p = c (uniform), and
    sum(1 - exp(-w c)) >= c sum(w) - c^2 sum(w^2) / 2, so the smaller root of
-   that quadratic is a safe cutoff.  When the weights are too concentrated for
-   the bound, two extra passes evaluate the expectation on a grid of cutoffs
-   over all doubles, first coarse, then by doublings, so a cutoff is always
-   found.  The expected survivors are ~T, independent of the catalogue size;
+   that quadratic is a safe cutoff and the expected survivors are ~T, whatever
+   the size of the catalogue.  Where the weights are too concentrated for the
+   bound, one aggregation of mergeable quantile sketches (KLL) of the keys gives
+   the cutoff, a little above the T-th smallest key; it works on ranks alone, so
+   any positive weights will do;
 3. a narrow filter ``key <= cutoff`` keeps those rows, which are counted (a
    stratum that fell short is redone with a larger cutoff) and ranked exactly
    by a range-partitioned global order whose positions come from per-partition
@@ -36,18 +37,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skycat.functions.hashing import identity, uniform
-from skycat.schema import SAMPLE_SEED
+from skycat.functions.hashing import DEFAULT_METHOD, identity, uniform
+from skycat.schema import RANDOM_SPREAD, SAMPLE_SEED
 
 import math
 
-# Cutoffs are searched on c0 * 2^(GRID_JUMP * j), then on the doublings between
-# two of these: 50 * 44 binary orders span all positive doubles.
-GRID_STEPS = 50
-GRID_JUMP = 44
+# Items a quantile sketch keeps, and the rank error it then has (four times its 99 % bound).
+SKETCH_ITEMS = 32768
+SKETCH_ERROR = 4 * 2.3 / SKETCH_ITEMS**0.9723
 
 
 @dataclass(frozen=True)
@@ -95,7 +95,9 @@ def _case(stratum: Column, values: dict, default=None) -> Column:
     return expr.otherwise(F.lit(default)) if default is not None else expr
 
 
-def plan_strata(df: DataFrame, targets: dict[int, int], stratum: str, weight: str | None) -> list[StratumPlan]:
+def plan_strata(
+    df: DataFrame, targets: dict[int, int], stratum: str, weight: str | None, exhaust: bool = False
+) -> list[StratumPlan]:
     """Step 1: one small aggregation; decides weighted/uniform and raises like numpy."""
     wc = clipped_weight(weight) if weight else F.lit(1.0)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
@@ -121,6 +123,8 @@ def plan_strata(df: DataFrame, targets: dict[int, int], stratum: str, weight: st
         # The sum is NaN when any weight is NaN (then "sum > 0" is false: uniform)
         # and +inf when any weight is +inf (probabilities become NaN: error).
         weighted = weight is not None and r["n_nan"] == 0 and (r["n_inf"] > 0 or r["wsum"] > 0)
+        if exhaust and n == avail:  # all rows are taken: nothing is drawn
+            weighted = False
         if weighted and r["n_inf"] > 0:
             raise ValueError(f"stratum {t}: {r['n_inf']} infinite weight(s); probabilities are undefined")
         if weighted and r["n_pos"] < n:
@@ -134,7 +138,7 @@ def plan_strata(df: DataFrame, targets: dict[int, int], stratum: str, weight: st
 
 
 def _with_cutoff(p: StratumPlan) -> StratumPlan:
-    """Analytic cutoff (None: the stratum has at most ``want`` rows, all are kept; nan: needs the grid)."""
+    """Analytic cutoff (None: the stratum has at most ``want`` rows, all are kept; nan: needs the sketch)."""
     from dataclasses import replace
 
     rows = p.n_pos if p.weighted else p.available
@@ -143,7 +147,7 @@ def _with_cutoff(p: StratumPlan) -> StratumPlan:
     if not p.weighted:
         return replace(p, cutoff=p.want / rows)
     disc = p.wsum * p.wsum - 2.0 * p.wsum2 * p.want
-    if disc < 0:
+    if not 0 <= disc < math.inf:  # concentrated weights, or squares beyond the largest double
         return replace(p, cutoff=float("nan"))
     return replace(p, cutoff=2.0 * p.want / (p.wsum + math.sqrt(disc)))
 
@@ -156,36 +160,28 @@ def _scaled(c: float, exponent: int) -> float:
         return math.inf
 
 
-def _first_reaching(df: DataFrame, grids: dict[int, list[float]], want: dict[int, float], stratum: str, weight: str) -> dict[int, int]:
-    """Per stratum the first of its cutoffs c with E(c) = sum(1 - exp(-w c)) >= want, as an index (one pass)."""
-    s, wc = F.col(stratum), clipped_weight(weight)
-    steps = range(max(len(g) for g in grids.values()))
-    aggs = [F.sum(-F.expm1(-_case(s, {t: F.lit(g[j]) for t, g in grids.items()}) * wc)).alias(f"e{j}") for j in steps]
-    rows = df.where(s.isin(list(grids)) & (wc > 0)).groupBy(stratum).agg(*aggs).collect()
-    return {r[stratum]: next((j for j in steps if r[f"e{j}"] >= want[r[stratum]]), len(steps) - 1) for r in rows}
-
-
-def _grid_cutoffs(df: DataFrame, plans: list[StratumPlan], stratum: str, weight: str) -> list[StratumPlan]:
-    """For strata whose weights defeat the moment bound: the smallest cutoff of the
-    grid with E(c) >= want, in two passes.  The coarse grid ends at infinity, where
-    every positive weight passes, so there is one (E is concave, so E(2c) <= 2 E(c):
-    at most ~2x survivors)."""
+def _sketch_cutoffs(
+    df: DataFrame, plans: list[StratumPlan], stratum: str, weight: str, ident: Column, seed: int, method: str = DEFAULT_METHOD
+) -> list[StratumPlan]:
+    """For strata whose weights defeat the moment bound: a key quantile that at least ``want`` rows
+    do not exceed, from one aggregation of mergeable sketches (one row per stratum comes back)."""
     from dataclasses import replace
 
-    need = {p.stratum: p for p in plans if p.cutoff is not None and math.isnan(p.cutoff)}
+    need = [p for p in plans if p.cutoff is not None and math.isnan(p.cutoff)]
     if not need:
         return plans
-    want = {t: p.want for t, p in need.items()}
-    # E(want / wsum) <= want, so the cutoff is not below it
-    coarse = {t: [_scaled(p.want / p.wsum, GRID_JUMP * j) for j in range(GRID_STEPS)] for t, p in need.items()}
-    at = _first_reaching(df, coarse, want, stratum, weight)
-    fine = {t: [_scaled(coarse[t][max(0, at[t] - 1)], j) for j in range(GRID_JUMP + 1)] for t in need}
-    at = _first_reaching(df, fine, want, stratum, weight)
-    return [replace(p, cutoff=fine[p.stratum][at[p.stratum]]) if p.stratum in need else p for p in plans]
+    ranks = [min(1.0, p.want / p.n_pos + SKETCH_ERROR) for p in need]
+    keyed = _keyed(df, need, stratum, weight, ident, seed, method)
+    sketch = keyed.groupBy(stratum).agg(F.kll_sketch_agg_double("_key", SKETCH_ITEMS).alias("sketch"))
+    # the rank must be a literal: each stratum takes its own of all strata's
+    rows = sketch.select(stratum, F.kll_sketch_get_quantile_double("sketch", F.array(*[F.lit(r) for r in ranks])).alias("q")).collect()
+    found = {r[stratum]: r["q"] for r in rows}
+    cut = {p.stratum: found[p.stratum][k] for k, p in enumerate(need)}
+    return [replace(p, cutoff=cut.get(p.stratum, p.cutoff)) for p in plans]
 
 
 def _keyed(
-    df: DataFrame, plans: list[StratumPlan], stratum: str, weight: str | None, ident: Column, seed: int, method: str = "md5"
+    df: DataFrame, plans: list[StratumPlan], stratum: str, weight: str | None, ident: Column, seed: int, method: str = DEFAULT_METHOD
 ) -> DataFrame:
     u = uniform(f"{seed}:key", ident, method)
     weighted = [p.stratum for p in plans if p.weighted]
@@ -210,24 +206,27 @@ def weighted_stratified_sample(
     stratum: str = "tracer",
     seed: int = SAMPLE_SEED,
     stats_out: list | None = None,
-    hash_method: str = "md5",
+    hash_method: str = DEFAULT_METHOD,
+    exhaust: bool = False,
 ) -> DataFrame:
     """Per stratum min(target, available) rows, drawn without replacement
     with probability proportional to max(weight, 0).
 
     * strata with no rows, or absent from ``targets``, are left out;
     * a stratum whose weights sum to nothing (or hold a NaN) is sampled uniformly;
-    * an infinite weight, or fewer positive weights than n, raises ValueError.
+    * an infinite weight, or fewer positive weights than n, raises ValueError;
+    * with ``exhaust`` a stratum that holds no more rows than its target gives
+      them all, whatever their weights.
 
     The output has the input's columns; row identity (``id_cols``) must be
     unique, since it decides the random key of each row.  ``stats_out``, if
     given, receives the per-stratum plans (rows available, n, mode).
-    ``hash_method`` "xxhash64" makes the keys cheaper (no SQL twin).
+    ``hash_method`` "md5" has a SQL twin, at four times the cost of a key.
     """
     ident = _ident(id_cols)
-    plans = plan_strata(df, targets, stratum, weight)
+    plans = plan_strata(df, targets, stratum, weight, exhaust)
     if weight:
-        plans = _grid_cutoffs(df, plans, stratum, weight)
+        plans = _sketch_cutoffs(df, plans, stratum, weight, ident, seed, hash_method)
     if stats_out is not None:
         stats_out.extend(plans)
     if not plans:
@@ -241,7 +240,7 @@ def weighted_stratified_sample(
         return kept
     keyed = _keyed(df, plans, stratum, weight, ident, seed, hash_method)
     cut = {p.stratum: p.cutoff for p in plans if p.cutoff is not None}
-    while True:
+    for again in range(12):  # 2^(1 + 2 + 4 + ...) spans all doubles
         low = ~s.isin(list(cut)) | (F.col("_key") <= _case(s, {t: F.lit(c) for t, c in cut.items()})) if cut else F.lit(True)
         survivors = keyed.where(low).persist(StorageLevel.MEMORY_AND_DISK)
         counts = {r[stratum]: r["n"] for r in survivors.groupBy(stratum).agg(F.count(F.lit(1)).alias("n")).collect()} if cut else {}
@@ -249,7 +248,7 @@ def weighted_stratified_sample(
         if not short:
             break
         survivors.unpersist()  # fell short of n (about 1e-15 likely): more rows of those strata
-        cut.update({t: _scaled(cut[t], 1) for t in short})
+        cut.update({t: _scaled(cut[t], 1 << again) if cut[t] > 0 and again < 11 else math.inf for t in short})
     out = _top_n_ranked(survivors, plans, stratum).drop("_key", "_ident")
     survivors.unpersist()  # the ranked rows are checkpointed
     return out if kept is None else kept.unionByName(out)
@@ -269,7 +268,7 @@ def _top_n_ranked(survivors: DataFrame, plans: list[StratumPlan], stratum: str)
 
 
 def cap_points(
-    df: DataFrame, max_points: int, *, id_cols=("catalog", "row_index"), seed: int = SAMPLE_SEED, hash_method: str = "md5"
+    df: DataFrame, max_points: int, *, id_cols=("catalog", "row_index"), seed: int = SAMPLE_SEED, hash_method: str = DEFAULT_METHOD
 ) -> DataFrame:
     """Exactly ``max_points`` uniform rows without replacement if there are
     more, else the input unchanged."""
@@ -280,12 +279,12 @@ def cap_points(
     return out.drop("_stratum")
 
 
-def permutation_key(id_cols=("catalog", "row_index"), seed: int = SAMPLE_SEED, hash_method: str = "md5") -> Column:
+def permutation_key(id_cols=("catalog", "row_index"), seed: int = SAMPLE_SEED, hash_method: str = DEFAULT_METHOD) -> Column:
     return uniform(f"{seed}:perm", _ident(id_cols), hash_method)
 
 
 def shuffle_points(
-    df: DataFrame, *, id_cols=("catalog", "row_index"), seed: int = SAMPLE_SEED, hash_method: str = "md5"
+    df: DataFrame, *, id_cols=("catalog", "row_index"), seed: int = SAMPLE_SEED, hash_method: str = DEFAULT_METHOD
 ) -> DataFrame:
     """A reproducible random permutation (a range-partitioned total order on
     a hash key, ties broken by identity).  Sort the sample, not the catalogue."""
@@ -321,30 +320,43 @@ def with_position(df: DataFrame, order: list[str], name: str = "position") -> Da
     return out.withColumn(name, F.col("_off") + local).drop("_mid", "_pid", "_off")
 
 
-def shuffle_with_position(df: DataFrame, *, id_cols=("catalog", "row_index"), seed: int = SAMPLE_SEED) -> DataFrame:
+def shuffle_with_position(
+    df: DataFrame, *, id_cols=("catalog", "row_index"), seed: int = SAMPLE_SEED, hash_method: str = DEFAULT_METHOD
+) -> DataFrame:
     """W3 with the permutation position as a column (0-based)."""
-    keyed = df.withColumns({"_perm": permutation_key(id_cols, seed), "_ident": _ident(id_cols)})
+    keyed = df.withColumns({"_perm": permutation_key(id_cols, seed, hash_method), "_ident": _ident(id_cols)})
     return with_position(keyed, ["_perm", "_ident"]).drop("_perm", "_ident")
 
 
+def _in_cube(ident: Column, spread: float, seed: int, method: str) -> dict[str, Column]:
+    return {
+        c: ((uniform(f"{seed}:{c}", ident, method) - F.lit(0.5)) * F.lit(float(spread))).cast("float")
+        for c in ("x", "y", "z_cart")
+    }
+
+
 def random_points(
     df: DataFrame,
     *,
-    spread: float = 40_000.0,
+    spread: float = RANDOM_SPREAD,
     id_cols=("catalog", "row_index"),
     seed: int = SAMPLE_SEED,
-    hash_method: str = "md5",
+    hash_method: str = DEFAULT_METHOD,
 ) -> DataFrame:
     """One uniform point in a cube of side ``spread`` centred on 0 per input
     row (a random comparison catalogue of the same size), reproducible by seed."""
-    ident = _ident(id_cols)
-    cols = {
-        c: ((uniform(f"{seed}:{c}", ident, hash_method) - F.lit(0.5)) * F.lit(float(spread))).cast("float")
-        for c in ("x", "y", "z_cart")
-    }
+    cols = _in_cube(_ident(id_cols), spread, seed, hash_method)
     return df.select(*[F.col(c) for c in ([id_cols] if isinstance(id_cols, str) else id_cols)], *[v.alias(k) for k, v in cols.items()])
 
 
+def generated_points(
+    spark: SparkSession, n: int, *, spread: float = RANDOM_SPREAD, seed: int = SAMPLE_SEED, hash_method: str = DEFAULT_METHOD
+) -> DataFrame:
+    """``n`` uniform points (id 0..n-1, x, y, z_cart) in a cube of side ``spread`` centred on 0,
+    reproducible by seed; made where they are used, without an input."""
+    return random_points(spark.range(n), spread=spread, id_cols="id", seed=seed, hash_method=hash_method)
+
+
 def split_by_tracer(df: DataFrame, tracers: list[int] | None = None) -> dict[int, DataFrame]:
     """One subset per present tracer (equality filters, pushed into the scan).
 

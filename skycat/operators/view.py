@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -156,6 +157,30 @@ class Viewport:
         return self.f / (self.width / self.height)
 
 
+def frustum_bounds(camera: Camera, viewport: Viewport, point_size: float = DEFAULT_POINT_SIZE) -> list[tuple[float, float]]:
+    """(low, high) of x, y and z_cart of all points that ``project_points`` can keep, as float32 values.
+
+    A point at depth d whose footprint (size * 400 / d pixels) touches the image has
+    |v_x| <= (d + size * 400 / width) / fx, and |v_y| likewise, so between near and far the
+    points fill a convex body whose eight corners bound it.
+    """
+    reach = float(point_size) * POINT_SIZE_SCALE
+    corners = []
+    for d in (viewport.near, viewport.far):
+        vx, vy = (d + reach / viewport.width) / viewport.fx, (d + reach / viewport.height) / viewport.f
+        corners += [
+            [e + r * sx * vx + u * sy * vy - b * d for e, r, u, b in zip(camera.eye, camera.right, camera.up, camera.back)]
+            for sx in (-1, 1)
+            for sy in (-1, 1)
+        ]
+    out = []
+    for axis in zip(*corners):
+        slack = 1e-6 * (max(map(abs, axis)) + 1.0)  # above the rounding of the projection
+        low, high = np.float32(min(axis) - slack), np.float32(max(axis) + slack)
+        out.append((float(np.nextafter(low, np.float32(-np.inf))), float(np.nextafter(high, np.float32(np.inf)))))
+    return out
+
+
 def project_points(
     df: DataFrame,
     camera: Camera | None = None,
@@ -168,8 +193,14 @@ def project_points(
     Adds ``sx, sy`` (continuous pixel coordinates), ``px, py`` (pixel), ``depth``
     and ``size_px`` = size * 400 / depth.  Points behind the camera, nearer than
     ``near``, farther than ``far`` or outside the image are dropped.
+
+    The box around what the camera sees is a filter on x, y and z_cart alone, which
+    reaches the scan: of a catalogue in curve order (``layout``) only the row groups
+    in view are read.
     """
     camera = camera or orbit_camera()
+    for c, (low, high) in zip(("x", "y", "z_cart"), frustum_bounds(camera, viewport, point_size)):
+        df = df.where(F.col(c).between(F.lit(low).cast("float"), F.lit(high).cast("float")))
     p = [F.col(c).cast("double") for c in ("x", "y", "z_cart")]
     (r0, o0), (r1, o1), (r2, o2) = camera.view_terms()
 
@@ -240,38 +271,32 @@ def splat(df: DataFrame, viewport: Viewport = Viewport()) -> DataFrame:
     pixels with r > 0.5 are discarded.  Footprints are clipped to the image,
     so no point produces more rows than the image has pixels.
 
-    One pass: every point gets its list of pixel columns and rows (one entry
-    each for a small point, the clipped footprint for a large one, empty when
-    nothing is inside the image) and is exploded once.
+    Small points, nearly all of a catalogue, go on as they are: only a large
+    one gets its lists of pixel columns and rows (the clipped footprint, empty
+    when nothing is inside the image) and is exploded.
     """
     vp = viewport
     big = F.col("size_px") > F.lit(1.0)
+    inside = F.col("px").between(0, vp.width - 1) & F.col("py").between(0, vp.height - 1)
+    small = df.where(~big & inside).withColumn("coverage", F.lit(1.0))
     half = F.col("size_px") / F.lit(2.0)
     lo_x = F.greatest(F.ceil(F.col("sx") - half - F.lit(0.5)), F.lit(0)).cast("int")
     hi_x = F.least(F.floor(F.col("sx") + half - F.lit(0.5)), F.lit(vp.width - 1)).cast("int")
     lo_y = F.greatest(F.ceil(F.col("sy") - half - F.lit(0.5)), F.lit(0)).cast("int")
     hi_y = F.least(F.floor(F.col("sy") + half - F.lit(0.5)), F.lit(vp.height - 1)).cast("int")
-    none = F.array().cast("array<int>")
-
-    def cells(lo, hi, p, limit):
-        own = F.when((F.col(p) >= 0) & (F.col(p) < limit), F.array(F.col(p))).otherwise(none)
-        span = F.when(F.col(f"_l{p}") <= F.col(f"_h{p}"), F.sequence(F.col(f"_l{p}"), F.col(f"_h{p}"))).otherwise(none)
-        return F.when(big, span).otherwise(own)
-
     out = (
-        df.withColumns({"_lpx": lo_x, "_hpx": hi_x, "_lpy": lo_y, "_hpy": hi_y})
-        .withColumns({"_xs": cells(lo_x, hi_x, "px", vp.width), "_ys": cells(lo_y, hi_y, "py", vp.height)})
+        df.where(big)
+        .withColumns({"_lpx": lo_x, "_hpx": hi_x, "_lpy": lo_y, "_hpy": hi_y})
+        .where((F.col("_lpx") <= F.col("_hpx")) & (F.col("_lpy") <= F.col("_hpy")))
+        .withColumn("px", F.explode(F.sequence("_lpx", "_hpx")))
+        .withColumn("py", F.explode(F.sequence("_lpy", "_hpy")))
         .drop("_lpx", "_hpx", "_lpy", "_hpy")
-        .withColumn("px", F.explode("_xs"))
-        .withColumn("py", F.explode("_ys"))
-        .drop("_xs", "_ys")
     )
     dx = (F.col("px").cast("double") + F.lit(0.5) - F.col("sx")) / F.col("size_px")
     dy = (F.col("py").cast("double") + F.lit(0.5) - F.col("sy")) / F.col("size_px")
-    r = F.sqrt(dx * dx + dy * dy)
-    out = out.withColumn("_r", F.when(big, r)).where(~big | (F.col("_r") <= F.lit(0.5)))
-    cov = F.when(big, F.lit(1.0) - _smoothstep(SPLAT_EDGE_LO, SPLAT_EDGE_HI, F.col("_r"))).otherwise(F.lit(1.0))
-    return out.withColumn("coverage", cov).drop("_r")
+    out = out.withColumn("_r", F.sqrt(dx * dx + dy * dy)).where(F.col("_r") <= F.lit(0.5))
+    large = out.withColumn("coverage", F.lit(1.0) - _smoothstep(SPLAT_EDGE_LO, SPLAT_EDGE_HI, F.col("_r"))).drop("_r")
+    return small.unionByName(large)
 
 
 def splat_sql(src: str, viewport: Viewport = Viewport()) -> str:
@@ -299,32 +324,37 @@ WHERE size_px <= {dlit(1.0)} AND px >= 0 AND px < {w} AND py >= 0 AND py < {h}
 """
 
 
-def density_image_sql(src: str, digits: int = 9) -> str:
+#: Parts of a unit in which a point's light is counted: whole numbers add up to the same sum in any order.
+LIGHT_UNITS = float(1 << 32)
+
+
+def density_image_sql(src: str) -> str:
     """SQL twin of ``density_image`` over a relation with px, py, coverage, r, g, b, alpha."""
     a = "(CAST(alpha AS DOUBLE) * coverage)"
-    sums = ", ".join(f"least({dlit(1.0)}, round(sum(CAST({c} AS DOUBLE) * {a}), {digits})) AS {c}" for c in "rgb")
+    unit = dlit(LIGHT_UNITS)
+    sums = ", ".join(f"least({dlit(1.0)}, CAST(sum(CAST(floor(CAST({c} AS DOUBLE) * {a} * {unit} + {dlit(0.5)}) AS BIGINT)) AS DOUBLE) / {unit}) AS {c}" for c in "rgb")
     return f"SELECT px, py, {sums}, count(*) AS n_points FROM {src} GROUP BY px, py"
 
 
-def density_image(points: DataFrame, viewport: Viewport = Viewport(), digits: int = 9) -> DataFrame:
+def density_image(points: DataFrame, viewport: Viewport = Viewport()) -> DataFrame:
     """Additive blend per pixel: sum of rgb * alpha * coverage, clamped to 1.
 
     ``points`` carries ``px, py, coverage`` (from ``splat``), ``rgb`` and
-    ``alpha``.  Output: px, py, r, g, b, n_points.  Sums are rounded to
-    ``digits`` decimals so that the order of floating-point addition (which
-    differs between runs and engines) does not show.
+    ``alpha``.  Output: px, py, r, g, b, n_points.  Each point adds a whole
+    number of units of 2^-32, so a pixel is the same to the last bit on any
+    partitioning.  A sum beyond 64 bits stands for more than 2^31 times full
+    light and is clamped as any above 1.
     """
     a = F.col("alpha").cast("double") * F.col("coverage")
+    light = lambda k: F.floor(F.col("rgb")[k].cast("double") * a * F.lit(LIGHT_UNITS) + F.lit(0.5))
     sums = points.groupBy("px", "py").agg(
-        F.sum(F.col("rgb")[0].cast("double") * a).alias("_r"),
-        F.sum(F.col("rgb")[1].cast("double") * a).alias("_g"),
-        F.sum(F.col("rgb")[2].cast("double") * a).alias("_b"),
-        F.count(F.lit(1)).alias("n_points"),
+        *[F.try_sum(light(k)).alias(f"_{c}") for k, c in enumerate("rgb")], F.count(F.lit(1)).alias("n_points")
     )
+    one = F.lit(1.0)
     return sums.select(
         "px",
         "py",
-        *[F.least(F.lit(1.0), F.round(F.col(f"_{c}"), digits)).alias(c) for c in "rgb"],
+        *[F.least(one, F.coalesce(F.col(f"_{c}").cast("double") / F.lit(LIGHT_UNITS), one)).alias(c) for c in "rgb"],
         "n_points",
     )
 

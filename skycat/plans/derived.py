@@ -50,9 +50,9 @@ def raw_catalog(spark: SparkSession, sf_dir: str, materialize: bool = True) -> D
     """
     if not materialize:
         return derive_raw(spark, sf_dir)
-    from skycat.sources.tables import materialized
+    from skycat.sources.tables import fingerprint, materialized
 
-    key = f"raw-catalog-v1-{sf_dir}"
+    key = f"raw-catalog-{fingerprint(spark, table_path(sf_dir, 'lineitem'))}"
     return materialized(spark, key, lambda: derive_raw(spark, sf_dir))
 
 
@@ -79,7 +79,7 @@ def derive_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = df.withColumns(
         {
             "_idx": (hash52(salted_text("cat", F.col("id"))) % len(MANIFEST) + 1).cast("int"),
-            "_bad": uniform("bad", F.col("id")),
+            "_bad": uniform("bad", F.col("id"), "md5"),
         }
     )
     off = F.array(*[F.lit(Z_GEN[t][0]) for t in MANIFEST_TRACERS])
@@ -89,14 +89,14 @@ def derive_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         "id",
         F.element_at(F.array(*[F.lit(m) for m in MANIFEST]), F.col("_idx")).alias("file_name"),
         F.when((bad >= 0.02) & (bad < 0.03), F.lit(float("nan")))
-        .otherwise(uniform("ra", F.col("id")) * F.lit(360.0))
+        .otherwise(uniform("ra", F.col("id"), "md5") * F.lit(360.0))
         .alias("RA"),
         F.when((bad >= 0.03) & (bad < 0.04), F.lit(float("inf")))
-        .otherwise(uniform("dec", F.col("id")) * F.lit(180.0) - F.lit(90.0))
+        .otherwise(uniform("dec", F.col("id"), "md5") * F.lit(180.0) - F.lit(90.0))
         .alias("DEC"),
         F.when(bad < 0.01, F.lit(0.0005))
         .when(bad < 0.02, F.lit(6.0))
-        .otherwise(F.element_at(off, F.col("_idx")) + uniform("z", F.col("id")) * F.element_at(span, F.col("_idx")))
+        .otherwise(F.element_at(off, F.col("_idx")) + uniform("z", F.col("id"), "md5") * F.element_at(span, F.col("_idx")))
         .alias("Z"),
         (F.col("l_quantity") / F.lit(25) - F.lit(0.06)).cast("float").alias("WEIGHT"),
     )

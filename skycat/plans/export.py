@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skycat.functions.hashing import DEFAULT_METHOD
 from skycat.operators import sampling, summary
 from skycat.schema import SAMPLE_SEED, TARGET_PER_TRACER
 from skycat.session import ensure_checkpoint_dir
@@ -36,17 +37,18 @@ def export_web(
     id_cols=("catalog", "row_index"),
     seed: int = SAMPLE_SEED,
     single_file: bool = True,
-    hash_method: str = "md5",
+    hash_method: str = DEFAULT_METHOD,
 ) -> ExportResult:
     """``single_file``: True writes ``galaxies.bin``, as the viewer reads it; False a
-    folder ``galaxies`` of parts, one a task, for targets beyond what one file should hold."""
+    folder ``galaxies`` of parts, for targets beyond what one file can hold.  A tracer
+    with no more rows than its target is exported whole."""
     spark = catalog.sparkSession
     ensure_checkpoint_dir(spark)
     cols = ["x", "y", "z_cart", "z", "tracer", "weight"] + ([id_cols] if isinstance(id_cols, str) else list(id_cols))
     cat = catalog.select(*cols)
     stats: list = []
     smp = sampling.weighted_stratified_sample(
-        cat, targets or TARGET_PER_TRACER, id_cols=id_cols, seed=seed, stats_out=stats, hash_method=hash_method
+        cat, targets or TARGET_PER_TRACER, id_cols=id_cols, seed=seed, stats_out=stats, hash_method=hash_method, exhaust=True
     )
     smp = smp.checkpoint(eager=True)
     shuffled = sampling.shuffle_points(smp, id_cols=id_cols, seed=seed, hash_method=hash_method)

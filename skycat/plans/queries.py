@@ -33,10 +33,22 @@ from skycat.functions.sqltext import dlit, slit
 from skycat.operators import sampling, summary, view
 from skycat.operators.dims import tracer_name_sql
 from skycat.operators.ingest import process_catalog
-from skycat.plans.derived import raw_catalog, raw_catalog_sql
-from skycat.schema import MANIFEST, SAMPLE_SEED, SCENE_MAX_POINTS, TARGET_PER_TRACER, TRACERS
+from skycat.plans.derived import raw_catalog, raw_catalog_sql, table_path
+from skycat.schema import (
+    COSMOLOGY_MODEL,
+    DEFAULT_OPACITY,
+    DEFAULT_POINT_SIZE,
+    H0,
+    MANIFEST,
+    OM0,
+    RANDOM_SPREAD,
+    SAMPLE_SEED,
+    SCENE_MAX_POINTS,
+    TARGET_PER_TRACER,
+    TRACERS,
+)
 from skycat.sources import packed
-from skycat.sources.tables import scratch_path
+from skycat.sources.tables import fingerprint, path_exists, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -64,12 +76,18 @@ def process(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def processed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The processed catalogue as later stages see it: written once by E1
-    (K2, Parquet/zstd) and scanned back (S4), as the original pipeline hands
+    (K2, Parquet/zstd, in curve order) and scanned back (S4), as the original pipeline hands
     over between its steps.  Downstream filters then reach the Parquet reader
     instead of being inlined into the distance expression."""
+    from skycat.operators.layout import curve_ordered
     from skycat.sources.tables import materialized
 
-    return materialized(spark, f"processed-v1-{sf_dir}", lambda: process(spark, sf_dir))
+    return materialized(spark, f"processed-{_input(spark, sf_dir)}", lambda: curve_ordered(process(spark, sf_dir)))
+
+
+def _input(spark: SparkSession, sf_dir: str) -> str:
+    """Names the input in the keys of what is derived from it: changed files give another name."""
+    return fingerprint(spark, table_path(sf_dir, "lineitem"))
 
 
 def _processed_sql() -> str:
@@ -128,15 +146,24 @@ def q_processed_catalog(spark, sf_dir):
     return process(spark, sf_dir)
 
 
-def ingest_fits(spark: SparkSession, sf_dir: str):
-    """The raw catalogue as FITS files in the shared folder, then the whole of E1 on them."""
-    import uuid
-
+def fits_root(spark: SparkSession, sf_dir: str) -> str:
+    """A shared folder with the raw catalogue as FITS files, in two parts, written once for this input."""
     from skycat.plans.fixtures import write_fits_catalogs
+
+    root = scratch_path(spark, f"fits-{_input(spark, sf_dir)}")
+    raw = raw_catalog(spark, sf_dir)
+    late = F.crc32("id") % 3 == 0
+    for part, rows in (("first", raw.where(~late)), ("late", raw.where(late))):
+        if not path_exists(spark, f"{root}/files-{part}/_SUCCESS"):
+            write_fits_catalogs(rows, f"{root}/raw/{part}").write.mode("overwrite").parquet(f"{root}/files-{part}")
+    return root
+
+
+def ingest_fits(spark: SparkSession, sf_dir: str):
+    """The whole of E1 on the FITS files; files that an earlier run has read are skipped."""
     from skycat.plans.ingest import ingest
 
-    root = scratch_path(spark, f"fits-{uuid.uuid4().hex}")
-    write_fits_catalogs(raw_catalog(spark, sf_dir), f"{root}/raw").write.parquet(f"{root}/files")
+    root = fits_root(spark, sf_dir)
     return ingest(spark, f"{root}/raw", f"{root}/processed")
 
 
@@ -154,8 +181,28 @@ def q_fits_catalog(spark, sf_dir):
 
 @register("fits_summary", SQL["catalog_summary"])
 def q_fits_summary(spark, sf_dir):
-    """A1 as E1 returns it: the summary of the catalogue written from FITS files."""
-    return ingest_fits(spark, sf_dir).summary
+    """A1 as E1 returns it, by catalogue name: the summary of the catalogue written from FITS files."""
+    from skycat.plans.ingest import by_catalog
+
+    return by_catalog(ingest_fits(spark, sf_dir).summary)
+
+
+@register("incremental_catalog", SQL["fits_catalog"])
+def q_incremental_catalog(spark, sf_dir):
+    """S2 + K1: a part of the FITS files ingested first, then the folder with all of them; the second
+    run reads the others only, and the catalogue is that of a single run."""
+    import uuid
+
+    from skycat.plans.ingest import ingest
+    from skycat.sources.catalog import read_catalog
+
+    root = fits_root(spark, sf_dir)
+    out = scratch_path(spark, f"incremental-{uuid.uuid4().hex}")
+    first = ingest(spark, f"{root}/raw/first", out)
+    second = ingest(spark, f"{root}/raw", out)
+    if set(first.read) & set(second.read):
+        raise RuntimeError("a file was read again")
+    return read_catalog(spark, out, ["ra", "dec", "z", "x", "y", "z_cart", "weight", "tracer", "catalog"])
 
 
 @register("catalog_total", with_ctes("SELECT count(*) AS n_galaxies FROM processed", PROCESSED_CTE))
@@ -169,31 +216,28 @@ def q_catalog_total(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 
-#: What the sampling queries draw at every scale: points per tracer, and the cap of the scene.
-QUERY_TARGETS = {t: n // 200 for t, n in TARGET_PER_TRACER.items()}
-QUERY_CAP = SCENE_MAX_POINTS // 400
-
-
 def sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The export's sample at its full targets; a tracer with fewer rows gives all it has."""
     return sampling.weighted_stratified_sample(
-        processed(spark, sf_dir), QUERY_TARGETS, id_cols="id"
+        processed(spark, sf_dir), TARGET_PER_TRACER, id_cols="id", hash_method="md5", exhaust=True
     )
 
 
-def _targets_sql() -> str:
-    rows = ", ".join(f"({t}, {n})" for t, n in QUERY_TARGETS.items())
+def _targets_sql(targets: dict[int, int] = TARGET_PER_TRACER) -> str:
+    rows = ", ".join(f"({t}, {n})" for t, n in targets.items())
     return f"targets AS (SELECT * FROM (VALUES {rows}) v(tracer, target))"
 
 
-WC_CTE = """wc AS (SELECT *, CASE WHEN weight < 0 THEN CAST(0 AS DOUBLE) ELSE CAST(weight AS DOUBLE) END AS wc
-       FROM processed)"""
+def _wc_sql(weight: str = "CAST(weight AS DOUBLE)") -> str:
+    return f"wc AS (SELECT *, CASE WHEN weight < 0 THEN CAST(0 AS DOUBLE) ELSE {weight} END AS wc FROM processed)"
+
 
 STATS_CTE = """stats AS (SELECT tracer, count(*) AS available,
          sum(CASE WHEN isnan(wc) THEN 0 ELSE wc END) AS wsum,
          count_if(isnan(weight)) AS n_nan
        FROM wc GROUP BY tracer)"""
 
-PLAN_CTE = """plan AS (SELECT tracer, least(target, available) AS n, (n_nan = 0 AND wsum > 0) AS weighted
+PLAN_CTE = """plan AS (SELECT tracer, least(target, available) AS n, (n_nan = 0 AND wsum > 0 AND target < available) AS weighted
        FROM stats JOIN targets USING (tracer) WHERE least(target, available) > 0)"""
 
 KEYED_CTE = f"""keyed AS (SELECT wc.*, plan.n,
@@ -205,15 +249,48 @@ SAMPLE_CTE = """sample AS (SELECT ra, dec, z, x, y, z_cart, weight, tracer, cata
          SELECT *, row_number() OVER (PARTITION BY tracer ORDER BY _key, id) AS _rank FROM keyed)
        WHERE _rank <= n)"""
 
-SAMPLE_CTES = (PROCESSED_CTE, WC_CTE, STATS_CTE, _targets_sql(), PLAN_CTE, KEYED_CTE, SAMPLE_CTE)
+SAMPLE_CTES = (PROCESSED_CTE, _wc_sql(), STATS_CTE, _targets_sql(), PLAN_CTE, KEYED_CTE, SAMPLE_CTE)
 
 
 @register("weighted_sample", with_ctes("SELECT * FROM sample", *SAMPLE_CTES))
 def q_weighted_sample(spark, sf_dir):
-    """Weighted stratified sample per tracer, the same targets at every scale."""
+    """Weighted stratified sample per tracer at the export's targets."""
     return sample(spark, sf_dir)
 
 
+#: Targets below the rows of any tracer of the larger tables, so that rows are drawn at every scale.
+DRAWN = {t: n // 100 for t, n in TARGET_PER_TRACER.items()}
+
+
+@register("drawn_sample", with_ctes("SELECT * FROM sample", PROCESSED_CTE, _wc_sql(), STATS_CTE, _targets_sql(DRAWN), PLAN_CTE, KEYED_CTE, SAMPLE_CTE))
+def q_drawn_sample(spark, sf_dir):
+    """W1 where every tracer has more rows than its target."""
+    return sampling.weighted_stratified_sample(processed(spark, sf_dir), DRAWN, id_cols="id", hash_method="md5", exhaust=True)
+
+
+#: Factors of the weights by the whole degrees of ra, modulo 50: one row in fifty outweighs all others by far.
+EXTREMES = ((1, 1e250), (10, 1e100), (30, 1.0), (50, 1e-250))
+
+
+def _extreme_sql() -> str:
+    cases = " ".join(f"WHEN CAST(floor(ra) AS INTEGER) % 50 < {m} THEN {dlit(f)}" for m, f in EXTREMES)
+    return f"CAST(weight AS DOUBLE) * CASE {cases} END"
+
+
+@register(
+    "extreme_weight_sample",
+    with_ctes("SELECT id, tracer, z FROM sample", PROCESSED_CTE, _wc_sql(_extreme_sql()), STATS_CTE, _targets_sql(DRAWN), PLAN_CTE, KEYED_CTE, SAMPLE_CTE),
+)
+def q_extreme_weight_sample(spark, sf_dir):
+    """W1 with weights over 500 orders of magnitude: the cutoffs come from quantile sketches of the keys."""
+    degrees = F.floor("ra").cast("int") % 50
+    factor = None
+    for m, f in EXTREMES:
+        factor = F.when(degrees < m, F.lit(f)) if factor is None else factor.when(degrees < m, F.lit(f))
+    rows = processed(spark, sf_dir).select("id", "tracer", "z", (F.col("weight").cast("double") * factor).alias("weight"))
+    return sampling.weighted_stratified_sample(rows, DRAWN, id_cols="id", hash_method="md5", exhaust=True).drop("weight")
+
+
 @register(
     "sample_summary",
     with_ctes(
@@ -253,7 +330,7 @@ PERM_SQL = uniform_sql(f"{SAMPLE_SEED}:perm", "id")
 )
 def q_shuffled_sample(spark, sf_dir):
     """The sample in a reproducible random order, with its position."""
-    return sampling.shuffle_with_position(sample(spark, sf_dir), id_cols="id")
+    return sampling.shuffle_with_position(sample(spark, sf_dir), id_cols="id", hash_method="md5")
 
 
 @register(
@@ -262,14 +339,14 @@ def q_shuffled_sample(spark, sf_dir):
         f"""SELECT x, y, z_cart, tracer, id FROM (
   SELECT *, row_number() OVER (ORDER BY {uniform_sql(f'{SAMPLE_SEED}:key', 'id')}, id) AS _rank,
          count(*) OVER () AS _n FROM processed)
-WHERE _n <= {QUERY_CAP} OR _rank <= {QUERY_CAP}""",
+WHERE _n <= {SCENE_MAX_POINTS} OR _rank <= {SCENE_MAX_POINTS}""",
         PROCESSED_CTE,
     ),
 )
 def q_capped_points(spark, sf_dir):
-    """S5 + W2: projected scan, capped to a fixed point budget."""
+    """S5 + W2: projected scan, capped to the scene's point budget (a smaller catalogue passes whole)."""
     pts = processed(spark, sf_dir).select("x", "y", "z_cart", "tracer", "id")
-    return sampling.cap_points(pts, QUERY_CAP, id_cols="id")
+    return sampling.cap_points(pts, SCENE_MAX_POINTS, id_cols="id", hash_method="md5")
 
 
 @register(
@@ -277,7 +354,7 @@ def q_capped_points(spark, sf_dir):
     with_ctes(
         "SELECT id, "
         + ", ".join(
-            f"CAST(({uniform_sql(f'{SAMPLE_SEED}:{c}', 'id')} - 0.5) * {40000.0!r} AS FLOAT) AS {c}"
+            f"CAST(({uniform_sql(f'{SAMPLE_SEED}:{c}', 'id')} - 0.5) * {RANDOM_SPREAD!r} AS FLOAT) AS {c}"
             for c in ("x", "y", "z_cart")
         )
         + " FROM processed",
@@ -286,7 +363,43 @@ def q_capped_points(spark, sf_dir):
 )
 def q_random_points(spark, sf_dir):
     """A uniform random comparison catalogue, one point per galaxy."""
-    return sampling.random_points(processed(spark, sf_dir), id_cols="id")
+    return sampling.random_points(processed(spark, sf_dir), id_cols="id", hash_method="md5")
+
+
+@register(
+    "generated_points",
+    with_ctes(
+        "SELECT id, "
+        + ", ".join(
+            f"CAST(({uniform_sql(f'{SAMPLE_SEED}:{c}', 'CAST(id AS VARCHAR)')} - 0.5) * {RANDOM_SPREAD!r} AS FLOAT) AS {c}" for c in ("x", "y", "z_cart")
+        )
+        + " FROM (SELECT unnest(range((SELECT count(*) FROM processed))) AS id) ids",
+        PROCESSED_CTE,
+    ),
+)
+def q_generated_points(spark, sf_dir):
+    """W4 without an input: as many random points as the catalogue has galaxies."""
+    n = processed(spark, sf_dir).count()
+    return sampling.generated_points(spark, n, hash_method="md5")
+
+
+#: What capped_points draws when the catalogue is larger than the cap at every scale.
+CAP_PART = SCENE_MAX_POINTS // 400
+
+
+@register(
+    "drawn_points",
+    with_ctes(
+        f"""SELECT x, y, z_cart, tracer, id FROM (
+  SELECT *, row_number() OVER (ORDER BY {uniform_sql(f'{SAMPLE_SEED}:key', 'id')}, id) AS _rank FROM processed)
+WHERE _rank <= {CAP_PART}""",
+        PROCESSED_CTE,
+    ),
+)
+def q_drawn_points(spark, sf_dir):
+    """W2 where the catalogue has more rows than the cap."""
+    pts = processed(spark, sf_dir).select("x", "y", "z_cart", "tracer", "id")
+    return sampling.cap_points(pts, CAP_PART, id_cols="id", hash_method="md5")
 
 
 # ---------------------------------------------------------------------------
@@ -310,7 +423,7 @@ _RGB_SQL = "CASE tracer " + " ".join(
     with_ctes(
         f"""SELECT id, tracer, x, y, z_cart, {tracer_name_sql('tracer')} AS name,
        ({_RGB_SQL})[1] AS r, ({_RGB_SQL})[2] AS g, ({_RGB_SQL})[3] AS b,
-       CAST(1.5 AS FLOAT) AS size, CAST(0.7 AS FLOAT) AS alpha FROM processed""",
+       CAST({DEFAULT_POINT_SIZE} AS FLOAT) AS size, CAST({DEFAULT_OPACITY} AS FLOAT) AS alpha FROM processed""",
         PROCESSED_CTE,
     ),
 )
@@ -372,12 +485,10 @@ def q_encoded_redshift(spark, sf_dir):
 def export_sample(spark: SparkSession, sf_dir: str) -> str:
     """E2 write side: shuffled sample -> one packed file + metadata, in the
     session's scratch folder.  Returns the folder."""
-    out = scratch_path(spark, f"export-{sf_dir}")
-    from skycat.sources.tables import path_exists
-
+    out = scratch_path(spark, f"export-{_input(spark, sf_dir)}")
     if path_exists(spark, f"{out}/galaxies.bin") and path_exists(spark, f"{out}/metadata.json"):
-        return out  # deterministic output already written in this session
-    smp = sampling.shuffle_points(sample(spark, sf_dir), id_cols="id")
+        return out  # deterministic output already written for this input
+    smp = sampling.shuffle_points(sample(spark, sf_dir), id_cols="id", hash_method="md5")
     packed.write_packed(smp, f"{out}/galaxies.bin", single_file=True)
     packed.write_metadata(packed.metadata_document(smp), f"{out}/metadata.json")
     return out
@@ -395,6 +506,16 @@ def q_exported_points(spark, sf_dir):
     return packed.read_packed(spark, f"{export_sample(spark, sf_dir)}/galaxies.bin")
 
 
+@register("exported_parts", SQL["exported_points"])
+def q_exported_parts(spark, sf_dir):
+    """K3 -> S6 as a folder of parts: written, replaced as a whole, and read by its manifest."""
+    folder = f"{scratch_path(spark, f'parts-{_input(spark, sf_dir)}')}/galaxies"
+    points = sample(spark, sf_dir)
+    packed.write_packed(points.where("tracer < 2"), folder, single_file=False)
+    packed.write_packed(points.where("tracer >= 2"), folder, single_file=False, mode="append")
+    return packed.read_packed(spark, folder)
+
+
 @register(
     "export_metadata",
     with_ctes(
@@ -402,7 +523,7 @@ def q_exported_points(spark, sf_dir):
        CAST(min(x) AS DOUBLE) AS x_min, CAST(max(x) AS DOUBLE) AS x_max,
        CAST(min(y) AS DOUBLE) AS y_min, CAST(max(y) AS DOUBLE) AS y_max,
        CAST(min(z_cart) AS DOUBLE) AS z_min, CAST(max(z_cart) AS DOUBLE) AS z_max,
-       CAST(67.4 AS DOUBLE) AS H0, CAST(0.315 AS DOUBLE) AS Om0, 'FlatLambdaCDM' AS model, 4 AS n_tracers FROM sample""",
+       CAST(@H0 AS DOUBLE) AS H0, CAST(@OM0 AS DOUBLE) AS Om0, @MODEL AS model, 4 AS n_tracers FROM sample""".replace("@H0", repr(H0)).replace("@OM0", repr(OM0)).replace("@MODEL", slit(COSMOLOGY_MODEL)),
         *SAMPLE_CTES,
     ),
 )
@@ -430,8 +551,8 @@ def _hidden_sql(tracer: str, z: str) -> str:
     "styled_points",
     with_ctes(
         f"""SELECT id, tracer, z,
-       CAST(CASE WHEN {_hidden_sql('tracer', 'z')} THEN 0.0 ELSE 1.5 END AS FLOAT) AS size,
-       CAST(CASE WHEN {_hidden_sql('tracer', 'z')} THEN 0.0 ELSE 0.7 END AS FLOAT) AS alpha FROM processed""",
+       CAST(CASE WHEN {_hidden_sql('tracer', 'z')} THEN 0.0 ELSE {DEFAULT_POINT_SIZE} END AS FLOAT) AS size,
+       CAST(CASE WHEN {_hidden_sql('tracer', 'z')} THEN 0.0 ELSE {DEFAULT_OPACITY} END AS FLOAT) AS alpha FROM processed""",
         PROCESSED_CTE,
     ),
 )
@@ -458,7 +579,7 @@ def q_visible_points(spark, sf_dir):
        CAST(z_cart * {dlit(0.001)} AS FLOAT) AS z_cart FROM (
   SELECT *, row_number() OVER (ORDER BY {uniform_sql(f'{SAMPLE_SEED}:key', 'id')}, id) AS _rank,
          count(*) OVER () AS _n FROM processed)
-WHERE tracer IN (SELECT DISTINCT tracer FROM processed) AND (_n <= {QUERY_CAP} OR _rank <= {QUERY_CAP})""",
+WHERE tracer IN (SELECT DISTINCT tracer FROM processed) AND (_n <= {SCENE_MAX_POINTS} OR _rank <= {SCENE_MAX_POINTS})""",
         PROCESSED_CTE,
     ),
 )
@@ -467,7 +588,7 @@ def q_scene_points(spark, sf_dir):
     from skycat.functions.coords import scale_coords
 
     pts = processed(spark, sf_dir).select("id", "tracer", "x", "y", "z_cart")
-    return scale_coords(sampling.cap_points(pts, QUERY_CAP, id_cols="id"), 0.001)
+    return scale_coords(sampling.cap_points(pts, SCENE_MAX_POINTS, id_cols="id", hash_method="md5"), 0.001)
 
 
 def _projected_sql() -> str:
@@ -484,13 +605,28 @@ def q_projected_points(spark, sf_dir):
     return view.project_points(pts).select("id", "px", "py", "depth", "size_px")
 
 
+#: A camera inside the catalogue that sees a part of it.
+NEAR_CAMERA = view.orbit_camera(radius=500.0, target=(1500.0, 700.0, -900.0))
+NEAR_VIEWPORT = view.Viewport(960, 540, far=800.0)
+
+
+@register(
+    "near_view_points",
+    with_ctes("SELECT id, px, py, depth, size_px FROM projected", PROCESSED_CTE, f"projected AS ({view.project_points_sql('processed', NEAR_CAMERA, NEAR_VIEWPORT)})"),
+)
+def q_near_view_points(spark, sf_dir):
+    """G2 + S5: a near camera; the box around its frustum reaches the scan of the ordered catalogue."""
+    pts = processed(spark, sf_dir).select("id", "x", "y", "z_cart")
+    return view.project_points(pts, NEAR_CAMERA, NEAR_VIEWPORT).select("id", "px", "py", "depth", "size_px")
+
+
 @register(
     "density_image",
     with_ctes(
         view.density_image_sql("splatted"),
         PROCESSED_CTE,
         f"""colored AS (SELECT x, y, z_cart, tracer, z, ({_RGB_SQL})[1] AS r, ({_RGB_SQL})[2] AS g,
-       ({_RGB_SQL})[3] AS b, CAST({dlit(0.7)} AS DOUBLE) AS alpha FROM processed WHERE NOT {_hidden_sql('tracer', 'z')})""",
+       ({_RGB_SQL})[3] AS b, CAST({dlit(DEFAULT_OPACITY)} AS DOUBLE) AS alpha FROM processed WHERE NOT {_hidden_sql('tracer', 'z')})""",
         f"proj AS ({view.project_points_sql('colored')})",
         f"splatted AS ({view.splat_sql('proj')})",
     ),
@@ -507,7 +643,7 @@ def q_density_image(spark, sf_dir):
         *SAMPLE_CTES,
         f"exported AS (SELECT x, y, z_cart, tracer, {decode_z_sql(encode_z_sql('z'))} AS z FROM sample)",
         f"""colored AS (SELECT x, y, z_cart, tracer, z, ({_RGB_SQL})[1] AS r, ({_RGB_SQL})[2] AS g,
-       ({_RGB_SQL})[3] AS b, CAST({dlit(0.7)} AS DOUBLE) AS alpha FROM exported WHERE NOT {_hidden_sql('tracer', 'z')})""",
+       ({_RGB_SQL})[3] AS b, CAST({dlit(DEFAULT_OPACITY)} AS DOUBLE) AS alpha FROM exported WHERE NOT {_hidden_sql('tracer', 'z')})""",
         f"proj AS ({view.project_points_sql('colored')})",
         f"splatted AS ({view.splat_sql('proj')})",
     ),
@@ -549,8 +685,21 @@ def q_combined_catalogs(spark, sf_dir):
     """K1 -> U1: every per-catalogue table of the tree, whatever its name, as one scan; no dedup."""
     from skycat.sources.tables import materialized
 
-    per_catalog = materialized(spark, f"per-catalog-v1-{sf_dir}", lambda: process(spark, sf_dir), ("catalog",))
-    return per_catalog.select(*processed(spark, sf_dir).columns)
+    rows = processed(spark, sf_dir)
+    per_catalog = materialized(spark, f"per-catalog-{_input(spark, sf_dir)}", lambda: rows, ("catalog",))
+    return per_catalog.select(*rows.columns)
+
+
+@register("combined_table", SQL["fits_catalog"])
+def q_combined_table(spark, sf_dir):
+    """K1 -> K2 -> S4: the per-catalogue tables of an ingest written as one table and read back."""
+    import uuid
+
+    from skycat.sources.catalog import read_catalog, write_combined
+
+    out = scratch_path(spark, f"combined-{uuid.uuid4().hex}")
+    write_combined(read_catalog(spark, ingest_fits(spark, sf_dir).output), out)
+    return read_catalog(spark, out, ["ra", "dec", "z", "x", "y", "z_cart", "weight", "tracer", "catalog"])
 
 
 @register(
@@ -572,7 +721,7 @@ def q_tracer_subsets(spark, sf_dir):
     from skycat.sources.tables import materialized
 
     by_tracer = materialized(
-        spark, f"per-tracer-v1-{sf_dir}", lambda: processed(spark, sf_dir).select("tracer", "z"), ("tracer",)
+        spark, f"per-tracer-{_input(spark, sf_dir)}", lambda: processed(spark, sf_dir).select("tracer", "z"), ("tracer",)
     )
     parts = sampling.split_by_tracer(by_tracer)
     rows = [

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from skycat.functions.coords import scale_coords
+from skycat.functions.hashing import DEFAULT_METHOD
 from skycat.operators import sampling
 from skycat.schema import SAMPLE_SEED, SCENE_MAX_POINTS, SCENE_SCALE
 from skycat.sources.catalog import read_catalog
@@ -22,7 +23,7 @@ def scene_points(
     scale: float = SCENE_SCALE,
     id_cols=("catalog", "row_index"),
     seed: int = SAMPLE_SEED,
-    hash_method: str = "md5",
+    hash_method: str = DEFAULT_METHOD,
 ) -> DataFrame:
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     # projected scan (S5): Catalyst prunes the read to these columns

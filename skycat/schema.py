@@ -80,6 +80,9 @@ SCENE_MAX_POINTS = 1_400_000
 SCENE_MAX_POINTS_CLI = 2_000_000
 SCENE_SCALE = 0.001
 
+# Side of the cube of random points (Mpc).
+RANDOM_SPREAD = 40_000.0
+
 # Viewer: render option defaults, camera defaults and limits, projection.
 DEFAULT_POINT_SIZE = 1.5
 DEFAULT_OPACITY = 0.7

@@ -3,15 +3,18 @@ Parquet scans (S4, S5) and writes (K1, K2)."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skycat.operators.layout import curve_ordered
 from skycat.schema import CATALOG_GLOB, FITS_EXTENSION
-from skycat.sources import fits
+from skycat.sources import fits, fsio
 
 
 def discover_catalogs(spark: SparkSession, path: str, pattern: str = CATALOG_GLOB) -> DataFrame:
-    """Catalogue files under ``path`` (path, file_name, length), sorted.
+    """Catalogue files under ``path`` (path, file_name, length, modified), sorted.
 
     A ``binaryFile`` listing with the content column pruned: nothing is read
     but the directory entries.  Raises when nothing matches.
@@ -29,9 +32,8 @@ def discover_catalogs(spark: SparkSession, path: str, pattern: str = CATALOG_GLO
         if "PATH_NOT_FOUND" in str(e):
             raise FileNotFoundError(f"no {pattern} files in {path}") from None
         raise
-    files = listing.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), "length").orderBy(
-        "file_name", "path"
-    )
+    name = F.element_at(F.split("path", "/"), -1).alias("file_name")
+    files = listing.select("path", name, "length", F.col("modificationTime").alias("modified")).orderBy("file_name", "path")
     if files.isEmpty():
         raise FileNotFoundError(f"no {pattern} files in {path}")
     return files
@@ -62,9 +64,10 @@ def read_raw(
     pattern: str = CATALOG_GLOB,
     rows_per_partition: int | None = None,
     include_path: bool = False,
+    files: list[str] | None = None,
 ) -> DataFrame:
     """S3 (+P4 coercion): RA, DEC, Z as double and WEIGHT as float, with
-    file_name and row_index (and path)."""
+    file_name and row_index (and path); of ``files`` under ``path``, if given."""
     fits.register(spark)
     r = (
         spark.read.format("fits_table")
@@ -76,7 +79,7 @@ def read_raw(
     )
     if rows_per_partition:
         r = r.option("rowsPerPartition", str(rows_per_partition))
-    df = r.load(path)
+    df = r.load(fsio.qualified(spark, path)) if files is None else r.option("paths", json.dumps(files)).load()
     cols = [
         F.col("RA").cast("double").alias("RA"),
         F.col("DEC").cast("double").alias("DEC"),
@@ -112,21 +115,25 @@ def read_catalog(
 
 
 def identity_columns(df: DataFrame) -> tuple[str, str]:
-    """The row identity a catalogue carries: (path, row_index) or (catalog, row_index)."""
-    return ("path", "row_index") if "path" in df.columns else ("catalog", "row_index")
+    """The row identity a catalogue carries: (path, row_index), (source, row_index) or (catalog, row_index)."""
+    return (next((c for c in ("path", "source") if c in df.columns), "catalog"), "row_index")
 
 
-def write_per_catalog(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """K1: one zstd Parquet directory per catalogue (``catalog=<label>``).
+def write_per_catalog(df: DataFrame, path: str, mode: str = "overwrite", by: tuple[str, ...] = ("catalog",)) -> None:
+    """K1: one zstd Parquet directory per catalogue (``catalog=<label>``), and within it per further
+    column of ``by``.  ``mode`` "dynamic" replaces the directories that ``df`` has rows for.
 
     Rows of one input file arrive in the same tasks (the FITS scan splits
     files, never mixes them), so each task writes one file per catalogue it
     holds; no shuffle is needed.
     """
-    df.write.mode(mode).partitionBy("catalog").option("compression", "zstd").parquet(path)
+    w = df.write.mode("overwrite" if mode == "dynamic" else mode).partitionBy(*by).option("compression", "zstd")
+    if mode == "dynamic":
+        w = w.option("partitionOverwriteMode", "dynamic")
+    w.parquet(path)
 
 
 def write_combined(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """K2: all rows, zstd.  (A K1 output read as one table is the same data;
-    write this only when a second, unpartitioned copy is wanted.)"""
-    df.write.mode(mode).option("compression", "zstd").parquet(path)
+    """K2: all rows, zstd, in the order of a space-filling curve, so that readers of a part of
+    space skip row groups.  (A K1 output read as one table is the same rows.)"""
+    curve_ordered(df).write.mode(mode).option("compression", "zstd").parquet(path)

@@ -21,6 +21,18 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """A text that changes when the files at ``path`` (a file or a folder of files) do."""
+    fs, p = _fs(spark, path)
+    files = sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(p))
+    return f"{path}:{files}"
+
+
 def materialized(
     spark: SparkSession, key: str, build: Callable[[], DataFrame], partition_by: tuple[str, ...] = ()
 ) -> DataFrame:

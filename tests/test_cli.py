@@ -22,14 +22,18 @@ def test_process_then_export(spark, tmp):
     out = _run("process", raw, os.path.join(tmp, "processed"), tmp=tmp)
     assert out.returncode == 0, out.stderr[-2000:]
     assert "5,766 galaxies" in out.stdout and "LRG_N" in out.stdout
-    # the reference targets exceed this small catalogue: every tracer is taken whole,
-    # which needs all weights positive -> the export refuses, as numpy's choice would
+    # the targets exceed this small catalogue: every tracer is taken whole
     out = _run("export", os.path.join(tmp, "processed"), os.path.join(tmp, "web"), tmp=tmp)
-    assert out.returncode != 0 and "positive weights" in out.stderr
+    assert out.returncode == 0 and json.load(open(os.path.join(tmp, "web", "metadata.json")))["n_points"] == 5766
+    assert os.path.getsize(os.path.join(tmp, "web", "galaxies.bin")) == 16 + 16 * 5766
+    # nothing is read twice; the combined table holds all rows
+    out = _run("process", raw, os.path.join(tmp, "processed"), "--combined", os.path.join(tmp, "combined"), tmp=tmp)
+    assert out.returncode == 0 and "files read: 0" in out.stdout and "5,766 galaxies" in out.stdout
+    assert spark.read.parquet(os.path.join(tmp, "combined")).count() == 5766
     out = _run("validate", os.path.join(tmp, "processed"), tmp=tmp)
     assert out.returncode == 0 and "n_outside_range" in out.stdout
-    # the fixture holds each catalogue in several files: identity kept the path
-    assert "path" in spark.read.parquet(os.path.join(tmp, "processed")).columns
+    # the fixture holds each catalogue in several files: the key of the file is part of the identity
+    assert "source" in spark.read.parquet(os.path.join(tmp, "processed")).columns
     out = _run("scene", os.path.join(tmp, "processed"), os.path.join(tmp, "scene"), "--max-points", "1000", tmp=tmp)
     assert out.returncode == 0, out.stderr[-2000:]
     assert spark.read.parquet(os.path.join(tmp, "scene")).count() == 1000

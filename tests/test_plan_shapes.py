@@ -49,6 +49,9 @@ def test_ingest_has_no_shuffle(spark, tmp):
 def test_density_image_is_partial_then_final_aggregate(spark, catalog_path):
     plan = _plan(view.render(spark.read.parquet(catalog_path)))
     assert plan.count("HashAggregate") == 2 and "Exchange hashpartitioning(px" in plan
+    # points of one pixel go straight into the aggregate: only the branch of the large ones explodes
+    small, large = plan[plan.index("Union") :].split("Generate", 1)
+    assert plan.count("Union") == 1 and "FileScan parquet" in small and plan.count("FileScan parquet") == 2
     assert "Join" not in plan and "BroadcastExchange" not in plan  # palette is an inline lookup
 
 
@@ -78,3 +81,63 @@ def test_scene_is_one_pass_over_the_capped_points(spark):
 def test_summary_aggregates_are_partial(spark, catalog_path):
     plan = _plan(summary.validate_catalog(spark.read.parquet(catalog_path)))
     assert "partial_count" in plan and "BroadcastExchange" in plan
+
+
+def test_near_view_reads_a_part_of_the_ordered_table(spark, tmp):
+    """The frustum's box is pushed into the scan, and in curve order it rules out most files' row groups."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from skycat.plans.queries import NEAR_CAMERA, NEAR_VIEWPORT, processed
+    from skycat.sources.catalog import write_combined
+
+    rows = processed(spark, "/root/testdata/sf0.01")
+    path = os.path.join(tmp, "ordered")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        write_combined(rows, path)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    near = view.project_points(spark.read.parquet(path).select("id", "x", "y", "z_cart"), NEAR_CAMERA, NEAR_VIEWPORT)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
+    try:
+        pushed = _plan(view.project_points(spark.read.parquet(path).select("id", "x", "y", "z_cart"), NEAR_CAMERA, NEAR_VIEWPORT)).split("PushedFilters")[1].splitlines()[0]
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert all(f"{op}({c}," in pushed for c in ("x", "y", "z_cart") for op in ("GreaterThanOrEqual", "LessThanOrEqual"))
+    bounds = dict(zip(("x", "y", "z_cart"), view.frustum_bounds(NEAR_CAMERA, NEAR_VIEWPORT)))
+    groups = read = 0
+    for f in glob.glob(f"{path}/*.parquet"):
+        meta = pq.ParquetFile(f).metadata
+        for g in range(meta.num_row_groups):
+            stats = {meta.row_group(g).column(k).path_in_schema: meta.row_group(g).column(k).statistics for k in range(meta.num_columns)}
+            groups += 1
+            read += all(stats[c].max >= low and stats[c].min <= high for c, (low, high) in bounds.items())
+    assert groups >= 64 and read < groups / 3
+    # the same rows as without the box
+    free = view.frustum_bounds
+    try:
+        view.frustum_bounds = lambda *a: [(-3e38, 3e38)] * 3
+        whole = view.project_points(rows.select("id", "x", "y", "z_cart"), NEAR_CAMERA, NEAR_VIEWPORT)
+    finally:
+        view.frustum_bounds = free
+    assert sorted(near.collect()) == sorted(whole.collect()) and near.count() > 50
+
+
+def test_no_single_task_above_the_export_order(spark):
+    """The parts of the export's order are written by their own tasks."""
+    import inspect
+
+    from skycat.sources import packed
+
+    assert "coalesce" not in inspect.getsource(packed)
+
+
+def test_image_is_the_same_to_the_last_bit_on_any_partitioning(spark):
+    pts = spark.range(20000).select((F.col("id") % 7).cast("int").alias("px"), F.lit(0).alias("py"), (1.0 / (F.col("id") + 3)).alias("coverage"),
+                                    F.lit(1e-4).alias("alpha"), F.array(F.lit(0.3), F.lit(0.7), F.lit(1.0)).alias("rgb"))
+    images = [sorted(view.density_image(d).collect()) for d in (pts.coalesce(1), pts.repartition(13), pts.orderBy(F.desc("id")))]
+    assert images[0] == images[1] == images[2] and 0 < images[0][0].r < 1
+    bright = pts.select("px", "py", F.lit(1.0).alias("coverage"), F.lit(3e9).alias("alpha"), "rgb")
+    assert {(r.r, r.g, r.b) for r in view.density_image(bright).collect()} == {(1.0, 1.0, 1.0)}

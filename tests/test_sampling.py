@@ -91,6 +91,41 @@ def test_available_below_target_with_zero_weight_raises(spark):
         sampling.weighted_stratified_sample(_cat(spark, rows), {0: 100}, id_cols="id")
 
 
+def test_exhausted_stratum_gives_all_rows(spark):
+    rows = [(f"r{i}", 0, float(i % 3)) for i in range(30)] + [(f"s{i}", 1, float(i % 3)) for i in range(90)]
+    out = sampling.weighted_stratified_sample(_cat(spark, rows), {0: 30, 1: 40}, id_cols="id", exhaust=True).collect()
+    assert sorted(r.id for r in out if r.tracer == 0) == sorted(r[0] for r in rows if r[1] == 0)
+    drawn = [r for r in out if r.tracer == 1]
+    assert len(drawn) == 40 and all(r.weight > 0 for r in drawn)
+    with pytest.raises(ValueError, match="positive weights"):
+        sampling.weighted_stratified_sample(_cat(spark, rows), {1: 70}, id_cols="id", exhaust=True)
+
+
+def test_extreme_weights_take_one_pass_less(spark, monkeypatch):
+    """Weights over all doubles: one sketch job finds every cutoff, and the sample is exact."""
+    rows = [(f"r{i}", i % 2) for i in range(6000)]
+    df = spark.createDataFrame(rows, "id string, tracer short")
+    level = (F.substring("id", 2, 9).cast("int") / 2).cast("int") % 50
+    weight = F.when(level == 0, 1e305).when(level < 10, 1e100).when(level < 30, 1.0).otherwise(1e-305)
+    df = df.withColumn("weight", weight)
+    plans = sampling.plan_strata(df, {0: 500, 1: 2000}, "tracer", "weight")
+    assert all(math.isnan(p.cutoff) for p in plans)
+    got = _ids(sampling.weighted_stratified_sample(df, {0: 500, 1: 2000}, id_cols="id"))
+    assert len(got) == 2500 and got == _oracle_ids(df, {0: 500, 1: 2000})
+
+
+def test_generated_points(spark):
+    """3,000 points in a cube of side 8: reproducible, inside, uniform; the same on any partitioning."""
+    a = sampling.generated_points(spark, 3000, spread=8.0, seed=7)
+    rows = sorted((r.id, r.x, r.y, r.z_cart) for r in a.collect())
+    assert [r[0] for r in rows] == list(range(3000))
+    assert rows == sorted((r.id, r.x, r.y, r.z_cart) for r in sampling.random_points(spark.range(3000).repartition(5), spread=8.0, id_cols="id", seed=7).collect())
+    for axis in (1, 2, 3):
+        v = [r[axis] for r in rows]
+        assert -4 <= min(v) < -3.9 and 3.9 < max(v) <= 4 and abs(sum(v) / 3000) < 0.2
+    assert rows != sorted((r.id, r.x, r.y, r.z_cart) for r in sampling.generated_points(spark, 3000, spread=8.0, seed=8).collect())
+
+
 def test_infinite_weight_raises(spark):
     rows = [(f"r{i}", 0, float("inf") if i == 0 else 1.0) for i in range(30)]
     with pytest.raises(ValueError, match="infinite"):
@@ -149,11 +184,13 @@ def test_one_huge_weight_still_gets_a_cutoff(spark, heavy):
     rows = [(f"r{i}", i % 2, heavy if i < 2 else 1.0 + i % 7) for i in range(4000)]
     df = _cat(spark, rows).withColumn("weight", F.lit(None).cast("double"))
     df = df.withColumn("weight", F.when(F.col("id").isin("r0", "r1"), F.lit(heavy)).otherwise(F.substring("id", 2, 9).cast("double") % 7 + 1.0))
-    plans = sampling._grid_cutoffs(df, sampling.plan_strata(df, {0: 50, 1: 50}, "tracer", "weight"), "tracer", "weight")
+    plans = sampling.plan_strata(df, {0: 50, 1: 50}, "tracer", "weight")
+    plans = sampling._sketch_cutoffs(df, plans, "tracer", "weight", F.col("id"), 42)
+    keyed = sampling._keyed(df, plans, "tracer", "weight", F.col("id"), 42)
     for p in plans:
         assert 0 < p.cutoff < math.inf
-        others = df.where((F.col("tracer") == p.stratum) & (F.col("weight") < heavy)).agg(F.sum(-F.expm1(-F.col("weight") * p.cutoff))).first()[0]
-        assert p.want <= others + 1.001 and others <= 2.01 * p.want
+        below = keyed.where((F.col("tracer") == p.stratum) & (F.col("_key") <= p.cutoff)).count()
+        assert p.want - 1 <= below <= p.want + 2 * sampling.SKETCH_ERROR * p.n_pos + 2
     got = _ids(sampling.weighted_stratified_sample(df, {0: 50, 1: 50}, id_cols="id"))
     assert got == _oracle_ids(df, {0: 50, 1: 50}) and {"r0", "r1"} <= set(got)
 
@@ -178,12 +215,12 @@ def _oracle_ids(df, targets):
     return _ids(df.where(F.col("weight") > 0).withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= lim))
 
 
-def test_concentrated_weights_use_grid_cutoff_and_stay_exact(spark):
+def test_concentrated_weights_use_the_sketch_and_stay_exact(spark):
     rows = [(f"r{i}", 0, 1000.0 if i < 20 else 0.001) for i in range(3000)]
     df = _cat(spark, rows)
     plans = sampling.plan_strata(df, {0: 100}, "tracer", "weight")
     assert math.isnan(plans[0].cutoff)
-    plans = sampling._grid_cutoffs(df, plans, "tracer", "weight")
+    plans = sampling._sketch_cutoffs(df, plans, "tracer", "weight", F.col("id"), 42)
     assert plans[0].cutoff > 0
     got = _ids(sampling.weighted_stratified_sample(df, {0: 100}, id_cols="id"))
     assert got == _oracle_ids(df, {0: 100})
@@ -229,6 +266,6 @@ def test_xxhash64_keys(spark):
     b = sampling.weighted_stratified_sample(_cat(spark, rows[::-1]).repartition(7), {0: 300, 1: 120}, id_cols="id", hash_method="xxhash64")
     ids = _ids(a)
     assert ids == _ids(b) and len(ids) == 420 and len(set(ids)) == 420
-    assert ids != _ids(sampling.weighted_stratified_sample(_cat(spark, rows), {0: 300, 1: 120}, id_cols="id"))
+    assert ids != _ids(sampling.weighted_stratified_sample(_cat(spark, rows), {0: 300, 1: 120}, id_cols="id", hash_method="md5"))
     with pytest.raises(ValueError):
         sampling.shuffle_points(_cat(spark, rows), id_cols="id", hash_method="sha0")
