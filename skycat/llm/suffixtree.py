@@ -76,20 +76,22 @@ class _Directory:
     """Look-up in sorted keys that are hashes, so evenly spread: by the first bits, then a step or two."""
 
     def __init__(self, keys: np.ndarray):
-        self.keys = np.append(keys, ~np.uint64(0))
-        self.last = len(keys)
+        self.keys = keys
         bits = max(1, len(keys).bit_length() - 1)
         self.shift = np.uint64(64 - bits)
         self.starts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
 
     def find(self, wanted: np.ndarray) -> np.ndarray:
         """Positions of ``wanted``; -1 where absent."""
-        at = self.starts[wanted >> self.shift].astype(np.int64)
-        behind = np.flatnonzero(self.keys[at] < wanted)
+        last = len(self.keys) - 1
+        if last < 0:
+            return np.full(len(wanted), -1, np.int64)
+        at = np.minimum(self.starts[wanted >> self.shift], last).astype(np.int64)
+        behind = np.flatnonzero((self.keys[at] < wanted) & (at < last))
         while len(behind):
             at[behind] += 1
-            behind = behind[self.keys[at[behind]] < wanted[behind]]
-        return np.where((self.keys[at] == wanted) & (at < self.last), at, -1)
+            behind = behind[(self.keys[at[behind]] < wanted[behind]) & (at[behind] < last)]
+        return np.where(self.keys[at] == wanted, at, -1)
 
 
 @dataclass
@@ -222,7 +224,7 @@ def _counts(docs: DataFrame, keys_of) -> DataFrame:
 class _Sequences:
     """Counts of sequences (older part, newer part) with bounded memory; ``take`` empties it."""
 
-    LIMIT = 1_500_000
+    LIMIT = 1_000_000
 
     def __init__(self):
         self.parts: list[tuple[np.ndarray, ...]] = []
