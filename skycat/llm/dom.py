@@ -57,13 +57,16 @@ class Node:
 def parse(source: str) -> Node:
     """The tree; text stays undecoded until ``text_of``."""
     root = at = Node("#root", "", None)
+    path = _Path()
     pos, n = 0, len(source)
+    last = source.rfind(">")
     while pos < n:
         lt = source.find("<", pos)
         if lt < 0:
             at.children.append(source[pos:])
             break
-        m = _TOKEN.match(source, lt) or _LOOSE.match(source, lt)
+        # behind the last > no tag ends: only a comment or declaration may begin
+        m = (_TOKEN.match(source, lt) or _LOOSE.match(source, lt)) if lt < last or source[lt + 1 : lt + 2] in ("!", "?") else None
         if m is None:  # a bare <
             at.children.append(source[pos : lt + 1])
             pos = lt + 1
@@ -78,9 +81,9 @@ def parse(source: str) -> Node:
             continue
         tag = name.lower()
         if m[1]:
-            at = _closed(at, tag)
+            at = path.up(at, _closed(at, tag)) if path.holds(tag) else at
             continue
-        at = _opened(at, tag)
+        at = path.up(at, _opened(at, tag, path))
         node = Node(tag, m[3].rstrip("/"), at)
         at.children.append(node)
         if tag in VOID or (m[3].endswith("/") and tag not in BLOCK and tag not in RAW):
@@ -92,19 +95,53 @@ def parse(source: str) -> Node:
             pos = end.end() if end else n
             continue
         at = node
+        path.down(tag)
     return root
 
 
-def _opened(at: Node, tag: str) -> Node:
+class _Path:
+    """How often each tag is open, and of inline tags how often within the innermost block.
+
+    A tag that is not open needs no climb through its would-be ancestors, so a page of
+    unmatched tags is read in a time in proportion to its length."""
+
+    def __init__(self):
+        self.open: dict[str, int] = {}
+        self.inline: list[dict[str, int]] = [{}]
+
+    def down(self, tag: str) -> None:
+        self.open[tag] = self.open.get(tag, 0) + 1
+        if tag in BLOCK:
+            self.inline.append({})
+        else:
+            self.inline[-1][tag] = self.inline[-1].get(tag, 0) + 1
+
+    def up(self, at: Node, to: Node) -> Node:
+        """Leave the elements from ``at`` up to its ancestor ``to``."""
+        while at is not to:
+            self.open[at.tag] -= 1
+            if at.tag in BLOCK:
+                self.inline.pop()
+            else:
+                self.inline[-1][at.tag] -= 1
+            at = at.parent
+        return to
+
+    def holds(self, tag: str) -> bool:
+        """Whether an end tag may find its element."""
+        return (self.open if tag in BLOCK else self.inline[-1]).get(tag, 0) > 0
+
+
+def _opened(at: Node, tag: str, path: _Path) -> Node:
     """Where a start tag goes, after the elements it ends."""
-    if tag in BLOCK:
+    if tag in BLOCK and path.open.get("p"):
         x = at
         while x.parent and x.tag not in ("button", "td", "th", "table", "#root", "div", "article", "section", "li", "body"):
             if x.tag == "p":
                 at = x.parent
                 break
             x = x.parent
-    if tag in CLOSES:
+    if tag in CLOSES and any(path.open.get(x) for x in CLOSES[tag][0]):
         ends, keep = CLOSES[tag]
         x = at
         while x.parent and x.tag not in keep:

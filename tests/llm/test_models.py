@@ -234,6 +234,22 @@ def test_kept_nodes_never_lie_in_dropped_ones(trees):
             assert not kept[i] or p is None or kept[place[id(p)]]
 
 
+@pytest.mark.parametrize("piece", ["<a ", '<a href="x', "<i></u>", "<u><div><i></u>", "<i><h1>"])
+def test_malformed_pages_are_read_in_linear_time(piece):
+    import time
+
+    start = time.perf_counter()
+    dom.parse(piece * 100_000)
+    assert time.perf_counter() - start < 30  # the square of these lengths would take hours
+
+
+def test_unmatched_end_tags():
+    shape = lambda n: (n.tag, [shape(c) if isinstance(c, dom.Node) else c for c in n.children])
+    assert shape(dom.parse("<div><i>a</u>b</i>c</div>d")) == ("#root", [("div", [("i", ["a", "b"]), "c"]), "d"])
+    assert shape(dom.parse("<u>a<div>b</u>c</div>d</u>e")) == ("#root", [("u", ["a", ("div", ["b", "c"]), "d"]), "e"])
+    assert shape(dom.parse("<p>a<i>b<p>c</p>d")) == ("#root", [("p", ["a", ("i", ["b"])]), ("p", ["c"]), "d"])
+
+
 def test_page_rows(spark, trees):
     d = spark.createDataFrame([(1, "u", PAGE, "z"), (1, "u", PAGE, "z"), (2, None, None, "z"), (None, "u", "", "z")], "page_id long, url string, html string, text string")
     got = sorted(((r.page_id, r.url, r.text, r.n_chars) for r in html_text.extracted(d, trees).collect()), key=str)
