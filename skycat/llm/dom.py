@@ -5,6 +5,8 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -25,10 +27,14 @@ CLOSES = {
     "th": (("td", "th"), ("tr", "table")),
     "option": (("option",), ("select",)),
 }
-HIDDEN = frozenset("script style noscript template head title iframe svg canvas object textarea select option button datalist noembed noframes xmp".split())
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
-_LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.DOTALL)
+HIDDEN = frozenset("script style template head title iframe svg textarea select option button datalist noembed noframes xmp".split())
+
+_DECLARATION = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?", re.DOTALL)
+_NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)")
+_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_MARK = re.compile(r"[>\"']")
+#: Characters in which a tag is looked for by pattern; longer ones use the page's table of ends.
+NEAR = 256
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 _SPACE = re.compile(r"\s+")
 
@@ -49,9 +55,32 @@ class Node:
         text = " ".join(v for k, v in values if k in ("class", "id", "role", "aria-label", "itemprop", "data-role"))
         return re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", text).lower())
 
-    def hidden(self) -> bool:
-        low = self.attributes.lower()
-        return bool(low) and (re.search(r"(?:^|\s)hidden(?:[\s=]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", low) is not None)
+
+class _Ends:
+    """Where tags of a page end: at the first > outside quotes, else (a quote that never closes) at the next >.
+
+    One pass from the page's end finds the end for every mark (>, " or '), so a page full of
+    quotes that do not close is read in a time in proportion to its length."""
+
+    def __init__(self, source: str):
+        self.marks = [m.start() for m in _MARK.finditer(source)]
+        n = len(self.marks)
+        self.strict, self.loose = [-1] * (n + 1), [-1] * (n + 1)
+        following = {'"': n, "'": n}
+        for i in range(n - 1, -1, -1):
+            mark = source[self.marks[i]]
+            if mark == ">":
+                self.strict[i] = self.loose[i] = self.marks[i]
+            else:
+                # behind the closing quote, if there is one
+                self.strict[i] = self.strict[min(n, following[mark] + 1)]
+                self.loose[i] = self.loose[i + 1]
+                following[mark] = i
+
+    def of(self, at: int) -> int:
+        """The place of the > that ends a tag whose attributes begin at ``at``, -1 without one."""
+        i = bisect_left(self.marks, at)
+        return self.strict[i] if self.strict[i] >= 0 else self.loose[i]
 
 
 def parse(source: str) -> Node:
@@ -59,34 +88,45 @@ def parse(source: str) -> Node:
     root = at = Node("#root", "", None)
     path = _Path()
     pos, n = 0, len(source)
-    last = source.rfind(">")
+    ends = None
+    last = source.rfind(">")  # behind it no tag ends
     while pos < n:
         lt = source.find("<", pos)
         if lt < 0:
             at.children.append(source[pos:])
             break
-        # behind the last > no tag ends: only a comment or declaration may begin
-        m = (_TOKEN.match(source, lt) or _LOOSE.match(source, lt)) if lt < last or source[lt + 1 : lt + 2] in ("!", "?") else None
-        if m is None:  # a bare <
+        if source.startswith(("<!", "<?"), lt):
+            m = _DECLARATION.match(source, lt)
+            if lt > pos:
+                at.children.append(source[pos:lt])
+            pos = m.end()
+            if m[0].startswith("<![CDATA["):
+                at.children.append(m[0][9:-3].replace("&", "&amp;"))
+            continue
+        close = name = None
+        if lt > last:
+            pass
+        elif m := _TAG.match(source, lt, lt + NEAR):
+            close, name, attributes, end = m[1], m[2], m[3], m.end()
+        elif m := _NAME.match(source, lt):
+            ends = ends or _Ends(source)
+            if (end := ends.of(m.end()) + 1) > 0:
+                close, name, attributes = m[1], m[2], source[m.end() : end - 1]
+        if name is None:  # a bare <
             at.children.append(source[pos : lt + 1])
             pos = lt + 1
             continue
         if lt > pos:
             at.children.append(source[pos:lt])
-        pos = m.end()
-        name = m[2]
-        if name is None:
-            if m[0].startswith("<![CDATA["):
-                at.children.append(m[0][9:-3].replace("&", "&amp;"))
-            continue
+        pos = end
         tag = name.lower()
-        if m[1]:
+        if close:
             at = path.up(at, _closed(at, tag)) if path.holds(tag) else at
             continue
         at = path.up(at, _opened(at, tag, path))
-        node = Node(tag, m[3].rstrip("/"), at)
+        node = Node(tag, attributes.rstrip("/"), at)
         at.children.append(node)
-        if tag in VOID or (m[3].endswith("/") and tag not in BLOCK and tag not in RAW):
+        if tag in VOID or (attributes.endswith("/") and tag not in BLOCK and tag not in RAW):
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(source, pos)
@@ -191,8 +231,19 @@ _TAG_NO = {t: i for i, t in enumerate(TAGS)}
 N_FEATURES = 18 + 2 * len(KINDS) + len(TAGS)
 
 
+def strings(root: Node) -> Iterator[str]:
+    """All text of a tree in page order, undecoded."""
+    stack: list = [root]
+    while stack:
+        item = stack.pop()
+        if isinstance(item, str):
+            yield item
+        else:
+            stack.extend(reversed(item.children))
+
+
 def candidates(root: Node) -> list[Node]:
-    """Block nodes in page order, hidden ones and what they hold left out; sizes are set on the way."""
+    """Block nodes in page order, without what scripts, styles and controls hold; sizes are set on the way."""
     out: list[Node] = []
     stack: list[tuple[Node, int, bool]] = [(root, 0, False)]
     order: list[Node] = []
@@ -218,7 +269,7 @@ def candidates(root: Node) -> list[Node]:
         for i, c in enumerate(kids):
             c.same_before = seen.get(c.tag, 0)
             seen[c.tag] = c.same_before + 1
-            if c.tag not in HIDDEN and not c.hidden():
+            if c.tag not in HIDDEN:
                 todo.append((c, i, link))
         stack.extend(reversed(todo))
     for node in reversed(order):
@@ -293,7 +344,7 @@ def blocks(root: Node, nodes: list[Node], kept: np.ndarray) -> str:
                 run.append(text_of(item))
         elif item.tag == "br":
             run.append(" ")
-        elif item.tag not in HIDDEN and not item.hidden():
+        elif item.tag not in HIDDEN:
             block = item.tag in BLOCK or item.tag == "#root"
             if block:
                 flush()

@@ -27,6 +27,7 @@ from __future__ import annotations
 import random
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -204,7 +205,7 @@ def fitted(pages: DataFrame, sample: int = SAMPLE) -> Boosted:
     """Trees fitted on at most ``sample`` pages and variants of them."""
     some = pages.where(F.length("html") > 0).select("html").orderBy(F.xxhash64("page_id"), F.xxhash64("html")).limit(sample).collect()
     rng = random.Random(13)
-    words = [w for r in some for w in dom._SPACE.split(dom._TOKEN.sub(" ", r.html))[:400] if w] or ["word"]
+    words = [w for r in some for w in islice((w for t in dom.strings(dom.parse(r.html)) for w in t.split()), 400)] or ["word"]
     x, y = [], []
     for r in some:
         for page in (r.html, _variant(r.html, words, rng), _variant(r.html, words, rng), _variant(r.html, words, rng)):
