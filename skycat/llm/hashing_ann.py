@@ -10,8 +10,8 @@ Step t probes, for each substring of the query's code, all values at distance t.
 the pigeonhole principle every code within m * (t + 1) - 1 bits (m substrings) has then
 been retrieved.  What is retrieved is reranked by the inner product of the original
 vectors in double precision.  The search ends at the first step whose radius covers
-the bits that a vector at the angle of the k-th best would differ in, plus
-``MARGIN`` standard deviations; without k results it goes on until all are retrieved.
+the bits that a vector at the widest angle to the k best would differ in, plus
+``MARGIN`` standard deviations; the angles are those of the centred vectors, whose signs the codes are; without k results it goes on until all are retrieved.
 There is no cap on candidates.
 
 On Spark: equal vectors form one class with its k + 1 smallest ids (the only members
@@ -82,13 +82,14 @@ class Codes:
         rest = np.sqrt(np.maximum(self.longest**2 - (x * x).sum(1), 0))
         return np.concatenate([x, rest[:, None]], 1)
 
+    def centred(self, x: np.ndarray, query: bool = False) -> np.ndarray:
+        if query:
+            return np.concatenate([x * (self.longest / np.linalg.norm(x, axis=1))[:, None], np.zeros((len(x), 1))], 1) - self.mean
+        return self._lift(x) - self.mean
+
     def substrings(self, x: np.ndarray, query: bool = False) -> np.ndarray:
         """(rows, substrings) of 16-bit values."""
-        if query:
-            lifted = np.concatenate([x * (self.longest / np.linalg.norm(x, axis=1))[:, None], np.zeros((len(x), 1))], 1)
-        else:
-            lifted = self._lift(x)
-        bits = (lifted - self.mean) @ self.turns > 0
+        bits = self.centred(x, query) @ self.turns > 0
         pad = -bits.shape[1] % SUB
         packed = np.packbits(np.pad(bits, ((0, 0), (0, pad))), axis=1)
         return packed.view(">u2").astype(np.uint16)
@@ -125,7 +126,7 @@ class Index:
         """(rows, scores) of the best k found and all that equal the k-th, in no order."""
         seen = np.zeros(len(self.x), bool)
         rows, scores = np.zeros(0, np.int64), np.zeros(0)
-        m, length = len(code), np.linalg.norm(q) * self.codes.longest
+        m, from_mean = len(code), self.codes.centred(q[None, :], True)[0]
         for t in range(SUB + 1):
             new = self.probe(code, t, seen)
             if len(new):
@@ -136,7 +137,10 @@ class Index:
                     keep = scores >= least - 1e-9 * abs(least)
                     rows, scores = rows[keep], scores[keep]
             if len(rows) >= k:
-                share = math.acos(max(-1.0, min(1.0, float(scores.min()) / length))) / math.pi
+                near = self.codes.centred(self.x[rows])
+                lengths = np.linalg.norm(near, axis=1) * np.linalg.norm(from_mean)
+                cosine = np.divide(near @ from_mean, lengths, out=np.zeros(len(near)), where=lengths > 0).min()
+                share = math.acos(max(-1.0, min(1.0, float(cosine)))) / math.pi
                 n = self.codes.n_bits
                 if m * (t + 1) - 1 >= n * share + MARGIN * math.sqrt(n * share * (1 - share)):
                     break
