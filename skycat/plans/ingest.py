@@ -95,10 +95,11 @@ def ingest(
     if known:  # directories of files that are no longer there, or no longer what they were
         for r in before.join(files, same, "left_anti").select("catalog", "source").toLocalIterator():
             delete_path(spark, f"{out_path.rstrip('/')}/catalog={r.catalog}/source={r.source}")
-    paths = [r.path for r in new.select("path").orderBy("path").collect()]
+    listed = new.select("path", "length").orderBy("path").collect()
+    paths = [r.path for r in listed]
     if paths:
         raw = cat.read_raw(
-            spark, raw_path, extname=extname, pattern=pattern, rows_per_partition=rows_per_partition, include_path=True, files=paths
+            spark, raw_path, extname=extname, pattern=pattern, rows_per_partition=rows_per_partition, include_path=True, files=paths, lengths=[r.length for r in listed]
         )
         keep = ("row_index", "path")
         rows = process_catalog(raw, keep=keep).withColumn("source", source_key(_listed(F.col("path"))))

@@ -65,9 +65,11 @@ def read_raw(
     rows_per_partition: int | None = None,
     include_path: bool = False,
     files: list[str] | None = None,
+    lengths: list[int] | None = None,
 ) -> DataFrame:
     """S3 (+P4 coercion): RA, DEC, Z as double and WEIGHT as float, with
-    file_name and row_index (and path); of ``files`` under ``path``, if given."""
+    file_name and row_index (and path); of ``files`` under ``path``, if given
+    (with their ``lengths``, if a listing has them: nothing is asked of a file then)."""
     fits.register(spark)
     r = (
         spark.read.format("fits_table")
@@ -79,6 +81,8 @@ def read_raw(
     )
     if rows_per_partition:
         r = r.option("rowsPerPartition", str(rows_per_partition))
+    if lengths is not None:
+        r = r.option("lengths", json.dumps(lengths))
     df = r.load(fsio.qualified(spark, path)) if files is None else r.option("paths", json.dumps(files)).load()
     cols = [
         F.col("RA").cast("double").alias("RA"),

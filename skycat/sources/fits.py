@@ -8,14 +8,17 @@
         .option("batchBytes", 32 << 20)           # bytes per read / Arrow batch
         .option("minPartitions", 8)               # split small inputs over at least this many tasks
         .option("paths", json.dumps([...]))       # or: an explicit list of files
+        .option("lengths", json.dumps([...]))     # their lengths, where a listing is at hand
         .load(path)
 
 A BINTABLE extension stores rows of a fixed width (``NAXIS1`` bytes), so any
-row range is one seek and one read.  The driver parses the headers (a few
-2,880-byte blocks per file) and plans the partitions the way Spark's file
-sources do: large files are split into row ranges of at most the split size,
-small files are packed together (each counting an open cost); every task
-decodes its ranges with big-endian numpy structured views and hands Arrow
+row range is one seek and one read.  The driver plans by the lengths of the
+files alone, the way Spark's file sources do: large files are split into byte
+ranges of at most the split size, small files are packed together (each
+counting an open cost).  A range is a path and two numbers; the task that reads
+it parses the file's header (a few 2,880-byte blocks) and takes the rows that
+start in the range.  The driver reads one header, for the schema.  Tasks
+decode their ranges with big-endian numpy structured views and hand Arrow
 batches to Spark.  Besides the requested columns each row carries
 ``file_name`` (the file's base name) and ``row_index`` (its 0-based row in the
 file), which together identify it.
@@ -31,6 +34,7 @@ URIs of shared storage (``hdfs://``, ``s3://``, ``gs://``), read through
 from __future__ import annotations
 
 import glob
+import json
 import os
 import re
 from dataclasses import dataclass, field
@@ -48,7 +52,6 @@ CARD = 80
 TARGET_PARTITION_BYTES = 128 << 20
 OPEN_COST_BYTES = 4 << 20  # a file costs as much as this many bytes to open (as in Spark's file sources)
 BATCH_BYTES = 32 << 20  # one read (and one Arrow batch) per 32 MiB of rows
-HEADER_THREADS = 32
 
 # type code -> (bytes per element, numpy big-endian dtype, Spark type)
 FORMATS = {
@@ -239,13 +242,23 @@ def list_files(path: str, pattern: str = CATALOG_GLOB) -> list[str]:
 
 def _files_of(options) -> list[str]:
     """``paths`` (a JSON list of files) when given, else ``path`` (file, glob or folder)."""
-    import json
-
     if options.get("paths"):
-        return sorted(p[len("file:"):] if p.startswith("file:") else p for p in json.loads(options["paths"]))
+        return sorted(_plain(p) for p in json.loads(options["paths"]))
     return list_files(options.get("path"), options.get("pattern", CATALOG_GLOB))
 
 
+def _plain(path: str) -> str:
+    return path[len("file:"):] if path.startswith("file:") else path
+
+
+def _sized_files(options) -> list[tuple[str, int]]:
+    """The same files with their lengths; ``lengths`` belong to ``paths`` one by one."""
+    if options.get("paths") and options.get("lengths"):
+        return sorted((_plain(p), n) for p, n in zip(json.loads(options["paths"]), json.loads(options["lengths"]), strict=True))
+    files = _files_of(options)
+    return list(zip(files, fsio.sizes(files), strict=True))
+
+
 def _requested(info: TableInfo, columns: str | None) -> list[Column]:
     if columns:
         cols = [info.column(c.strip()) for c in columns.split(",") if c.strip()]
@@ -257,26 +270,26 @@ def _requested(info: TableInfo, columns: str | None) -> list[Column]:
     return cols
 
 
+#: The stop of a file's last range: whatever the listing said, all that the header promises is read.
+TO_THE_END = 1 << 62
+
+
 @dataclass
-class RowRange:
+class FileRange:
+    """The rows of a file that start at a byte in [start, stop)."""
+
     path: str
-    file_name: str
-    data_start: int
-    row_bytes: int
     start: int
-    count: int
-    names: list
-    offsets: list
-    dtypes: list
-    scales: list
-    zeros: list
-    kinds: list
-    with_path: bool = False
+    stop: int
+
+    def rows(self, info: TableInfo) -> tuple[int, int]:
+        first, last = (-((info.data_start - at) // max(1, info.row_bytes)) for at in (self.start, self.stop))
+        return min(max(0, first), info.n_rows), min(max(0, last), info.n_rows)
 
 
 @dataclass
 class RangeGroup(InputPartition):
-    """One task's work: consecutive row ranges (of one or several small files)."""
+    """One task's work: consecutive ranges (of one or several small files)."""
 
     ranges: list
 
@@ -284,12 +297,13 @@ class RangeGroup(InputPartition):
 NUMPY_OF = {"short": np.int16, "int": np.int32, "bigint": np.int64, "float": np.float32, "double": np.float64}
 
 
-def _decode(rng: RowRange, buf: bytes, first_row: int, n: int) -> pa.RecordBatch:
-    dt = np.dtype({"names": rng.names, "formats": rng.dtypes, "offsets": rng.offsets, "itemsize": rng.row_bytes})
+def _decode(info: TableInfo, cols: list[Column], buf: bytes, first_row: int, n: int, with_path: bool) -> pa.RecordBatch:
+    names = [c.name for c in cols]
+    dt = np.dtype({"names": names, "formats": [c.numpy_dtype() for c in cols], "offsets": [c.offset for c in cols], "itemsize": info.row_bytes})
     rows = np.frombuffer(buf, dtype=dt, count=n)
     arrays = []
-    for name, kind, scale, zero in zip(rng.names, rng.kinds, rng.scales, rng.zeros):
-        v = rows[name]
+    for c in cols:
+        v, kind = rows[c.name], _kind(c)
         if kind == "boolean":
             arrays.append(pa.array(v == ord("T")))
         elif kind == "string":
@@ -297,16 +311,16 @@ def _decode(rng: RowRange, buf: bytes, first_row: int, n: int) -> pa.RecordBatch
             arrays.append(pc.utf8_rtrim(pc.cast(pa.array(v), pa.string()), characters=" \x00"))
         elif kind.startswith("unsigned_"):
             target = NUMPY_OF[kind[len("unsigned_"):]]
-            arrays.append(pa.array((v.astype(np.int64) + int(zero)).astype(target)))
+            arrays.append(pa.array((v.astype(np.int64) + int(c.zero)).astype(target)))
         elif kind == "scaled":
-            arrays.append(pa.array(v.astype(np.float64) * (1.0 if scale is None else scale) + (zero or 0.0)))
+            arrays.append(pa.array(v.astype(np.float64) * (1.0 if c.scale is None else c.scale) + (c.zero or 0.0)))
         else:
             arrays.append(pa.array(v.astype(NUMPY_OF[kind])))
-    arrays.append(pa.repeat(pa.scalar(rng.file_name, pa.string()), n))
+    arrays.append(pa.repeat(pa.scalar(os.path.basename(info.path), pa.string()), n))
     arrays.append(pa.array(np.arange(first_row, first_row + n, dtype=np.int64)))
-    names = rng.names + ["file_name", "row_index"]
-    if rng.with_path:
-        arrays.append(pa.repeat(pa.scalar(rng.path, pa.string()), n))
+    names += ["file_name", "row_index"]
+    if with_path:
+        arrays.append(pa.repeat(pa.scalar(info.path, pa.string()), n))
         names.append("path")
     return pa.RecordBatch.from_arrays(arrays, names=names)
 
@@ -332,60 +346,57 @@ class FitsTableReader(DataSourceReader):
         self.columns = columns
 
     def partitions(self):
-        from concurrent.futures import ThreadPoolExecutor
-
-        files = _files_of(self.options)
-        # header reads are latency-bound on a network file system: overlap them
-        with ThreadPoolExecutor(max_workers=max(1, min(HEADER_THREADS, len(files)))) as pool:
-            infos = list(pool.map(lambda f: scan_table(f, self.extname), files))
+        if self.rows_per_part:  # an explicit split in rows: one partition per range, planned from the headers
+            return [RangeGroup([r]) for f in _files_of(self.options) for r in self._row_ranges(f)]
+        files = _sized_files(self.options)
         # split size as Spark's file sources choose it: at most 128 MiB, at least
         # one open cost, and small enough to give every core a partition
-        total = sum(i.row_bytes * i.n_rows + OPEN_COST_BYTES for i in infos)
+        total = sum(n + OPEN_COST_BYTES for _, n in files)
         split = min(TARGET_PARTITION_BYTES, max(OPEN_COST_BYTES, total // max(1, self.min_partitions)))
-        ranges = []
-        for p, info in zip(files, infos):
-            cols = [info.column(c.name) for c in self.columns]
-            for c, want in zip(cols, self.columns):
-                if c.spark_type != want.spark_type:
-                    raise ValueError(f"{p}: column {c.name} is {c.spark_type}, the first file has {want.spark_type}")
-            per = int(self.rows_per_part) if self.rows_per_part else max(1, split // max(1, info.row_bytes))
-            kinds = [_kind(c) for c in cols]
-            for start in range(0, info.n_rows, per):
-                ranges.append(
-                    RowRange(
-                        p, os.path.basename(p), info.data_start, info.row_bytes, start, min(per, info.n_rows - start),
-                        [c.name for c in cols], [c.offset for c in cols], [c.numpy_dtype() for c in cols],
-                        [c.scale for c in cols], [c.zero for c in cols], kinds, self.with_path,
-                    )
-                )
-        if self.rows_per_part:  # an explicit split: one partition per range
-            return [RangeGroup([r]) for r in ranges]
         # pack small files (ranges) together up to the split size
         groups, current, size = [], [], 0
-        for r in ranges:
-            cost = r.count * r.row_bytes + OPEN_COST_BYTES
-            if current and size + cost > split:
-                groups.append(RangeGroup(current))
-                current, size = [], 0
-            current.append(r)
-            size += cost
+        for path, n in files:
+            for start in range(0, max(1, n), split):
+                cost = min(split, n - start) + OPEN_COST_BYTES
+                if current and size + cost > split:
+                    groups.append(RangeGroup(current))
+                    current, size = [], 0
+                current.append(FileRange(path, start, start + split if start + split < n else TO_THE_END))
+                size += cost
         if current:
             groups.append(RangeGroup(current))
         return groups
 
+    def _row_ranges(self, path: str) -> list[FileRange]:
+        info = scan_table(path, self.extname)
+        step = int(self.rows_per_part) * info.row_bytes
+        end = info.data_start + info.n_rows * info.row_bytes
+        return [FileRange(path, at, min(at + step, end)) for at in range(info.data_start, end, step)]
+
+    def _layout(self, info: TableInfo) -> list[Column]:
+        cols = [info.column(c.name) for c in self.columns]
+        for c, want in zip(cols, self.columns):
+            if c.spark_type != want.spark_type:
+                raise ValueError(f"{info.path}: column {c.name} is {c.spark_type}, the first file has {want.spark_type}")
+        return cols
+
     def read(self, group: RangeGroup):
         for rng in group.ranges:
+            info = scan_table(rng.path, self.extname)
+            cols = self._layout(info)
+            at, last = rng.rows(info)
+            if at >= last:
+                continue
             with fsio.open_input(rng.path) as f:
-                f.seek(rng.data_start + rng.start * rng.row_bytes)
-                done = 0
-                per_batch = max(1, self.batch_bytes // rng.row_bytes)
-                while done < rng.count:
-                    n = min(per_batch, rng.count - done)
-                    buf = f.read(n * rng.row_bytes)
-                    if len(buf) != n * rng.row_bytes:
-                        raise ValueError(f"{rng.path}: truncated table data at row {rng.start + done}")
-                    yield _decode(rng, buf, rng.start + done, n)
-                    done += n
+                f.seek(info.data_start + at * info.row_bytes)
+                per_batch = max(1, self.batch_bytes // info.row_bytes)
+                while at < last:
+                    n = min(per_batch, last - at)
+                    buf = f.read(n * info.row_bytes)
+                    if len(buf) != n * info.row_bytes:
+                        raise ValueError(f"{rng.path}: truncated table data at row {at}")
+                    yield _decode(info, cols, buf, at, n, self.with_path)
+                    at += n
 
 
 class FitsTableDataSource(DataSource):

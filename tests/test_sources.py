@@ -450,3 +450,48 @@ def test_one_fits_file_by_uri(spark, tmp):
     fits.write_fits_table(path, {"RA": np.arange(5.0), "DEC": np.arange(5.0), "Z": np.ones(5), "WEIGHT": np.ones(5, np.float32)})
     fits.register(spark)
     assert spark.read.format("fits_table").load(f"file://{path}").count() == 5
+
+
+def test_fits_byte_ranges_take_each_row_once(spark, tmp, monkeypatch):
+    """However the bytes of a file are split, every row is read once, with the tables around it left alone."""
+    n = 700
+    cols = _fits_cols(n)
+    other = fits.bintable_bytes({"A": np.arange(400.0)}, extname="OTHER")
+    path = os.path.join(tmp, "ELG_S_clustering.dat.fits")
+    fits.write_fits_table(path, cols, before=[other])
+    with open(path, "ab") as f:
+        f.write(fits.bintable_bytes({"B": np.arange(900.0)}, extname="AFTER"))
+    size = os.path.getsize(path)
+    columns = [fits.scan_table(path).column(c) for c in ("TARGETID", "Z")]
+    for split in (35, 36, 37, 1000, 2880, size, 10 * size):
+        monkeypatch.setattr(fits, "TARGET_PARTITION_BYTES", split)
+        monkeypatch.setattr(fits, "OPEN_COST_BYTES", 1)
+        reader = fits.FitsTableReader({"path": tmp, "minPartitions": "1"}, columns)
+        groups = reader.partitions()
+        assert split >= size or len(groups) > size // (split + 1) // 2
+        rows = [(r, t, z) for g in groups for b in reader.read(g) for t, z, r in zip(*(b.column(c).to_pylist() for c in ("TARGETID", "Z", "row_index")))]
+        assert rows == list(zip(range(n), cols["TARGETID"].tolist(), cols["Z"].tolist()))
+
+
+def test_fits_planning_reads_no_headers(monkeypatch):
+    """A hundred thousand files with known lengths are planned without a request, in a few numbers each."""
+    import json
+    import pickle
+
+    monkeypatch.setattr(fits, "scan_table", None)
+    monkeypatch.setattr(fits.fsio, "resolve", None)
+    files = [f"/none/{i:06d}.fits" for i in range(100_000)]
+    lengths = [(i % 50) << 20 for i in range(100_000)]
+    reader = fits.FitsTableReader({"paths": json.dumps(files), "lengths": json.dumps(lengths)}, [])
+    groups = reader.partitions()
+    assert sum(len(g.ranges) for g in groups) == 100_000  # none is longer than a split; empty ones are read for their header
+    assert max(len(pickle.dumps(g)) for g in groups) < 10_000
+
+
+def test_fits_truncated_file_is_refused(spark, tmp):
+    path = os.path.join(tmp, "QSO_N_clustering.dat.fits")
+    fits.write_fits_table(path, _fits_cols(500))
+    with open(path, "rb+") as f:
+        f.truncate(os.path.getsize(path) - 2880 * 3)
+    with pytest.raises(Exception, match="truncated table data"):
+        cat.read_raw(spark, tmp).collect()
