@@ -34,10 +34,23 @@ def curve_key(x="x", y="y", z="z_cart") -> Column:
     return a.bitwiseOR(F.shiftleft(b, 1)).bitwiseOR(F.shiftleft(c, 2))
 
 
-def curve_ordered(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """The rows range-partitioned and sorted along the curve (one shuffle); rows of one cell may part at any task."""
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+#: Rows that one task sorts: some 100 MB of the widest catalogue, held in memory however large the table is.
+TASK_ROWS = 1 << 19
+
+
+def curve_ordered(df: DataFrame, partitions: int | None = None, rows: int | None = None) -> DataFrame:
+    """The rows range-partitioned and sorted along the curve (one shuffle); rows of one cell may part at any task.
+
+    Unless given, the partitions are as many as the session's, or more for a larger table: they
+    grow in number, not in size, so that no task's sort spills.  ``rows``: how many there are,
+    or a bound, where that is known; else they are counted.  The keys are not shuffled: a task
+    computes them again.
+    """
+    n = partitions
+    if n is None:
+        rows = df.count() if rows is None else rows
+        n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
     # rows of one cell, however many, are spread by a second key
-    keys = ["_curve", "_fine"]
-    keyed = df.withColumns({"_curve": curve_key(), "_fine": F.xxhash64("x", "y", "z_cart")})
-    return keyed.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop(*keys)
+    keys = {"_curve": curve_key(), "_fine": F.xxhash64("x", "y", "z_cart")}
+    ranges = df.repartitionByRange(n, *keys.values())
+    return ranges.withColumns(keys).sortWithinPartitions(*keys).drop(*keys)

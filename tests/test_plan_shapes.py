@@ -141,3 +141,22 @@ def test_image_is_the_same_to_the_last_bit_on_any_partitioning(spark):
     assert images[0] == images[1] == images[2] and 0 < images[0][0].r < 1
     bright = pts.select("px", "py", F.lit(1.0).alias("coverage"), F.lit(3e9).alias("alpha"), "rgb")
     assert {(r.r, r.g, r.b) for r in view.density_image(bright).collect()} == {(1.0, 1.0, 1.0)}
+
+
+def test_a_larger_catalogue_is_sorted_by_more_tasks_and_shuffled_without_keys(spark, monkeypatch):
+    from skycat.operators import layout
+
+    monkeypatch.setattr(layout, "TASK_ROWS", 100, raising=False)
+    rows = spark.range(5000).selectExpr(
+        "id", "cast(id % 17 * 300 as float) x", "cast(id % 29 * 200 as float) y", "if(id % 7 = 0, null, cast(id as float)) z_cart"
+    )
+    ordered = layout.curve_ordered(rows)
+    assert ordered.rdd.getNumPartitions() >= 50
+    assert layout.curve_ordered(rows, rows=20_000).rdd.getNumPartitions() >= 200
+    assert layout.curve_ordered(rows, partitions=3).rdd.getNumPartitions() == 3
+    exchange = ordered._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[1]
+    assert "AS _curve" not in exchange and "AS _fine" not in exchange
+    assert ordered.columns == rows.columns
+    assert sorted(r["id"] for r in ordered.collect()) == list(range(5000))
+    keys = [r[0] for r in ordered.select(layout.curve_key()).collect() if r[0] is not None]
+    assert keys == sorted(keys)
