@@ -9,6 +9,7 @@ SQL side: ``SQL[name]`` runs on DuckDB with the driver's views registered.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,11 +83,14 @@ def processed(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skycat.operators.layout import curve_ordered
     from skycat.sources.tables import materialized
 
-    def build() -> DataFrame:
-        # the raw rows are counted from Parquet footers; the cut only takes some away
-        return curve_ordered(process(spark, sf_dir), rows=raw_catalog(spark, sf_dir).count())
+    @cache
+    def rows() -> int:
+        """Of the raw catalogue, from its Parquet footers; the cut only takes some away."""
+        return raw_catalog(spark, sf_dir).count()
 
-    return materialized(spark, f"processed-{_input(spark, sf_dir)}", build)
+    return materialized(
+        spark, f"processed-{_input(spark, sf_dir)}", lambda: curve_ordered(process(spark, sf_dir), rows=rows()), rows=rows
+    )
 
 
 def _input(spark: SparkSession, sf_dir: str) -> str:

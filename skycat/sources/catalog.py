@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from skycat.operators.layout import curve_ordered
 from skycat.schema import CATALOG_GLOB, FITS_EXTENSION
 from skycat.sources import fits, fsio
+from skycat.sources.tables import scan_tasks
 
 
 def discover_catalogs(spark: SparkSession, path: str, pattern: str = CATALOG_GLOB) -> DataFrame:
@@ -140,4 +141,6 @@ def write_per_catalog(df: DataFrame, path: str, mode: str = "overwrite", by: tup
 def write_combined(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """K2: all rows, zstd, in the order of a space-filling curve, so that readers of a part of
     space skip row groups.  (A K1 output read as one table is the same rows.)"""
-    curve_ordered(df).write.mode(mode).option("compression", "zstd").parquet(path)
+    rows = df.count()
+    with scan_tasks(df.sparkSession, rows):
+        curve_ordered(df, rows=rows).write.mode(mode).option("compression", "zstd").parquet(path)

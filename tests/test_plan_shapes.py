@@ -160,3 +160,28 @@ def test_a_larger_catalogue_is_sorted_by_more_tasks_and_shuffled_without_keys(sp
     assert sorted(r["id"] for r in ordered.collect()) == list(range(5000))
     keys = [r[0] for r in ordered.select(layout.curve_key()).collect() if r[0] is not None]
     assert keys == sorted(keys)
+
+
+def test_a_derived_table_is_read_by_tasks_of_bounded_rows(spark, tmp, monkeypatch):
+    from skycat.sources import tables
+
+    name = "spark.sql.files.minPartitionNum"
+    monkeypatch.setattr(tables, "SCAN_ROWS", 100, raising=False)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        spark.range(20_000).coalesce(1).write.option("parquet.block.size", 1024).parquet(tmp + "/in")
+
+        def rows():
+            return spark.read.parquet(tmp + "/in")
+
+        plain = rows().rdd.getNumPartitions()
+        with tables.scan_tasks(spark, 20_000):
+            assert rows().rdd.getNumPartitions() >= 200 > plain
+        with tables.scan_tasks(spark, 10):
+            assert spark.conf.get(name, None) is None
+        copy = tables.materialized(spark, tmp, rows, rows=lambda: 20_000)
+        assert len(copy.inputFiles()) > plain
+        assert copy.count() == copy.distinct().count() == 20_000
+        assert spark.conf.get(name, None) is None
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
