@@ -5,11 +5,15 @@ largest inner product is then the smallest angle), are centred, and each of ``TU
 rotations, learned on a bounded sample (principal axes turned so that signs lose least,
 as in iterative quantization), gives one bit a coordinate.
 
-Index and search: codes are split into 16-bit substrings and each is indexed by value.
-Step t probes, for each substring of the query's code, all values at distance t.  By
-the pigeonhole principle every code within m * (t + 1) - 1 bits (m substrings) has then
-been retrieved.  What is retrieved is reranked by the inner product of the original
-vectors in double precision.  The search ends at the first step whose radius covers
+Index and search: codes are split into the fewest substrings of at most 16 bits, of
+equal lengths but for one bit (a short one would match most rows), and each is indexed
+by value.  Step t probes, for each substring of the query's code, all values at distance
+t; where these outnumber the rows not yet retrieved, it reads their codes instead, which
+gives the same rows.  By the pigeonhole principle every code within m * (t + 1) - 1 bits
+(m substrings) has then been retrieved.  What is retrieved is reranked by the inner
+product of the original vectors in double precision, but for rows that single precision
+and its error bound show to be worse than the k best.  The search ends when all rows are
+retrieved or at the first step whose radius covers
 the bits that a vector at the widest angle to the k best would differ in, plus
 ``MARGIN`` standard deviations; the angles are those of the centred vectors, whose signs the codes are; without k results it goes on until all are retrieved.
 There is no cap on candidates.
@@ -29,7 +33,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import combinations
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -53,7 +57,13 @@ BLOCK = 1 << 16
 QUERY_BLOCK = 1 << 12
 SUB = 16
 
-_MASKS = [np.array([sum(1 << b for b in c) for c in combinations(range(SUB), t)], np.uint16) for t in range(SUB + 1)]
+
+@cache
+def _masks(width: int) -> list[np.ndarray]:
+    """The values of ``width`` bits with t bits set, for t from 0 to ``SUB``."""
+    values = np.arange(1 << width)
+    ones = np.bitwise_count(values)
+    return [values[ones == t] for t in range(SUB + 1)]
 
 
 class Codes:
@@ -77,6 +87,8 @@ class Codes:
             turns.append(axes @ r)
         self.turns = np.concatenate(turns, 1)
         self.n_bits = self.turns.shape[1]
+        m = -(-self.n_bits // SUB)
+        self.widths = [len(part) for part in np.array_split(np.arange(self.n_bits), m)]
 
     def _lift(self, x: np.ndarray) -> np.ndarray:
         rest = np.sqrt(np.maximum(self.longest**2 - (x * x).sum(1), 0))
@@ -88,11 +100,10 @@ class Codes:
         return self._lift(x) - self.mean
 
     def substrings(self, x: np.ndarray, query: bool = False) -> np.ndarray:
-        """(rows, substrings) of 16-bit values."""
+        """(rows, substrings) of values of ``widths`` bits."""
         bits = self.centred(x, query) @ self.turns > 0
-        pad = -bits.shape[1] % SUB
-        packed = np.packbits(np.pad(bits, ((0, 0), (0, pad))), axis=1)
-        return packed.view(">u2").astype(np.uint16)
+        parts = np.split(bits, np.cumsum(self.widths)[:-1], axis=1)
+        return np.stack([part @ (1 << np.arange(part.shape[1])) for part in parts], 1).astype(np.uint16)
 
 
 class Index:
@@ -100,19 +111,23 @@ class Index:
 
     def __init__(self, x: np.ndarray, codes: Codes):
         self.x, self.codes = x, codes
-        subs = codes.substrings(x)
+        self.single = (x / codes.longest).astype(np.float32)
+        self.few = np.empty((1024, x.shape[1]), np.float32)
+        #: A product of a row and a query of length 1 in single precision is off by less.
+        self.error = (x.shape[1] + 8) * float(np.finfo(np.float32).eps)
+        self.subs = np.ascontiguousarray(codes.substrings(x).T)
         self.order, self.first = [], []
-        for s in subs.T:
+        for s, width in zip(self.subs, codes.widths, strict=True):
             order = np.argsort(s, kind="stable")
             self.order.append(order)
-            self.first.append(np.searchsorted(s[order], np.arange((1 << SUB) + 1)))
+            self.first.append(np.searchsorted(s[order], np.arange((1 << width) + 1)))
 
     def probe(self, code: np.ndarray, t: int, seen: np.ndarray) -> np.ndarray:
         """Rows not seen yet with a substring at distance t from the code's."""
         new = []
-        for s, order, first in zip(code, self.order, self.first, strict=True):
-            values = _MASKS[t] ^ s
-            a, n = first[values], first[values.astype(np.int64) + 1] - first[values]
+        for s, width, order, first in zip(code, self.codes.widths, self.order, self.first, strict=True):
+            values = _masks(width)[t] ^ int(s)
+            a, n = first[values], first[values + 1] - first[values]
             total = int(n.sum())
             if total:
                 at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(total)
@@ -122,19 +137,44 @@ class Index:
                 new.append(rows)
         return np.concatenate(new) if new else np.zeros(0, np.int64)
 
+    def retrieved(self, code: np.ndarray) -> Iterator[np.ndarray]:
+        """The rows of each step, until all have been given."""
+        seen, left, far = np.zeros(len(self.x), bool), len(self.x), None
+        for t in range(SUB + 1):
+            if far is None and sum(len(_masks(w)[t]) for w in self.codes.widths) > left:
+                far = np.bitwise_count(self.subs ^ code[:, None]).min(0)
+            new = self.probe(code, t, seen) if far is None else np.flatnonzero(far == t)
+            left -= len(new)
+            yield new
+            if not left:
+                return
+
+    def _hopeful(self, new: np.ndarray, q: np.ndarray, k: int, least: float) -> np.ndarray:
+        """``new`` without rows that are worse than ``least`` or than k others of ``new``."""
+        scale = float(np.linalg.norm(q)) * self.codes.longest
+        if not 0 < scale < math.inf:
+            return new
+        unit, score = (q / np.linalg.norm(q)).astype(np.float32), np.empty(len(new), np.float32)
+        for a in range(0, len(new), len(self.few)):  # through a small buffer, which stays in the processor's cache
+            some = new[a : a + len(self.few)]
+            score[a : a + len(some)] = self.single.take(some, 0, self.few[: len(some)], "clip") @ unit
+        if len(new) > k:
+            least = max(least, scale * (float(np.partition(score, len(new) - k)[len(new) - k]) - self.error))
+        return new[score >= least / scale - self.error] if least > -math.inf else new
+
     def search(self, q: np.ndarray, code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(rows, scores) of the best k found and all that equal the k-th, in no order."""
-        seen = np.zeros(len(self.x), bool)
-        rows, scores = np.zeros(0, np.int64), np.zeros(0)
+        rows, scores, least = np.zeros(0, np.int64), np.zeros(0), -math.inf
         m, from_mean = len(code), self.codes.centred(q[None, :], True)[0]
-        for t in range(SUB + 1):
-            new = self.probe(code, t, seen)
+        for t, new in enumerate(self.retrieved(code)):
             if len(new):
+                new = self._hopeful(new, q, k, least)
                 rows = np.append(rows, new)
                 scores = np.append(scores, (self.x[new] * q).sum(1))
                 if len(rows) > k:
                     least = np.partition(scores, len(scores) - k)[len(scores) - k]
-                    keep = scores >= least - 1e-9 * abs(least)
+                    least -= 1e-9 * abs(least)
+                    keep = scores >= least
                     rows, scores = rows[keep], scores[keep]
             if len(rows) >= k:
                 near = self.codes.centred(self.x[rows])
