@@ -224,23 +224,35 @@ def _counts(docs: DataFrame, keys_of) -> DataFrame:
 class _Sequences:
     """Counts of sequences (older part, newer part) with bounded memory; ``take`` empties it."""
 
-    LIMIT = 1_000_000
+    LIMIT = 500_000
 
     def __init__(self):
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.held = 0
 
     def add(self, older: np.ndarray, newer: np.ndarray, c: np.ndarray | None = None) -> None:
-        _, first, where = np.unique(_sequence(older, newer), return_index=True, return_inverse=True)
-        self.parts.append((older[first], newer[first], np.bincount(where, c, len(first)).astype(np.int64)))
+        if len(older) == 0:
+            return
+        key = _sequence(older, newer)
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        del key
+        c = np.diff(np.append(first, len(order))) if c is None else np.add.reduceat(c[order], first)
+        first = order[first]
+        del order
+        self.parts.append((older[first], newer[first], c))
         self.held += len(first)
         if self.held > self.LIMIT:
             self.merge()
 
     def merge(self) -> None:
         if len(self.parts) > 1:
-            every = [np.concatenate(x) for x in zip(*self.parts, strict=True)]
+            columns = [list(x) for x in zip(*self.parts, strict=True)]
             self.parts, self.held = [], 0
+            every = []
+            while columns:  # one column's parts are let go before the next are joined
+                every.append(np.concatenate(columns.pop(0)))
             self.add(*every)
 
     def take(self) -> Iterator[pa.RecordBatch]:
@@ -422,7 +434,8 @@ def scored(docs: DataFrame, tree: Tree, looked_up: DataFrame) -> DataFrame:
                 for k, (places, w) in enumerate(open_):
                     if not len(w):
                         continue
-                    order = np.lexsort((w, row[places]))
+                    # by row and the word's first bits: words that share them only give more rows to be summed
+                    order = np.argsort(row[places].astype(np.uint64) << np.uint64(44) | w >> np.uint64(20))
                     w, r = w[order], row[places[order]]
                     new = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (r[1:] != r[:-1])))
                     tf = np.diff(np.append(new, len(w)))

@@ -97,6 +97,42 @@ def test_directory():
         assert (suffixtree._Directory(keys).find(wanted) == suffixtree._find(keys, wanted)).all()
 
 
+def test_sequences_are_summed_in_little_memory():
+    """A task's sums of two million sequences take at most 80 MB at a time, and no count is lost."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    sums, got = suffixtree._Sequences(), Counter()
+
+    def taken():
+        return [tuple(c.to_numpy() for c in b.columns) for b in sums.take()]
+
+    tracemalloc.start()
+    held, most = [], 0
+    for k in range(20):
+        older = rng.integers(0, 1 << 63, 100_000, np.uint64)
+        newer = older * np.uint64(3)
+        older[:1000], newer[:1000] = np.arange(1000) % 50, 7
+        sums.add(older, newer)
+        if sums.held > sums.LIMIT or k == 19:
+            before = tracemalloc.get_traced_memory()[0]
+            out = taken()
+            most = max(most, tracemalloc.get_traced_memory()[1])
+            held.append([(a[a < 50], b[a < 50], c[a < 50], c.sum()) for a, b, c in out])
+            del out
+            assert sums.held == 0 and before >= 0
+    most = max(most, tracemalloc.get_traced_memory()[1])
+    tracemalloc.stop()
+    assert sum(n for run in held for *_, n in run) == 2_000_000
+    for run in held:
+        for a, b, c, _ in run:
+            assert (b == 7).all()
+            for x, n in zip(a.tolist(), c.tolist(), strict=True):
+                got[x] += n
+    assert got == {x: 400 for x in range(50)}
+    assert most < 80e6
+
+
 def test_states_are_distributions(spark):
     """After every context of one to three words, known words and all others together have probability 1."""
     rows = [(i, "a b c a b d " * 20 + f"x{i} c b a " * (i % 5)) for i in range(40)]
