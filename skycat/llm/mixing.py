@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, words, written
+from .common import table, words
 
 #: Weights by source in code-point order, repeating; the share of all words; the most copies of a document.
 WEIGHTS = (1, 2, 3)
@@ -40,10 +40,13 @@ def _unit(text: Column) -> Column:
 
 
 def _sized(docs: DataFrame) -> DataFrame:
-    """The row as it came, with size, the hash that orders it and its hash range."""
+    """The row's columns as they came, numbered, with size, the hash that orders it and its hash range.
+
+    The columns stay apart, so those that the caller does not read (the text) are not shuffled.
+    """
     h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
     return docs.select(
-        F.struct(*docs.columns).alias("row"),
+        *[F.col(c).alias(f"col_{i}") for i, c in enumerate(docs.columns)],
         F.col("doc_id").alias("id"),
         F.col("source").alias("src"),
         F.size(words(F.col("text"))).cast("long").alias("size"),
@@ -81,8 +84,8 @@ def targets(counts: DataFrame, max_copies: int = MAX_COPIES, weights: tuple = WE
 def drawn(docs: DataFrame, max_copies: int = MAX_COPIES, weights: tuple = WEIGHTS, seed: str = SEED) -> DataFrame:
     """Each row as struct ``row`` with size, source_size, target and copies."""
     d = _sized(docs)
-    # counts by (source, size, hash range): a small table, written once and used for all sums
-    counts = written(d.groupBy("src", "size", "range").agg(F.count("*").alias("n")), "mix-counts")
+    # counts by (source, size, hash range): narrow rows; all sums read the one shuffle that makes them
+    counts = d.groupBy("src", "size", "range").agg(F.count("*").alias("n"))
     by_size = counts.groupBy("src", "size").agg(F.sum("n").alias("n"))
     per_source = by_size.groupBy("src").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
     t = targets(per_source, max_copies, weights, seed)
@@ -97,7 +100,8 @@ def drawn(docs: DataFrame, max_copies: int = MAX_COPIES, weights: tuple = WEIGHT
     j = _join(ranked, starts, ["src", "size", "range"])
     r = F.col("size_start") + F.col("range_start") + F.col("nth")
     copies = F.floor(F.col("e") * r + F.col("u")) - F.floor(F.col("e") * (r - 1) + F.col("u"))
-    return j.select("row", "size", "source_size", "target", copies.cast("int").alias("copies"))
+    row = F.struct(*[F.col(f"col_{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return j.select(row.alias("row"), "size", "source_size", "target", copies.cast("int").alias("copies"))
 
 
 def _join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -120,6 +124,6 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
 def op8_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = drawn(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return d.select(
-        F.col("row")["doc_id"].alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies"
-    )
+    # copies once in a select of its own: only then does Spark see that doc_id is all that is read of the row
+    d = d.select(F.col("row")["doc_id"].alias("doc_id"), "size", "source_size", "target", "copies")
+    return d.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")

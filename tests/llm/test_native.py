@@ -112,6 +112,27 @@ def test_taken_words_near_targets(spark):
         assert abs(r.taken - r.target) <= 2 * r.m
 
 
+def test_mix_query_shuffles_no_texts(spark, tmp_path):
+    rows = [(i % 9, "ab"[i % 2], f"w{i} " * (i % 5)) for i in range(40)] + [(None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = mixing.op8_systematic_mix(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "size", "source_size", "target", "taken", "copies"] and got.count() == len(rows)
+    for line in got._jdf.queryExecution().executedPlan().toString().splitlines():
+        assert not re.search(r"(Window|Sort|Exchange|Join) .*\btext#", line) and "struct(" not in line
+        assert "text#" not in line or "split(" in line or "FileScan" in line
+
+
+def test_mix_reads_documents_twice_and_writes_no_counts(spark, tmp_path):
+    rows = [(i % 9, "ab"[i % 2], f"w{i} " * (i % 5)) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = mixing.op8_systematic_mix(spark, str(tmp_path))
+    assert got.count() == len(rows)
+    got._jdf.queryExecution().toRdd().count()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    final = plan[plan.index("Final Plan") : plan.index("Initial Plan")]
+    assert "mix-counts" not in plan and final.count("FileScan") == 2 and "ReusedExchange" in final
+
+
 def test_rendezvous(spark, edges, nothing):
     got = sharding.sharded(edges).collect()
     assert len(got) == edges.count() and sharding.sharded(nothing).count() == 0
