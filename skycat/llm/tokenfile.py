@@ -44,7 +44,7 @@ VERSION = 1
 HEADER = struct.Struct("<4sIQQII")
 SHARD_IDS = 4_000_000
 END_ID = 2
-RUN_BYTES = 4_000_000  # texts that are encoded together
+RUN_BYTES = 8_000_000  # texts that are encoded together
 _BLOCK = 512  # bits a rank entry covers
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
@@ -209,16 +209,58 @@ class TokenFile:
 _coders: dict[str, _Coder] = {}
 
 
+def _gather(packed: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of ``packed`` that start at ``begin``, one after the other."""
+    end = np.cumsum(size)
+    return packed.take(np.arange(end[-1] if len(end) else 0) + np.repeat(begin - (end - size), size), mode="clip")
+
+
+class _Known:
+    """Words (Arrow) and their ids: those of word k are ``size[k]`` of ``packed`` from ``begin[k]`` on."""
+
+    def __init__(self, words: pa.Array, packed: np.ndarray, size: np.ndarray, begin: np.ndarray | None = None):
+        self.words, self.packed, self.size = words, packed, size
+        self.begin = np.cumsum(size) - size if begin is None else begin
+
+    def __len__(self) -> int:
+        return len(self.size)
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """Place of each word, -1 for those not here."""
+        import pyarrow.compute as pc
+
+        return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype(np.int64)
+
+    def take(self, at: np.ndarray) -> _Known:
+        size = self.size[at]
+        return _Known(self.words.take(pa.array(at)), _gather(self.packed, self.begin[at], size), size)
+
+    def with_more(self, other: _Known) -> _Known:
+        return _Known(
+            pa.concat_arrays([self.words, other.words]),
+            np.concatenate([self.packed, other.packed]),
+            np.concatenate([self.size, other.size]),
+            np.concatenate([self.begin, other.begin + len(self.packed)]),
+        )
+
+
+def _nothing() -> _Known:
+    return _Known(pa.array([], pa.large_string()), np.zeros(0, "<u4"), np.zeros(0, np.int64))
+
+
 class _Coder:
     """Ids of texts by the tokenizers library, which sees each distinct word of a run of texts once.
 
     Texts are cut at their single spaces and the words numbered (Arrow's dictionary
     encoding); words not remembered are encoded together, and the ids of all texts are
-    gathered from the table of distinct words.
+    gathered from the table of distinct words.  Words stay in Arrow and ids in numpy: a
+    Python string or bytes a word would cost more than the library.
     """
 
     JOINED = 50
     MARKS = ".,;:!?"
+    CLOSED = f"[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f][{MARKS}]\\z"
+    SPACED = "[" + "".join(c for c in map(chr, range(0x3001)) if c.isspace()) + "]\\z"
     GATHER = 1 << 20
 
     def __init__(self, path: str):
@@ -230,57 +272,79 @@ class _Coder:
         self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each id: a character of its name is a byte
         for name, i in vocabulary.items():
             self.lengths[i] = len(name)
-        # word -> ids with the space before it, for the words met last: two halves, the older one given up when full
-        self.recent: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.marks = dict(zip(self.MARKS, self._each(list(self.MARKS)), strict=True))
-
-    def _each(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def _encode(self, words: list[str]) -> list[bytes]:
+        # words with the space before them, those met last: two halves, the older one given up when the other is full
+        self.recent, self.older = _nothing(), _nothing()
+        self.marks = _Known(pa.array(self.MARKS, pa.large_string()), *self._each(list(self.MARKS)))
+        if (self.marks.size != 1).any():
+            raise ValueError("a closing mark is not one id of this tokenizer")
+
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts and how many each has."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _encode(self, words: pa.Array) -> _Known:
         """Ids of words, encoded in runs; as no match reaches over a single space, the ids part where a word's bytes end."""
         import pyarrow.compute as pc
 
-        joinable = [w for w in words if w and not w[-1].isspace()]
-        runs = [" " + " ".join(joinable[i : i + self.JOINED]) for i in range(0, len(joinable), self.JOINED)]
-        found = self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)
-        ids = np.fromiter(chain.from_iterable(e.ids for e in found), "<u4")
-        ends = np.cumsum(pc.binary_length(pa.array(joinable, pa.large_string())).to_numpy() + 1)
-        cut = (4 * np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 4).tolist()
-        packed = ids.tobytes()
-        out = [packed[a:b] for a, b in zip([0, *cut], cut, strict=False)]
-        if len(joinable) == len(words):
-            return out
-        runs_out = iter(out)
-        alone = iter(self._each([" " + w for w in words if not w or w[-1].isspace()]))
-        return [next(runs_out if w and not w[-1].isspace() else alone) for w in words]
-
-    def _learn(self, new: list[str]) -> list[bytes]:
+        alone = pc.or_(pc.equal(pc.binary_length(words), 0), pc.match_substring_regex(words, self.SPACED)).to_numpy(zero_copy_only=False)
+        joinable = words.filter(pa.array(~alone)) if alone.any() else words
+        starts = pa.array([*range(0, len(joinable), self.JOINED), len(joinable)], pa.int32())
+        runs = pc.binary_join(pa.ListArray.from_arrays(starts, joinable), pa.scalar(" ", pa.large_string())) if len(joinable) else []
+        packed, _ = self._each([" " + str(r) for r in runs])
+        ends = np.cumsum(pc.binary_length(joinable).to_numpy() + 1)
+        cut = np.searchsorted(np.cumsum(self.lengths[packed]), ends) + 1
+        size = np.diff(cut, prepend=0)
+        if not alone.any():
+            return _Known(words, packed, size)
+        more, sizes = self._each([" " + str(w) for w in words.filter(pa.array(alone))])
+        every, begin = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        every[~alone], every[alone] = size, sizes
+        begin[~alone], begin[alone] = cut - size, len(packed) + np.cumsum(sizes) - sizes
+        return _Known(words, np.concatenate([packed, more]), every, begin)
+
+    def _learn(self, new: pa.Array) -> _Known:
         """Ids of words not remembered.  A closing mark after a letter is a match of its own, so words that
         differ in it alone are encoded once."""
-        stems = [w[:-1] if w[-1:] in self.marks and w[-2:-1] < "\u0250" and w[-2:-1].isalpha() else w for w in new]
-        found = {w: self.recent.get(w) for w in stems}
-        bare = [w for w, ids in found.items() if ids is None]
-        found.update(zip(bare, self._encode(bare), strict=True))
-        return [found[s] if len(s) == len(w) else found[s] + self.marks[w[-1]] for s, w in zip(stems, new, strict=True)]
-
-    def _table(self, words: list[str]) -> list[bytes]:
-        """The ids of each word, its space before it."""
-        table = list(map(self.recent.get, words))
-        unknown = [i for i, ids in enumerate(table) if ids is None]
-        if unknown:
-            missed = [words[i] for i in unknown]
-            again = list(map(self.older.get, missed))
-            learnt = iter(self._learn([w for w, ids in zip(missed, again, strict=True) if ids is None]))
-            for i, w, ids in zip(unknown, missed, again, strict=True):
-                table[i] = ids = next(learnt) if ids is None else ids
-                if len(w) < MEMO_CHARS:
-                    if len(self.recent) >= MEMO_PIECES // 2:
-                        self.recent, self.older = {}, self.recent
-                    self.recent[w] = ids
-        return table
+        import pyarrow.compute as pc
+
+        marked = pc.match_substring_regex(new, self.CLOSED)
+        stems = pc.if_else(marked, pc.utf8_slice_codeunits(new, 0, -1), new).dictionary_encode()
+        bare = stems.dictionary
+        at = self.recent.find(bare)
+        missed = np.flatnonzero(at < 0)
+        at[missed] = len(self.recent) + np.arange(len(missed))
+        found = self.recent.with_more(self._encode(bare.take(pa.array(missed))))
+        at = at[stems.indices.to_numpy()]
+        closed = marked.to_numpy(zero_copy_only=False)
+        size = found.size[at] + closed
+        packed = _gather(found.packed, found.begin[at], size)  # the id after a stem's own is replaced by its mark
+        mark = self.marks.find(pc.utf8_slice_codeunits(new.filter(marked), -1, 1 << 30))
+        packed[(np.cumsum(size) - 1)[closed]] = self.marks.packed[mark]
+        return _Known(new, packed, size)
+
+    def _table(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and for each word where its own begin, its space before it, and how many they are."""
+        import pyarrow.compute as pc
+
+        known = self.recent
+        at = known.find(words)
+        missed = np.flatnonzero(at < 0)
+        if len(missed):
+            unknown = words.take(pa.array(missed))
+            again = self.older.find(unknown)
+            new = np.flatnonzero(again < 0)
+            again[new] = len(self.older) + np.arange(len(new))
+            fresh = self.older.with_more(self._learn(unknown.take(pa.array(new)))).take(again)
+            at[missed] = len(known) + np.arange(len(missed))
+            short = np.flatnonzero(pc.less(pc.utf8_length(unknown), MEMO_CHARS).to_numpy(zero_copy_only=False))[: MEMO_PIECES // 2]
+            kept = fresh.take(short)
+            if len(known) + len(kept) > MEMO_PIECES // 2:
+                self.recent, self.older = kept, known
+            else:
+                self.recent = known.with_more(kept)
+            known = known.with_more(fresh)
+        return known.packed, known.begin[at], known.size[at]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
@@ -288,7 +352,11 @@ class _Coder:
         self._even(texts, even, out)
         for i in set(range(len(texts))).difference(even):
             head, *tail = pieces(texts[i])
-            out[i] = b"".join([*self._each([head]), *self._table([w[1:] for w in tail])])
+            # a word may come more than once, and is learnt once
+            words = pa.array([w[1:] for w in tail], pa.large_string()).dictionary_encode()
+            packed, begin, size = self._table(words.dictionary)
+            n = words.indices.to_numpy()
+            out[i] = self._each([head])[0].tobytes() + _gather(packed, begin[n], size[n]).tobytes()
         return out
 
     def _even(self, texts: list[str], even: list[int], out: list[bytes]) -> None:
@@ -300,20 +368,17 @@ class _Coder:
         words = cut.flatten().dictionary_encode()
         number = words.indices.to_numpy().copy()
         at = cut.offsets.to_numpy()
-        heads = [texts[i].split(" ", 1)[0] for i in even]
-        number[at[:-1]] = len(words.dictionary) + np.arange(len(heads))
-        # through numpy: to_pylist makes the strings at a seventh of the speed
-        table = self._table(words.dictionary.to_numpy(zero_copy_only=False).tolist()) + self._each(heads)
-        packed = np.frombuffer(b"".join(table), "<u4")
-        length = np.fromiter(map(len, table), np.int64, len(table)) // 4
-        begin = np.cumsum(length) - length
+        number[at[:-1]] = len(words.dictionary) + np.arange(len(even))
+        packed, begin, length = self._table(words.dictionary)
+        heads, sizes = self._each([texts[i].split(" ", 1)[0] for i in even])
+        begin = np.concatenate([begin, len(packed) + np.cumsum(sizes) - sizes])
+        packed, length = np.concatenate([packed, heads]), np.concatenate([length, sizes])
         ids, ends = [], [np.zeros(1, np.int64)]
         for a in range(0, len(number), self.GATHER):
             n = number[a : a + self.GATHER]
             size = length[n]
-            end = np.cumsum(size)
-            ids.append(packed[np.arange(end[-1]) + np.repeat(begin[n] - (end - size), size)])
-            ends.append(ends[-1][-1] + end)
+            ids.append(_gather(packed, begin[n], size))
+            ends.append(ends[-1][-1] + np.cumsum(size))
         every, bounds = memoryview(np.concatenate(ids)).cast("B"), 4 * np.concatenate(ends)[at]
         for i, a, b in zip(even, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             out[i] = bytes(every[a:b])
