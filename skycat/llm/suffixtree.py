@@ -47,6 +47,11 @@ from .textnum import mix, splitmix, word_hashes
 TABLE_SHARE = 5e-7
 #: Rows of each length's states and entries that are sent to the tasks; the others are joined.
 HOT_ROWS = 1_000_000
+#: Sequences that are summed together, about, and the least number of such blocks.
+BLOCK_ROWS = 250_000
+LEAST_BLOCKS = 512
+#: Rows of the look-up table that a task of its join holds, about.
+JOINED_ROWS = 250_000
 #: Most 64-bit words of a bit table.
 MAYBE_WORDS = 1 << 21
 LENGTHS = 3
@@ -264,15 +269,43 @@ class _Sequences:
         self.__init__()
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        older, newer = (b.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_sequence(older, newer).view(np.int64))], ["ctx", "suf", "c", "key"])
+def _blocks(key: np.ndarray, columns: list[np.ndarray], bits: int) -> pa.RecordBatch:
+    """Sorted keys' values of 64 bits as one row for each block: those whose keys share their first bits."""
+    block = (key >> np.uint64(64 - bits)).astype(np.int32)
+    first = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(key) else np.zeros(0, np.int64)
+    offsets = pa.py_buffer((np.append(first, len(key)) * 8).astype(np.int32))
+    values = [pa.Array.from_buffers(pa.binary(), len(first), [None, offsets, pa.py_buffer(np.ascontiguousarray(c))]) for c in columns]
+    return pa.RecordBatch.from_arrays([pa.array(block[first]), *values], ["block", "ctx", "suf", "c"])
 
 
-def _sequence_counts(docs: DataFrame, n: int, shorter: np.ndarray) -> DataFrame:
-    """(ctx, suf, c, key) of the sequences of n words seen ``LEAST_ENTRY`` times; ctx and suf are without the last and the first word."""
+def _summed(block: pa.Table) -> pa.Table:
+    """The sequences of one block that were seen ``LEAST_ENTRY`` times."""
+    older, newer, c = (np.frombuffer(b"".join(block.column(n).to_pylist()), kind) for n, kind in (("ctx", np.uint64), ("suf", np.uint64), ("c", np.int64)))
+    key = _sequence(older, newer)
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    c = np.add.reduceat(c[order], first)
+    enough = c >= LEAST_ENTRY
+    first, c = first[enough], c[enough]
+    columns = [older[order[first]].view(np.int64), newer[order[first]].view(np.int64), c, key[first].view(np.int64)]
+    return pa.table(dict(zip(("ctx", "suf", "c", "key"), columns, strict=True)))
+
+
+def _sequence_counts(docs: DataFrame, n: int, shorter: np.ndarray, total: int) -> DataFrame:
+    """(ctx, suf, c, key) of the sequences of n words seen ``LEAST_ENTRY`` times; ctx and suf are without the last and the first word.
+
+    Most sequences are seen once, so Spark shuffles and groups blocks of them instead of
+    rows; there are as many blocks as the corpus' ``total`` words need.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(shorter)
+    bits = max(LEAST_BLOCKS - 1, total // BLOCK_ROWS).bit_length()
+
+    def packed(sums: _Sequences) -> Iterator[pa.RecordBatch]:
+        for b in sums.take():
+            older, newer, c = (x.to_numpy() for x in b.columns)
+            older, newer = older.view(np.uint64), newer.view(np.uint64)
+            yield _blocks(_sequence(older, newer), [older, newer, c], bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, maybe = _Sequences(), shared.value
@@ -283,11 +316,11 @@ def _sequence_counts(docs: DataFrame, n: int, shorter: np.ndarray) -> DataFrame:
                 i = np.flatnonzero(ok[1:] & ok[:-1] & (place[1:] >= n - 1)) + 1
                 sums.add(grams[-1][i - 1], grams[-1][i])
                 if sums.held > sums.LIMIT:
-                    yield from sums.take()
-        yield from sums.take()
+                    yield from packed(sums)
+        yield from packed(sums)
 
-    counts = docs.where(~F.col("held_out")).select("text").mapInArrow(run, "ctx long, suf long, c long").groupBy("ctx", "suf").agg(F.sum("c").alias("c"))
-    return counts.where(F.col("c") >= LEAST_ENTRY).mapInArrow(_keyed, "ctx long, suf long, c long, key long")
+    blocks = docs.where(~F.col("held_out")).select("text").mapInArrow(run, "block int, ctx binary, suf binary, c binary")
+    return blocks.groupBy("block").applyInArrow(_summed, "ctx long, suf long, c long, key long")
 
 
 def _sorted(df: DataFrame, key: str, *values: str) -> tuple[np.ndarray, ...]:
@@ -339,13 +372,11 @@ def _added(tree: Tree, words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarra
     out, open_ = np.zeros(len(words)), []
     grams, place = _grams(words, starts, len(tree.orders) + 1)
     for length, order in enumerate(tree.orders, 1):
-        inside = np.flatnonzero(place >= length)
-        for keys, salt, known, values in (
-            (grams[length - 1][inside - 1], np.uint64(_STATE), order.contexts, order.log_rest),
-            (grams[length][inside], np.uint64(0), order.entries, order.added),
-        ):
+        at = np.flatnonzero(place >= length)
+        for back, salt, known, values in ((1, np.uint64(_STATE), order.contexts, order.log_rest), (0, np.uint64(0), order.entries, order.added)):
+            keys = grams[length - back][at - back]
             some = _maybe(tree.maybe, keys ^ salt)
-            keys, at = keys[some], inside[some]
+            keys, at = keys[some], at[some]  # only states have entries
             found = tree.find(known, keys)
             here = found >= 0
             out[at[here]] += values[found[here]]
@@ -382,7 +413,7 @@ def learned(docs: DataFrame) -> tuple[Tree, DataFrame]:
     shorter = unigrams.where(F.col("c") >= LEAST_ENTRY).withColumn("log_p", log_p0)
     every = None
     for length in range(1, LENGTHS + 1):
-        grams = written(_sequence_counts(docs, length + 1, _maybe_table(shorter.select("key"))), "sequences")
+        grams = written(_sequence_counts(docs, length + 1, _maybe_table(shorter.select("key")), total), "sequences")
         states, sequences = _tested(grams, shorter)
         # the longest are of use as entries only
         shorter = written(sequences if length < LENGTHS else sequences.where("added IS NOT NULL"), "tested")
@@ -424,11 +455,14 @@ def scored(docs: DataFrame, tree: Tree, looked_up: DataFrame) -> DataFrame:
                 total = lambda v: pa.array(np.bincount(row, v, n))  # noqa: B023, E731
                 count = lambda v: pa.array(np.bincount(row, v, n).astype(np.int64))  # noqa: B023, E731
                 # the row's own sums; its key only spreads these rows over the tasks
+                own = pa.StructArray.from_arrays(
+                    [rows.column(1), rows.column(2), count(None), count(listed), total(base), total(score)],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "base", "score"],
+                )
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array(mix(rid.astype(np.uint64)).view(np.int64)), pa.array(np.zeros(n, np.int64)), pa.array(np.zeros(n, bool)), rows.column(1), rows.column(2),
-                     count(None), count(listed), total(base), total(score)],
-                    ["rid", "word", "tf", "rare", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"],
-                )
+                    [rows.column(0), pa.array(mix(rid.astype(np.uint64)).view(np.int64)), pa.array(np.zeros(n, np.int64)), pa.array(np.zeros(n, bool)), own],
+                    ["rid", "word", "tf", "rare", "own"],
+                )
                 rare = np.flatnonzero(~listed)
                 open_.append((rare, tokens[rare]))
                 for k, (places, w) in enumerate(open_):
@@ -441,22 +475,24 @@ def scored(docs: DataFrame, tree: Tree, looked_up: DataFrame) -> DataFrame:
                     tf = np.diff(np.append(new, len(w)))
                     m = len(new)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(rid[r[new]]), pa.array(w[new].view(np.int64)), pa.array(tf), pa.array(np.full(m, k == len(open_) - 1)), pa.nulls(m, rows.column(1).type), pa.nulls(m, pa.bool_()),
-                         pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())],
-                        ["rid", "word", "tf", "rare", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"],
-                    )
+                        [pa.array(rid[r[new]]), pa.array(w[new].view(np.int64)), pa.array(tf), pa.array(np.full(m, k == len(open_) - 1)), pa.nulls(m, own.type)],
+                        ["rid", "word", "tf", "rare", "own"],
+                    )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     parts = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", "text").mapInArrow(
-        run, f"rid long, word long, tf long, rare boolean, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double"
+        run, f"rid long, word long, tf long, rare boolean, own struct<doc_id: {kind}, held_out: boolean, n_tokens: long, n_known: long, base: double, score: double>"
     )
-    j = parts.join(looked_up, F.col("word") == F.col("key"), "left")
+    # the keys are hashes and each is summed by row, so the parts are even; their number bounds what a task holds
+    n_parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), looked_up.count() // JOINED_ROWS)
+    held = looked_up.repartition(n_parts, "key").hint("shuffle_hash")
+    j = parts.repartition(n_parts, "word").join(held, F.col("word") == F.col("key"), "left")
     rare = F.when(F.col("rare"), F.col("tf") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(tree.total + 0.5 * (tree.distinct + 1))))
     j = j.select(
-        "rid", "doc_id", "held_out", "n_tokens",
-        F.coalesce("n_known", F.when(F.col("rare") & F.col("c").isNotNull(), F.col("tf"))).alias("n_known"),
-        F.coalesce("base", rare).alias("base"),
-        F.coalesce("score", rare, F.col("tf") * F.col("value")).alias("score"),
+        "rid", "own.doc_id", "own.held_out", "own.n_tokens",
+        F.coalesce("own.n_known", F.when(F.col("rare") & F.col("c").isNotNull(), F.col("tf"))).alias("n_known"),
+        F.coalesce("own.base", rare).alias("base"),
+        F.coalesce("own.score", rare, F.col("tf") * F.col("value")).alias("score"),
     )
     return j.groupBy("rid").agg(
         F.max("doc_id").alias("doc_id"),

@@ -151,6 +151,27 @@ def test_states_are_distributions(spark):
     assert changed > n
 
 
+def test_sequences_are_shuffled_in_blocks(spark):
+    """Blocks of sequences are grouped, not a row for each; no count is lost, those seen too seldom are left out."""
+    rng = random.Random(8)
+    texts = [" ".join(f"w{min(int(rng.paretovariate(0.7)), 3000)}" for _ in range(400)) for _ in range(200)] + ["", None]
+    docs = spark.createDataFrame([(i % 5 == 1, t) for i, t in enumerate(texts)], "held_out boolean, text string")
+    want = Counter()
+    for i, t in enumerate(texts):
+        h = tokens(t or "") if i % 5 != 1 else []
+        want.update(zip(h[:-1], h[1:]))
+    every = np.full(1 << 10, (1 << 64) - 1, np.uint64)
+    for total in (1000, 2000 * suffixtree.BLOCK_ROWS):  # more words, more blocks
+        counts = suffixtree._sequence_counts(docs, 2, every, total)
+        got = [r.asDict() for r in counts.collect()]
+        assert sorted(r["c"] for r in got) == sorted(c for c in want.values() if c >= suffixtree.LEAST_ENTRY)
+        older, newer = (np.array([r[n] for r in got], np.int64).view(np.uint64) for n in ("ctx", "suf"))
+        assert [r["key"] for r in got] == suffixtree._sequence(older, newer).view(np.int64).tolist()
+        assert len({r["key"] for r in got}) == len(got)
+        plan = counts._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" not in plan and "hashpartitioning(block" in plan
+
+
 def brute_scores(train, texts):
     """Scores by a tree of plain dictionaries over every context of up to three words."""
     S = suffixtree
