@@ -6,8 +6,9 @@ P0(x) = (c(x) + 0.5) / (N + 0.5 * (V + 1)).  A state is a context of up to three
 Learning reads all training texts, and nothing in it depends on the size of the corpus:
 1. Counts of all words (Spark: pre-aggregated per task, summed by word).
 2. Counts of all sequences of two, three and four words, one length after the other.  A
-   sequence seen ``LEAST_ENTRY`` times has parts seen as often, so tasks skip sequences
-   with a part that a bit table of the shorter ones rules out.  The bit table has a bound;
+   sequence seen ``LEAST_ENTRY`` times has parts seen as often, and a context is seen
+   ``LEAST_COUNT`` times, so tasks skip sequences with a part that a bit table of the
+   shorter ones rules out.  The bit table has a bound;
    a full one rules out less and costs time, never a count.
 3. Divergence test, from short to long, by joins and groups in Spark: a context seen
    ``LEAST_COUNT`` times stays if its smoothed distribution describes what follows it
@@ -292,8 +293,15 @@ def _summed(block: pa.Table) -> pa.Table:
     return pa.table(dict(zip(("ctx", "suf", "c", "key"), columns, strict=True)))
 
 
+def _parts_table(shorter: DataFrame) -> np.ndarray:
+    """A bit table of the sequences' parts: ``key`` of what may come last, and by another key of what may be a context."""
+    contexts = shorter.where(F.col("c") >= LEAST_COUNT).select(F.col("key").bitwiseXOR(F.lit(_STATE)).alias("key"))
+    return _maybe_table(shorter.select("key").union(contexts))
+
+
 def _sequence_counts(docs: DataFrame, n: int, shorter: np.ndarray, total: int) -> DataFrame:
-    """(ctx, suf, c, key) of the sequences of n words seen ``LEAST_ENTRY`` times; ctx and suf are without the last and the first word.
+    """(ctx, suf, c, key) of the sequences of n words seen ``LEAST_ENTRY`` times whose parts are in the table ``shorter``;
+    ctx and suf are without the last and the first word.
 
     Most sequences are seen once, so Spark shuffles and groups blocks of them instead of
     rows; there are as many blocks as the corpus' ``total`` words need.
@@ -312,8 +320,9 @@ def _sequence_counts(docs: DataFrame, n: int, shorter: np.ndarray, total: int) -
         for batch in batches:
             for _, h, o in word_hashes(batch.column(0)):
                 grams, place = _grams(*_tokens(h, o), n - 1)
-                ok = _maybe(maybe, grams[-1]) & (place >= n - 2)
-                i = np.flatnonzero(ok[1:] & ok[:-1] & (place[1:] >= n - 1)) + 1
+                i = np.flatnonzero(place >= n - 1)
+                i = i[_maybe(maybe, grams[-1][i])]
+                i = i[_maybe(maybe, grams[-1][i - 1] ^ np.uint64(_STATE))]
                 sums.add(grams[-1][i - 1], grams[-1][i])
                 if sums.held > sums.LIMIT:
                     yield from packed(sums)
@@ -413,7 +422,7 @@ def learned(docs: DataFrame) -> tuple[Tree, DataFrame]:
     shorter = unigrams.where(F.col("c") >= LEAST_ENTRY).withColumn("log_p", log_p0)
     every = None
     for length in range(1, LENGTHS + 1):
-        grams = written(_sequence_counts(docs, length + 1, _maybe_table(shorter.select("key")), total), "sequences")
+        grams = written(_sequence_counts(docs, length + 1, _parts_table(shorter), total), "sequences")
         states, sequences = _tested(grams, shorter)
         # the longest are of use as entries only
         shorter = written(sequences if length < LENGTHS else sequences.where("added IS NOT NULL"), "tested")
