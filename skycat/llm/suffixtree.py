@@ -469,8 +469,8 @@ def scored(docs: DataFrame, tree: Tree, looked_up: DataFrame) -> DataFrame:
                     ["doc_id", "held_out", "n_tokens", "n_known", "base", "score"],
                 )
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array(mix(rid.astype(np.uint64)).view(np.int64)), pa.array(np.zeros(n, np.int64)), pa.array(np.zeros(n, bool)), own],
-                    ["rid", "word", "tf", "rare", "own"],
+                    [rows.column(0), pa.array(mix(rid.astype(np.uint64)).view(np.int64)), pa.array(np.zeros(n, np.int64)), own],
+                    ["rid", "word", "tf", "own"],
                 )
                 rare = np.flatnonzero(~listed)
                 open_.append((rare, tokens[rare]))
@@ -481,27 +481,27 @@ def scored(docs: DataFrame, tree: Tree, looked_up: DataFrame) -> DataFrame:
                     order = np.argsort(row[places].astype(np.uint64) << np.uint64(44) | w >> np.uint64(20))
                     w, r = w[order], row[places[order]]
                     new = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (r[1:] != r[:-1])))
-                    tf = np.diff(np.append(new, len(w)))
                     m = len(new)
+                    tf = np.diff(np.append(new, len(w))) * (1 if k == len(open_) - 1 else -1)  # above 0 for words only
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(rid[r[new]]), pa.array(w[new].view(np.int64)), pa.array(tf), pa.array(np.full(m, k == len(open_) - 1)), pa.nulls(m, own.type)],
-                        ["rid", "word", "tf", "rare", "own"],
+                        [pa.array(rid[r[new]]), pa.array(w[new].view(np.int64)), pa.array(tf), pa.nulls(m, own.type)],
+                        ["rid", "word", "tf", "own"],
                     )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     parts = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", "text").mapInArrow(
-        run, f"rid long, word long, tf long, rare boolean, own struct<doc_id: {kind}, held_out: boolean, n_tokens: long, n_known: long, base: double, score: double>"
+        run, f"rid long, word long, tf long, own struct<doc_id: {kind}, held_out: boolean, n_tokens: long, n_known: long, base: double, score: double>"
     )
-    # the keys are hashes and each is summed by row, so the parts are even; their number bounds what a task holds
-    n_parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), looked_up.count() // JOINED_ROWS)
+    # the keys are hashes and each is summed by row, so the parts are even; more parts than the table needs only give more sums by row
+    n_parts = max(docs.sparkSession.sparkContext.defaultParallelism, looked_up.count() // JOINED_ROWS + 1)
     held = looked_up.repartition(n_parts, "key").hint("shuffle_hash")
     j = parts.repartition(n_parts, "word").join(held, F.col("word") == F.col("key"), "left")
-    rare = F.when(F.col("rare"), F.col("tf") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(tree.total + 0.5 * (tree.distinct + 1))))
+    rare = F.when(F.col("tf") > 0, F.col("tf") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(tree.total + 0.5 * (tree.distinct + 1))))
     j = j.select(
         "rid", "own.doc_id", "own.held_out", "own.n_tokens",
-        F.coalesce("own.n_known", F.when(F.col("rare") & F.col("c").isNotNull(), F.col("tf"))).alias("n_known"),
+        F.coalesce("own.n_known", F.when((F.col("tf") > 0) & F.col("c").isNotNull(), F.col("tf"))).alias("n_known"),
         F.coalesce("own.base", rare).alias("base"),
-        F.coalesce("own.score", rare, F.col("tf") * F.col("value")).alias("score"),
+        F.coalesce("own.score", rare, -F.col("tf") * F.col("value")).alias("score"),
     )
     return j.groupBy("rid").agg(
         F.max("doc_id").alias("doc_id"),
